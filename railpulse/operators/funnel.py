@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from railpulse import dimensions as D
 from railpulse.functions import flags
 from railpulse.functions.numbers import percent, rounded
+from railpulse.operators.percentiles import exact_percentiles
 
 STAGE_IDS = [stage_id for stage_id, _ in D.STAGES]
 
@@ -87,38 +88,40 @@ def _stage_times(stages: DataFrame) -> DataFrame:
 
 
 def _latency(stage: int) -> Column:
-    """Seconds since the nearest earlier stage that the transaction reached."""
+    """Microseconds since the nearest earlier stage that the transaction reached."""
     earlier = [F.col(f"t{i}") for i in reversed(STAGE_IDS) if i < stage]
-    before = F.coalesce(*earlier)
-    return flags.micros_between(before, F.col(f"t{stage}")).cast("double") / F.lit(1e6)
+    return flags.micros_between(F.coalesce(*earlier), F.col(f"t{stage}"))
 
 
-def stage_latency(stages: DataFrame, stage_names: DataFrame, accuracy: int = 10_000) -> DataFrame:
-    """Seconds from the stage before, per stage: mean, median, 95th percentile
-    and rank by mean, the slowest stage first.
-
-    Percentiles come from mergeable summaries whose rank error is at most
-    1/accuracy of the rows.
-    """
+def stage_latency(stages: DataFrame, stage_names: DataFrame) -> DataFrame:
+    """Seconds from the stage before, per stage: mean, exact median, exact 95th
+    percentile, and rank by mean, the slowest stage first."""
     steps = F.array(
         *[
-            F.struct(F.lit(i).alias("reached_stage"), _latency(i).alias("seconds"))
+            F.struct(F.lit(i).alias("reached_stage"), _latency(i).alias("micros"))
             for i in STAGE_IDS
             if i > min(STAGE_IDS)
         ]
     )
-    rows = _stage_times(stages).select(F.inline(steps)).filter(F.col("seconds").isNotNull())
-    t = rows.groupBy("reached_stage").agg(
-        F.count(F.lit(1)).alias("steps"),
-        F.sum(F.col("seconds").cast("decimal(28,6)")).alias("total_seconds"),
-        F.percentile_approx("seconds", 0.5, accuracy).alias("p50_seconds"),
-        F.percentile_approx("seconds", 0.95, accuracy).alias("p95_seconds"),
+    rows = _stage_times(stages).select(F.inline(steps)).filter(F.col("micros").isNotNull())
+    means = rows.groupBy("reached_stage").agg(
+        F.count(F.lit(1)).alias("steps"), F.sum("micros").alias("total_micros")
     )
-    mean = F.col("total_seconds").cast("double") / F.col("steps").cast("double")
+    points = exact_percentiles(rows, ["reached_stage"], "micros", {"p50": 0.5, "p95": 0.95})
+    second = F.lit(1e6)
+    mean = F.col("total_micros").cast("double") / F.col("steps").cast("double") / second
     slowest_first = Window.orderBy(F.desc("mean_seconds"), "stage_id")  # one row per stage
     return (
-        t.join(stage_names, F.col("reached_stage") == F.col("stage_id"))
-        .select("stage_id", "stage_name", "steps", rounded(mean, 3).alias("mean_seconds"), "p50_seconds", "p95_seconds")
+        means.join(points, "reached_stage")
+        .join(stage_names, F.col("reached_stage") == F.col("stage_id"))
+        .select(
+            "stage_id",
+            "stage_name",
+            "steps",
+            rounded(mean, 3).alias("mean_seconds"),
+            (F.col("p50").cast("double") / second).alias("p50_seconds"),
+            (F.col("p95").cast("double") / second).alias("p95_seconds"),
+        )
         .withColumn("slowness_rank", F.row_number().over(slowest_first))
     )
 

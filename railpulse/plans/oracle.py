@@ -408,12 +408,14 @@ def _stages() -> dict[str, str]:
             "reach stage",
             """select stage_id, stage_name, steps, mean_seconds, p50_seconds, p95_seconds,
                       cast(row_number() over (order by mean_seconds desc, stage_id) as integer) as slowness_rank
-               from (select stage_id, count(*) as steps,
-                            round(cast(sum(cast(seconds as decimal(28,6))) as double) / count(*), 3) as mean_seconds,
-                            quantile_disc(seconds, 0.5) as p50_seconds, quantile_disc(seconds, 0.95) as p95_seconds
-                     from (select stage_id, date_diff('microsecond', lag(ts) over (partition by id order by stage_id), ts)
-                                  / 1e6 as seconds from reach)
-                     where seconds is not null group by 1)
+               from (select stage_id, max(n) as steps, round(cast(sum(us) as double) / max(n) / 1e6, 3) as mean_seconds,
+                            max(us) filter (where place = ceil(0.5 * n)) / 1e6 as p50_seconds,
+                            max(us) filter (where place = ceil(0.95 * n)) / 1e6 as p95_seconds
+                     from (select stage_id, us, count(*) over (partition by stage_id) as n,
+                                  row_number() over (partition by stage_id order by us) as place
+                           from (select stage_id, date_diff('microsecond',
+                                        lag(ts) over (partition by id order by stage_id), ts) as us from reach)
+                           where us is not null) group by 1)
                join stage using (stage_id)""",
         ),
         "completion_time": _with(

@@ -84,7 +84,9 @@ class StarTables:
         return transactions_from(self._read("events"))
 
     def transaction_stream(self) -> DataFrame:
-        path = os.path.join(self.folder, "events.parquet")
+        # A stream source wants folders or a pattern. This pattern names the table
+        # whether it is one file or a folder of files.
+        path = os.path.join(self.folder, "events.parque[t]")
         return transactions_from(self.spark.readStream.schema(EVENTS_SCHEMA).parquet(path))
 
     def raw_transactions(self) -> DataFrame:
