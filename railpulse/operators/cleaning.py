@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from railpulse import dimensions as D
-from railpulse.operators.quality import parsed_amount, stripped, valid_amount
+from railpulse.functions.text import looked_up, stripped
+from railpulse.operators.quality import parsed_amount, valid_amount
 from railpulse.schemas import TRANSACTION_COLUMNS
 
 
@@ -19,16 +20,6 @@ def _known_network() -> Column:
     return F.coalesce(F.nullif("network_type", F.lit("")), F.lit(D.DEFAULT_NETWORK))
 
 
-def _canonical_bank(spelling: Column, otherwise: Column, alias_map: dict[str, str]) -> Column:
-    by_id: dict[str, list[str]] = {}
-    for alias, bank_id in alias_map.items():
-        by_id.setdefault(bank_id, []).append(alias)
-    bank = otherwise
-    for bank_id, aliases in by_id.items():
-        bank = F.when(spelling.isin(aliases), bank_id).otherwise(bank)
-    return bank
-
-
 def _first_per_id(rows: DataFrame, *order: Column | str) -> DataFrame:
     by_id = Window.partitionBy("transaction_id").orderBy(*order)
     return (
@@ -49,7 +40,7 @@ def clean_view(raw: DataFrame, alias_map: dict[str, str] = D.BANK_ALIASES) -> Da
     rows = raw.filter(valid_amount()).withColumns(
         {
             "amount": parsed_amount(),
-            "payer_bank_id": _canonical_bank(F.upper(F.trim(bank)), bank, alias_map),
+            "payer_bank_id": F.coalesce(looked_up(F.upper(F.trim(bank)), alias_map), bank),
             "network_type": _known_network(),
         }
     )
@@ -69,7 +60,7 @@ def clean_transactions(
     rows = raw.filter(valid_amount()).withColumns(
         {
             "amount": parsed_amount(),
-            "payer_bank_id": _canonical_bank(F.upper(bank), bank, alias_map),
+            "payer_bank_id": F.coalesce(looked_up(F.upper(bank), alias_map), bank),
             "network_type": _known_network(),
         }
     )

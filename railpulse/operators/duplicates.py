@@ -52,17 +52,29 @@ def duplicate_payment_rate(
     )
 
 
-def lock_windows(tx: DataFrame, window_s: int = 180, keys: list[str] = LOCK_KEY) -> DataFrame:
+def lock_windows(
+    tx: DataFrame,
+    window: str = "180 seconds",
+    keys: list[str] = LOCK_KEY,
+    watermark: str | None = None,
+) -> DataFrame:
     """Duplicates under a lock key that includes the time window itself.
 
-    Attempts of one key in the same ``window_s`` slot share a lock: the first is
-    accepted, the others are locked. A plain aggregate with map-side partial
-    sums, so no key is too hot. One row per lock with locked attempts.
+    Attempts of one key in the same window share a lock: the first is accepted,
+    the others are locked. A plain aggregate with map-side partial sums, so no
+    key is too hot. One row per lock with locked attempts. With ``watermark`` it
+    runs on streams and reports a lock once the watermark has passed it.
     """
-    slot = F.floor(F.unix_micros(F.col("timestamp").cast("timestamp")) / F.lit(window_s * 1_000_000))
-    return (
-        tx.groupBy(*keys, slot.alias("lock_slot"))
-        .agg(F.count(F.lit(1)).alias("attempts"), F.min("timestamp").alias("accepted_at"))
-        .filter(F.col("attempts") > 1)
-        .withColumn("locked_attempts", F.col("attempts") - 1)
+    rows = tx.select(*keys, F.col("timestamp").cast("timestamp").alias("event_time"))
+    if watermark is not None:
+        rows = rows.withWatermark("event_time", watermark)
+    locks = rows.groupBy(F.window("event_time", window).alias("w"), *keys).agg(
+        F.count(F.lit(1)).alias("attempts"), F.min("event_time").alias("first")
+    )
+    return locks.filter(F.col("attempts") > 1).select(
+        *keys,
+        F.col("w.start").cast("timestamp_ntz").alias("lock_start"),
+        F.col("first").cast("timestamp_ntz").alias("accepted_at"),
+        "attempts",
+        (F.col("attempts") - 1).alias("locked_attempts"),
     )

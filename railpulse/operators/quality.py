@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from railpulse import dimensions as D
 from railpulse.functions import flags
+from railpulse.functions.text import stripped
 from railpulse.schemas import MONEY
 
 DUPLICATE_ADVICE = "De-duplicate by taking FIRST_VALUE by timestamp"
@@ -21,7 +22,7 @@ def parsed_amount(column: str = "amount") -> Column:
 def valid_amount(column: str = "amount") -> Column:
     """True for positive finite amounts, false for all else including NULL."""
     positive = F.col(column).try_cast("double") > 0
-    return F.coalesce(positive, F.lit(False)) & parsed_amount(column).isNotNull()
+    return F.coalesce(positive & parsed_amount(column).isNotNull(), F.lit(False))
 
 
 def dq_duplicates(raw: DataFrame) -> DataFrame:
@@ -148,8 +149,3 @@ def dq_audit_summary(
             F.col("processed").alias("processed_transaction_count"),
         )
     )
-
-
-def stripped(text: Column) -> Column:
-    """Text without leading and trailing white space of any kind."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")

@@ -71,6 +71,11 @@ def _health_stream(spark: SparkSession, s: StarTables) -> DataFrame:
     return runs.drain_to_parquet(spark, stream, "bank-health")
 
 
+def _lock_window_stream(spark: SparkSession, s: StarTables) -> DataFrame:
+    stream = duplicates.lock_windows(s.transaction_stream(), "1 day", COARSE_KEY, STREAM_DELAY)
+    return runs.drain_to_parquet(spark, stream, "lock-windows")
+
+
 def _lock_stream(spark: SparkSession, s: StarTables) -> DataFrame:
     stream = locks.lock_stream(s.transaction_stream(), window_s=DAY, keys=COARSE_KEY, watermark=STREAM_DELAY)
     rows = runs.drain_to_parquet(spark, stream, "locks")
@@ -157,7 +162,8 @@ def all_queries() -> dict[str, Query]:
         "duplicate_payment_rate": over(
             lambda s: duplicates.duplicate_payment_rate(s.transactions(), DAY, COARSE_KEY)
         ),
-        "lock_windows": over(lambda s: duplicates.lock_windows(s.transactions(), DAY, COARSE_KEY)),
+        "lock_windows": over(lambda s: duplicates.lock_windows(s.transactions(), "1 day", COARSE_KEY)),
+        "lock_windows_stream": with_session(_lock_window_stream),
         "lock_stream": with_session(_lock_stream),
         # Bank health and experiment
         "bank_health": over(lambda s: bankhealth.rolling_bank_health(s.transactions())),

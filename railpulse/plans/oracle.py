@@ -53,9 +53,9 @@ SOURCES = {
                case when l_partkey % 97 <> 0
                     then 'BNK' || lpad(cast(1 + l_partkey % 10 as varchar), 3, '0') end as payee_bank_id,
                case when l_discount = 0 and l_tax = 0
-                    then cast(-cast(l_extendedprice as decimal(18,2)) as varchar)
+                    then cast(-l_extendedprice as varchar)
                     when l_discount = 0 and l_tax = 0.01 then 'n/a'
-                    else cast(cast(l_extendedprice as decimal(18,2)) as varchar) end as amount_text,
+                    else cast(l_extendedprice as varchar) end as amount_text,
                l_shipdate as "timestamp",
                case when l_partkey % 20 < 9 then 'P2P' else 'P2M' end as transaction_type,
                'DEV' || cast(l_partkey % 200 as varchar) as device_id,
@@ -546,6 +546,8 @@ def _duplicates() -> dict[str, str]:
         )
 
     day = 86_400_000_000
+    locked = """select user_id, payee as payee_bank_id, cast(date_trunc('day', ts) as timestamp) as lock_start, min(ts) as accepted_at,
+        count(*) as attempts, count(*) - 1 as locked_attempts from tx group by 1, 2, 3 having count(*) > 1"""
     return {
         "duplicate_attempts": repeated(
             "user_id, payee, amount", "user_id, payee as payee_bank_id, cast(amount as double) as amount", 180_000_000
@@ -558,11 +560,11 @@ def _duplicates() -> dict[str, str]:
                 from (select date_diff('microsecond', lag(ts) over (partition by user_id, payee order by ts, id), ts) as gap
                       from tx where ok)""",
         ),
-        "lock_windows": _with(
+        "lock_windows": _with("tx", locked),
+        "lock_windows_stream": _with(
             "tx",
-            """select user_id, payee as payee_bank_id, epoch_us(ts) // 86400000000 as lock_slot, count(*) as attempts,
-                      min(ts) as accepted_at, count(*) - 1 as locked_attempts
-               from tx group by 1, 2, 3 having count(*) > 1""",
+            f"""select * from ({locked}) where lock_start + interval 1 day
+                    <= (select date_trunc('milliseconds', max(ts)) - interval 10 minutes from tx)""",
         ),
         "lock_stream": "with recursive "
         + _with(

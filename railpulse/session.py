@@ -38,6 +38,7 @@ def local_session(cores: int | str = 8, app_name: str = "railpulse-local") -> Sp
         builder(app_name)
         .master(f"local[{cores}]")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.files.openCostInBytes", str(1 << 20))

@@ -93,7 +93,7 @@ class StarTables:
         """Attempts before cleaning: repeated ids, spelled-out banks, invalid and
         unreadable amounts, blank fields, and an ingest order."""
         bank = F.col("l_suppkey") % 10
-        amount = F.col("l_extendedprice").cast(MONEY)
+        amount = F.col("l_extendedprice")
         no_discount = F.col("l_discount") == 0
         is_failed = F.col("l_tax") >= 0.07
         return self._read("lineitem").select(
