@@ -95,7 +95,8 @@ def status_breakdown(tx: DataFrame) -> DataFrame:
         .when(flags.business_by_code(), D.STATUS_LABELS["business"])
         .otherwise(D.STATUS_LABELS["network"])
     )
-    return tx.groupBy(label.alias("status_category")).agg(F.count(F.lit(1)).alias("count"))
+    cells = outcome_cells(tx)
+    return cells.groupBy(label.alias("status_category")).agg(F.sum("cell_txns").alias("count"))
 
 
 def limit_breaches(kpis: DataFrame, limits: list[tuple[str, float]] = D.KPI_LIMITS) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from railpulse.functions import flags
 from railpulse.functions.numbers import percent
-from railpulse.operators.tallies import outcome_cells, tally
+from railpulse.operators.tallies import is_rolled_up, outcome_cells, tally
 
 
 def os_network(tx: DataFrame, devices: DataFrame, error_codes: DataFrame) -> DataFrame:
@@ -40,8 +40,14 @@ def os_network(tx: DataFrame, devices: DataFrame, error_codes: DataFrame) -> Dat
 
 
 def type_amount_matrix(tx: DataFrame, contiguous: bool = False) -> DataFrame:
-    """Volume, success and value at risk per payment type and amount bucket."""
-    bucket = flags.amount_bucket(F.col("amount"), contiguous).alias("amount_bucket")
+    """Volume, success and value at risk per payment type and amount bucket.
+
+    Hourly cells carry the published buckets, so ``contiguous`` needs attempts.
+    """
+    if is_rolled_up(tx) and not contiguous:
+        bucket = F.col("amount_bucket")
+    else:
+        bucket = flags.amount_bucket(F.col("amount"), contiguous).alias("amount_bucket")
     t = tally(outcome_cells(tx, "transaction_type", bucket), "transaction_type", "amount_bucket")
     return t.select(
         "transaction_type",

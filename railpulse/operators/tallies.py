@@ -14,11 +14,32 @@ from pyspark.sql import functions as F
 from railpulse.functions import flags
 
 
+def hourly_cells(tx: DataFrame) -> DataFrame:
+    """The attempts rolled up by clock hour, banks, type, amount bucket, code and
+    status. Its size depends on the period and the dimensions, not on the number
+    of attempts. Write it once and give it to the reports in place of the
+    attempts: they then share a single pass over the fact table.
+    """
+    return tx.groupBy(
+        F.date_trunc("HOUR", "timestamp").cast("timestamp_ntz").alias("timestamp"),
+        "payer_bank_id",
+        "payee_bank_id",
+        "transaction_type",
+        flags.amount_bucket(F.col("amount")).alias("amount_bucket"),
+        "failure_code",
+        "final_status",
+    ).agg(F.count(F.lit(1)).alias("cell_txns"), F.sum("amount").alias("cell_value"))
+
+
+def is_rolled_up(tx: DataFrame) -> bool:
+    return "cell_txns" in tx.columns
+
+
 def outcome_cells(tx: DataFrame, *keys: Column | str) -> DataFrame:
-    """Attempts and value per key combination, failure code and status."""
-    return tx.groupBy(*keys, "failure_code", "final_status").agg(
-        F.count(F.lit(1)).alias("cell_txns"), F.sum("amount").alias("cell_value")
-    )
+    """Attempts and value per key combination, failure code and status, from the
+    attempts or from their hourly cells."""
+    n, value = (F.sum("cell_txns"), F.sum("cell_value")) if is_rolled_up(tx) else (F.count(F.lit(1)), F.sum("amount"))
+    return tx.groupBy(*keys, "failure_code", "final_status").agg(n.alias("cell_txns"), value.alias("cell_value"))
 
 
 def with_codes(cells: DataFrame, error_codes: DataFrame, how: str = "left") -> DataFrame:

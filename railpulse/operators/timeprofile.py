@@ -69,7 +69,7 @@ def peak_multiplier(tx: DataFrame) -> DataFrame:
 
     Hours are averaged over the hours of day that occur.
     """
-    hours = tx.groupBy(F.hour("timestamp").alias("hour_of_day")).agg(F.count(F.lit(1)).alias("n"))
+    hours = _hour_tally(tx).select("hour_of_day", F.col("total").alias("n"))
     peak = flags.in_peak(F.col("hour_of_day"))
     sides = hours.agg(
         F.avg(F.when(peak, F.col("n"))).alias("peak_avg"),
@@ -102,8 +102,8 @@ def rolling_failure_rate(tx: DataFrame, hours: int = 3) -> DataFrame:
     window sees one row per hour of the covered period, not the attempts.
     """
     hour = F.date_trunc("HOUR", "timestamp").cast("timestamp_ntz")
-    hourly = tx.groupBy(hour.alias("hour_start")).agg(
-        F.count(F.lit(1)).alias("n"), flags.count_where(flags.failed()).alias("f")
+    hourly = tally(outcome_cells(tx, hour.alias("hour_start")), "hour_start").select(
+        "hour_start", F.col("total").alias("n"), F.col("failed").alias("f")
     )
     # Clock hours as numbers make the range frame a plain numeric one.
     epoch_hour = F.timestamp_diff("HOUR", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("hour_start"))

@@ -14,23 +14,31 @@ from railpulse.functions import flags
 from railpulse.functions.numbers import money, percent, ratio, rounded
 
 
-def _per_user(tx: DataFrame, *more: Column) -> DataFrame:
+def user_totals(tx: DataFrame) -> DataFrame:
+    """One row per user with counts and failed value.
+
+    Every report below takes the attempts or these totals; totals written once
+    serve them all. Columns a report does not use are pruned away.
+    """
+    if "user_txns" in tx.columns:
+        return tx
     return tx.groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("txns"),
+        F.count(F.lit(1)).alias("user_txns"),
         flags.count_where(flags.succeeded()).alias("ok"),
         flags.count_where(flags.failed()).alias("bad"),
-        *more,
+        flags.count_where(flags.technical_by_code()).alias("td"),
+        flags.sum_where(flags.failed()).alias("failed_value"),
     )
 
 
 def _segments(users: DataFrame, tx: DataFrame, segment: Column | str, severe: int) -> DataFrame:
     return (
-        _per_user(tx)
+        user_totals(tx)
         .join(users, "user_id")
         .groupBy(segment)
         .agg(
             F.count(F.lit(1)).alias("users"),
-            F.sum("txns").alias("txns"),
+            F.sum("user_txns").alias("txns"),
             F.sum("ok").alias("ok"),
             F.sum("bad").alias("bad"),
             flags.count_where(F.col("bad") >= severe).alias("severe"),
@@ -97,21 +105,17 @@ def impacted_power_users(
 
     Users are filtered by their counts before the join.
     """
-    heavy = _per_user(
-        tx,
-        flags.count_where(flags.technical_by_code()).alias("td"),
-        flags.sum_where(flags.failed()).alias("failed_value"),
-    ).filter((F.col("txns") >= min_txn) & (F.col("bad") >= min_fail))
+    heavy = user_totals(tx).filter((F.col("user_txns") >= min_txn) & (F.col("bad") >= min_fail))
     return (
         heavy.join(users, "user_id")
         .select(
             "user_id",
             "user_segment",
             "state",
-            F.col("txns").alias("total_attempts"),
+            F.col("user_txns").alias("total_attempts"),
             F.col("bad").alias("failed_attempts"),
             F.col("td").alias("technical_declines"),
-            percent(F.col("ok"), F.col("txns")).alias("user_psr"),
+            percent(F.col("ok"), F.col("user_txns")).alias("user_psr"),
             money(F.col("failed_value")).alias("user_failed_value_inr"),
         )
         .orderBy(F.desc("failed_attempts"), "user_id")

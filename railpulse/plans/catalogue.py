@@ -77,7 +77,9 @@ def _lock_window_stream(spark: SparkSession, s: StarTables) -> DataFrame:
 
 
 def _lock_stream(spark: SparkSession, s: StarTables) -> DataFrame:
-    stream = locks.lock_stream(s.transaction_stream(), window_s=DAY, keys=COARSE_KEY, watermark=STREAM_DELAY)
+    stream = locks.lock_stream(
+        s.transaction_stream(max_bytes_per_trigger=1 << 30), window_s=DAY, keys=COARSE_KEY, watermark=STREAM_DELAY
+    )
     rows = runs.drain_to_parquet(spark, stream, "locks")
     return rows.withColumn("event_time", F.col("event_time").cast("timestamp_ntz"))
 

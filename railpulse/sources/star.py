@@ -83,11 +83,14 @@ class StarTables:
     def transactions(self) -> DataFrame:
         return transactions_from(self._read("events"))
 
-    def transaction_stream(self) -> DataFrame:
+    def transaction_stream(self, max_bytes_per_trigger: int | None = None) -> DataFrame:
         # A stream source wants folders or a pattern. This pattern names the table
         # whether it is one file or a folder of files.
         path = os.path.join(self.folder, "events.parque[t]")
-        return transactions_from(self.spark.readStream.schema(EVENTS_SCHEMA).parquet(path))
+        reader = self.spark.readStream.schema(EVENTS_SCHEMA)
+        if max_bytes_per_trigger is not None:
+            reader = reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
+        return transactions_from(reader.parquet(path))
 
     def raw_transactions(self) -> DataFrame:
         """Attempts before cleaning: repeated ids, spelled-out banks, invalid and

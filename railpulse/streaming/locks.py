@@ -22,8 +22,12 @@ def lock_stream(
     An attempt is locked when it comes within ``window_s`` of the last accepted
     one of its key; a locked attempt does not extend the lock. The state is one
     time per key and is dropped once the watermark has passed the end of the
-    lock. Attempts of one key are taken in order of time within a micro-batch,
-    so the micro-batch size bounds what a task holds.
+    lock.
+
+    Attempts of one key are put in order of time within a micro-batch, so the
+    size of a micro-batch bounds what a task holds: give the source a limit per
+    trigger. :func:`railpulse.operators.duplicates.lock_windows` needs no such
+    limit and no Python.
     """
     stream = (
         tx.select(*keys, "transaction_id", F.col("timestamp").cast("timestamp").alias("event_time"))
@@ -46,7 +50,9 @@ def lock_stream(
         if lock.hasTimedOut:
             lock.remove()
             return
-        rows = pd.concat(list(batches)).sort_values(["event_time", "transaction_id"])
+        parts = list(batches)
+        rows = parts[0] if len(parts) == 1 else pd.concat(parts)
+        rows = rows.sort_values(["event_time", "transaction_id"])
         times = rows["event_time"].to_numpy("datetime64[us]").astype("int64")
         last = lock.get[0] if lock.exists else None
         accepted = np.zeros(len(times), dtype=bool)
