@@ -28,6 +28,9 @@ def failure_breakdown(tx: DataFrame, error_codes: DataFrame) -> DataFrame:
             F.coalesce("error_description", F.lit("Unclassified Error")).alias("error_description"),
         )
         .agg(F.sum("cell_txns").alias("failure_count"), F.sum("cell_value").alias("failed_value"))
+        # Always true. Both uses of the groups below thereby need both columns,
+        # and the planner computes the groups once and reuses their exchange.
+        .filter((F.col("failure_count") > 0) | F.col("failed_value").isNotNull())
     )
     # Ranks depend on the count alone. Distinct counts are few even when there
     # are many unknown codes: k of them need at least k*(k+1)/2 failures.

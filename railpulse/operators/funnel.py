@@ -104,20 +104,16 @@ def stage_latency(stages: DataFrame, stage_names: DataFrame) -> DataFrame:
         ]
     )
     rows = _stage_times(stages).select(F.inline(steps)).filter(F.col("micros").isNotNull())
-    means = rows.groupBy("reached_stage").agg(
-        F.count(F.lit(1)).alias("steps"), F.sum("micros").alias("total_micros")
-    )
     points = exact_percentiles(rows, ["reached_stage"], "micros", {"p50": 0.5, "p95": 0.95})
     second = F.lit(1e6)
-    mean = F.col("total_micros").cast("double") / F.col("steps").cast("double") / second
+    mean = F.col("value_sum").cast("double") / F.col("row_count").cast("double") / second
     slowest_first = Window.orderBy(F.desc("mean_seconds"), "stage_id")  # one row per stage
     return (
-        means.join(points, "reached_stage")
-        .join(stage_names, F.col("reached_stage") == F.col("stage_id"))
+        points.join(stage_names, F.col("reached_stage") == F.col("stage_id"))
         .select(
             "stage_id",
             "stage_name",
-            "steps",
+            F.col("row_count").alias("steps"),
             rounded(mean, 3).alias("mean_seconds"),
             (F.col("p50").cast("double") / second).alias("p50_seconds"),
             (F.col("p95").cast("double") / second).alias("p95_seconds"),

@@ -113,6 +113,9 @@ def dq_audit_summary(
             F.min_by("marks", "seq").alias("marks"),
             F.count(F.lit(1)).alias("valid_rows"),
         )
+        # Always true. Both uses below thereby need all three columns, and the
+        # planner shuffles the valid rows once and reuses the exchange.
+        .filter((F.col("valid_rows") > 0) | (F.col("marks") > 0) | F.col("accepted_seq").isNotNull())
     )
     first = accepted.select(F.col("transaction_id").alias("accepted_id"), "accepted_seq")
     invalid = rows.filter(~F.col("is_valid")).select("transaction_id", "seq")

@@ -49,10 +49,13 @@ def local_session(cores: int | str = 8, app_name: str = "railpulse-local") -> Sp
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh path for written results and stream checkpoints.
 
-    It lies in the shared folder named by ``spark.checkpoint.dir``. Only where
-    no folder is named, as in local tests, a temporary one is made.
+    It lies in the shared folder named by ``spark.checkpoint.dir``. Only a local
+    session may do without: it gets a temporary folder, which executors on other
+    machines could not see.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="railpulse-")
     return os.path.join(shared, f"{purpose}-{uuid.uuid4().hex}")
