@@ -20,14 +20,22 @@ def rolling_bank_health(
 ) -> DataFrame:
     """Success rate per payer bank and sliding window, with an alert mark.
 
-    The same code serves both modes. For a stream give ``watermark``; windows
-    are then final, and written, once the watermark has passed their end.
+    For a stream give ``watermark``; windows are then final, and written, once
+    the watermark has passed their end. A batch is first reduced to one row per
+    bank and ``slide``, which must divide ``window``, and only those rows are
+    spread over the windows they belong to.
     """
     rows = tx.select(F.col("timestamp").cast("timestamp").alias("event_time"), "payer_bank_id", "final_status")
+    rows = rows.withColumns({"n": F.lit(1), "good": F.when(flags.succeeded(), 1).otherwise(0)})
     if watermark is not None:
         rows = rows.withWatermark("event_time", watermark)
+    else:
+        steps = rows.groupBy(F.window("event_time", slide).alias("step"), "payer_bank_id")
+        rows = steps.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).withColumn(
+            "event_time", F.col("step.start")
+        )
     t = rows.groupBy(F.window("event_time", window, slide).alias("w"), "payer_bank_id").agg(
-        F.count(F.lit(1)).alias("txns"), flags.count_where(flags.succeeded()).alias("ok")
+        F.sum("n").alias("txns"), F.sum("good").alias("ok")
     )
     psr = exact_percent(F.col("ok"), F.col("txns"))
     return t.select(

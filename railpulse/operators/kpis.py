@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from railpulse import dimensions as D
 from railpulse.functions import flags
 from railpulse.functions.numbers import money, percent, ratio, rounded
-from railpulse.operators.tallies import outcome_cells, tally, value_where, with_codes
+from railpulse.operators.tallies import outcome_cells, tally, value_where, weighted, with_codes
 
 
 def core_kpis(tx: DataFrame, error_codes: DataFrame) -> DataFrame:
@@ -95,8 +95,7 @@ def status_breakdown(tx: DataFrame) -> DataFrame:
         .when(flags.business_by_code(), D.STATUS_LABELS["business"])
         .otherwise(D.STATUS_LABELS["network"])
     )
-    cells = outcome_cells(tx)
-    return cells.groupBy(label.alias("status_category")).agg(F.sum("cell_txns").alias("count"))
+    return weighted(tx).groupBy(label.alias("status_category")).agg(F.sum("cell_txns").alias("count"))
 
 
 def limit_breaches(kpis: DataFrame, limits: list[tuple[str, float]] = D.KPI_LIMITS) -> DataFrame:

@@ -7,13 +7,18 @@ its own group (and each microsecond, where a minute is still too large), and
 every group gets one extra row, the edge of the nearest other group. Within a
 group the plain window then finds the same neighbour as over the whole key.
 
-Without hot keys the broadcast list is empty and the edge branch is dropped at
-run time; what remains is one narrow count and the plain window.
+Hot groups are found in a sample of the rows, chosen by hash, so looking for them
+shuffles little. Which groups are cut does not affect the result, only how evenly
+the work is spread. Without hot groups the broadcast list is empty and the edge
+branch is dropped at run time; what remains is the plain window.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS = 5_000_000
@@ -21,6 +26,8 @@ HOT_ROWS = 5_000_000
 # group left whole is smaller than each of them, so it holds at most
 # max(hot_rows, rows / HOT_GROUPS) rows; the result is exact either way.
 HOT_GROUPS = 10_000
+# A group at the limit has about this many rows in the sample.
+SAMPLED_ROWS = 10_000
 MINUTE, MICROSECOND = 60_000_000, 1
 
 
@@ -51,7 +58,7 @@ def with_previous(
 
 def _with_neighbour(df, keys, time_col, tie_break, columns, hot_rows, forward):
     prefix, shift = ("next_", F.lead) if forward else ("previous_", F.lag)
-    sliced = _cut_hot_groups(df, keys, time_col, hot_rows)
+    sliced = _cut_hot_groups(df, keys, time_col, tie_break, hot_rows)
     edges = _edges(sliced, keys, time_col, tie_break, columns, forward)
     rows = sliced.withColumn("_edge", F.lit(False)).unionByName(edges, allowMissingColumns=True)
     group = Window.partitionBy(*keys, "_slice").orderBy(time_col, tie_break)
@@ -62,29 +69,29 @@ def _with_neighbour(df, keys, time_col, tie_break, columns, hot_rows, forward):
     )
 
 
-def _cut_hot_groups(df: DataFrame, keys: list[str], time_col: str, hot_rows: int) -> DataFrame:
+def _cut_hot_groups(df: DataFrame, keys: list[str], time_col: str, tie_break: str, hot_rows: int) -> DataFrame:
     """Add ``_slice``: NULL for ordinary keys, else the start of the row's time
     slice in microseconds. Slices of one key are ordered as their rows."""
+    one_in = max(1, hot_rows // SAMPLED_ROWS)
+    sampled = F.pmod(F.xxhash64(time_col, tie_break), F.lit(one_in)) == 0
+    micros = F.unix_micros(F.col(time_col).cast("timestamp"))
     cut = df.withColumn("_slice", F.lit(None).cast("long"))
     for width in (MINUTE, MICROSECOND):
         seen = cut if width == MINUTE else cut.filter(F.col("_slice").isNotNull())
         hot = (
-            seen.groupBy(*keys, "_slice")
+            seen.filter(sampled)
+            .groupBy(*keys, "_slice")
             .agg(F.count(F.lit(1)).alias("_rows"))
-            .filter(F.col("_rows") > hot_rows)
+            .filter(F.col("_rows") > hot_rows / one_in)
             .orderBy(F.desc("_rows"))
             .limit(HOT_GROUPS)
             .select(*[F.col(c).alias(f"_hot_{c}") for c in [*keys, "_slice"]], F.lit(True).alias("_hot"))
         )
-        same: Column = F.lit(True)
-        for c in [*keys, "_slice"]:
-            same = same & F.col(c).eqNullSafe(F.col(f"_hot_{c}"))
-        finer = F.floor(F.unix_micros(F.col(time_col).cast("timestamp")) / F.lit(width)) * F.lit(width)
-        if width == MICROSECOND:
-            finer = F.unix_micros(F.col(time_col).cast("timestamp"))
+        same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_hot_{c}")) for c in [*keys, "_slice"]])
+        start = micros - F.pmod(micros, F.lit(width))
         cut = (
             cut.join(F.broadcast(hot), same, "left")
-            .withColumn("_slice", F.when(F.col("_hot"), finer).otherwise(F.col("_slice")))
+            .withColumn("_slice", F.when(F.col("_hot"), start).otherwise(F.col("_slice")))
             .select(*df.columns, "_slice")
         )
     return cut

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from railpulse.functions import flags
 from railpulse.functions.numbers import percent
-from railpulse.operators.tallies import is_rolled_up, outcome_cells, tally
+from railpulse.operators.tallies import is_rolled_up, tally, weighted
 
 
 def os_network(tx: DataFrame, devices: DataFrame, error_codes: DataFrame) -> DataFrame:
@@ -48,7 +48,7 @@ def type_amount_matrix(tx: DataFrame, contiguous: bool = False) -> DataFrame:
         bucket = F.col("amount_bucket")
     else:
         bucket = flags.amount_bucket(F.col("amount"), contiguous).alias("amount_bucket")
-    t = tally(outcome_cells(tx, "transaction_type", bucket), "transaction_type", "amount_bucket")
+    t = tally(weighted(tx), "transaction_type", bucket)
     return t.select(
         "transaction_type",
         "amount_bucket",

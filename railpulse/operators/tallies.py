@@ -1,9 +1,10 @@
-"""Two-step counting shared by the reports.
+"""Counting shared by the reports.
 
-The fact table is reduced once to one row per combination of report keys,
-failure code and status, with map-side partial sums. Dimensions are joined to
-that reduced frame, never to the attempts: the code of a success, which most
-attempts carry, is one row there and not a hot join key.
+A report that needs dimensions first reduces the fact table to one row per
+combination of its keys, failure code and status, with map-side partial sums.
+Dimensions are joined to that reduced frame, never to the attempts: the code of a
+success, which most attempts carry, is one row there and not a hot join key. A
+report without dimensions is one aggregate over the attempts.
 """
 
 from __future__ import annotations
@@ -35,11 +36,21 @@ def is_rolled_up(tx: DataFrame) -> bool:
     return "cell_txns" in tx.columns
 
 
+def weighted(tx: DataFrame) -> DataFrame:
+    """Attempts as cells of one attempt each; hourly cells as they are."""
+    if is_rolled_up(tx):
+        return tx
+    return tx.withColumns({"cell_txns": F.lit(1), "cell_value": F.col("amount")})
+
+
 def outcome_cells(tx: DataFrame, *keys: Column | str) -> DataFrame:
     """Attempts and value per key combination, failure code and status, from the
-    attempts or from their hourly cells."""
-    n, value = (F.sum("cell_txns"), F.sum("cell_value")) if is_rolled_up(tx) else (F.count(F.lit(1)), F.sum("amount"))
-    return tx.groupBy(*keys, "failure_code", "final_status").agg(n.alias("cell_txns"), value.alias("cell_value"))
+    attempts or from their hourly cells. What dimensions are then joined to."""
+    return (
+        weighted(tx)
+        .groupBy(*keys, "failure_code", "final_status")
+        .agg(F.sum("cell_txns").alias("cell_txns"), F.sum("cell_value").alias("cell_value"))
+    )
 
 
 def with_codes(cells: DataFrame, error_codes: DataFrame, how: str = "left") -> DataFrame:
@@ -78,6 +89,6 @@ def code_tally() -> list[Column]:
 
 
 def tally(cells: DataFrame, *keys: Column | str, codes: bool = False) -> DataFrame:
-    """Cells summed up per key; ``codes`` when the cells carry error codes."""
+    """Cells of any kind summed up per key; ``codes`` when they carry error codes."""
     columns = base_tally() + (code_tally() if codes else [])
     return cells.groupBy(*keys).agg(*columns)

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from railpulse import dimensions as D
 from railpulse.functions import flags
 from railpulse.functions.numbers import percent, ratio, rounded
-from railpulse.operators.tallies import outcome_cells, tally
+from railpulse.operators.tallies import tally, weighted
 
 
 def _hour_tally(tx: DataFrame) -> DataFrame:
-    return tally(outcome_cells(tx, F.hour("timestamp").alias("hour_of_day")), "hour_of_day")
+    return tally(weighted(tx), F.hour("timestamp").alias("hour_of_day"))
 
 
 def hourly_profile(tx: DataFrame) -> DataFrame:
@@ -52,7 +52,7 @@ def hourly_chart(tx: DataFrame) -> DataFrame:
 def peak_summary(tx: DataFrame) -> DataFrame:
     """The evening peak against the rest of the day."""
     period = F.when(flags.in_peak(F.hour("timestamp")), D.PEAK_LABEL).otherwise(D.OFF_PEAK_LABEL)
-    t = tally(outcome_cells(tx, period.alias("period_type")), "period_type")
+    t = tally(weighted(tx), period.alias("period_type"))
     total = F.col("total")
     return t.select(
         "period_type",
@@ -84,7 +84,7 @@ def peak_multiplier(tx: DataFrame) -> DataFrame:
 
 def weekday_profile(tx: DataFrame) -> DataFrame:
     """Counts and rates per day of week, Monday being 0."""
-    t = tally(outcome_cells(tx, F.weekday("timestamp").alias("day_of_week")), "day_of_week")
+    t = tally(weighted(tx), F.weekday("timestamp").alias("day_of_week"))
     total = F.col("total")
     return t.select(
         "day_of_week",
@@ -102,7 +102,7 @@ def rolling_failure_rate(tx: DataFrame, hours: int = 3) -> DataFrame:
     window sees one row per hour of the covered period, not the attempts.
     """
     hour = F.date_trunc("HOUR", "timestamp").cast("timestamp_ntz")
-    hourly = tally(outcome_cells(tx, hour.alias("hour_start")), "hour_start").select(
+    hourly = tally(weighted(tx), hour.alias("hour_start")).select(
         "hour_start", F.col("total").alias("n"), F.col("failed").alias("f")
     )
     # Clock hours as numbers make the range frame a plain numeric one.

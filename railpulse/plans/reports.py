@@ -16,6 +16,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 
 from railpulse import dimensions as D
+from railpulse.functions import flags
 from railpulse.operators import banks, cleaning, failures, funnel, kpis, quality, retries, segments, timeprofile, users
 from railpulse.operators.tallies import hourly_cells
 from railpulse.session import builder, work_folder
@@ -99,7 +100,8 @@ def write_reports(spark: SparkSession, clean: str, out: str) -> list[str]:
         attempts,
         _stored(spark, hourly_cells(attempts), shared, "hourly_cells"),
         _stored(spark, users.user_totals(attempts), shared, "user_totals"),
-        _stored(spark, retries.attempt_chain(attempts), shared, "attempt_chain"),
+        # Retry reports look at failures only, a small part of the chain.
+        _stored(spark, retries.attempt_chain(attempts).filter(flags.failed()), shared, "failed_attempts"),
         {name: t[name] for name in ("error_codes", "banks", "users", "devices")},
         t["stage_events"],
         D.stage_names(spark),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from railpulse import schemas as S
+from railpulse.operators.cleaning import clean_view
 
 RAW_SCHEMAS = {
     **S.STATIC_TABLES,
@@ -101,8 +102,11 @@ def publish_dims(spark: SparkSession, raw_folder: str, out_folder: str) -> dict[
 
 def register_views(tables: dict[str, DataFrame]) -> None:
     """Make tables usable from SQL under their names; the cleaned attempts are
-    known as ``clean_transactions`` too."""
+    known as ``clean_transactions`` too, and raw attempts also give the view
+    ``clean_transactions_view``."""
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
     if "transactions" in tables:
         tables["transactions"].createOrReplaceTempView("clean_transactions")
+    if "raw_transactions" in tables:
+        clean_view(tables["raw_transactions"]).createOrReplaceTempView("clean_transactions_view")

@@ -161,7 +161,8 @@ def test_files_end_to_end(spark, tmp_path):
     with open(os.path.join(summary, part), encoding="utf-8") as f:
         assert json.load(f)["duplicate_transactions_removed"] == 1
 
-    tables.register_views(read)
+    tables.register_views({**read, "raw_transactions": raw["transactions"]})
+    assert spark.sql("select payer_bank_id from clean_transactions_view").count() == 1
     assert spark.sql("select count(*) from clean_transactions").first()[0] == 1
 
 

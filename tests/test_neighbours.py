@@ -56,7 +56,7 @@ def test_hot_key_is_spread(spark):
     """No group the window sees is as large as the hot key."""
     from railpulse.operators.neighbours import _cut_hot_groups
 
-    cut = _cut_hot_groups(attempts(spark), ["user_id"], "timestamp", 20)
+    cut = _cut_hot_groups(attempts(spark), ["user_id"], "timestamp", "transaction_id", 20)
     largest = cut.groupBy("user_id", "_slice").count().agg(F.max("count")).first()[0]
     assert largest <= 25
 
