@@ -1,4 +1,8 @@
-"""Rounding and ratios on columns."""
+"""Rounding and ratios.
+
+Arguments are SQL expressions over columns, mostly a column name. One expression
+text is one call into the JVM, where a tree of column calls would be twenty.
+"""
 
 from __future__ import annotations
 
@@ -6,31 +10,41 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def rounded(value: Column, digits: int = 2) -> Column:
+def _round_sql(value: str, digits: int) -> str:
+    scale = f"{10.0**digits}D"
+    return f"(sign({value}) * floor(abs({value}) * {scale} + 0.5D) / {scale} + 0D)"
+
+
+def _ratio_sql(part: str, whole: str) -> str:
+    return f"(cast({part} as double) / nullif(cast({whole} as double), 0D))"
+
+
+def _percent_sql(part: str, whole: str) -> str:
+    return f"(100D * cast({part} as double) / nullif(cast({whole} as double), 0D))"
+
+
+def rounded(value: str, digits: int = 2) -> Column:
     """Round half away from zero in double arithmetic.
 
     ``F.round`` rounds the decimal rendering (1.005 gives 1.01). Published rates
     follow binary arithmetic (1.005 lies below the half and gives 1.0).
     """
-    scale = F.lit(10.0**digits)
-    value = value.cast("double")
-    size = F.floor(F.abs(value) * scale + F.lit(0.5)).cast("double") / scale
-    return F.when(value < 0, F.lit(0.0) - size).otherwise(size)
+    return F.expr(_round_sql(f"cast({value} as double)", digits))
 
 
-def ratio(part: Column, whole: Column) -> Column:
-    """part / whole as double; NULL when the whole is zero."""
-    return part.cast("double") / F.nullif(whole.cast("double"), F.lit(0.0))
+def rounded_ratio(part: str, whole: str, digits: int = 2) -> Column:
+    """part / whole, rounded; NULL when the whole is zero."""
+    return F.expr(_round_sql(_ratio_sql(part, whole), digits))
 
 
-def percent(part: Column, whole: Column, digits: int = 2) -> Column:
-    return rounded(exact_percent(part, whole), digits)
+def percent(part: str, whole: str, digits: int = 2) -> Column:
+    return F.expr(_round_sql(_percent_sql(part, whole), digits))
 
 
-def exact_percent(part: Column, whole: Column) -> Column:
-    return F.lit(100.0) * part.cast("double") / F.nullif(whole.cast("double"), F.lit(0.0))
+def exact_percent(part: str, whole: str) -> Column:
+    return F.expr(_percent_sql(part, whole))
 
 
-def money(value: Column) -> Column:
+def money(value: str) -> Column:
     """A decimal sum as a double with two digits."""
     return rounded(value, 2)

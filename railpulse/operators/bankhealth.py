@@ -37,13 +37,13 @@ def rolling_bank_health(
     t = rows.groupBy(F.window("event_time", window, slide).alias("w"), "payer_bank_id").agg(
         F.sum("n").alias("txns"), F.sum("good").alias("ok")
     )
-    psr = exact_percent(F.col("ok"), F.col("txns"))
+    psr = exact_percent("ok", "txns")
     return t.select(
         F.col("w.start").cast("timestamp_ntz").alias("window_start"),
         F.col("w.end").cast("timestamp_ntz").alias("window_end"),
         "payer_bank_id",
         "txns",
         F.col("ok").alias("successes"),
-        percent(F.col("ok"), F.col("txns")).alias("rolling_psr"),
+        percent("ok", "txns").alias("rolling_psr"),
         (psr < F.lit(alert_below)).alias("alert"),
     )

@@ -37,10 +37,10 @@ def payer_bank_ranking(
         total.alias("total_volume"),
         F.col("success").alias("success_volume"),
         F.col("failed").alias("failure_volume"),
-        percent(F.col("success"), total).alias("bank_psr"),
-        percent(F.col("td_wide"), total).alias("technical_decline_rate"),
-        percent(F.col("bd_wide"), total).alias("business_decline_rate"),
-        F.rank().over(Window.orderBy(exact_percent(F.col("success"), total))).alias("reliability_rank_asc"),
+        percent("success", "total").alias("bank_psr"),
+        percent("td_wide", "total").alias("technical_decline_rate"),
+        percent("bd_wide", "total").alias("business_decline_rate"),
+        F.rank().over(Window.orderBy(exact_percent("success", "total"))).alias("reliability_rank_asc"),
     ).orderBy("bank_psr", "payer_bank_name")
 
 
@@ -49,8 +49,8 @@ def bank_psr_td(tx: DataFrame, banks: DataFrame, error_codes: DataFrame) -> Data
     t = tally(_payer_cells(tx, banks, error_codes), "bank_name", codes=True)
     return t.select(
         "bank_name",
-        percent(F.col("success"), F.col("total")).alias("psr"),
-        percent(F.col("td_wide"), F.col("total")).alias("td_rate"),
+        percent("success", "total").alias("psr"),
+        percent("td_wide", "total").alias("td_rate"),
     ).orderBy("psr", "bank_name")
 
 
@@ -73,8 +73,8 @@ def bank_pair_matrix(tx: DataFrame, banks: DataFrame, min_volume: int = 200, k:
             "payee_bank",
             F.col("total").alias("pair_volume"),
             F.col("failed").alias("pair_failures"),
-            percent(F.col("failed"), F.col("total")).alias("pair_failure_rate"),
-            money(F.col("failed_value")).alias("pair_value_at_risk"),
+            percent("failed", "total").alias("pair_failure_rate"),
+            money("failed_value").alias("pair_value_at_risk"),
         )
     )
     return rows.orderBy(F.desc("pair_failure_rate"), "payer_bank", "payee_bank").limit(k)
@@ -86,7 +86,7 @@ def bank_pair_pivot(tx: DataFrame, banks: DataFrame, payee_names: list[str] = D.
     The pivot column is settled by the given names, so no extra job looks for
     them, and it turns one row per pair.
     """
-    rate = percent(F.sum("failed"), F.sum("total"), 1)
+    rate = percent("sum(failed)", "sum(total)", 1)
     return (
         _pair_tally(tx, banks)
         .groupBy("payer_bank")
@@ -105,8 +105,8 @@ def bank_type_peak(tx: DataFrame, banks: DataFrame, error_codes: DataFrame) -> D
         "bank_type",
         "is_peak",
         F.col("total").alias("total_volume"),
-        percent(F.col("success"), F.col("total")).alias("psr_percentage"),
-        percent(F.col("td_wide"), F.col("total")).alias("technical_decline_rate"),
+        percent("success", "total").alias("psr_percentage"),
+        percent("td_wide", "total").alias("technical_decline_rate"),
     )
 
 
@@ -130,9 +130,8 @@ def decline_by_bank_role(tx: DataFrame, banks: DataFrame, error_codes: DataFrame
         F.sum("td").alias("technical_declines"),
         F.sum("bd").alias("business_declines"),
     )
-    role = Window.partitionBy("bank_role")
     return t.select(
         "*",
-        percent(F.col("technical_declines"), F.col("total_volume")).alias("technical_decline_rate"),
-        percent(F.col("technical_declines"), F.sum("technical_declines").over(role)).alias("td_share_of_role"),
+        percent("technical_declines", "total_volume").alias("technical_decline_rate"),
+        percent("technical_declines", "sum(technical_declines) over (partition by bank_role)").alias("td_share_of_role"),
     )

@@ -48,7 +48,7 @@ def duplicate_payment_rate(
         flags.count_where(gap <= F.lit(int(window_s * 1_000_000))).alias("duplicate_payments"),
     )
     return t.withColumn(
-        "duplicate_payment_rate", percent(F.col("duplicate_payments"), F.col("completed_payments"))
+        "duplicate_payment_rate", percent("duplicate_payments", "completed_payments")
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from railpulse.functions import flags
-from railpulse.functions.numbers import percent, ratio, rounded
+from railpulse.functions.numbers import percent, rounded
 
 CONTROL, TREATMENT = "control", "treatment"
 SALT = "smart-failure-v1"
@@ -55,19 +55,22 @@ def experiment_readout(tx: DataFrame, salt: str = SALT, treated_pct: int = 50) -
         of(TREATMENT, "n").alias("treatment_txns"),
         of(TREATMENT, "ok").alias("treatment_successes"),
     )
-    n_c, n_t = F.col("control_txns").cast("double"), F.col("treatment_txns").cast("double")
-    p_c = ratio(F.col("control_successes"), n_c)
-    p_t = ratio(F.col("treatment_successes"), n_t)
-    pooled = ratio(F.col("control_successes") + F.col("treatment_successes"), n_c + n_t)
-    spread = F.sqrt(
-        pooled
-        * (F.lit(1.0) - pooled)
-        * (F.lit(1.0) / F.nullif(n_c, F.lit(0.0)) + F.lit(1.0) / F.nullif(n_t, F.lit(0.0)))
-    )
-    return row.select(
+    shares = row.selectExpr(
         "*",
-        percent(F.col("control_successes"), n_c).alias("control_psr"),
-        percent(F.col("treatment_successes"), n_t).alias("treatment_psr"),
-        rounded(F.lit(100.0) * (p_t - p_c), 4).alias("lift_points"),
-        rounded((p_t - p_c) / F.nullif(spread, F.lit(0.0)), 4).alias("z_value"),
-    ).withColumn("significant_at_5pct", F.abs(F.col("z_value")) > F.lit(1.96))
+        "control_successes / nullif(cast(control_txns as double), 0D) as p_c",
+        "treatment_successes / nullif(cast(treatment_txns as double), 0D) as p_t",
+        "(control_successes + treatment_successes) / nullif(cast(control_txns + treatment_txns as double), 0D) as p",
+    ).withColumn(
+        "spread",
+        F.expr(
+            "sqrt(p * (1D - p) * (1D / nullif(cast(control_txns as double), 0D)"
+            " + 1D / nullif(cast(treatment_txns as double), 0D)))"
+        ),
+    )
+    return shares.select(
+        *row.columns,
+        percent("control_successes", "control_txns").alias("control_psr"),
+        percent("treatment_successes", "treatment_txns").alias("treatment_psr"),
+        rounded("100D * (p_t - p_c)", 4).alias("lift_points"),
+        rounded("(p_t - p_c) / nullif(spread, 0D)", 4).alias("z_value"),
+    ).withColumn("significant_at_5pct", F.abs("z_value") > F.lit(1.96))

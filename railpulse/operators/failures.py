@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from railpulse.functions import flags
-from railpulse.functions.numbers import percent, ratio, rounded
+from railpulse.functions.numbers import percent, rounded_ratio
 from railpulse.operators.tallies import outcome_cells, with_codes
 
 
@@ -48,9 +48,9 @@ def failure_breakdown(tx: DataFrame, error_codes: DataFrame) -> DataFrame:
             "failure_code",
             "error_description",
             "failure_count",
-            percent(F.col("failure_count"), F.col("all_failures")).alias("pct_contribution_to_failures"),
+            percent("failure_count", "all_failures").alias("pct_contribution_to_failures"),
             F.col("failed_value").cast("double").alias("total_failed_value_inr"),
-            rounded(ratio(F.col("failed_value"), F.col("failure_count"))).alias("avg_failed_amount_inr"),
+            rounded_ratio("failed_value", "failure_count").alias("avg_failed_amount_inr"),
             F.col("failure_rank").cast("int"),
         )
         .orderBy(F.desc("failure_count"), "failure_code")

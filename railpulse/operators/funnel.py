@@ -51,13 +51,14 @@ def funnel(stages: DataFrame, tx: DataFrame, stage_names: DataFrame, unique_ids:
     return (
         failures.join(_entering(stages), F.col("stage_id") == F.col("entered_stage"))
         .join(stage_names, "stage_id")
+        .withColumn("initiated", initiated)
         .select(
             "stage_name",
             "stage_id",
             entering.alias("transactions_entering_stage"),
             "stage_failures",
-            percent(entering, initiated).alias("overall_conversion_pct"),
-            percent(F.col("stage_failures"), entering).alias("stage_dropoff_rate_pct"),
+            percent("entering", "initiated").alias("overall_conversion_pct"),
+            percent("stage_failures", "entering").alias("stage_dropoff_rate_pct"),
             (F.lag(entering).over(by_stage) - entering).alias("absolute_dropoff_volume"),
         )
         .orderBy("stage_id")
@@ -106,7 +107,6 @@ def stage_latency(stages: DataFrame, stage_names: DataFrame) -> DataFrame:
     rows = _stage_times(stages).select(F.inline(steps)).filter(F.col("micros").isNotNull())
     points = exact_percentiles(rows, ["reached_stage"], "micros", {"p50": 0.5, "p95": 0.95})
     second = F.lit(1e6)
-    mean = F.col("value_sum").cast("double") / F.col("row_count").cast("double") / second
     slowest_first = Window.orderBy(F.desc("mean_seconds"), "stage_id")  # one row per stage
     return (
         points.join(stage_names, F.col("reached_stage") == F.col("stage_id"))
@@ -114,7 +114,7 @@ def stage_latency(stages: DataFrame, stage_names: DataFrame) -> DataFrame:
             "stage_id",
             "stage_name",
             F.col("row_count").alias("steps"),
-            rounded(mean, 3).alias("mean_seconds"),
+            rounded("cast(value_sum as double) / row_count / 1e6D", 3).alias("mean_seconds"),
             (F.col("p50").cast("double") / second).alias("p50_seconds"),
             (F.col("p95").cast("double") / second).alias("p95_seconds"),
         )
@@ -132,9 +132,7 @@ def completion_time(stages: DataFrame) -> DataFrame:
     seconds = F.lit(1e6)
     return done.agg(
         F.count(F.lit(1)).alias("completed_transactions"),
-        rounded(F.sum("micros").cast("double") / F.nullif(F.count(F.lit(1)).cast("double"), F.lit(0.0)) / seconds, 3).alias(
-            "mean_seconds"
-        ),
+        rounded("cast(sum(micros) as double) / nullif(count(*), 0) / 1e6D", 3).alias("mean_seconds"),
         (F.min("micros").cast("double") / seconds).alias("min_seconds"),
         (F.max("micros").cast("double") / seconds).alias("max_seconds"),
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from railpulse import dimensions as D
 from railpulse.functions import flags
-from railpulse.functions.numbers import money, percent, ratio, rounded
+from railpulse.functions.numbers import money, percent, rounded, rounded_ratio
 from railpulse.operators.tallies import outcome_cells, tally, value_where, weighted, with_codes
 
 
@@ -22,16 +22,16 @@ def core_kpis(tx: DataFrame, error_codes: DataFrame) -> DataFrame:
         total.alias("total_transactions"),
         F.col("success").alias("successful_transactions"),
         F.col("failed").alias("failed_transactions"),
-        percent(F.col("success"), total).alias("psr_percentage"),
-        percent(F.col("failed"), total).alias("failure_rate_percentage"),
-        percent(F.col("td_wide"), total).alias("technical_decline_rate"),
-        percent(F.col("bd_wide"), total).alias("business_decline_rate"),
-        percent(F.col("timeout"), total).alias("timeout_decline_rate"),
-        money(F.col("value")).alias("total_value_inr"),
-        money(F.col("success_value")).alias("successful_value_inr"),
-        money(F.col("failed_value")).alias("value_at_risk_inr"),
-        percent(F.col("failed_value"), F.col("value")).alias("pct_value_at_risk"),
-        rounded(ratio(F.col("value"), total)).alias("avg_txn_amount_inr"),
+        percent("success", "total").alias("psr_percentage"),
+        percent("failed", "total").alias("failure_rate_percentage"),
+        percent("td_wide", "total").alias("technical_decline_rate"),
+        percent("bd_wide", "total").alias("business_decline_rate"),
+        percent("timeout", "total").alias("timeout_decline_rate"),
+        money("value").alias("total_value_inr"),
+        money("success_value").alias("successful_value_inr"),
+        money("failed_value").alias("value_at_risk_inr"),
+        percent("failed_value", "value").alias("pct_value_at_risk"),
+        rounded_ratio("value", "total").alias("avg_txn_amount_inr"),
     )
 
 
@@ -54,15 +54,15 @@ def recovery_scenarios(
     denominator included.
     """
     columns = [
-        rounded(F.col("failed_value")).alias("total_transaction_value_at_risk_inr"),
-        rounded(F.col("technical_value")).alias("recoverable_technical_value_inr"),
-        rounded(F.col("soft_value")).alias("soft_business_decline_value_inr"),
+        rounded("failed_value").alias("total_transaction_value_at_risk_inr"),
+        rounded("technical_value").alias("recoverable_technical_value_inr"),
+        rounded("soft_value").alias("soft_business_decline_value_inr"),
     ]
     for name, technical, soft in scenarios:
-        recovered = F.lit(technical) * F.col("technical_value") + F.lit(soft) * F.col("soft_value")
+        recovered = f"({technical}D * technical_value + {soft}D * soft_value)"
         columns += [
             rounded(recovered).alias(f"{name}_recovered_value_inr"),
-            percent(recovered, F.col("failed_value")).alias(f"{name}_recovery_pct"),
+            percent(recovered, "failed_value").alias(f"{name}_recovery_pct"),
         ]
     return _recoverable(tx, error_codes).select(*columns)
 
@@ -78,11 +78,11 @@ def recovery_by_scenario(
         ]
     )
     long = _recoverable(tx, error_codes).select("*", F.inline(rows))
-    recovered = F.col("technical") * F.col("technical_value") + F.col("soft") * F.col("soft_value")
+    recovered = "(technical * technical_value + soft * soft_value)"
     return long.select(
         "scenario",
         rounded(recovered).alias("recovered_value_inr"),
-        percent(recovered, F.col("failed_value")).alias("recovery_pct"),
+        percent(recovered, "failed_value").alias("recovery_pct"),
     )
 
 
@@ -117,5 +117,5 @@ def limit_breaches(kpis: DataFrame, limits: list[tuple[str, float]] = D.KPI_LIMI
     return (
         kpis.select(F.inline(pairs))
         .filter(F.col("observed") > F.col("upper_limit"))
-        .select("metric", "observed", "upper_limit", rounded(F.col("observed") - F.col("upper_limit")).alias("excess"))
+        .select("metric", "observed", "upper_limit", rounded("observed - upper_limit").alias("excess"))
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from railpulse import dimensions as D
 from railpulse.functions import flags
-from railpulse.functions.numbers import exact_percent, percent, ratio, rounded
+from railpulse.functions.numbers import exact_percent, percent, rounded
 from railpulse.operators.neighbours import HOT_ROWS, with_next
 
 MICROS = 1_000_000
@@ -78,7 +78,7 @@ def retry_policy(
     )
     t = known.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("retried", "ok", "bad", "gap")])
     transient = F.col("error_category").isin(D.TECHNICAL, D.TIMEOUT)
-    often_works = exact_percent(F.col("ok"), F.col("retried")) >= F.lit(float(min_rate))
+    often_works = exact_percent("ok", "retried") >= F.lit(float(min_rate))
     policy = (
         F.when(transient & often_works, D.AUTO_RETRY)
         .when(F.col("error_code").isin(D.NO_RETRY_CODES), D.NO_RETRY)
@@ -89,8 +89,8 @@ def retry_policy(
         F.col("retried").alias("total_retried_failures"),
         F.col("ok").alias("successful_retries"),
         F.col("bad").alias("failed_retries"),
-        percent(F.col("ok"), F.col("retried")).alias("retry_success_rate_pct"),
-        rounded(ratio(F.col("gap"), F.col("retried")) / F.lit(float(MICROS)), 1).alias("avg_time_to_retry_seconds"),
+        percent("ok", "retried").alias("retry_success_rate_pct"),
+        rounded(f"cast(gap as double) / retried / {MICROS}D", 1).alias("avg_time_to_retry_seconds"),
         policy.alias("product_retry_policy"),
     ).orderBy(F.desc("total_retried_failures"), "error_code")
 
@@ -108,7 +108,7 @@ def retry_by_category(
         .select(
             "error_category",
             "total_retries",
-            percent(F.col("ok"), F.col("total_retries")).alias("retry_success_rate"),
+            percent("ok", "total_retries").alias("retry_success_rate"),
         )
     )
 
@@ -129,8 +129,8 @@ def retry_frequency(
     )
     return t.select(
         "*",
-        percent(F.col("retried_failures"), F.col("failures")).alias("retry_frequency_pct"),
-        percent(F.col("quick_successes"), F.col("quick_retries")).alias("quick_success_pct"),
+        percent("retried_failures", "failures").alias("retry_frequency_pct"),
+        percent("quick_successes", "quick_retries").alias("quick_success_pct"),
     )
 
 
@@ -145,5 +145,5 @@ def attempts_after_timeout(
         flags.count_where(_within(window_s)).alias("followed_by_attempt"),
     )
     return t.withColumn(
-        "followed_pct", percent(F.col("followed_by_attempt"), F.col("timeout_failures"))
+        "followed_pct", percent("followed_by_attempt", "timeout_failures")
     )

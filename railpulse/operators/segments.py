@@ -33,9 +33,9 @@ def os_network(tx: DataFrame, devices: DataFrame, error_codes: DataFrame) -> Dat
         "operating_system",
         "network_type",
         F.col("n").alias("total_volume"),
-        percent(F.col("ok"), F.col("n")).alias("psr_percentage"),
-        percent(F.col("timeout"), F.col("n")).alias("network_timeout_rate"),
-        percent(F.col("td"), F.col("n")).alias("technical_decline_rate"),
+        percent("ok", "n").alias("psr_percentage"),
+        percent("timeout", "n").alias("network_timeout_rate"),
+        percent("td", "n").alias("technical_decline_rate"),
     ).orderBy("operating_system", F.desc("total_volume"), "network_type")
 
 
@@ -54,6 +54,6 @@ def type_amount_matrix(tx: DataFrame, contiguous: bool = False) -> DataFrame:
         "amount_bucket",
         F.col("total").alias("transaction_volume"),
         F.col("success").alias("successful_volume"),
-        percent(F.col("success"), F.col("total")).alias("psr_percentage"),
+        percent("success", "total").alias("psr_percentage"),
         F.col("failed_value").cast("double").alias("value_at_risk_inr"),
     ).orderBy("transaction_type", "amount_bucket")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from railpulse import dimensions as D
 from railpulse.functions import flags
-from railpulse.functions.numbers import percent, ratio, rounded
+from railpulse.functions.numbers import percent, rounded, rounded_ratio
 from railpulse.operators.tallies import tally, weighted
 
 
@@ -25,9 +25,9 @@ def hourly_profile(tx: DataFrame) -> DataFrame:
             total.alias("total_txns"),
             F.col("success").alias("success_txns"),
             F.col("failed").alias("failed_txns"),
-            percent(F.col("success"), total).alias("psr_percentage"),
-            percent(F.col("failed"), total).alias("failure_rate_percentage"),
-            percent(F.col("td_narrow"), total).alias("td_rate_percentage"),
+            percent("success", "total").alias("psr_percentage"),
+            percent("failed", "total").alias("failure_rate_percentage"),
+            percent("td_narrow", "total").alias("td_rate_percentage"),
             flags.hour_window(F.col("hour_of_day")).alias("time_window_type"),
         )
         .orderBy("hour_of_day")
@@ -42,8 +42,8 @@ def hourly_chart(tx: DataFrame) -> DataFrame:
         .select(
             "hour_of_day",
             total.alias("total_txns"),
-            percent(F.col("success"), total).alias("psr_pct"),
-            percent(F.col("td_narrow"), total).alias("td_rate_pct"),
+            percent("success", "total").alias("psr_pct"),
+            percent("td_narrow", "total").alias("td_rate_pct"),
         )
         .orderBy("hour_of_day")
     )
@@ -57,10 +57,10 @@ def peak_summary(tx: DataFrame) -> DataFrame:
     return t.select(
         "period_type",
         total.alias("total_volume"),
-        percent(F.col("success"), total).alias("psr_percentage"),
-        percent(F.col("td_narrow"), total).alias("td_rate_percentage"),
-        percent(F.col("bd_narrow"), total).alias("bd_rate_percentage"),
-        rounded(ratio(F.col("value"), total)).alias("avg_txn_amount"),
+        percent("success", "total").alias("psr_percentage"),
+        percent("td_narrow", "total").alias("td_rate_percentage"),
+        percent("bd_narrow", "total").alias("bd_rate_percentage"),
+        rounded_ratio("value", "total").alias("avg_txn_amount"),
     )
 
 
@@ -76,9 +76,9 @@ def peak_multiplier(tx: DataFrame) -> DataFrame:
         F.avg(F.when(~peak, F.col("n"))).alias("off_peak_avg"),
     )
     return sides.select(
-        rounded(F.col("peak_avg")).alias("avg_peak_hour_volume"),
-        rounded(F.col("off_peak_avg")).alias("avg_off_peak_hour_volume"),
-        rounded(ratio(F.col("peak_avg"), F.col("off_peak_avg"))).alias("peak_multiplier"),
+        rounded("peak_avg").alias("avg_peak_hour_volume"),
+        rounded("off_peak_avg").alias("avg_off_peak_hour_volume"),
+        rounded_ratio("peak_avg", "off_peak_avg").alias("peak_multiplier"),
     )
 
 
@@ -90,8 +90,8 @@ def weekday_profile(tx: DataFrame) -> DataFrame:
         "day_of_week",
         total.alias("total_txns"),
         F.col("failed").alias("failed_txns"),
-        percent(F.col("success"), total).alias("psr_percentage"),
-        percent(F.col("td_narrow"), total).alias("td_rate_percentage"),
+        percent("success", "total").alias("psr_percentage"),
+        percent("td_narrow", "total").alias("td_rate_percentage"),
     ).orderBy("day_of_week")
 
 
@@ -117,6 +117,6 @@ def rolling_failure_rate(tx: DataFrame, hours: int = 3) -> DataFrame:
             F.sum("n").over(trailing).alias("rolling_txns"),
             F.sum("f").over(trailing).alias("rolling_failures"),
         )
-        .withColumn("rolling_failure_rate", percent(F.col("rolling_failures"), F.col("rolling_txns")))
+        .withColumn("rolling_failure_rate", percent("rolling_failures", "rolling_txns"))
         .orderBy("hour_start")
     )

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from railpulse.functions import flags
-from railpulse.functions.numbers import money, percent, ratio, rounded
+from railpulse.functions.numbers import money, percent, rounded_ratio
 
 
 def user_totals(tx: DataFrame) -> DataFrame:
@@ -55,10 +55,10 @@ def segment_friction(users: DataFrame, tx: DataFrame, severe: int = 3) -> DataFr
         F.col("users").alias("total_users_in_segment"),
         F.col("txns").alias("segment_txn_volume"),
         F.col("bad").alias("segment_failed_volume"),
-        percent(F.col("ok"), F.col("txns")).alias("segment_psr"),
-        rounded(ratio(F.col("bad"), F.col("users"))).alias("avg_failures_per_user"),
+        percent("ok", "txns").alias("segment_psr"),
+        rounded_ratio("bad", "users").alias("avg_failures_per_user"),
         F.col("severe").alias("users_with_3plus_failures"),
-        percent(F.col("severe"), F.col("users")).alias("pct_users_severely_impacted"),
+        percent("severe", "users").alias("pct_users_severely_impacted"),
     ).orderBy(F.desc("segment_txn_volume"), "user_segment")
 
 
@@ -66,7 +66,7 @@ def severe_impact(users: DataFrame, tx: DataFrame, severe: int = 3) -> DataFrame
     """Share of active users with at least ``severe`` failures, per segment."""
     t = _segments(users, tx, "user_segment", severe)
     return t.select(
-        "user_segment", percent(F.col("severe"), F.col("users")).alias("pct_severely_impacted")
+        "user_segment", percent("severe", "users").alias("pct_severely_impacted")
     ).orderBy(F.desc("pct_severely_impacted"), "user_segment")
 
 
@@ -78,8 +78,8 @@ def age_group_friction(users: DataFrame, tx: DataFrame, severe: int = 3) -> Data
         F.col("users").alias("active_users"),
         F.col("txns").alias("txn_volume"),
         F.col("bad").alias("failed_volume"),
-        percent(F.col("ok"), F.col("txns")).alias("psr_percentage"),
-        percent(F.col("severe"), F.col("users")).alias("pct_severely_impacted"),
+        percent("ok", "txns").alias("psr_percentage"),
+        percent("severe", "users").alias("pct_severely_impacted"),
     )
 
 
@@ -92,8 +92,8 @@ def tenure_friction(users: DataFrame, tx: DataFrame, severe: int = 3, band_days:
         F.col("users").alias("active_users"),
         F.col("txns").alias("txn_volume"),
         F.col("bad").alias("failed_volume"),
-        percent(F.col("ok"), F.col("txns")).alias("psr_percentage"),
-        percent(F.col("severe"), F.col("users")).alias("pct_severely_impacted"),
+        percent("ok", "txns").alias("psr_percentage"),
+        percent("severe", "users").alias("pct_severely_impacted"),
     )
 
 
@@ -115,8 +115,8 @@ def impacted_power_users(
             F.col("user_txns").alias("total_attempts"),
             F.col("bad").alias("failed_attempts"),
             F.col("td").alias("technical_declines"),
-            percent(F.col("ok"), F.col("user_txns")).alias("user_psr"),
-            money(F.col("failed_value")).alias("user_failed_value_inr"),
+            percent("ok", "user_txns").alias("user_psr"),
+            money("failed_value").alias("user_failed_value_inr"),
         )
         .orderBy(F.desc("failed_attempts"), "user_id")
         .limit(k)

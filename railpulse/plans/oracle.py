@@ -607,7 +607,7 @@ def _health() -> dict[str, str]:
             f"""select control_txns, control_successes, treatment_txns, treatment_successes,
                    {pct("control_successes", "control_txns")} as control_psr,
                    {pct("treatment_successes", "treatment_txns")} as treatment_psr,
-                   round(100.0::double * (pt - pc), 4) as lift_points, round((pt - pc) / spread, 4) as z_value,
+                   round(100.0::double * (pt - pc), 4) + 0.0::double as lift_points, round((pt - pc) / spread, 4) + 0.0::double as z_value,
                    abs(round((pt - pc) / spread, 4)) > 1.96 as significant_at_5pct
                 from (select *, sqrt(p * (1.0::double - p) * (1.0::double / cast(control_txns as double)
                                  + 1.0::double / cast(treatment_txns as double))) as spread

@@ -23,11 +23,14 @@ ADAPTIVE = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
+# Recording the Python call site of every column costs more than planning does.
+QUIET = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def builder(app_name: str = "railpulse") -> SparkSession.Builder:
     """A session builder carrying the required settings and nothing else."""
     b = SparkSession.builder.appName(app_name)
-    for key, value in {**REQUIRED, **ADAPTIVE}.items():
+    for key, value in {**REQUIRED, **ADAPTIVE, **QUIET}.items():
         b = b.config(key, value)
     return b
 

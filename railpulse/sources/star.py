@@ -10,63 +10,60 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from railpulse import dimensions as D
-from railpulse.schemas import MONEY
 
 AGE_GROUPS = ["18-24", "25-34", "35-44", "45-59", "60+"]
 NETWORKS = ["4G", "5G", "WiFi", "3G"]
 APPS = ["APP1", "APP2", "APP3", "APP4", "APP5"]
 
-EVENTS_SCHEMA = T.StructType(
-    [
-        T.StructField("event_id", T.LongType()),
-        T.StructField("ts", T.TimestampNTZType()),
-        T.StructField("user_id", T.LongType()),
-        T.StructField("event_type", T.StringType()),
-        T.StructField("value", T.DoubleType()),
-        T.StructField("props", T.StringType()),
-    ]
-)
+# Schemas of the test tables, so that no job is spent on reading them from files.
+SCHEMAS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+}
 
 
-def _pick(index: Column, values: list[str]) -> Column:
-    label = F.lit(values[-1])
-    for i, value in reversed(list(enumerate(values[:-1]))):
-        label = F.when(index == i, value).otherwise(label)
-    return label
+def _pick(index: str, values: list[str]) -> str:
+    arms = " ".join(f"WHEN {i} THEN '{value}'" for i, value in enumerate(values))
+    return f"CASE {index} {arms} END"
 
 
-def _bank_id(number: Column) -> Column:
-    return F.concat(F.lit("BNK"), F.lpad(number.cast("string"), 3, "0"))
+def _bank_id(number: str) -> str:
+    return f"concat('BNK', lpad(cast({number} as string), 3, '0'))"
 
 
-def _failure_code(is_failed: Column, number: Column) -> Column:
+def _failure_code(is_failed: str, number: str) -> str:
     """Code 0 is not among the known error codes, on purpose."""
     codes = ["ERR_UNMAPPED"] + [code for code, *_ in D.ERROR_CODES if code != "ERR_SUCCESS"]
-    return F.when(is_failed, _pick(number % F.lit(11), codes)).otherwise("ERR_SUCCESS")
+    return f"CASE WHEN {is_failed} THEN {_pick(f'{number} % 11', codes)} ELSE 'ERR_SUCCESS' END"
 
 
 def transactions_from(events: DataFrame) -> DataFrame:
     """Payment attempts from an events frame, batch or stream."""
-    k = F.get_json_object("props", "$.k").cast("int")
-    is_failed = F.col("event_type") == "error"
-    return events.select(
-        F.col("event_id").alias("transaction_id"),
+    is_failed = "event_type = 'error'"
+    return events.selectExpr("*", "cast(get_json_object(props, '$.k') as int) as k").selectExpr(
+        "event_id as transaction_id",
         "user_id",
-        _bank_id(F.lit(1) + k % 10).alias("payer_bank_id"),
-        _bank_id(F.lit(1) + F.floor(k / 10) % 4).alias("payee_bank_id"),
-        (F.col("value") * 40).cast(MONEY).alias("amount"),
-        F.col("ts").alias("timestamp"),
-        F.when(k % 20 < 9, "P2P").otherwise("P2M").alias("transaction_type"),
-        (F.col("event_id") % 200).alias("device_id"),
-        _pick(F.col("event_id") % 4, NETWORKS).alias("network_type"),
-        _pick(F.col("event_id") % 5, APPS).alias("payment_app"),
-        F.when(is_failed, D.FAILED).otherwise(D.SUCCESS).alias("final_status"),
-        _failure_code(is_failed, F.col("event_id")).alias("failure_code"),
+        f"{_bank_id('1 + k % 10')} as payer_bank_id",
+        f"{_bank_id('1 + (k div 10) % 4')} as payee_bank_id",
+        "cast(value * 40 as decimal(18,2)) as amount",
+        "ts as timestamp",
+        "CASE WHEN k % 20 < 9 THEN 'P2P' ELSE 'P2M' END as transaction_type",
+        "event_id % 200 as device_id",
+        f"{_pick('event_id % 4', NETWORKS)} as network_type",
+        f"{_pick('event_id % 5', APPS)} as payment_app",
+        f"CASE WHEN {is_failed} THEN 'FAILED' ELSE 'SUCCESS' END as final_status",
+        f"{_failure_code(is_failed, 'event_id')} as failure_code",
     )
 
 
@@ -78,7 +75,7 @@ class StarTables:
     folder: str
 
     def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(os.path.join(self.folder, f"{name}.parquet"))
+        return self.spark.read.schema(SCHEMAS[name]).parquet(os.path.join(self.folder, f"{name}.parquet"))
 
     def transactions(self) -> DataFrame:
         return transactions_from(self._read("events"))
@@ -87,7 +84,7 @@ class StarTables:
         # A stream source wants folders or a pattern. This pattern names the table
         # whether it is one file or a folder of files.
         path = os.path.join(self.folder, "events.parque[t]")
-        reader = self.spark.readStream.schema(EVENTS_SCHEMA)
+        reader = self.spark.readStream.schema(SCHEMAS["events"])
         if max_bytes_per_trigger is not None:
             reader = reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
         return transactions_from(reader.parquet(path))
@@ -95,78 +92,61 @@ class StarTables:
     def raw_transactions(self) -> DataFrame:
         """Attempts before cleaning: repeated ids, spelled-out banks, invalid and
         unreadable amounts, blank fields, and an ingest order."""
-        bank = F.col("l_suppkey") % 10
-        amount = F.col("l_extendedprice")
-        no_discount = F.col("l_discount") == 0
-        is_failed = F.col("l_tax") >= 0.07
-        return self._read("lineitem").select(
-            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("transaction_id"),
-            F.when(F.col("l_quantity") == 50, "")
-            .when(F.col("l_quantity") < 49, F.concat(F.lit("USR"), (F.col("l_orderkey") % 150).cast("string")))
-            .alias("user_id"),
-            F.when(bank == 0, "SBI")
-            .when(bank == 1, "hdfc bank")
-            .when(bank == 2, " ICICI_BANK ")
-            .when(bank == 3, "AXIS")
-            .otherwise(_bank_id(bank + 1))
-            .alias("payer_bank_id"),
-            F.when(F.col("l_partkey") % 97 != 0, _bank_id(F.lit(1) + F.col("l_partkey") % 10)).alias("payee_bank_id"),
-            F.when(no_discount & (F.col("l_tax") == 0), (-amount).cast("string"))
-            .when(no_discount & (F.col("l_tax") == 0.01), "n/a")
-            .otherwise(amount.cast("string"))
-            .alias("amount"),
-            F.col("l_shipdate").alias("timestamp"),
-            F.when(F.col("l_partkey") % 20 < 9, "P2P").otherwise("P2M").alias("transaction_type"),
-            F.concat(F.lit("DEV"), (F.col("l_partkey") % 200).cast("string")).alias("device_id"),
-            F.when(F.col("l_returnflag") == "A", "4G")
-            .when(F.col("l_returnflag") == "R", "5G")
-            .when(F.col("l_linestatus") == "O", "")
-            .alias("network_type"),
-            _pick(F.col("l_partkey") % 5, APPS).alias("payment_app"),
-            F.when(F.col("l_quantity") == 13, "")
-            .when(is_failed, D.FAILED)
-            .otherwise(D.SUCCESS)
-            .alias("final_status"),
-            _failure_code(is_failed, F.col("l_partkey")).alias("failure_code"),
+        is_failed = "l_tax >= 0.07D"
+        return self._read("lineitem").selectExpr(
+            "l_orderkey * 10 + l_linenumber as transaction_id",
+            """CASE WHEN l_quantity = 50 THEN ''
+                    WHEN l_quantity < 49 THEN concat('USR', cast(l_orderkey % 150 as string)) END as user_id""",
+            f"""CASE l_suppkey % 10 WHEN 0 THEN 'SBI' WHEN 1 THEN 'hdfc bank' WHEN 2 THEN ' ICICI_BANK '
+                    WHEN 3 THEN 'AXIS' ELSE {_bank_id("l_suppkey % 10 + 1")} END as payer_bank_id""",
+            f"CASE WHEN l_partkey % 97 <> 0 THEN {_bank_id('1 + l_partkey % 10')} END as payee_bank_id",
+            """CASE WHEN l_discount = 0 AND l_tax = 0 THEN cast(-l_extendedprice as string)
+                    WHEN l_discount = 0 AND l_tax = 0.01D THEN 'n/a'
+                    ELSE cast(l_extendedprice as string) END as amount""",
+            "l_shipdate as timestamp",
+            "CASE WHEN l_partkey % 20 < 9 THEN 'P2P' ELSE 'P2M' END as transaction_type",
+            "concat('DEV', cast(l_partkey % 200 as string)) as device_id",
+            """CASE WHEN l_returnflag = 'A' THEN '4G' WHEN l_returnflag = 'R' THEN '5G'
+                    WHEN l_linestatus = 'O' THEN '' END as network_type""",
+            f"{_pick('l_partkey % 5', APPS)} as payment_app",
+            f"""CASE WHEN l_quantity = 13 THEN '' WHEN {is_failed} THEN 'FAILED' ELSE 'SUCCESS' END
+                    as final_status""",
+            f"{_failure_code(is_failed, 'l_partkey')} as failure_code",
             # Any fixed order will do; this one differs from order of time.
-            (
-                F.col("l_partkey") * 100_000_000
-                + F.col("l_suppkey") * 100
-                + F.col("l_quantity").cast("long")
-            ).alias("ingest_seq"),
+            "l_partkey * 100000000 + l_suppkey * 100 + cast(l_quantity as bigint) as ingest_seq",
         )
 
     def stage_events(self) -> DataFrame:
-        return self._read("lineitem").select(
-            F.col("l_orderkey").alias("transaction_id"),
-            F.col("l_linenumber").alias("stage_id"),
-            F.col("l_shipdate").alias("event_timestamp"),
-            F.when(F.col("l_returnflag") == "R", D.FAILED).otherwise(D.SUCCESS).alias("stage_status"),
-            F.lit(None).cast("string").alias("error_code"),
+        return self._read("lineitem").selectExpr(
+            "l_orderkey as transaction_id",
+            "l_linenumber as stage_id",
+            "l_shipdate as event_timestamp",
+            "CASE WHEN l_returnflag = 'R' THEN 'FAILED' ELSE 'SUCCESS' END as stage_status",
+            "cast(null as string) as error_code",
         )
 
     def initiated(self) -> DataFrame:
         """The ids of all payments that have stages: one row per order."""
-        return self._read("orders").select(F.col("o_orderkey").alias("transaction_id"))
+        return self._read("orders").selectExpr("o_orderkey as transaction_id")
 
     def users(self) -> DataFrame:
         nation = self._read("nation")
-        joined = self._read("customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-        return joined.select(
-            F.col("c_custkey").alias("user_id"),
-            F.date_add(F.lit("2023-01-01").cast("date"), (F.col("c_custkey") * 37 % 1200).cast("int")).alias("signup_date"),
-            F.col("c_mktsegment").alias("user_segment"),
-            F.col("n_name").alias("state"),
-            _pick(F.col("c_custkey") % 5, AGE_GROUPS).alias("age_group"),
-            (F.lit(1335) - F.col("c_custkey") * 37 % 1200).cast("int").alias("tenure_days"),
+        joined = self._read("customer").join(nation, F.expr("c_nationkey = n_nationkey"))
+        return joined.selectExpr(
+            "c_custkey as user_id",
+            "date_add(date'2023-01-01', cast(c_custkey * 37 % 1200 as int)) as signup_date",
+            "c_mktsegment as user_segment",
+            "n_name as state",
+            f"{_pick('c_custkey % 5', AGE_GROUPS)} as age_group",
+            "cast(1335 - c_custkey * 37 % 1200 as int) as tenure_days",
         )
 
     def devices(self) -> DataFrame:
-        return self._read("part").select(
-            F.col("p_partkey").alias("device_id"),
-            F.col("p_type").alias("operating_system"),
-            F.col("p_size").cast("string").alias("os_version"),
-            F.col("p_brand").alias("device_category"),
+        return self._read("part").selectExpr(
+            "p_partkey as device_id",
+            "p_type as operating_system",
+            "cast(p_size as string) as os_version",
+            "p_brand as device_category",
         )
 
     def banks(self) -> DataFrame:

@@ -50,8 +50,8 @@ def after(seconds):
 
 def test_rounding_follows_binary_values(spark):
     got = spark.range(1).select(
-        rounded(F.lit(1.005)), rounded(F.lit(0.125)), rounded(F.lit(-0.125)), rounded(F.lit(2.5), 0),
-        percent(F.lit(1), F.lit(0)), percent(F.lit(1), F.lit(3), 1),
+        rounded("1.005D"), rounded("0.125D"), rounded("-0.125D"), rounded("2.5D", 0),
+        percent("1", "0"), percent("1", "3", 1),
     ).first()
     assert list(got) == [1.0, 0.13, -0.13, 3.0, None, 33.3]
 
