@@ -64,6 +64,9 @@ ALIAS_ADVICE = {
     "ICICI_BANK": "Map to BNK003 (ICICI Bank)",
 }
 UNKNOWN_ALIAS = "Unknown Bank Alias"
+DUPLICATES = "Duplicate Transactions"
+DUPLICATE_ADVICE = "De-duplicate by taking FIRST_VALUE by timestamp"
+AMOUNT_ADVICE = "Filter out amount <= 0"
 
 DEFAULT_NETWORK = "4G"
 

@@ -10,9 +10,6 @@ from railpulse.functions import flags
 from railpulse.functions.text import stripped
 from railpulse.schemas import MONEY
 
-DUPLICATE_ADVICE = "De-duplicate by taking FIRST_VALUE by timestamp"
-AMOUNT_ADVICE = "Filter out amount <= 0"
-
 
 def parsed_amount(column: str = "amount") -> Column:
     """The amount as money; NULL for text that is no finite number."""
@@ -29,9 +26,9 @@ def dq_duplicates(raw: DataFrame) -> DataFrame:
     """How many transaction ids occur more than once."""
     repeated = raw.groupBy("transaction_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
     return repeated.agg(F.count(F.lit(1)).alias("affected_records")).select(
-        F.lit("Duplicate Transactions").alias("anomaly_type"),
+        F.lit(D.DUPLICATES).alias("anomaly_type"),
         "affected_records",
-        F.lit(DUPLICATE_ADVICE).alias("recommended_action"),
+        F.lit(D.DUPLICATE_ADVICE).alias("recommended_action"),
     )
 
 
@@ -62,7 +59,7 @@ def dq_invalid_amounts(raw: DataFrame) -> DataFrame:
             F.min("amount").cast("double").alias("min_amount_found"),
             F.max("amount").cast("double").alias("max_amount_found"),
         )
-        .withColumn("cleaning_rule", F.lit(AMOUNT_ADVICE))
+        .withColumn("cleaning_rule", F.lit(D.AMOUNT_ADVICE))
     )
 
 
