@@ -17,7 +17,10 @@ def parsed_amount(column: str = "amount") -> Column:
 
 
 def valid_amount(column: str = "amount") -> Column:
-    """True for positive finite amounts, false for all else including NULL."""
+    """True for positive finite amounts, false for all else including NULL.
+
+    The sign is judged before rounding to money.
+    """
     positive = F.col(column).try_cast("double") > 0
     return F.coalesce(positive & parsed_amount(column).isNotNull(), F.lit(False))
 

@@ -396,7 +396,7 @@ def _stages() -> dict[str, str]:
             f"""select stage_name, stage_id, entering as transactions_entering_stage, lost as stage_failures,
                    {pct("entering", "(select count(distinct o_orderkey) from orders)")} as overall_conversion_pct,
                    {pct("lost", "entering")} as stage_dropoff_rate_pct,
-                   lag(entering) over (order by stage_id) - entering as absolute_dropoff_volume
+                   cast(lag(entering) over (order by stage_id) - entering as double) as absolute_dropoff_volume
                 from (select stage_id, count(distinct id) as entering, {n_if("bad")} as lost from step group by 1)
                 join stage using (stage_id)""",
         ),

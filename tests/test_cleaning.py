@@ -85,6 +85,14 @@ def test_dedup_limits_groups_before_the_shuffle(raw):
     assert plan.count("WindowGroupLimit") == 2
 
 
+def test_amounts_are_judged_before_rounding(spark):
+    texts = ["0.004", "0", "-0.01", "9999999999999999.99", "10000000000000000", "Infinity", "", "1,5", "+3"]
+    df = spark.createDataFrame([(t,) for t in texts], "amount string")
+    got = [tuple(r) for r in df.select(quality.valid_amount(), quality.parsed_amount()).collect()]
+    assert [valid for valid, _ in got] == [True, False, False, True, False, False, False, False, True]
+    assert got[0][1] == Decimal("0.00") and got[3][1] == Decimal("9999999999999999.99") and got[4][1] is None
+
+
 def test_earliest_by_time_wins(spark, raw):
     late, early = row("A", amount="1", ts=datetime(2026, 8, 2)), row("A", amount="2", ts=NOON)
     df = spark.createDataFrame([(*late, 0), (*early, 1)], raw.schema)
