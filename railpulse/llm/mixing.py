@@ -10,7 +10,7 @@ from railpulse.llm.common import stage
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 16
 MAX_REPEATS = 3
-SHARD_DOCS = 20_000
+SHARD_DOCS = 1_000
 SEED = "mix-1"
 
 
