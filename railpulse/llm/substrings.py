@@ -16,8 +16,8 @@ from railpulse.llm.common import SPACED, WordHash, covered, one_row, same_text,
 
 WINDOW = 20
 # Bytes of text in a pack, the unit that tasks read, and of packed text for each part of the index.
-PACK_BYTES = 6 << 20
-PART_BYTES = 12 << 20
+PACK_BYTES = 4 << 20
+PART_BYTES = 8 << 20
 LAST = np.iinfo(np.int64).max
 PACKS = "pack long, bytes long, ids array<long>, digests array<long>, sizes array<long>, texts binary"
 
