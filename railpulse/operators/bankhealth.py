@@ -11,6 +11,15 @@ from railpulse.functions.numbers import exact_percent, percent
 ALERT_BELOW = 88.0
 
 
+UNITS = {"second": 1, "minute": 60, "hour": 3_600, "day": 86_400}
+
+
+def _seconds(duration: str) -> int:
+    """Length of a duration such as '5 minutes'."""
+    number, unit = duration.split()
+    return int(number) * UNITS[unit.lower().rstrip("s")]
+
+
 def rolling_bank_health(
     tx: DataFrame,
     window: str = "5 minutes",
@@ -27,6 +36,8 @@ def rolling_bank_health(
     """
     rows = tx.select(F.col("timestamp").cast("timestamp").alias("event_time"), "payer_bank_id", "final_status")
     rows = rows.withColumns({"n": F.lit(1), "good": F.when(flags.succeeded(), 1).otherwise(0)})
+    if watermark is None and _seconds(window) % _seconds(slide):
+        raise ValueError(f"slide {slide!r} does not divide window {window!r}")
     if watermark is not None:
         rows = rows.withWatermark("event_time", watermark)
     else:

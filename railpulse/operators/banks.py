@@ -80,12 +80,15 @@ def bank_pair_matrix(tx: DataFrame, banks: DataFrame, min_volume: int = 200, k:
     return rows.orderBy(F.desc("pair_failure_rate"), "payer_bank", "payee_bank").limit(k)
 
 
-def bank_pair_pivot(tx: DataFrame, banks: DataFrame, payee_names: list[str] = D.BANK_NAMES) -> DataFrame:
+def bank_pair_pivot(tx: DataFrame, banks: DataFrame, payee_names: list[str] | None = None) -> DataFrame:
     """Failure rate with payers as rows and the named payees as columns.
 
-    The pivot column is settled by the given names, so no extra job looks for
-    them, and it turns one row per pair.
+    The columns are the given names or else those of the banks table, which is
+    small and read for them, so no job looks for names among the attempts. The
+    pivot turns one row per pair.
     """
+    if payee_names is None:
+        payee_names = sorted(r[0] for r in banks.select("bank_name").distinct().collect() if r[0] is not None)
     rate = percent("sum(failed)", "sum(total)", 1)
     return (
         _pair_tally(tx, banks)

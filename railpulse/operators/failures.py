@@ -27,10 +27,14 @@ def failure_breakdown(tx: DataFrame, error_codes: DataFrame) -> DataFrame:
             "failure_code",
             F.coalesce("error_description", F.lit("Unclassified Error")).alias("error_description"),
         )
-        .agg(F.sum("cell_txns").alias("failure_count"), F.sum("cell_value").alias("failed_value"))
-        # Always true. Both uses of the groups below thereby need both columns,
+        .agg(
+            F.sum("cell_txns").alias("failure_count"),
+            F.sum("cell_amounts").alias("failed_amounts"),
+            F.sum("cell_value").alias("failed_value"),
+        )
+        # Always true. Both uses of the groups below thereby need the same columns,
         # and the planner computes the groups once and reuses their exchange.
-        .filter((F.col("failure_count") > 0) | F.col("failed_value").isNotNull())
+        .filter((F.col("failure_count") > 0) | F.col("failed_value").isNotNull() | (F.col("failed_amounts") > 0))
     )
     # Ranks depend on the count alone. Distinct counts are few even when there
     # are many unknown codes: k of them need at least k*(k+1)/2 failures.
@@ -50,7 +54,7 @@ def failure_breakdown(tx: DataFrame, error_codes: DataFrame) -> DataFrame:
             "failure_count",
             percent("failure_count", "all_failures").alias("pct_contribution_to_failures"),
             F.col("failed_value").cast("double").alias("total_failed_value_inr"),
-            rounded_ratio("failed_value", "failure_count").alias("avg_failed_amount_inr"),
+            rounded_ratio("failed_value", "failed_amounts").alias("avg_failed_amount_inr"),
             F.col("failure_rank").cast("int"),
         )
         .orderBy(F.desc("failure_count"), "failure_code")

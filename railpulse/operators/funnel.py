@@ -13,23 +13,28 @@ from railpulse.operators.percentiles import exact_percentiles
 STAGE_IDS = [stage_id for stage_id, _ in D.STAGES]
 
 
-def _entering(stages: DataFrame) -> DataFrame:
-    """Distinct transactions per known stage.
+def _ids(stage_names: DataFrame) -> list[int]:
+    """Ids of the named stages, in order: a small table, at most one bit each below."""
+    return sorted(r[0] for r in stage_names.select("stage_id").distinct().collect() if r[0] is not None)
+
+
+def _entering(stages: DataFrame, ids: list[int]) -> DataFrame:
+    """Distinct transactions per named stage.
 
     A transaction's stages fit in the bits of one number, so the exact distinct
     count shuffles one small row per transaction instead of one per stage.
     """
-    known = stages.filter(F.col("stage_id").isin(STAGE_IDS))
-    bit = F.expr("shiftleft(1L, stage_id)")
+    known = stages.filter(F.col("stage_id").isin(ids))
+    bit = F.coalesce(*[F.when(F.col("stage_id") == i, F.lit(1 << place).cast("long")) for place, i in enumerate(ids)])
     visited = known.groupBy("transaction_id").agg(F.bit_or(bit).alias("visited")).filter(
         # COUNT(DISTINCT id) does not count a NULL id.
         F.col("transaction_id").isNotNull()
     )
     counts = visited.agg(
-        *[F.sum(F.shiftright("visited", i).bitwiseAND(F.lit(1))).alias(f"s{i}") for i in STAGE_IDS]
+        *[F.sum(F.shiftright("visited", i).bitwiseAND(F.lit(1))).alias(f"s{s}") for i, s in enumerate(ids)]
     )
     per_stage = F.array(
-        *[F.struct(F.lit(i).alias("entered_stage"), F.col(f"s{i}").alias("entering")) for i in STAGE_IDS]
+        *[F.struct(F.lit(i).alias("entered_stage"), F.col(f"s{i}").alias("entering")) for i in ids]
     )
     return counts.select(F.inline(per_stage))
 
@@ -49,7 +54,7 @@ def funnel(stages: DataFrame, tx: DataFrame, stage_names: DataFrame, unique_ids:
     entering = F.col("entering")
     by_stage = Window.orderBy("stage_id")  # at most one row per named stage
     return (
-        failures.join(_entering(stages), F.col("stage_id") == F.col("entered_stage"))
+        failures.join(_entering(stages, _ids(stage_names)), F.col("stage_id") == F.col("entered_stage"))
         .join(stage_names, "stage_id")
         .withColumn("initiated", initiated)
         .select(
@@ -68,7 +73,7 @@ def funnel(stages: DataFrame, tx: DataFrame, stage_names: DataFrame, unique_ids:
 def funnel_volume(stages: DataFrame, stage_names: DataFrame) -> DataFrame:
     """Distinct transactions per named stage that occurs."""
     return (
-        _entering(stages)
+        _entering(stages, _ids(stage_names))
         .filter(F.col("entering") > 0)
         .join(stage_names, F.col("entered_stage") == F.col("stage_id"))
         .orderBy("stage_id")
@@ -76,35 +81,32 @@ def funnel_volume(stages: DataFrame, stage_names: DataFrame) -> DataFrame:
     )
 
 
-def _stage_times(stages: DataFrame) -> DataFrame:
+def _stage_times(stages: DataFrame, ids: list[int]) -> DataFrame:
     """One row per transaction with the first time of each stage as a column.
 
     One shuffle of partial minima; no sort and no window, and a transaction with
     very many stage rows is reduced before the shuffle.
     """
     first_time = [
-        F.min(F.when(F.col("stage_id") == i, F.col("event_timestamp"))).alias(f"t{i}") for i in STAGE_IDS
+        F.min(F.when(F.col("stage_id") == i, F.col("event_timestamp"))).alias(f"t{i}") for i in ids
     ]
-    return stages.filter(F.col("stage_id").isin(STAGE_IDS)).groupBy("transaction_id").agg(*first_time)
+    return stages.filter(F.col("stage_id").isin(ids)).groupBy("transaction_id").agg(*first_time)
 
 
-def _latency(stage: int) -> Column:
+def _latency(stage: int, ids: list[int]) -> Column:
     """Microseconds since the nearest earlier stage that the transaction reached."""
-    earlier = [F.col(f"t{i}") for i in reversed(STAGE_IDS) if i < stage]
+    earlier = [F.col(f"t{i}") for i in reversed(ids) if i < stage]
     return flags.micros_between(F.coalesce(*earlier), F.col(f"t{stage}"))
 
 
 def stage_latency(stages: DataFrame, stage_names: DataFrame) -> DataFrame:
     """Seconds from the stage before, per stage: mean, exact median, exact 95th
     percentile, and rank by mean, the slowest stage first."""
+    ids = _ids(stage_names)
     steps = F.array(
-        *[
-            F.struct(F.lit(i).alias("reached_stage"), _latency(i).alias("micros"))
-            for i in STAGE_IDS
-            if i > min(STAGE_IDS)
-        ]
+        *[F.struct(F.lit(i).alias("reached_stage"), _latency(i, ids).alias("micros")) for i in ids if i > min(ids)]
     )
-    rows = _stage_times(stages).select(F.inline(steps)).filter(F.col("micros").isNotNull())
+    rows = _stage_times(stages, ids).select(F.inline(steps)).filter(F.col("micros").isNotNull())
     points = exact_percentiles(rows, ["reached_stage"], "micros", {"p50": 0.5, "p95": 0.95})
     second = F.lit(1e6)
     slowest_first = Window.orderBy(F.desc("mean_seconds"), "stage_id")  # one row per stage
@@ -122,17 +124,21 @@ def stage_latency(stages: DataFrame, stage_names: DataFrame) -> DataFrame:
     )
 
 
-def completion_time(stages: DataFrame) -> DataFrame:
-    """One row: transactions that reached the last stage, and their mean, shortest
-    and longest time from the first recorded stage to it, in seconds."""
-    last = f"t{max(STAGE_IDS)}"
-    start = F.least(*[F.col(f"t{i}") for i in STAGE_IDS])
-    micros = flags.micros_between(start, F.col(last))
-    done = _stage_times(stages).filter(F.col(last).isNotNull()).select(micros.alias("micros"))
+def completion_time(stages: DataFrame, stage_ids: list[int] = STAGE_IDS) -> DataFrame:
+    """One row: transactions with a successful last stage, and their mean, shortest
+    and longest time from the first recorded stage to its first success, in seconds."""
+    at_end = (F.col("stage_id") == max(stage_ids)) & (F.col("stage_status") == D.SUCCESS)
+    times = stages.filter(F.col("stage_id").isin(stage_ids)).groupBy("transaction_id").agg(
+        F.min("event_timestamp").alias("start"), F.min(F.when(at_end, F.col("event_timestamp"))).alias("done")
+    )
+    micros = flags.micros_between(F.col("start"), F.col("done"))
+    done = times.filter(F.col("done").isNotNull()).select(micros.alias("micros"))
     seconds = F.lit(1e6)
     return done.agg(
         F.count(F.lit(1)).alias("completed_transactions"),
-        rounded("cast(sum(micros) as double) / nullif(count(*), 0) / 1e6D", 3).alias("mean_seconds"),
+        rounded("cast(sum(cast(micros as decimal(28,0))) as double) / nullif(count(*), 0) / 1e6D", 3).alias(
+            "mean_seconds"
+        ),
         (F.min("micros").cast("double") / seconds).alias("min_seconds"),
         (F.max("micros").cast("double") / seconds).alias("max_seconds"),
     )

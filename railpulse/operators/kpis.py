@@ -31,7 +31,7 @@ def core_kpis(tx: DataFrame, error_codes: DataFrame) -> DataFrame:
         money("success_value").alias("successful_value_inr"),
         money("failed_value").alias("value_at_risk_inr"),
         percent("failed_value", "value").alias("pct_value_at_risk"),
-        rounded_ratio("value", "total").alias("avg_txn_amount_inr"),
+        rounded_ratio("value", "amounts").alias("avg_txn_amount_inr"),
     )
 
 

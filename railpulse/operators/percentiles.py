@@ -30,7 +30,7 @@ def exact_percentiles(
         .withColumn("_bin", F.floor(F.col(value) / F.lit(bin_width)))
     )
     bins = counts.groupBy(*keys, "_bin").agg(
-        F.sum("_n").alias("_n"), F.sum(F.col(value) * F.col("_n")).alias("_sum")
+        F.sum("_n").alias("_n"), F.sum(F.col(value).cast("decimal(20,0)") * F.col("_n").cast("decimal(18,0)")).alias("_sum")
     )
 
     group = Window.partitionBy(*keys)

@@ -52,15 +52,15 @@ def dq_bank_aliases(raw: DataFrame) -> DataFrame:
 
 
 def dq_invalid_amounts(raw: DataFrame) -> DataFrame:
-    """Count and range of the amounts that are zero or negative."""
-    amount = parsed_amount()
+    """Count and range of the finite amounts that are zero or negative, as given:
+    like :func:`valid_amount`, before any rounding to money."""
     return (
-        raw.select(amount.alias("amount"))
-        .filter(F.col("amount") <= 0)
+        raw.select(F.col("amount").try_cast("double").alias("amount"))
+        .filter((F.col("amount") <= 0) & (F.col("amount") > float("-inf")))
         .agg(
             F.count(F.lit(1)).alias("invalid_amount_records"),
-            F.min("amount").cast("double").alias("min_amount_found"),
-            F.max("amount").cast("double").alias("max_amount_found"),
+            F.min("amount").alias("min_amount_found"),
+            F.max("amount").alias("max_amount_found"),
         )
         .withColumn("cleaning_rule", F.lit(D.AMOUNT_ADVICE))
     )

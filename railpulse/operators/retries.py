@@ -59,7 +59,7 @@ def _per_code(attempts: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("retried"),
         flags.count_where(F.col("next_final_status") == D.SUCCESS).alias("ok"),
         flags.count_where(F.col("next_final_status") == D.FAILED).alias("bad"),
-        F.sum("gap_micros").alias("gap"),
+        F.sum(F.col("gap_micros").cast("decimal(28,0)")).alias("gap"),
     )
 
 

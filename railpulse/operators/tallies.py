@@ -29,7 +29,11 @@ def hourly_cells(tx: DataFrame) -> DataFrame:
         flags.amount_bucket(F.col("amount")).alias("amount_bucket"),
         "failure_code",
         "final_status",
-    ).agg(F.count(F.lit(1)).alias("cell_txns"), F.sum("amount").alias("cell_value"))
+    ).agg(
+        F.count(F.lit(1)).alias("cell_txns"),
+        F.count("amount").alias("cell_amounts"),
+        F.sum("amount").alias("cell_value"),
+    )
 
 
 def is_rolled_up(tx: DataFrame) -> bool:
@@ -40,7 +44,8 @@ def weighted(tx: DataFrame) -> DataFrame:
     """Attempts as cells of one attempt each; hourly cells as they are."""
     if is_rolled_up(tx):
         return tx
-    return tx.withColumns({"cell_txns": F.lit(1), "cell_value": F.col("amount")})
+    known = F.col("amount").isNotNull().cast("int")
+    return tx.withColumns({"cell_txns": F.lit(1), "cell_amounts": known, "cell_value": F.col("amount")})
 
 
 def outcome_cells(tx: DataFrame, *keys: Column | str) -> DataFrame:
@@ -49,7 +54,7 @@ def outcome_cells(tx: DataFrame, *keys: Column | str) -> DataFrame:
     return (
         weighted(tx)
         .groupBy(*keys, "failure_code", "final_status")
-        .agg(F.sum("cell_txns").alias("cell_txns"), F.sum("cell_value").alias("cell_value"))
+        .agg(*[F.sum(c).alias(c) for c in ("cell_txns", "cell_amounts", "cell_value")])
     )
 
 
@@ -73,6 +78,7 @@ def base_tally() -> list[Column]:
         txns_where(flags.failed()).alias("failed"),
         txns_where(flags.technical_by_code()).alias("td_narrow"),
         txns_where(flags.business_by_code()).alias("bd_narrow"),
+        F.sum("cell_amounts").alias("amounts"),
         F.sum("cell_value").alias("value"),
         value_where(flags.succeeded()).alias("success_value"),
         value_where(flags.failed()).alias("failed_value"),

@@ -60,7 +60,7 @@ def peak_summary(tx: DataFrame) -> DataFrame:
         percent("success", "total").alias("psr_percentage"),
         percent("td_narrow", "total").alias("td_rate_percentage"),
         percent("bd_narrow", "total").alias("bd_rate_percentage"),
-        rounded_ratio("value", "total").alias("avg_txn_amount"),
+        rounded_ratio("value", "amounts").alias("avg_txn_amount"),
     )
 
 

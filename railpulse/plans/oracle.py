@@ -109,7 +109,7 @@ NET = n_if("category = 'Timeout/Network'")
 TD, BD = n_if("code like 'ERR_TD%'"), n_if("code like 'ERR_BD%'")
 AT_RISK = "coalesce(sum(amount) filter (where bad), 0)"
 HOUR = "cast(extract(hour from ts) as integer)"
-MEAN = "round(cast(sum(amount) as double) / count(*), 2)"
+MEAN = "round(avg(amount), 2)"
 
 CLEAN_COLUMNS = """transaction_id, user_id, payer_bank_id, payee_bank_id, cast(amount as double) as amount,
     "timestamp", transaction_type, device_id, network_type, payment_app, final_status, failure_code"""
@@ -162,10 +162,10 @@ def _audit() -> dict[str, str]:
                from raw where not starts_with(payer_bank_id, 'BNK') group by 1""",
         ),
         "dq_invalid_amounts": _with(
-            "parsed",
-            """select count(*) as invalid_amount_records, cast(min(amount) as double) as min_amount_found,
-                      cast(max(amount) as double) as max_amount_found, 'Filter out amount <= 0' as cleaning_rule
-               from parsed where amount <= 0""",
+            "raw",
+            """select count(*) as invalid_amount_records, min(number) as min_amount_found,
+                      max(number) as max_amount_found, 'Filter out amount <= 0' as cleaning_rule
+               from (select try_cast(amount_text as double) as number from raw) where number <= 0 and isfinite(number)""",
         ),
         "dq_missing": _with("raw", f"select {blanks} from raw"),
         "dq_audit_summary": _with(
@@ -419,12 +419,13 @@ def _stages() -> dict[str, str]:
                join stage using (stage_id)""",
         ),
         "completion_time": _with(
-            "reach",
+            "step",
             """select count(*) as completed_transactions,
                       round(cast(sum(us) as double) / nullif(count(*), 0) / 1e6, 3) as mean_seconds,
                       min(us) / 1e6 as min_seconds, max(us) / 1e6 as max_seconds
-               from (select date_diff('microsecond', min(ts), max(ts) filter (where stage_id = 7)) as us
-                     from reach group by id having count(*) filter (where stage_id = 7) > 0)""",
+               from (select date_diff('microsecond', min(ts), min(ts) filter (where stage_id = 7 and not bad)) as us
+                     from step where stage_id between 1 and 7 group by id
+                     having count(*) filter (where stage_id = 7 and not bad) > 0)""",
         ),
     }
 

@@ -35,10 +35,15 @@ def builder(app_name: str = "railpulse") -> SparkSession.Builder:
     return b
 
 
-def local_session(cores: int | str = 8, app_name: str = "railpulse-local") -> SparkSession:
-    """Single-JVM session for tests and the benchmark."""
+def local_session(
+    cores: int | str = 8, app_name: str = "railpulse-local", settings: dict[str, str] | None = None
+) -> SparkSession:
+    """Single-JVM session for tests and the benchmark; ``settings`` hold from its start."""
+    b = builder(app_name)
+    for key, value in (settings or {}).items():
+        b = b.config(key, value)
     return (
-        builder(app_name)
+        b
         .master(f"local[{cores}]")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

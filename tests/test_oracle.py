@@ -19,15 +19,13 @@ def oracle():
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
+    without = {name for name in QUERIES if name not in ORACLES}
+    assert {name for name in without if not name.startswith("op") and name != "pipeline"} == set()
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, oracle, name):
-    df = QUERIES[name](spark, FOLDER)
-    if name in ORACLES:
-        assert differences(df, oracle, ORACLES[name]) == []
-    else:
-        assert df.count() >= 0
+    assert differences(QUERIES[name](spark, FOLDER), oracle, ORACLES[name]) == []
 
 
 def test_entry(spark):

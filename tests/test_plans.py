@@ -4,14 +4,14 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry_point
+from railpulse.plans.catalogue import all_queries
 from railpulse.operators import failures, quality
 from railpulse.sources.star import StarTables
 
 FOLDER = "/root/testdata/sf0.001"
 # Queries that write files or run a stream to get their rows.
 RUNS = {"publish_dims", "lock_stream", "lock_windows_stream", "bank_health_stream"}
-BATCH = sorted(set(entry_point.queries()) - RUNS)
+BATCH = sorted(set(all_queries()) - RUNS)
 
 
 def plan_of(df) -> str:
@@ -20,7 +20,7 @@ def plan_of(df) -> str:
 
 @pytest.mark.parametrize("name", BATCH)
 def test_no_python_and_no_pairs(spark, name):
-    plan = plan_of(entry_point.queries()[name](spark, FOLDER))
+    plan = plan_of(all_queries()[name](spark, FOLDER))
     for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "InPandas", "MapInArrow", "CollectLimit"):
         assert node not in plan
 
@@ -32,7 +32,7 @@ def test_filter_and_columns_reach_the_scan(spark):
 
 
 def test_top_k_needs_no_full_sort(spark):
-    plan = plan_of(entry_point.queries()["bank_pair_matrix"](spark, FOLDER))
+    plan = plan_of(all_queries()["bank_pair_matrix"](spark, FOLDER))
     assert "TakeOrderedAndProject" in plan
 
 
@@ -53,5 +53,5 @@ def test_audit_shuffles_valid_rows_once(spark):
 
 
 def test_retries_without_hot_users_are_one_window(spark):
-    plan = _final(entry_point.queries()["retry_policy_day"](spark, FOLDER))
+    plan = _final(all_queries()["retry_policy_day"](spark, FOLDER))
     assert plan.count("FileScan") == 1 and "Union" not in plan

@@ -2,6 +2,7 @@
 
 import random
 from datetime import datetime, timedelta
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -309,3 +310,28 @@ class TestInvariants:
     def test_dimensions_are_broadcast_by_size(self, star, codes):
         plan = kpis.core_kpis(star.transactions(), codes)._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastHashJoin" in plan
+
+
+def test_mean_amount_leaves_out_unknown_amounts(spark):
+    rows = [(i, NOON, a, "SUCCESS", "ERR_SUCCESS") for i, a in enumerate([Decimal(10), None, Decimal(20)])]
+    tx = spark.createDataFrame(
+        rows, "transaction_id long, timestamp timestamp_ntz, amount decimal(18,2), final_status string, failure_code string"
+    )
+    assert kpis.core_kpis(tx, D.error_codes(spark)).first().avg_txn_amount_inr == 15.0
+
+
+def test_completion_needs_a_success_and_sums_beyond_bigint(spark):
+    stages = spark.range(40_000).selectExpr(
+        "id as transaction_id", "explode(array(1, 7)) as stage_id", "id % 4 = 0 as bad"
+    ).selectExpr(
+        "transaction_id", "stage_id", "case when bad then 'FAILED' else 'SUCCESS' end as stage_status",
+        "timestamp_ntz'1600-01-01' + case when stage_id = 7 then interval '400' year else interval '0' year end as event_timestamp",
+    )
+    done = funnel.completion_time(stages).first()
+    assert done.completed_transactions == 30_000 and done.mean_seconds == done.max_seconds > 1.2e10
+
+
+def test_a_further_stage_and_bank_are_shown(spark):
+    stages = spark.createDataFrame([(1, 8, "SUCCESS"), (2, 8, "FAILED")], "transaction_id long, stage_id int, stage_status string")
+    names = spark.createDataFrame([(8, "8. REFUND")], "stage_id int, stage_name string")
+    assert [tuple(r) for r in funnel.funnel_volume(stages, names).collect()] == [("8. REFUND", 2)]
