@@ -98,24 +98,31 @@ def status_breakdown(tx: DataFrame) -> DataFrame:
     return weighted(tx).groupBy(label.alias("status_category")).agg(F.sum("cell_txns").alias("count"))
 
 
+def kill_switch_metrics(core: DataFrame, duplicate_rate: DataFrame) -> DataFrame:
+    """The one row of :func:`core_kpis` with the duplicate payment rate, itself
+    one row, as a further column: all metrics that have a limit."""
+    name = "duplicate_payment_rate"
+    return core.withColumn(name, duplicate_rate.select(name).scalar())
+
+
 def limit_breaches(kpis: DataFrame, limits: list[tuple[str, float]] = D.KPI_LIMITS) -> DataFrame:
-    """Rows of a one-row KPI frame that exceed their limit.
+    """Metrics of a one-row KPI frame that exceed their limit.
 
-    Metrics the frame does not carry are not checked.
+    A limit that cannot be checked, because the frame lacks its metric or the
+    metric is NULL, comes out with a NULL observation.
     """
-    checked = [(name, limit) for name, limit in limits if name in kpis.columns]
     pairs = F.array(
         *[
             F.struct(
                 F.lit(name).alias("metric"),
-                F.col(name).cast("double").alias("observed"),
+                (F.col(name) if name in kpis.columns else F.lit(None)).cast("double").alias("observed"),
                 F.lit(float(limit)).alias("upper_limit"),
             )
-            for name, limit in checked
+            for name, limit in limits
         ]
     )
     return (
         kpis.select(F.inline(pairs))
-        .filter(F.col("observed") > F.col("upper_limit"))
+        .filter(F.col("observed").isNull() | (F.col("observed") > F.col("upper_limit")))
         .select("metric", "observed", "upper_limit", rounded("observed - upper_limit").alias("excess"))
     )

@@ -7,10 +7,11 @@ its own group (and each microsecond, where a minute is still too large), and
 every group gets one extra row, the edge of the nearest other group. Within a
 group the plain window then finds the same neighbour as over the whole key.
 
-Hot groups are found in a sample of the rows, chosen by hash, so looking for them
-shuffles little. Which groups are cut does not affect the result, only how evenly
-the work is spread. Without hot groups the broadcast list is empty and the edge
-branch is dropped at run time; what remains is the plain window.
+Hot keys and their hot minutes are found together, in one pass over a sample of the
+rows chosen by hash, so looking for them shuffles little. Which groups are cut does
+not affect the result, only how evenly the work is spread. Without hot keys the
+broadcast lists are empty and the edge branch is dropped at run time; what remains
+is the plain window.
 """
 
 from __future__ import annotations
@@ -28,7 +29,9 @@ HOT_ROWS = 5_000_000
 HOT_GROUPS = 10_000
 # A group at the limit has about this many rows in the sample.
 SAMPLED_ROWS = 10_000
-MINUTE, MICROSECOND = 60_000_000, 1
+MINUTE = 60_000_000
+# The slice of rows without a time, which sort first.
+NO_TIME = -(1 << 63)
 
 
 def with_next(
@@ -75,26 +78,30 @@ def _cut_hot_groups(df: DataFrame, keys: list[str], time_col: str, tie_break: st
     one_in = max(1, hot_rows // SAMPLED_ROWS)
     sampled = F.pmod(F.xxhash64(time_col, tie_break), F.lit(one_in)) == 0
     micros = F.unix_micros(F.col(time_col).cast("timestamp"))
-    cut = df.withColumn("_slice", F.lit(None).cast("long"))
-    for width in (MINUTE, MICROSECOND):
-        seen = cut if width == MINUTE else cut.filter(F.col("_slice").isNotNull())
-        hot = (
-            seen.filter(sampled)
-            .groupBy(*keys, "_slice")
-            .agg(F.count(F.lit(1)).alias("_rows"))
-            .filter(F.col("_rows") > hot_rows / one_in)
+    minute = F.coalesce(micros - F.pmod(micros, F.lit(MINUTE)), F.lit(NO_TIME))
+    # Both lists below need the same columns of these counts, so their exchange is reused.
+    per_minute = (
+        df.filter(sampled)
+        .select(*keys, minute.alias("_minute"))
+        .groupBy(*keys, "_minute")
+        .agg(F.count(F.lit(1)).alias("_rows"))
+    )
+    per_key = per_minute.groupBy(*keys).agg(F.sum("_rows").alias("_rows"))
+
+    def largest(groups: DataFrame, names: list[str], mark: str) -> DataFrame:
+        return (
+            groups.filter(F.col("_rows") > hot_rows / one_in)
             .orderBy(F.desc("_rows"))
             .limit(HOT_GROUPS)
-            .select(*[F.col(c).alias(f"_hot_{c}") for c in [*keys, "_slice"]], F.lit(True).alias("_hot"))
+            .select(*[F.col(c).alias(f"{mark}_{c}") for c in names], F.lit(True).alias(mark))
         )
-        same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_hot_{c}")) for c in [*keys, "_slice"]])
-        start = micros - F.pmod(micros, F.lit(width))
-        cut = (
-            cut.join(F.broadcast(hot), same, "left")
-            .withColumn("_slice", F.when(F.col("_hot"), start).otherwise(F.col("_slice")))
-            .select(*df.columns, "_slice")
-        )
-    return cut
+
+    cut = df.withColumn("_minute", minute)
+    for groups, names, mark in ((per_key, keys, "_hot"), (per_minute, [*keys, "_minute"], "_dense")):
+        same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"{mark}_{c}")) for c in names])
+        cut = cut.join(F.broadcast(largest(groups, names, mark)), same, "left")
+    fine = F.when(F.col("_dense"), F.coalesce(micros, F.lit(NO_TIME))).otherwise(F.col("_minute"))
+    return cut.select(*df.columns, F.when(F.col("_hot"), fine).alias("_slice"))
 
 
 def _edges(sliced, keys, time_col, tie_break, columns, forward):

@@ -7,22 +7,23 @@ from pyspark.sql import functions as F
 
 from railpulse.functions import flags
 from railpulse.functions.numbers import percent
-from railpulse.operators.tallies import is_rolled_up, tally, weighted
+from railpulse.operators.tallies import is_rolled_up, outcome_cells, tally, txns_where, weighted, with_codes
 
 
 def os_network(tx: DataFrame, devices: DataFrame, error_codes: DataFrame) -> DataFrame:
     """Volume, success, timeout and wide technical rate per operating system and
     network type.
 
-    Attempts are reduced to one row per device and network before the devices
-    are joined, so a hot device is one row per network there.
+    Attempts are reduced to one row per device, network and outcome before codes
+    are joined, and to one per device and network before devices are, so neither a
+    hot code nor a hot device is a hot join key.
     """
-    coded = tx.join(error_codes, F.col("failure_code") == F.col("error_code"), "left")
-    per_device = coded.groupBy("device_id", "network_type").agg(
-        F.count(F.lit(1)).alias("n"),
-        flags.count_where(flags.succeeded()).alias("ok"),
-        flags.count_where(flags.timed_out()).alias("timeout"),
-        flags.count_where(flags.technical_by_type()).alias("td"),
+    cells = with_codes(outcome_cells(tx, "device_id", "network_type"), error_codes)
+    per_device = cells.groupBy("device_id", "network_type").agg(
+        F.sum("cell_txns").alias("n"),
+        txns_where(flags.succeeded()).alias("ok"),
+        txns_where(flags.timed_out()).alias("timeout"),
+        txns_where(flags.technical_by_type()).alias("td"),
     )
     t = (
         per_device.join(devices, "device_id")

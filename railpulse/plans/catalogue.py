@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,24 +43,22 @@ def _plain_amount(df: DataFrame) -> DataFrame:
 
 
 def _published(spark: SparkSession, s: StarTables) -> DataFrame:
-    """Static tables written as CSV, published, read back and counted."""
+    """Static tables written as CSV, published and read back, each row as text."""
     raw, out = work_folder(spark, "static-raw"), work_folder(spark, "static-out")
     frames = {"banks": s.banks(), "error_codes": s.error_codes(), "devices": s.devices(), "users": s.users()}
     for name, schema in S.STATIC_TABLES.items():
         frame = frames[name]
         tables.write_csv(frame.select([F.col(f.name).cast(f.dataType) for f in schema]), raw, name)
     paths = tables.publish_dims(spark, raw, out)
-    counts = None
-    for name, schema in S.STATIC_TABLES.items():
-        key, last = schema.fieldNames()[0], schema.fieldNames()[-1]
-        one = spark.read.schema(schema).parquet(paths[name]).agg(
+    published = [
+        spark.read.schema(schema).parquet(paths[name]).select(
             F.lit(name).alias("table_name"),
-            F.count(F.lit(1)).alias("row_count"),
-            F.count_distinct(key).alias("distinct_keys"),
-            F.count_distinct(last).alias("distinct_last_values"),
+            F.col(schema.fieldNames()[0]).cast("string").alias("row_key"),
+            F.concat_ws("|", *[F.col(c).cast("string") for c in schema.fieldNames()]).alias("row_text"),
         )
-        counts = one if counts is None else counts.unionByName(one)
-    return counts
+        for name, schema in S.STATIC_TABLES.items()
+    ]
+    return reduce(DataFrame.unionByName, published)
 
 
 def _funnel(s: StarTables) -> DataFrame:
@@ -70,7 +69,8 @@ def _funnel(s: StarTables) -> DataFrame:
 
 
 def _limit_breaches(s: StarTables) -> DataFrame:
-    return kpis.limit_breaches(kpis.core_kpis(s.transactions(), s.error_codes()))
+    rate = duplicates.duplicate_payment_rate(s.transactions())
+    return kpis.limit_breaches(kpis.kill_switch_metrics(kpis.core_kpis(s.transactions(), s.error_codes()), rate))
 
 
 def _health_stream(spark: SparkSession, s: StarTables) -> DataFrame:
@@ -109,7 +109,7 @@ def all_queries() -> dict[str, Query]:
         "clean_transactions": over(lambda s: _plain_amount(cleaning.clean_transactions(s.raw_transactions()))),
         "clean_stage_events": over(
             lambda s: cleaning.clean_stage_events(
-                s.stage_events(), s.transactions().filter(F.col("final_status") == "SUCCESS")
+                s.raw_stage_events(), cleaning.clean_transactions(s.raw_transactions())
             )
         ),
         "publish_dims": with_session(_published),
@@ -168,7 +168,8 @@ def all_queries() -> dict[str, Query]:
         "duplicate_attempts_day": over(
             lambda s: duplicates.duplicate_attempts(s.transactions(), DAY, COARSE_KEY)
         ),
-        "duplicate_payment_rate": over(
+        "duplicate_payment_rate": over(lambda s: duplicates.duplicate_payment_rate(s.transactions())),
+        "duplicate_payment_rate_day": over(
             lambda s: duplicates.duplicate_payment_rate(s.transactions(), DAY, COARSE_KEY)
         ),
         "lock_windows": over(lambda s: duplicates.lock_windows(s.transactions(), "1 day", COARSE_KEY)),

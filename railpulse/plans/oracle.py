@@ -159,7 +159,7 @@ def _audit() -> dict[str, str]:
                            when 'hdfc bank' then 'Map to BNK002 (HDFC Bank)'
                            when 'ICICI_BANK' then 'Map to BNK003 (ICICI Bank)'
                            else 'Unknown Bank Alias' end as data_quality_status
-               from raw where not starts_with(payer_bank_id, 'BNK') group by 1""",
+               from raw where payer_bank_id not like 'BNK%' group by 1""",
         ),
         "dq_invalid_amounts": _with(
             "raw",
@@ -202,18 +202,22 @@ def _audit() -> dict[str, str]:
                     on p.transaction_id = f.tid and p.seq = f.first_seq)""",
         ),
         "clean_stage_events": _with(
-            "tx step",
-            """select id as transaction_id, stage_id, ts as event_timestamp,
-                      case when bad then 'FAILED' else 'SUCCESS' end as stage_status, cast(null as varchar) as error_code
-               from step where id in (select id from tx where ok)""",
+            "parsed",
+            """select transaction_id, cast(stage_id as integer) as stage_id, "timestamp" as event_timestamp,
+                      case when final_status = 'FAILED' then 'FAILED' else 'SUCCESS' end as stage_status,
+                      cast(null as varchar) as error_code
+               from raw, unnest(range(1, 2 + transaction_id % 7)) s(stage_id)
+               where transaction_id in (select transaction_id from parsed where amount > 0)""",
         ),
         "publish_dims": _with(
             "bank ec usr",
-            """select 'banks' as table_name, count(*) as row_count, count(distinct id) as distinct_keys,
-                      count(distinct kind) as distinct_last_values from bank
-               union all select 'error_codes', count(*), count(distinct code), count(distinct decline) from ec
-               union all select 'devices', count(*), count(distinct p_partkey), count(distinct p_brand) from part
-               union all select 'users', count(*), count(distinct user_id), count(distinct tenure) from usr""",
+            """select 'banks' as table_name, id as row_key, concat_ws('|', id, name, kind) as row_text from bank
+               union all select 'error_codes', code, concat_ws('|', code, category, description, decline) from ec
+               union all select 'devices', cast(p_partkey as varchar),
+                      concat_ws('|', p_partkey, p_type, p_size, p_brand) from part
+               union all select 'users', cast(user_id as varchar),
+                      concat_ws('|', user_id, date '2023-01-01' + cast(user_id * 37 % 1200 as integer), segment, state, age, tenure)
+               from usr""",
         ),
     }
 
@@ -238,8 +242,8 @@ def _indicators() -> dict[str, str]:
         "core_kpis": _with("coded", kpi),
         "status_breakdown": _with(
             "tx",
-            """select case when ok then 'Success (90.42%)' when starts_with(code, 'ERR_TD') then 'Technical Decline (4.68%)'
-                      when starts_with(code, 'ERR_BD') then 'Business Decline (3.82%)'
+            """select case when ok then 'Success (90.42%)' when code like 'ERR_TD%' then 'Technical Decline (4.68%)'
+                      when code like 'ERR_BD%' then 'Business Decline (3.82%)'
                       else 'Network Timeout (1.08%)' end as status_category, count(*) as "count"
                from tx group by 1""",
         ),
@@ -257,9 +261,14 @@ def _indicators() -> dict[str, str]:
         ),
         "limit_breaches": _with(
             "coded",
-            f"""select 'technical_decline_rate' as metric, rate as observed, 1.0::double as upper_limit,
-                   round(rate - 1.0::double, 2) as excess
-                from (select {pct(TD_WIDE, "count(*)")} as rate from coded) where rate > 1.0""",
+            f"""select metric, rate as observed, upper_limit, round(rate - upper_limit, 2) as excess
+                from (select 'technical_decline_rate' as metric, {pct(TD_WIDE, "count(*)")} as rate, 1.0::double as upper_limit
+                      from coded
+                      union all
+                      select 'duplicate_payment_rate', {pct(n_if("gap <= 180000000"), "count(*)")}, 0.01::double
+                      from (select date_diff('microsecond', lag(ts) over (partition by user_id, payee, amount order by ts, id), ts) as gap
+                            from tx where ok))
+                where rate > upper_limit or rate is null""",
         ),
         "failure_breakdown": _with(
             "coded",
@@ -492,10 +501,10 @@ def _retries() -> dict[str, str]:
                    total_retried_failures, successful_retries, failed_retries,
                    {pct("successful_retries", "total_retried_failures")} as retry_success_rate_pct,
                    round(cast(gaps as double) / total_retried_failures / 1e6, 1) as avg_time_to_retry_seconds,
-                   case when error_category <> 'Business Decline' and error_category <> 'Success'
+                   case when error_category in ('Technical Decline', 'Timeout/Network')
                              and 100.0 * successful_retries / total_retried_failures >= 50
                         then 'RECOMMENDED FOR AUTO-RETRY / SMART RETRY'
-                        when error_code between 'ERR_BD_01' and 'ERR_BD_03'
+                        when error_code in ('ERR_BD_01', 'ERR_BD_02', 'ERR_BD_03')
                         then 'DO NOT AUTO-RETRY (Hard Business Decline / Security / Balance)'
                         else 'MANUAL RETRY ONLY' end as product_retry_policy
                 from (select category as error_category, ec.code as error_code, description as error_description,
@@ -546,6 +555,16 @@ def _duplicates() -> dict[str, str]:
                       from tx window w as (partition by {keys} order by ts, id)) where gap <= {window_us}""",
         )
 
+    def rate(keys: str, window_us: int) -> str:
+        near = n_if(f"gap <= {window_us}")
+        return _with(
+            "tx",
+            f"""select count(*) as completed_payments, {near} as duplicate_payments,
+                   {pct(near, "count(*)")} as duplicate_payment_rate
+                from (select date_diff('microsecond', lag(ts) over (partition by {keys} order by ts, id), ts) as gap
+                      from tx where ok)""",
+        )
+
     day = 86_400_000_000
     locked = """select user_id, payee as payee_bank_id, cast(date_trunc('day', ts) as timestamp) as lock_start, min(ts) as accepted_at,
         count(*) as attempts, count(*) - 1 as locked_attempts from tx group by 1, 2, 3 having count(*) > 1"""
@@ -554,13 +573,8 @@ def _duplicates() -> dict[str, str]:
             "user_id, payee, amount", "user_id, payee as payee_bank_id, cast(amount as double) as amount", 180_000_000
         ),
         "duplicate_attempts_day": repeated("user_id, payee", "user_id, payee as payee_bank_id", day),
-        "duplicate_payment_rate": _with(
-            "tx",
-            f"""select count(*) as completed_payments, {n_if(f"gap <= {day}")} as duplicate_payments,
-                   {pct(n_if(f"gap <= {day}"), "count(*)")} as duplicate_payment_rate
-                from (select date_diff('microsecond', lag(ts) over (partition by user_id, payee order by ts, id), ts) as gap
-                      from tx where ok)""",
-        ),
+        "duplicate_payment_rate": rate("user_id, payee, amount", 180_000_000),
+        "duplicate_payment_rate_day": rate("user_id, payee", day),
         "lock_windows": _with("tx", locked),
         "lock_windows_stream": _with(
             "tx",
@@ -578,7 +592,8 @@ def _duplicates() -> dict[str, str]:
                         case when n.ts > w.held + interval 1 day then n.ts else w.held end,
                         n.ts > w.held + interval 1 day
                  from walk w join numbered n on n.user_id = w.user_id and n.payee = w.payee and n.i = w.i + 1)
-               select user_id, payee as payee_bank_id, id as transaction_id, ts as event_time, accepted from walk""",
+               select user_id, payee as payee_bank_id, id as transaction_id, ts as event_time, accepted from walk
+               where ts <= (select date_trunc('milliseconds', max(ts)) - interval 10 minutes - interval 1 millisecond from tx)""",
         )
         .removeprefix("with ")
         .replace("\nnumbered as", ",\nnumbered as"),

@@ -125,6 +125,17 @@ class StarTables:
             "cast(null as string) as error_code",
         )
 
+    def raw_stage_events(self) -> DataFrame:
+        """Stages of the raw attempts, one to seven for each of their rows."""
+        rows = self.raw_transactions().select("transaction_id", "timestamp", "final_status")
+        return rows.selectExpr(
+            "transaction_id",
+            "explode(sequence(1, 1 + cast(transaction_id % 7 as int))) as stage_id",
+            "timestamp as event_timestamp",
+            "CASE WHEN final_status = 'FAILED' THEN 'FAILED' ELSE 'SUCCESS' END as stage_status",
+            "cast(null as string) as error_code",
+        )
+
     def initiated(self) -> DataFrame:
         """The ids of all payments that have stages: one row per order."""
         return self._read("orders").selectExpr("o_orderkey as transaction_id")

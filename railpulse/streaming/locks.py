@@ -20,17 +20,23 @@ def lock_stream(
     """Mark every attempt of a stream as accepted or locked.
 
     An attempt is locked when it comes within ``window_s`` of the last accepted
-    one of its key; a locked attempt does not extend the lock. The state is one
-    time per key and is dropped once the watermark has passed the end of the
-    lock.
+    one of its key; a locked attempt does not extend the lock. Attempts of the
+    same time are taken in order of their id.
 
-    Attempts of one key are put in order of time within a micro-batch, so the
-    size of a micro-batch bounds what a task holds: give the source a limit per
-    trigger. :func:`railpulse.operators.duplicates.lock_windows` needs no such
-    limit and no Python.
+    An attempt waits in the state of its key until the watermark has passed its
+    time; then no earlier one can come, and its mark is final. So the marks follow
+    event time alone and do not depend on where micro-batches end. The state of a
+    key is its waiting attempts and the time of its lock, and is dropped once the
+    watermark has passed the end of the lock. A task holds times and ids of one
+    key's attempts of a micro-batch and of the delay: give the source a limit per
+    trigger. Attempts without a time are left out; those later than the watermark
+    allows are dropped, as in every stream.
+    :func:`railpulse.operators.duplicates.lock_windows` keeps one row per lock and
+    needs no Python.
     """
     stream = (
         tx.select(*keys, "transaction_id", F.col("timestamp").cast("timestamp").alias("event_time"))
+        .filter(F.col("event_time").isNotNull())
         .withWatermark("event_time", watermark)
     )
     types = {f.name: f.dataType for f in stream.schema}
@@ -43,29 +49,48 @@ def lock_stream(
         ]
     )
     columns = output.fieldNames()
-    state = T.StructType([T.StructField("accepted_at", T.LongType())])
+    state = T.StructType(
+        [
+            T.StructField("accepted_at", T.LongType()),
+            T.StructField("times", T.ArrayType(T.LongType())),
+            T.StructField("ids", T.ArrayType(types["transaction_id"])),
+        ]
+    )
     window = window_s * 1_000_000
 
     def mark(key: tuple, batches: Iterator[pd.DataFrame], lock: GroupState) -> Iterator[pd.DataFrame]:
-        if lock.hasTimedOut:
-            lock.remove()
-            return
-        parts = list(batches)
-        rows = parts[0] if len(parts) == 1 else pd.concat(parts)
-        rows = rows.sort_values(["event_time", "transaction_id"])
-        times = rows["event_time"].to_numpy("datetime64[us]").astype("int64")
-        last = lock.get[0] if lock.exists else None
-        accepted = np.zeros(len(times), dtype=bool)
-        start = 0
-        if last is not None:
-            start = int(np.searchsorted(times, last + window, side="right"))
-        while start < len(times):
+        last, times, ids = lock.get if lock.exists else (None, [], [])
+        parts = [pd.DataFrame({"event_time": np.array(times, "int64"), "transaction_id": pd.Series(ids, dtype=object)})]
+        if not lock.hasTimedOut:
+            for rows in batches:
+                rows = rows[["event_time", "transaction_id"]]
+                parts.append(rows.assign(event_time=rows["event_time"].to_numpy("datetime64[us]").astype("int64")))
+        waiting = pd.concat([p for p in parts if len(p)] or parts[:1])
+        waiting = waiting.sort_values(["event_time", "transaction_id"], ignore_index=True)
+        times = waiting["event_time"].to_numpy("int64")
+        passed = lock.getCurrentWatermarkMs()
+        # In whole milliseconds, rounded up, as the timeout below.
+        final = int(np.searchsorted(-(-times // 1000), passed, side="left"))
+        accepted = np.zeros(final, dtype=bool)
+        start = 0 if last is None else int(np.searchsorted(times[:final], last + window, side="right"))
+        while start < final:
             accepted[start] = True
             last = int(times[start])
-            start = int(np.searchsorted(times, last + window, side="right"))
-        lock.update((last,))
-        lock.setTimeoutTimestamp(max(last + window, lock.getCurrentWatermarkMs() * 1000 + 1_000) // 1000 + 1)
-        yield rows.assign(accepted=accepted)[columns]
+            start = int(np.searchsorted(times[:final], last + window, side="right"))
+        if final < len(times) or (last is not None and last + window > passed * 1000):
+            lock.update((last, times[final:].tolist(), waiting["transaction_id"].tolist()[final:]))
+            wake = times[final] if final < len(times) else last + window
+            lock.setTimeoutTimestamp(max(-(-int(wake) // 1000), passed + 1))
+        else:
+            lock.remove()
+        if final:
+            done = waiting[:final]
+            marked = done.assign(
+                event_time=pd.to_datetime(done["event_time"], unit="us", utc=True).dt.tz_localize(None),
+                accepted=accepted,
+                **dict(zip(keys, key)),
+            )
+            yield marked[columns]
 
     return stream.groupBy(*keys).applyInPandasWithState(
         mark, output, state, "append", GroupStateTimeout.EventTimeTimeout

@@ -52,6 +52,18 @@ def test_several_keys(spark):
     assert got.exceptAll(want).count() == 0 and got.count() == 900
 
 
+@pytest.mark.parametrize("forward", [True, False])
+def test_rows_without_a_time_come_first(spark, forward):
+    df = attempts(spark, seed=3).withColumn(
+        "timestamp", F.when(F.col("amount") % 10 > 0, F.col("timestamp"))
+    )
+    search, shift, name = (with_next, F.lead, "next_amount") if forward else (with_previous, F.lag, "previous_amount")
+    got = search(df, ["user_id"], "timestamp", "transaction_id", ["amount"], hot_rows=10)
+    whole = Window.partitionBy("user_id").orderBy("timestamp", "transaction_id")
+    want = df.withColumn(name, shift("amount").over(whole))
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
 def test_hot_key_is_spread(spark):
     """No group the window sees is as large as the hot key."""
     from railpulse.operators.neighbours import _cut_hot_groups

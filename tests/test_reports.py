@@ -244,11 +244,16 @@ def test_rolling_rate_does_not_stretch_over_empty_hours(spark):
 
 def test_limits(spark, codes):
     tx = frame(spark, [attempt(str(i)) for i in range(99)] + [attempt("x", code="ERR_TD_01")])
-    assert kpis.limit_breaches(kpis.core_kpis(tx, codes)).count() == 0
+    core = kpis.core_kpis(tx, codes)
+    metrics = kpis.kill_switch_metrics(core, duplicates.duplicate_payment_rate(tx))
+    assert [r.metric for r in kpis.limit_breaches(metrics).collect()] == ["duplicate_payment_rate"]
+    # A limit that cannot be checked is shown, not skipped.
+    assert [tuple(r)[:2] for r in kpis.limit_breaches(core).collect()] == [("duplicate_payment_rate", None)]
     tx = tx.unionByName(frame(spark, [attempt("y", code="ERR_TD_01")]))
     assert kpis.limit_breaches(kpis.core_kpis(tx, codes)).first().metric == "technical_decline_rate"
     rate = duplicates.duplicate_payment_rate(frame(spark, [attempt("a"), attempt("b", ts=after(1))]))
-    assert kpis.limit_breaches(rate).first().observed == 50.0
+    breaches = {r.metric: r.observed for r in kpis.limit_breaches(rate).collect()}
+    assert breaches == {"technical_decline_rate": None, "duplicate_payment_rate": 50.0}
 
 
 def test_variants_are_stable_and_even(spark):

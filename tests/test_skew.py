@@ -27,6 +27,7 @@ NAMES = [
     "retry_frequency",
     "duplicate_attempts_day",
     "duplicate_payment_rate",
+    "duplicate_payment_rate_day",
     "lock_windows",
     "bank_health",
 ]

@@ -80,7 +80,51 @@ def brute_force(rows, window_s):
 def test_lock_stream_over_micro_batches(spark, attempts):
     rows, _, stream = attempts
     got = runs.drain_to_parquet(spark, locks.lock_stream(stream, watermark="1 minute"), "test-locks").collect()
-    assert {r.transaction_id: r.accepted for r in got} == brute_force(rows, 180)
-    assert len(got) == len(rows)
-    times = {r[0]: r[5] for r in rows}
+    assert_final_marks(got, rows, timedelta(minutes=1))
+
+
+def assert_final_marks(got, rows, delay):
+    """The marks of all attempts that the watermark has passed, and no others."""
+    last = max(r[5] for r in rows)
+    passed = last.replace(microsecond=last.microsecond // 1000 * 1000) - delay - timedelta(milliseconds=1)
+    times = {r[0]: r[5] for r in rows if r[5] <= passed}
+    marks = brute_force(rows, 180)
+    assert len(got) == len(times) > 0
+    assert {r.transaction_id: r.accepted for r in got} == {t: marks[t] for t in times}
     assert all(r.event_time == times[r.transaction_id] for r in got)
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_lock_stream_does_not_depend_on_micro_batches(spark, tmp_path, parts):
+    """Attempts that arrive out of order, within the delay, in any batches."""
+    rng = random.Random(parts)
+    rows = sorted(make_rows(160, seed=9), key=lambda r: r[5] + timedelta(seconds=rng.randrange(590)))
+    folder = str(tmp_path / "in")
+    for part in range(parts):
+        as_frame(spark, rows[part * 160 // parts : (part + 1) * 160 // parts]).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder)
+    got = runs.drain_to_parquet(spark, locks.lock_stream(stream, watermark="10 minutes"), "test-order").collect()
+    assert_final_marks(got, rows, timedelta(minutes=10))
+
+
+def test_earlier_attempt_in_a_later_batch_takes_the_lock(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    at = [("A", 300), ("B", 150), ("Z", 3600)]  # B comes later and lies before A; Z moves the watermark
+    for tid, second in at:
+        user = "z" if tid == "Z" else "u"
+        row = (tid, user, "BNK001", "P", "1.00", START + timedelta(seconds=second), "SUCCESS")
+        as_frame(spark, [row]).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder)
+    got = runs.drain_to_parquet(spark, locks.lock_stream(stream), "test-late").collect()
+    assert {r.transaction_id: r.accepted for r in got} == {"A": False, "B": True}
+
+
+def test_lock_stream_with_null_keys_and_times(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    rows = [("A", None, "B", "P", None, START, "SUCCESS"), ("B", None, "B", "P", None, START, "SUCCESS"),
+            ("C", "u", "B", "P", "1.00", None, "SUCCESS"),
+            ("Z", "z", "B", "P", "1.00", START + timedelta(hours=1), "SUCCESS")]
+    as_frame(spark, rows).coalesce(1).write.parquet(folder)
+    stream = spark.readStream.schema(SCHEMA).parquet(folder)
+    got = runs.drain_to_parquet(spark, locks.lock_stream(stream), "test-nulls").collect()
+    assert {r.transaction_id: r.accepted for r in got} == {"A": True, "B": False}
