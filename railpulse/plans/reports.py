@@ -2,10 +2,11 @@
 
     python -m railpulse.plans.reports RAW_FOLDER CLEAN_FOLDER REPORT_FOLDER
 
-The fact table is read three times for all reports together: once for the hourly
-cells, once for the user totals and once for the attempt chain. Each of these is
-written to the report folder and read back, so that it is computed once and
-survives the loss of executors.
+Most reports share three intermediates: hourly cells, user totals and the attempt
+chain. Each is written to the report folder and read back, so that it is computed
+once and survives the loss of executors. Reports on what these do not hold
+(devices, contiguous buckets, duplicates, bank health, the experiment, the number
+of payments) read the attempts themselves.
 """
 
 from __future__ import annotations
@@ -17,7 +18,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from railpulse import dimensions as D
 from railpulse.functions import flags
-from railpulse.operators import banks, cleaning, failures, funnel, kpis, quality, retries, segments, timeprofile, users
+from railpulse.operators import (
+    bankhealth,
+    banks,
+    cleaning,
+    duplicates,
+    experiment,
+    failures,
+    funnel,
+    kpis,
+    quality,
+    retries,
+    segments,
+    timeprofile,
+    users,
+)
 from railpulse.operators.tallies import hourly_cells
 from railpulse.session import builder, work_folder
 from railpulse.sources import tables
@@ -63,8 +78,9 @@ def reports(
     ``attempts``, which itself serves only what they cannot.
     """
     codes, bank, people = dims["error_codes"], dims["banks"], dims["users"]
+    core, repeats = kpis.core_kpis(cells, codes), duplicates.duplicate_payment_rate(attempts)
     return {
-        "core_kpis": kpis.core_kpis(cells, codes),
+        "core_kpis": core,
         "failure_breakdown": failures.failure_breakdown(cells, codes),
         "payer_bank_ranking": banks.payer_bank_ranking(cells, bank, codes),
         "bank_pair_matrix": banks.bank_pair_matrix(cells, bank),
@@ -88,6 +104,23 @@ def reports(
         "weekday_profile": timeprofile.weekday_profile(cells),
         "rolling_failure_rate": timeprofile.rolling_failure_rate(cells),
         "retry_frequency": retries.retry_frequency(chain),
+        "attempts_after_timeout": retries.attempts_after_timeout(chain),
+        "recovery_by_scenario": kpis.recovery_by_scenario(cells, codes),
+        "failure_rollup": failures.failure_rollup(cells, codes),
+        "bank_type_peak": banks.bank_type_peak(cells, bank, codes),
+        "decline_by_bank_role": banks.decline_by_bank_role(cells, bank, codes),
+        "peak_multiplier": timeprofile.peak_multiplier(cells),
+        "stage_latency": funnel.stage_latency(stage_events, stage_names),
+        "completion_time": funnel.completion_time(stage_events),
+        "age_group_friction": users.age_group_friction(people, totals),
+        "tenure_friction": users.tenure_friction(people, totals),
+        "type_amount_contiguous": segments.type_amount_matrix(attempts, contiguous=True),
+        "duplicate_attempts": duplicates.duplicate_attempts(attempts),
+        "duplicate_payment_rate": repeats,
+        "lock_windows": duplicates.lock_windows(attempts),
+        "bank_health": bankhealth.rolling_bank_health(attempts),
+        "limit_breaches": kpis.limit_breaches(kpis.kill_switch_metrics(core, repeats)),
+        "experiment_readout": experiment.experiment_readout(attempts),
     }
 
 
