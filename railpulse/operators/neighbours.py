@@ -3,15 +3,15 @@
 A window function puts all rows of a key into one task. That is right for
 ordinary keys and wrong for one key holding a large part of the table. So keys
 of more than ``hot_rows`` rows are cut along time: each minute of such a key is
-its own group (and each microsecond, where a minute is still too large), and
-every group gets one extra row, the edge of the nearest other group. Within a
-group the plain window then finds the same neighbour as over the whole key.
-
-Hot keys and their hot minutes are found together, in one pass over a sample of the
-rows chosen by hash, so looking for them shuffles little. Which groups are cut does
-not affect the result, only how evenly the work is spread. Without hot keys the
-broadcast lists are empty and the edge branch is dropped at run time; what remains
-is the plain window.
+its own group, and where a minute is still too large each second of it, and then each
+microsecond. Every group gets one extra row, the edge of the nearest other group.
+Within a group the plain window then finds the same neighbour as over the whole key.
+
+Groups that are too large are found in one pass over a sample of the rows chosen
+by hash, so looking for them shuffles little. Which groups are cut does not affect
+the result, only how evenly the work is spread. Without hot keys the broadcast
+lists are empty and the edge branch is dropped at run time; what remains is the
+plain window.
 """
 
 from __future__ import annotations
@@ -23,13 +23,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS = 5_000_000
-# Only this many of the largest groups are cut, which bounds the broadcast. A
-# group left whole is smaller than each of them, so it holds at most
-# max(hot_rows, rows / HOT_GROUPS) rows; the result is exact either way.
-HOT_GROUPS = 10_000
-# A group at the limit has about this many rows in the sample.
+# A group at the limit has about this many rows in the sample. Every listed group has
+# more, so a broadcast list has at most one entry per ``hot_rows`` rows of the table.
 SAMPLED_ROWS = 10_000
-MINUTE = 60_000_000
+# Microseconds of the slices: a minute, a second, a microsecond.
+WIDTHS = (60_000_000, 1_000_000, 1)
 # The slice of rows without a time, which sort first.
 NO_TIME = -(1 << 63)
 
@@ -78,30 +76,26 @@ def _cut_hot_groups(df: DataFrame, keys: list[str], time_col: str, tie_break: st
     one_in = max(1, hot_rows // SAMPLED_ROWS)
     sampled = F.pmod(F.xxhash64(time_col, tie_break), F.lit(one_in)) == 0
     micros = F.unix_micros(F.col(time_col).cast("timestamp"))
-    minute = F.coalesce(micros - F.pmod(micros, F.lit(MINUTE)), F.lit(NO_TIME))
-    # Both lists below need the same columns of these counts, so their exchange is reused.
-    per_minute = (
-        df.filter(sampled)
-        .select(*keys, minute.alias("_minute"))
-        .groupBy(*keys, "_minute")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-    )
-    per_key = per_minute.groupBy(*keys).agg(F.sum("_rows").alias("_rows"))
-
-    def largest(groups: DataFrame, names: list[str], mark: str) -> DataFrame:
-        return (
-            groups.filter(F.col("_rows") > hot_rows / one_in)
-            .orderBy(F.desc("_rows"))
-            .limit(HOT_GROUPS)
-            .select(*[F.col(c).alias(f"{mark}_{c}") for c in names], F.lit(True).alias(mark))
+    starts = {
+        f"_start{i}": F.coalesce(micros - F.pmod(micros, F.lit(width)), F.lit(NO_TIME))
+        for i, width in enumerate(WIDTHS)
+    }
+    *coarse, finest = starts  # slices of the finest width are never cut
+    counts = df.filter(sampled).select(*keys, *[starts[c].alias(c) for c in coarse], F.lit(1).alias("_rows"))
+    cut = df.withColumns(starts)
+    place = F.col(finest)
+    # From seconds up to whole keys, each count made from the one before.
+    for level in range(len(coarse), -1, -1):
+        names, mark = [*keys, *coarse[:level]], f"_large{level}"
+        counts = counts.groupBy(*names).agg(F.sum("_rows").alias("_rows"))
+        large = counts.filter(F.col("_rows") > hot_rows / one_in).select(
+            *[F.col(c).alias(f"{mark}_{c}") for c in names], F.lit(True).alias(mark)
         )
-
-    cut = df.withColumn("_minute", minute)
-    for groups, names, mark in ((per_key, keys, "_hot"), (per_minute, [*keys, "_minute"], "_dense")):
         same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"{mark}_{c}")) for c in names])
-        cut = cut.join(F.broadcast(largest(groups, names, mark)), same, "left")
-    fine = F.when(F.col("_dense"), F.coalesce(micros, F.lit(NO_TIME))).otherwise(F.col("_minute"))
-    return cut.select(*df.columns, F.when(F.col("_hot"), fine).alias("_slice"))
+        cut = cut.join(F.broadcast(large), same, "left")
+        whole = F.col(coarse[level - 1]) if level else F.lit(None).cast("long")
+        place = F.when(F.col(mark), place).otherwise(whole)
+    return cut.select(*df.columns, place.alias("_slice"))
 
 
 def _edges(sliced, keys, time_col, tie_break, columns, forward):
