@@ -18,25 +18,29 @@ def _ids(stage_names: DataFrame) -> list[int]:
     return sorted(r[0] for r in stage_names.select("stage_id").distinct().collect() if r[0] is not None)
 
 
-def _entering(stages: DataFrame, ids: list[int]) -> DataFrame:
-    """Distinct transactions per named stage.
+def _per_stage(stages: DataFrame, ids: list[int], failures: bool = False) -> DataFrame:
+    """Distinct transactions per named stage that occurs and, if asked for, its failed rows.
 
     A transaction's stages fit in the bits of one number, so the exact distinct
-    count shuffles one small row per transaction instead of one per stage.
+    count shuffles one row per transaction instead of one per stage. Failed rows are
+    summed on the way, so the stages are read once.
     """
+    here = [F.col("stage_id") == i for i in ids]
+    bit = F.coalesce(*[F.when(at, F.lit(1 << place).cast("long")) for place, at in enumerate(here)])
+    failed = F.col("stage_status") == D.FAILED
+    lost = [flags.count_where(at & failed).alias(f"lost{i}") for i, at in zip(ids, here)] if failures else []
     known = stages.filter(F.col("stage_id").isin(ids))
-    bit = F.coalesce(*[F.when(F.col("stage_id") == i, F.lit(1 << place).cast("long")) for place, i in enumerate(ids)])
-    visited = known.groupBy("transaction_id").agg(F.bit_or(bit).alias("visited")).filter(
+    journeys = known.groupBy("transaction_id").agg(F.bit_or(bit).alias("visited"), *lost)
+    per_stage = []
+    for place, i in enumerate(ids):
+        seen = F.shiftright("visited", place).bitwiseAND(F.lit(1))
         # COUNT(DISTINCT id) does not count a NULL id.
-        F.col("transaction_id").isNotNull()
-    )
-    counts = visited.agg(
-        *[F.sum(F.shiftright("visited", i).bitwiseAND(F.lit(1))).alias(f"s{s}") for i, s in enumerate(ids)]
-    )
-    per_stage = F.array(
-        *[F.struct(F.lit(i).alias("entered_stage"), F.col(f"s{i}").alias("entering")) for i in ids]
-    )
-    return counts.select(F.inline(per_stage))
+        entering = F.sum(F.when(F.col("transaction_id").isNotNull(), seen).otherwise(0))
+        fields = [F.lit(i).alias("entered_stage"), F.max(seen).alias("occurs"), entering.alias("entering")]
+        fields += [F.sum(f"lost{i}").alias("stage_failures")] if failures else []
+        per_stage.append(F.struct(*fields))
+    counts = journeys.agg(F.array(*per_stage).alias("per_stage")).select(F.inline("per_stage"))
+    return counts.filter("occurs = 1").drop("occurs")
 
 
 def funnel(stages: DataFrame, tx: DataFrame, stage_names: DataFrame, unique_ids: bool = False) -> DataFrame:
@@ -46,16 +50,13 @@ def funnel(stages: DataFrame, tx: DataFrame, stage_names: DataFrame, unique_ids:
     ``unique_ids`` says that ``tx`` holds each id once, as cleaned data does;
     its distinct count is then a plain count.
     """
-    failures = stages.groupBy("stage_id").agg(
-        F.sum(F.when(F.col("stage_status") == D.FAILED, 1).otherwise(0)).alias("stage_failures")
-    )
     ids = F.count("transaction_id") if unique_ids else F.count_distinct("transaction_id")
     initiated = tx.agg(ids.alias("n")).scalar()
     entering = F.col("entering")
     by_stage = Window.orderBy("stage_id")  # at most one row per named stage
     return (
-        failures.join(_entering(stages, _ids(stage_names)), F.col("stage_id") == F.col("entered_stage"))
-        .join(stage_names, "stage_id")
+        _per_stage(stages, _ids(stage_names), failures=True)
+        .join(stage_names, F.col("entered_stage") == F.col("stage_id"))
         .withColumn("initiated", initiated)
         .select(
             "stage_name",
@@ -73,7 +74,7 @@ def funnel(stages: DataFrame, tx: DataFrame, stage_names: DataFrame, unique_ids:
 def funnel_volume(stages: DataFrame, stage_names: DataFrame) -> DataFrame:
     """Distinct transactions per named stage that occurs."""
     return (
-        _entering(stages, _ids(stage_names))
+        _per_stage(stages, _ids(stage_names))
         .filter(F.col("entering") > 0)
         .join(stage_names, F.col("entered_stage") == F.col("stage_id"))
         .orderBy("stage_id")

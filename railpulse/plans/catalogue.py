@@ -26,7 +26,7 @@ from railpulse.operators import (
 )
 from railpulse.session import work_folder
 from railpulse.sources import tables
-from railpulse.sources.star import StarTables
+from railpulse.sources.star import StarTables, with_repeats
 from railpulse.streaming import locks, runs
 
 DAY = 86_400
@@ -91,6 +91,18 @@ def _lock_stream(spark: SparkSession, s: StarTables) -> DataFrame:
     return rows.withColumn("event_time", F.col("event_time").cast("timestamp_ntz"))
 
 
+def _repeated_lock_window_stream(spark: SparkSession, s: StarTables) -> DataFrame:
+    stream = duplicates.lock_windows(with_repeats(s.transaction_stream()), watermark=STREAM_DELAY)
+    return _plain_amount(runs.drain_to_parquet(spark, stream, "lock-windows"))
+
+
+def _repeated_lock_stream(spark: SparkSession, s: StarTables) -> DataFrame:
+    """The lock at its stated rule: user, payee and amount within 180 seconds."""
+    attempts = with_repeats(s.transaction_stream(max_bytes_per_trigger=1 << 30))
+    rows = runs.drain_to_parquet(spark, locks.lock_stream(attempts, watermark=STREAM_DELAY), "locks")
+    return _plain_amount(rows).withColumn("event_time", F.col("event_time").cast("timestamp_ntz"))
+
+
 def all_queries() -> dict[str, Query]:
     def over(build: Callable[[StarTables], DataFrame]) -> Query:
         return lambda spark, folder: build(StarTables(spark, folder))
@@ -172,9 +184,17 @@ def all_queries() -> dict[str, Query]:
         "duplicate_payment_rate_day": over(
             lambda s: duplicates.duplicate_payment_rate(s.transactions(), DAY, COARSE_KEY)
         ),
+        "duplicate_attempts_repeated": over(
+            lambda s: _plain_amount(duplicates.duplicate_attempts(with_repeats(s.transactions())))
+        ),
+        "duplicate_payment_rate_repeated": over(
+            lambda s: duplicates.duplicate_payment_rate(with_repeats(s.transactions()))
+        ),
         "lock_windows": over(lambda s: duplicates.lock_windows(s.transactions(), "1 day", COARSE_KEY)),
         "lock_windows_stream": with_session(_lock_window_stream),
+        "lock_windows_stream_repeated": with_session(_repeated_lock_window_stream),
         "lock_stream": with_session(_lock_stream),
+        "lock_stream_repeated": with_session(_repeated_lock_stream),
         # Bank health and experiment
         "bank_health": over(lambda s: bankhealth.rolling_bank_health(s.transactions())),
         "bank_health_stream": with_session(_health_stream),

@@ -34,6 +34,10 @@ SOURCES = {
                case when event_type = 'error' then {_case_of("event_id % 11", _UNKNOWN_FIRST)}
                     else 'ERR_SUCCESS' end as code
         from events""",
+    "again": """
+        select id * 2 as id, user_id, payee, amount, ts, ok, bad from tx
+        union all
+        select id * 2 + 1, user_id, payee, amount, ts + to_seconds(1 + id % 400), ok, bad from tx where id % 7 = 0""",
     "coded": """
         select tx.*, ec.category, ec.description, ec.decline, ec.code as known
         from tx left join ec on ec.code = tx.code""",
@@ -78,7 +82,7 @@ SOURCES = {
     "reach": """
         select id, stage_id, min(ts) as ts from step where stage_id between 1 and 7 group by all""",
 }
-NEEDS = {"coded": ["tx", "ec"], "parsed": ["raw"], "chain": ["tx"], "reach": ["step"]}
+NEEDS = {"again": ["tx"], "coded": ["tx", "ec"], "parsed": ["raw"], "chain": ["tx"], "reach": ["step"]}
 
 
 def _with(names: str, body: str) -> str:
@@ -546,57 +550,70 @@ def _retries() -> dict[str, str]:
 
 
 def _duplicates() -> dict[str, str]:
-    def repeated(keys: str, shown: str, window_us: int) -> str:
+    def repeated(keys: str, shown: str, window_us: int, attempts: str = "tx") -> str:
         return _with(
-            "tx",
+            attempts,
             f"""select {shown}, id as transaction_id, ts as "timestamp", case when bad then 'FAILED' else 'SUCCESS' end as final_status,
                    before as previous_transaction_id, gap / 1e6 as gap_seconds
                 from (select *, lag(id) over w as before, date_diff('microsecond', lag(ts) over w, ts) as gap
-                      from tx window w as (partition by {keys} order by ts, id)) where gap <= {window_us}""",
+                      from {attempts} window w as (partition by {keys} order by ts, id)) where gap <= {window_us}""",
         )
 
-    def rate(keys: str, window_us: int) -> str:
+    def rate(keys: str, window_us: int, attempts: str = "tx") -> str:
         near = n_if(f"gap <= {window_us}")
         return _with(
-            "tx",
+            attempts,
             f"""select count(*) as completed_payments, {near} as duplicate_payments,
                    {pct(near, "count(*)")} as duplicate_payment_rate
                 from (select date_diff('microsecond', lag(ts) over (partition by {keys} order by ts, id), ts) as gap
-                      from tx where ok)""",
+                      from {attempts} where ok)""",
         )
 
+    def locks(keys: str, shown: str, lock: str, attempts: str = "tx") -> str:
+        same = " and ".join(f"n.{key} = w.{key}" for key in keys.split(", "))
+        of_n = ", ".join(f"n.{key}" for key in keys.split(", "))
+        return "with recursive " + _with(
+            attempts,
+            f"""numbered as (select {keys}, id, ts, row_number() over (partition by {keys} order by ts, id) as i from {attempts}),
+               walk as (
+                 select {keys}, id, ts, i, ts as held, true as accepted from numbered where i = 1
+                 union all
+                 select {of_n}, n.id, n.ts, n.i,
+                        case when n.ts > w.held + interval {lock} then n.ts else w.held end,
+                        n.ts > w.held + interval {lock}
+                 from walk w join numbered n on {same} and n.i = w.i + 1)
+               select {shown}, id as transaction_id, ts as event_time, accepted from walk
+               where ts <= (select date_trunc('milliseconds', max(ts)) - interval 10 minutes - interval 1 millisecond
+                            from {attempts})""",
+        ).removeprefix("with ").replace("\nnumbered as", ",\nnumbered as")
+
     day = 86_400_000_000
     locked = """select user_id, payee as payee_bank_id, cast(date_trunc('day', ts) as timestamp) as lock_start, min(ts) as accepted_at,
         count(*) as attempts, count(*) - 1 as locked_attempts from tx group by 1, 2, 3 having count(*) > 1"""
+    lock_key = "user_id, payee, amount"
+    lock_shown = "user_id, payee as payee_bank_id, cast(amount as double) as amount"
     return {
-        "duplicate_attempts": repeated(
-            "user_id, payee, amount", "user_id, payee as payee_bank_id, cast(amount as double) as amount", 180_000_000
-        ),
+        "duplicate_attempts": repeated(lock_key, lock_shown, 180_000_000),
         "duplicate_attempts_day": repeated("user_id, payee", "user_id, payee as payee_bank_id", day),
-        "duplicate_payment_rate": rate("user_id, payee, amount", 180_000_000),
+        "duplicate_attempts_repeated": repeated(lock_key, lock_shown, 180_000_000, "again"),
+        "duplicate_payment_rate": rate(lock_key, 180_000_000),
         "duplicate_payment_rate_day": rate("user_id, payee", day),
+        "duplicate_payment_rate_repeated": rate(lock_key, 180_000_000, "again"),
         "lock_windows": _with("tx", locked),
         "lock_windows_stream": _with(
             "tx",
             f"""select * from ({locked}) where lock_start + interval 1 day
                     <= (select date_trunc('milliseconds', max(ts)) - interval 10 minutes from tx)""",
         ),
-        "lock_stream": "with recursive "
-        + _with(
-            "tx",
-            """numbered as (select user_id, payee, id, ts, row_number() over (partition by user_id, payee order by ts, id) as i from tx),
-               walk as (
-                 select user_id, payee, id, ts, i, ts as held, true as accepted from numbered where i = 1
-                 union all
-                 select n.user_id, n.payee, n.id, n.ts, n.i,
-                        case when n.ts > w.held + interval 1 day then n.ts else w.held end,
-                        n.ts > w.held + interval 1 day
-                 from walk w join numbered n on n.user_id = w.user_id and n.payee = w.payee and n.i = w.i + 1)
-               select user_id, payee as payee_bank_id, id as transaction_id, ts as event_time, accepted from walk
-               where ts <= (select date_trunc('milliseconds', max(ts)) - interval 10 minutes - interval 1 millisecond from tx)""",
-        )
-        .removeprefix("with ")
-        .replace("\nnumbered as", ",\nnumbered as"),
+        "lock_windows_stream_repeated": _with(
+            "again",
+            f"""select * from (select {lock_shown}, time_bucket(interval 180 seconds, ts) as lock_start, min(ts) as accepted_at,
+                      count(*) as attempts, count(*) - 1 as locked_attempts from again group by 1, 2, 3, 4 having count(*) > 1)
+                where lock_start + interval 180 seconds
+                    <= (select date_trunc('milliseconds', max(ts)) - interval 10 minutes from again)""",
+        ),
+        "lock_stream": locks("user_id, payee", "user_id, payee as payee_bank_id", "1 day"),
+        "lock_stream_repeated": locks(lock_key, lock_shown, "180 seconds", "again"),
     }
 
 

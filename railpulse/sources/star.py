@@ -67,6 +67,20 @@ def transactions_from(events: DataFrame) -> DataFrame:
     )
 
 
+def with_repeats(attempts: DataFrame) -> DataFrame:
+    """Every seventh attempt made again, by the same user to the same payee over the
+    same amount, 1 to 400 seconds later. Ids are doubled; those of repeats are odd."""
+    later = "CASE WHEN transaction_id % 7 = 0 THEN array(0, 1 + cast(transaction_id % 400 as int)) ELSE array(0) END"
+    return attempts.withColumn("later", F.explode(F.expr(later))).select(
+        *[
+            F.expr("transaction_id * 2 + if(later > 0, 1, 0)").alias(c) if c == "transaction_id"
+            else F.expr("timestamp + make_dt_interval(0, 0, 0, later)").alias(c) if c == "timestamp"
+            else F.col(c)
+            for c in attempts.columns
+        ]
+    )
+
+
 @dataclass(frozen=True)
 class StarTables:
     """The payment tables over one folder of test tables."""
