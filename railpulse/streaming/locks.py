@@ -60,14 +60,16 @@ def lock_stream(
 
     def mark(key: tuple, batches: Iterator[pd.DataFrame], lock: GroupState) -> Iterator[pd.DataFrame]:
         last, times, ids = lock.get if lock.exists else (None, [], [])
-        parts = [pd.DataFrame({"event_time": np.array(times, "int64"), "transaction_id": pd.Series(ids, dtype=object)})]
+        times, ids = [np.array(times, "int64")], list(ids)
         if not lock.hasTimedOut:
             for rows in batches:
-                rows = rows[["event_time", "transaction_id"]]
-                parts.append(rows.assign(event_time=rows["event_time"].to_numpy("datetime64[us]").astype("int64")))
-        waiting = pd.concat([p for p in parts if len(p)] or parts[:1])
-        waiting = waiting.sort_values(["event_time", "transaction_id"], ignore_index=True)
-        times = waiting["event_time"].to_numpy("int64")
+                times.append(rows["event_time"].to_numpy("datetime64[us]").astype("int64"))
+                ids += rows["transaction_id"].tolist()
+        times = np.concatenate(times)
+        if len(ids) > 1:  # most keys have one attempt, which needs no order
+            waiting = pd.DataFrame({"time": times, "id": pd.Series(ids, dtype=object)})
+            waiting = waiting.sort_values(["time", "id"])
+            times, ids = waiting["time"].to_numpy("int64"), waiting["id"].tolist()
         passed = lock.getCurrentWatermarkMs()
         # In whole milliseconds, rounded up, as the timeout below.
         final = int(np.searchsorted(-(-times // 1000), passed, side="left"))
@@ -78,19 +80,15 @@ def lock_stream(
             last = int(times[start])
             start = int(np.searchsorted(times[:final], last + window, side="right"))
         if final < len(times) or (last is not None and last + window > passed * 1000):
-            lock.update((last, times[final:].tolist(), waiting["transaction_id"].tolist()[final:]))
+            lock.update((last, times[final:].tolist(), ids[final:]))
             wake = times[final] if final < len(times) else last + window
             lock.setTimeoutTimestamp(max(-(-int(wake) // 1000), passed + 1))
         else:
             lock.remove()
         if final:
-            done = waiting[:final]
-            marked = done.assign(
-                event_time=pd.to_datetime(done["event_time"], unit="us", utc=True).dt.tz_localize(None),
-                accepted=accepted,
-                **dict(zip(keys, key)),
-            )
-            yield marked[columns]
+            made_at = times[:final].astype("datetime64[us]")
+            marks = {"transaction_id": ids[:final], "event_time": made_at, "accepted": accepted}
+            yield pd.DataFrame({**dict(zip(keys, key)), **marks}, columns=columns)
 
     return stream.groupBy(*keys).applyInPandasWithState(
         mark, output, state, "append", GroupStateTimeout.EventTimeTimeout
