@@ -16,6 +16,8 @@ RAW_SCHEMAS = {
     "transactions": S.RAW_TRANSACTIONS,
     "stage_events": S.STAGE_EVENTS,
 }
+# More paths than this are joined without a broadcast hint.
+BROADCAST_PATHS = 100_000
 CLEAN_SCHEMAS = {**RAW_SCHEMAS, "transactions": S.TRANSACTIONS}
 
 
@@ -51,19 +53,28 @@ def read_clean(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 
 def with_file_order(raw: DataFrame, column: str = "ingest_seq") -> DataFrame:
-    """Add the place of each row in the files it was read from.
+    """Add the place of each row in the files it was read from, as one whole number.
 
-    The place is (file, start of the file split, row of the split). Splits are
-    packed into tasks in any order, so a row number alone would not do. Apply it
-    directly to the frame returned by a file reader.
+    The place is (file by path, start of the file split, row of the split), packed
+    into a decimal, which sorts and aggregates at a fixed width. Splits are packed into
+    tasks in any order, so a row number alone would not do. Apply it directly to the
+    frame returned by a file reader. The paths, which Spark lists to plan the scan
+    anyway, become numbers by a join with their list; a single file needs none.
     """
-    return raw.withColumn(
-        column,
-        F.struct(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("split_start"),
-            F.monotonically_increasing_id().alias("row"),
-        ),
+    paths = sorted(raw.inputFiles())
+    # Numbers of rows within a partition take 33 bits of the id, splits start below 2 ** 42.
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).cast("decimal(11,0)")
+    start = F.col("_metadata.file_block_start").cast("decimal(13,0)")
+    within = start * F.lit(str(1 << 33)).cast("decimal(10,0)") + row
+    if len(paths) < 2:
+        return raw.withColumn(column, within.cast("decimal(38,0)"))
+    files = raw.sparkSession.createDataFrame(list(enumerate(paths)), "_file_number long, _file_path string")
+    files = F.broadcast(files) if len(paths) <= BROADCAST_PATHS else files
+    number = F.coalesce("_file_number", F.raise_error(F.concat(F.lit("file not listed: "), "_path")).cast("long"))
+    first = number.cast("decimal(8,0)") * F.lit(str(1 << 75)).cast("decimal(23,0)")
+    placed = raw.withColumns({"_path": F.input_file_name(), "_within": within})
+    return placed.join(files, F.col("_path") == F.col("_file_path"), "left").select(
+        *raw.columns, (first + F.col("_within")).cast("decimal(38,0)").alias(column)
     )
 
 

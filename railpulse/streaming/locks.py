@@ -34,12 +34,13 @@ def lock_stream(
     An attempt waits in the state until the watermark has passed its time; then no
     earlier one can come, and its mark is final. So the marks follow event time alone
     and do not depend on where micro-batches end. Keys share states by hash, so one
-    Python call serves many keys (as JSON text, which keeps numbers and strings); ``buckets`` is their number, by default in proportion
-    to the shuffle partitions of the session. A state is its keys' waiting attempts and
-    the times of their locks; a lock is dropped once the watermark has passed its end. A
-    task holds the attempts of a bucket that came in a micro-batch and in the delay: give
-    the source a limit per trigger. Attempts without a time are left out; those later than
-    the watermark allows are dropped, as in every stream.
+    Python call serves many keys (as JSON text, which keeps numbers and strings);
+    ``buckets`` is their number, by default in proportion to the shuffle partitions of
+    the session. A state is its keys' waiting attempts and the times of their locks; a
+    lock is dropped once the watermark has passed its end. A task holds the attempts of
+    a bucket that came in a micro-batch and in the delay: give the source a limit per
+    trigger. Attempts without a time are left out; those later than the watermark allows
+    are dropped, as in every stream.
     :func:`railpulse.operators.duplicates.lock_windows` keeps one row per lock and
     needs no Python.
     """

@@ -174,6 +174,29 @@ def test_files_end_to_end(spark, tmp_path):
     assert spark.sql("select count(*) from clean_transactions").first()[0] == 1
 
 
+def test_order_over_several_files(spark, tmp_path):
+    folder = tmp_path / "raw files"  # a path that is written differently in addresses
+    folder.mkdir()
+    for part in range(3):
+        lines = [f"P{part}-{line},{'x' * 50}" for line in range(40)]
+        (folder / f"part-{part}.csv").write_text("\n".join(["id,filler", *lines, ""]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        df = tables.with_file_order(spark.read.csv(str(folder), header=True))
+        got = [r.id for r in df.orderBy("ingest_seq").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [f"P{part}-{line}" for part in range(3) for line in range(40)]
+
+
+def test_audit_in_file_order_needs_no_sort(spark, tmp_path):
+    raw_dir = str(tmp_path / "raw")
+    os.makedirs(raw_dir)
+    _write_raw_csv(raw_dir)
+    audit = quality.dq_audit_summary(tables.with_file_order(tables.read_raw(spark, raw_dir)["transactions"]))
+    assert "SortAggregate" not in audit._jdf.queryExecution().executedPlan().toString()
+
+
 def test_wrong_header_is_refused(spark, tmp_path):
     path = tmp_path / "banks.csv"
     path.write_text("bank_id,bank_type,bank_name\nB,PSU,First\n")
