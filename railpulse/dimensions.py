@@ -94,6 +94,10 @@ AMOUNT_BUCKETS = [
 ]
 LARGE_LABEL = "5. Very High (> Rs 10000)"
 
+# Age groups and networks of the data model.
+AGE_GROUPS = ["18-24", "25-34", "35-44", "45-59", "60+"]
+NETWORKS = ["4G", "5G", "WiFi", "3G"]
+
 # Retry policy.
 AUTO_RETRY = "RECOMMENDED FOR AUTO-RETRY / SMART RETRY"
 NO_RETRY = "DO NOT AUTO-RETRY (Hard Business Decline / Security / Balance)"

@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 from railpulse import dimensions as D
 
-AGE_GROUPS = ["18-24", "25-34", "35-44", "45-59", "60+"]
-NETWORKS = ["4G", "5G", "WiFi", "3G"]
 APPS = ["APP1", "APP2", "APP3", "APP4", "APP5"]
 
 # Schemas of the test tables, so that no job is spent on reading them from files.
@@ -60,7 +58,7 @@ def transactions_from(events: DataFrame) -> DataFrame:
         "ts as timestamp",
         "CASE WHEN k % 20 < 9 THEN 'P2P' ELSE 'P2M' END as transaction_type",
         "event_id % 200 as device_id",
-        f"{_pick('event_id % 4', NETWORKS)} as network_type",
+        f"{_pick('event_id % 4', D.NETWORKS)} as network_type",
         f"{_pick('event_id % 5', APPS)} as payment_app",
         f"CASE WHEN {is_failed} THEN 'FAILED' ELSE 'SUCCESS' END as final_status",
         f"{_failure_code(is_failed, 'event_id')} as failure_code",
@@ -162,7 +160,7 @@ class StarTables:
             "date_add(date'2023-01-01', cast(c_custkey * 37 % 1200 as int)) as signup_date",
             "c_mktsegment as user_segment",
             "n_name as state",
-            f"{_pick('c_custkey % 5', AGE_GROUPS)} as age_group",
+            f"{_pick('c_custkey % 5', D.AGE_GROUPS)} as age_group",
             "cast(1335 - c_custkey * 37 % 1200 as int) as tenure_days",
         )
 

@@ -73,6 +73,18 @@ def test_hot_key_is_spread(spark):
     assert largest <= 25
 
 
+def test_dense_seconds_are_cut_and_sparse_ones_stay_whole(spark):
+    """A busy second falls into microseconds, a busy minute into seconds, others stay minutes."""
+    from railpulse.operators.neighbours import _cut_hot_groups
+
+    at = [i * 10 for i in range(100)] + [60_000_000 + i * 500_000 for i in range(100)] + [180_000_000 + i for i in range(15)]
+    rows = [(key, i, START + timedelta(microseconds=t)) for key in range(40) for i, t in enumerate(at)]
+    df = spark.createDataFrame(rows, "k int, id int, t timestamp_ntz")
+    cut = _cut_hot_groups(df, ["k"], "t", "id", 20).groupBy("k", "_slice").count()
+    assert cut.agg(F.max("count")).first()[0] <= 20
+    assert cut.groupBy("k").count().select("count").distinct().collect()[0][0] == 100 + 50 + 1
+
+
 def test_no_hot_keys_leaves_a_plain_window(spark):
     df = with_next(attempts(spark), ["user_id"], "timestamp", "transaction_id", ["amount"])
     df.collect()

@@ -10,7 +10,7 @@ from railpulse.sources.star import StarTables
 
 FOLDER = "/root/testdata/sf0.001"
 # Queries that write files or run a stream to get their rows.
-RUNS = {"publish_dims", "lock_stream", "lock_windows_stream", "bank_health_stream"}
+RUNS = {"publish_dims"} | {name for name in all_queries() if "stream" in name}
 BATCH = sorted(set(all_queries()) - RUNS)
 
 
@@ -47,6 +47,11 @@ def test_groups_are_computed_once(spark):
     assert plan.count("FileScan") == 1
 
 
+def test_funnel_reads_the_stages_once(spark):
+    plan = plan_of(all_queries()["funnel"](spark, FOLDER))
+    assert plan.count("lineitem.parquet") == 1
+
+
 def test_audit_shuffles_valid_rows_once(spark):
     plan = _final(quality.dq_audit_summary(StarTables(spark, FOLDER).raw_transactions()))
     assert plan.count("FileScan") == 2 and "ReusedExchange" in plan
