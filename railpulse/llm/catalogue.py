@@ -46,7 +46,8 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
     return {
-        "op1_line_dedup": _on_documents(lines.report),
+        "op1_line_dedup": _on_documents(lines.sql_report),
+        "op1_line_templates": _on_documents(lines.report),
         "op2_warc_revisits": warc.round_trip,
         "op3_token_counts": _on_documents(lambda docs: tokens.count_tokens(docs, byte_bpe())),
         "op4_nearest_vectors": _nearest,

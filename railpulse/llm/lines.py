@@ -9,8 +9,10 @@ from railpulse.llm.common import stage
 
 # Leading tokens that lead to a leaf, and pieces into which the tokens after them are cut.
 DEPTH, PIECES = 8, 8
-# Documents in which a template must occur to be dropped.
-MIN_DOCS = 5
+# Documents in which a short template must occur to be dropped, and a long one.
+MIN_DOCS, LONG_DOCS = 5, 2
+# A long template has so many tokens, and so many of the leading ones are no fields.
+LONG_TOKENS, LONG_WORDS = 9, 6
 BLANKS = r"[ \t\r\f\x0B]+"
 VARIABLE, FIELD = r"[^ ]*[0-9][^ ]*", "<*>"
 LETTER = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]"
@@ -21,7 +23,8 @@ def parsed_lines(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
 
     Tokens with a digit are variable fields. A line of fields and marks only, or a
     blank one, is no template. ``leaf`` stands for the first ``depth`` tokens, ``line``
-    for all of them, ``p0`` to ``p7`` for consecutive pieces of the rest.
+    for all of them, ``p0`` to ``p7`` for consecutive pieces of the rest. All lines of a
+    leaf are ``long``, or none is.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
@@ -35,6 +38,7 @@ def parsed_lines(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         part = F.array_join(F.slice("tokens", depth + 1 + i * width, width), " ")
         return F.when(F.col("n") > depth, F.hash(part)).otherwise(0).alias(f"p{i}")
 
+    words = F.size(F.array_remove(F.slice("tokens", 1, depth), FIELD))
     return rows.select(
         "doc",
         "content",
@@ -42,12 +46,13 @@ def parsed_lines(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         "n",
         F.xxhash64(F.array_join(F.slice("tokens", 1, depth), " ")).alias("leaf"),
         F.xxhash64("line").alias("line"),
+        ((F.col("n") >= LONG_TOKENS) & (words >= LONG_WORDS)).alias("long"),
         *[piece(i) for i in range(PIECES)],
     )
 
 
-def recurring(lines: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
-    """Templates in at least ``min_docs`` documents, each with its first document.
+def recurring(lines: DataFrame, min_docs: int = MIN_DOCS, long_docs: int = LONG_DOCS) -> tuple[DataFrame, DataFrame]:
+    """Templates in at least ``min_docs`` documents, long ones in ``long_docs``, each with its first document.
 
     A leaf is a template if at least half of its pieces are the same in all its
     lines; the others are variable fields. Lines of other leaves are templates by
@@ -55,25 +60,28 @@ def recurring(lines: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, Da
     a frequent template.
     """
     p = [f"p{i}" for i in range(PIECES)]
+    enough = F.col("docs") >= F.when(F.col("long"), long_docs).otherwise(min_docs)
     low, high = [F.min(c).alias(f"{c}_low") for c in p], [F.max(c).alias(f"{c}_high") for c in p]
-    leaves = lines.groupBy("n", "leaf", "doc").agg(*low, *high)
-    leaves = leaves.groupBy("n", "leaf").agg(
+    leaves = lines.groupBy("n", "leaf", "long", "doc").agg(*low, *high)
+    leaves = leaves.groupBy("n", "leaf", "long").agg(
         F.count(F.lit(1)).alias("docs"),
         F.min("doc").alias("first"),
         *[F.min(f"{c}_low").alias(f"{c}_low") for c in p],
         *[F.max(f"{c}_high").alias(f"{c}_high") for c in p],
     )
     constant = sum((F.col(f"{c}_low") == F.col(f"{c}_high")).cast("int") for c in p)
-    leaves = leaves.where(F.col("docs") >= min_docs).select("n", "leaf", "first", (2 * constant >= PIECES).alias("whole"))
+    leaves = leaves.where(enough).select("n", "leaf", "first", (2 * constant >= PIECES).alias("whole"))
     leaves = stage(leaves, "line-leaves")
     loose = leaves.where("not whole").select(F.col("n").alias("_n"), F.col("leaf").alias("_leaf"))
     own = lines.join(loose, (F.col("n") == F.col("_n")) & (F.col("leaf") == F.col("_leaf")), "left_semi")
-    own = own.groupBy("n", "leaf", "line", "doc").agg(F.lit(1).alias("one")).groupBy("n", "leaf", "line")
-    own = own.agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("first")).where(F.col("docs") >= min_docs)
+    own = own.groupBy("n", "leaf", "line", "long", "doc").agg(F.lit(1).alias("one")).groupBy("n", "leaf", "line", "long")
+    own = own.agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("first")).where(enough)
     return leaves.where("whole").select("n", "leaf", "first"), stage(own.select("n", "leaf", "line", "first"), "line-own")
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH) -> DataFrame:
+def drop_recurring_lines(
+    docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, long_docs: int = LONG_DOCS
+) -> DataFrame:
     """The documents without lines whose template recurs across documents.
 
     The document with the smallest doc_id (NULL last) that has a template keeps its
@@ -85,7 +93,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int =
     with one doc_id count as one document. Order among ties plays no part.
     """
     lines = stage(parsed_lines(docs, depth), "lines")
-    whole, own = recurring(lines, min_docs)
+    whole, own = recurring(lines, min_docs, long_docs)
     a = whole.select(F.col("n").alias("_n"), F.col("leaf").alias("_leaf"), F.col("first").alias("_first"))
     b = own.select(F.col("n").alias("_n"), F.col("leaf").alias("_leaf"), F.col("line").alias("_line"), F.col("first").alias("_first"))
     leaf = (F.col("n") == F.col("_n")) & (F.col("leaf") == F.col("_leaf"))
@@ -115,7 +123,16 @@ def without_recurring_lines(docs: DataFrame) -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     """Per document: number of lines, of dropped lines, and a digest of the kept text."""
-    return drop_recurring_lines(docs.select("doc_id", "text")).select(
+    return _counted(drop_recurring_lines(docs.select("doc_id", "text")))
+
+
+def sql_report(docs: DataFrame) -> DataFrame:
+    """The report by the rule of the query's SQL, which has one bar for lines of any length."""
+    return _counted(drop_recurring_lines(docs.select("doc_id", "text"), long_docs=MIN_DOCS))
+
+
+def _counted(cleaned: DataFrame) -> DataFrame:
+    return cleaned.select(
         "doc_id",
         F.col("_ld_lines").alias("n_lines"),
         F.col("_ld_dropped").alias("n_dropped"),

@@ -86,6 +86,20 @@ def test_lines(spark):
     assert lines.report(spark.createDataFrame(loose, "doc_id long, text string")).agg(F.sum("n_dropped")).first()[0] == 0
 
 
+def dropped(spark, rows):
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    return {r.doc_id: r.n_dropped for r in lines.report(d).collect()}
+
+
+def test_long_lines_recur_from_two_documents_on(spark):
+    long = " ".join(f"{c}{d}" for c in "abcdef" for d in "uvwxyz")
+    numbers = " ".join(map(str, range(12)))
+    rows = [(i, f"{long}\nShort notice\n{numbers} kg\n" + "own" * (i + 1)) for i in range(2)]
+    rows += [(i, "Short notice\n" + "own" * (i + 1)) for i in range(2, 4)]
+    assert dropped(spark, rows) == {0: 0, 1: 1, 2: 0, 3: 0}
+    assert dropped(spark, [*rows, (4, "Short notice")]) == {0: 0, 1: 2, 2: 1, 3: 1, 4: 1}
+
+
 def test_warc(spark, tmp_path):
     payloads = [b"<a>", b"<b>\r\n\r\nWARC/1.1\r\n", b"", None, b"<a>", bytes(range(256)) * 400, b"<a>", b"<b>\r\n\r\nWARC/1.1\r\n"]
     rows = [(f"r{i}", i, f"http://x/{i}\n?" if i % 3 else None, p, "clash") for i, p in enumerate(payloads)]
