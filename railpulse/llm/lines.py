@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from railpulse.llm.common import stage
@@ -51,13 +53,10 @@ def parsed_lines(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     )
 
 
-def recurring(lines: DataFrame, min_docs: int = MIN_DOCS, long_docs: int = LONG_DOCS) -> tuple[DataFrame, DataFrame]:
-    """Templates in at least ``min_docs`` documents, long ones in ``long_docs``, each with its first document.
+def _leaves(lines: DataFrame, min_docs: int, long_docs: int) -> tuple[DataFrame, Column]:
+    """Leaves of enough documents, with ``constant``, the pieces that all their lines share; and what is enough.
 
-    A leaf is a template if at least half of its pieces are the same in all its
-    lines; the others are variable fields. Lines of other leaves are templates by
-    themselves. Documents are counted by partial sums, so no task sees all lines of
-    a frequent template.
+    Documents are counted by partial sums, so no task sees all lines of a frequent template.
     """
     p = [f"p{i}" for i in range(PIECES)]
     enough = F.col("docs") >= F.when(F.col("long"), long_docs).otherwise(min_docs)
@@ -70,22 +69,74 @@ def recurring(lines: DataFrame, min_docs: int = MIN_DOCS, long_docs: int = LONG_
         *[F.max(f"{c}_high").alias(f"{c}_high") for c in p],
     )
     constant = sum((F.col(f"{c}_low") == F.col(f"{c}_high")).cast("int") for c in p)
-    leaves = leaves.where(enough).select("n", "leaf", "first", (2 * constant >= PIECES).alias("whole"))
-    leaves = stage(leaves, "line-leaves")
-    loose = leaves.where("not whole").select(F.col("n").alias("_n"), F.col("leaf").alias("_leaf"))
+    leaves = leaves.where(enough).select("n", "leaf", "first", constant.alias("constant"))
+    return stage(leaves, "line-leaves"), enough
+
+
+def _in_leaves(lines: DataFrame, leaves: DataFrame) -> DataFrame:
+    """The lines of the given leaves but those of a leaf's first document.
+
+    Both sides come from files, so Spark splits the partition of a frequent template.
+    """
+    a = leaves.select(F.col("n").alias("_n"), F.col("leaf").alias("_leaf"), F.col("first").alias("_first"))
+    same = (F.col("n") == F.col("_n")) & (F.col("leaf") == F.col("_leaf"))
+    return lines.join(a, same).where("doc <> _first").select("doc", "content", "at")
+
+
+def constant_leaves(lines: DataFrame, min_docs: int = MIN_DOCS, long_docs: int = MIN_DOCS) -> DataFrame:
+    """Lines to drop, (doc, content, at), by the rule of the query's SQL.
+
+    A leaf is a template if at least half of its pieces are the same in all its
+    lines; the others are variable fields. Lines of other leaves are templates by
+    themselves.
+    """
+    leaves, enough = _leaves(lines, min_docs, long_docs)
+    whole = 2 * F.col("constant") >= PIECES
+    loose = leaves.where(~whole).select(F.col("n").alias("_n"), F.col("leaf").alias("_leaf"))
     own = lines.join(loose, (F.col("n") == F.col("_n")) & (F.col("leaf") == F.col("_leaf")), "left_semi")
     own = own.groupBy("n", "leaf", "line", "long", "doc").agg(F.lit(1).alias("one")).groupBy("n", "leaf", "line", "long")
     own = own.agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("first")).where(enough)
-    return leaves.where("whole").select("n", "leaf", "first"), stage(own.select("n", "leaf", "line", "first"), "line-own")
+    own = stage(own.select(*[F.col(c).alias(f"_{c}") for c in ("n", "leaf", "line", "first")]), "line-own")
+    same = (F.col("n") == F.col("_n")) & (F.col("leaf") == F.col("_leaf")) & (F.col("line") == F.col("_line"))
+    gone = lines.join(own, same).where("doc <> _first").select("doc", "content", "at")
+    return _in_leaves(lines, leaves.where(whole)).union(gone)
+
+
+def recurring_pieces(lines: DataFrame, min_docs: int = MIN_DOCS, long_docs: int = LONG_DOCS) -> DataFrame:
+    """Lines to drop, (doc, content, at): those of which at least half of the pieces recur.
+
+    A piece recurs if enough documents have it at its place in a line of the leaf,
+    and one of them is earlier. Whatever else a leaf holds plays no part, so an odd
+    line keeps only itself out, and several templates may share a leaf. Most leaves
+    have one line in all documents; only the others are cut into their pieces.
+    """
+    leaves, enough = _leaves(lines, min_docs, long_docs)
+    mixed = leaves.where(F.col("constant") < PIECES).select(F.col("n").alias("_n"), F.col("leaf").alias("_leaf"))
+    parts = lines.join(mixed, (F.col("n") == F.col("_n")) & (F.col("leaf") == F.col("_leaf")), "left_semi")
+    parts = parts.select("doc", "content", "at", "long", "n", "leaf", F.posexplode(F.array(*[f"p{i}" for i in range(PIECES)])).alias("i", "p"))
+    parts = parts.select("doc", "content", "at", "long", "i", F.xxhash64("n", "leaf", "i", "p").alias("piece"))
+    parts = stage(parts, "line-parts")
+    seen = parts.groupBy("piece", "long", "doc").agg(F.lit(1).alias("one")).groupBy("piece", "long")
+    seen = seen.agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("first")).where(enough)
+    seen = stage(seen.select(F.col("piece").alias("_piece"), F.col("first").alias("_first")), "line-pieces")
+    again = parts.join(seen, F.col("piece") == F.col("_piece")).where("doc <> _first")
+    # Bits, since repeated rows have their pieces more than once.
+    again = again.groupBy("doc", "content", "at").agg(F.bit_or(F.expr("shiftleft(1, i)")).alias("again"))
+    gone = again.where(2 * F.bit_count("again") >= PIECES).select("doc", "content", "at")
+    return _in_leaves(lines, leaves.where(F.col("constant") == PIECES)).union(gone)
 
 
 def drop_recurring_lines(
-    docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, long_docs: int = LONG_DOCS
+    docs: DataFrame,
+    min_docs: int = MIN_DOCS,
+    depth: int = DEPTH,
+    long_docs: int = LONG_DOCS,
+    rule: Callable[[DataFrame, int, int], DataFrame] = recurring_pieces,
 ) -> DataFrame:
     """The documents without lines whose template recurs across documents.
 
-    The document with the smallest doc_id (NULL last) that has a template keeps its
-    lines of it, so nothing is lost altogether. The text loses the dropped lines;
+    The document with the smallest doc_id (NULL last) that has a piece of a template
+    keeps it, unless half of its line recurs from earlier ones. The text loses the dropped lines;
     blank lines and lines without letters stay. ``_ld_lines`` counts all lines and
     ``_ld_dropped`` the dropped ones; other columns pass unread, whatever their names.
 
@@ -93,14 +144,7 @@ def drop_recurring_lines(
     with one doc_id count as one document. Order among ties plays no part.
     """
     lines = stage(parsed_lines(docs, depth), "lines")
-    whole, own = recurring(lines, min_docs, long_docs)
-    a = whole.select(F.col("n").alias("_n"), F.col("leaf").alias("_leaf"), F.col("first").alias("_first"))
-    b = own.select(F.col("n").alias("_n"), F.col("leaf").alias("_leaf"), F.col("line").alias("_line"), F.col("first").alias("_first"))
-    leaf = (F.col("n") == F.col("_n")) & (F.col("leaf") == F.col("_leaf"))
-    # Both sides come from files, so Spark splits the partition of a frequent template.
-    gone = lines.select("doc", "content", "at", "n", "leaf", "line")
-    gone = gone.join(a, leaf).union(gone.join(b, leaf & (F.col("line") == F.col("_line"))).drop("_line"))
-    gone = gone.where("doc <> _first").groupBy("doc", "content").agg(F.collect_set("at").alias("_ld_gone"))
+    gone = rule(lines, min_docs, long_docs).groupBy("doc", "content").agg(F.collect_set("at").alias("_ld_gone"))
     gone = stage(gone.select(F.col("doc").alias("_ld_doc"), F.col("content").alias("_ld_content"), "_ld_gone"), "line-drops")
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
     joined = docs.join(gone, (ids == F.col("_ld_doc")) & (F.xxhash64("text") == F.col("_ld_content")), "left")
@@ -127,8 +171,8 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def sql_report(docs: DataFrame) -> DataFrame:
-    """The report by the rule of the query's SQL, which has one bar for lines of any length."""
-    return _counted(drop_recurring_lines(docs.select("doc_id", "text"), long_docs=MIN_DOCS))
+    """The report by the rule of the query's SQL: constant leaves, one bar for lines of any length."""
+    return _counted(drop_recurring_lines(docs.select("doc_id", "text"), long_docs=MIN_DOCS, rule=constant_leaves))
 
 
 def _counted(cleaned: DataFrame) -> DataFrame:

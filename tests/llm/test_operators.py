@@ -100,6 +100,20 @@ def test_long_lines_recur_from_two_documents_on(spark):
     assert dropped(spark, [*rows, (4, "Short notice")]) == {0: 0, 1: 2, 2: 1, 3: 1, 4: 1}
 
 
+def test_odd_lines_keep_only_themselves_out(spark):
+    head = "a b c d e f g h"
+    line = [f"w{c}" for c in "abcdefghijklmnopqrstuvwxyzABCDEF"]
+    other = [f"v{c}" for c in "abcdefghijklmnopqrstuvwxyzABCDEF"]
+
+    def changed(words, at):
+        return f"{head} " + " ".join("odd" + "x" * at if i % 16 == at else w for i, w in enumerate(words))
+
+    rows = [(0, f"{head} " + " ".join("q" * (i + 1) for i in range(32)))]  # an outlier comes first
+    rows += [(i, changed(line, i)) for i in range(1, 9)] + [(i, changed(other, i)) for i in range(9, 12)]
+    rows += [(3, rows[3][1])]
+    assert dropped(spark, rows) == {i: int(i not in (0, 1, 9)) for i in range(12)}
+
+
 def test_warc(spark, tmp_path):
     payloads = [b"<a>", b"<b>\r\n\r\nWARC/1.1\r\n", b"", None, b"<a>", bytes(range(256)) * 400, b"<a>", b"<b>\r\n\r\nWARC/1.1\r\n"]
     rows = [(f"r{i}", i, f"http://x/{i}\n?" if i % 3 else None, p, "clash") for i, p in enumerate(payloads)]
