@@ -25,7 +25,8 @@ def parsed_lines(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
 
     Tokens with a digit are variable fields. A line of fields and marks only, or a
     blank one, is no template. ``leaf`` stands for the first ``depth`` tokens, ``line``
-    for all of them, ``p0`` to ``p7`` for consecutive pieces of the rest. All lines of a
+    for all of them, ``p0`` to ``p7`` for consecutive pieces of the rest, of which the
+    first ``pieces`` are not empty. All lines of a
     leaf are ``long``, or none is.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -48,6 +49,7 @@ def parsed_lines(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         "n",
         F.xxhash64(F.array_join(F.slice("tokens", 1, depth), " ")).alias("leaf"),
         F.xxhash64("line").alias("line"),
+        F.when(F.col("n") > depth, F.ceil((F.col("n") - depth) / width)).otherwise(0).cast("int").alias("pieces"),
         ((F.col("n") >= LONG_TOKENS) & (words >= LONG_WORDS)).alias("long"),
         *[piece(i) for i in range(PIECES)],
     )
@@ -108,21 +110,23 @@ def recurring_pieces(lines: DataFrame, min_docs: int = MIN_DOCS, long_docs: int
     A piece recurs if enough documents have it at its place in a line of the leaf,
     and one of them is earlier. Whatever else a leaf holds plays no part, so an odd
     line keeps only itself out, and several templates may share a leaf. Most leaves
-    have one line in all documents; only the others are cut into their pieces.
+    have one line in all documents; only the others are cut into their pieces. Empty
+    pieces after the end of a line do not count.
     """
     leaves, enough = _leaves(lines, min_docs, long_docs)
     mixed = leaves.where(F.col("constant") < PIECES).select(F.col("n").alias("_n"), F.col("leaf").alias("_leaf"))
     parts = lines.join(mixed, (F.col("n") == F.col("_n")) & (F.col("leaf") == F.col("_leaf")), "left_semi")
-    parts = parts.select("doc", "content", "at", "long", "n", "leaf", F.posexplode(F.array(*[f"p{i}" for i in range(PIECES)])).alias("i", "p"))
-    parts = parts.select("doc", "content", "at", "long", "i", F.xxhash64("n", "leaf", "i", "p").alias("piece"))
+    real = F.slice(F.array(*[f"p{i}" for i in range(PIECES)]), 1, F.col("pieces"))
+    parts = parts.select("doc", "content", "at", "long", "pieces", "n", "leaf", F.posexplode(real).alias("i", "p"))
+    parts = parts.select("doc", "content", "at", "long", "pieces", "i", F.xxhash64("n", "leaf", "i", "p").alias("piece"))
     parts = stage(parts, "line-parts")
     seen = parts.groupBy("piece", "long", "doc").agg(F.lit(1).alias("one")).groupBy("piece", "long")
     seen = seen.agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("first")).where(enough)
     seen = stage(seen.select(F.col("piece").alias("_piece"), F.col("first").alias("_first")), "line-pieces")
     again = parts.join(seen, F.col("piece") == F.col("_piece")).where("doc <> _first")
     # Bits, since repeated rows have their pieces more than once.
-    again = again.groupBy("doc", "content", "at").agg(F.bit_or(F.expr("shiftleft(1, i)")).alias("again"))
-    gone = again.where(2 * F.bit_count("again") >= PIECES).select("doc", "content", "at")
+    again = again.groupBy("doc", "content", "at", "pieces").agg(F.bit_or(F.expr("shiftleft(1, i)")).alias("again"))
+    gone = again.where(2 * F.bit_count("again") >= F.col("pieces")).select("doc", "content", "at")
     return _in_leaves(lines, leaves.where(F.col("constant") == PIECES)).union(gone)
 
 

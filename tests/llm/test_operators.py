@@ -114,6 +114,37 @@ def test_odd_lines_keep_only_themselves_out(spark):
     assert dropped(spark, rows) == {i: int(i not in (0, 1, 9)) for i in range(12)}
 
 
+def brute_dropped(rows):
+    placed, seen = [], {}
+    for doc, text in rows:
+        for line in text.split("\n"):
+            t = ["<*>" if any(c.isdigit() for c in w) else w for w in line.split()]
+            width = -(-(len(t) - 8) // 8)
+            pieces = [t[a : a + width] for a in range(8, len(t), width)] if len(t) > 8 else [[]]
+            bar = 2 if len(t) >= 9 and t[:8].count("<*>") <= 2 else 5
+            keys = [(len(t), *t[:8], i, *p) for i, p in enumerate(pieces)] if any(w != "<*>" for w in t) else []
+            placed.append((doc, bar, keys))
+            for k in keys:
+                seen.setdefault(k, set()).add(doc)
+    out = dict.fromkeys((doc for doc, _ in rows), 0)
+    for doc, bar, keys in placed:
+        again = sum(len(seen[k]) >= bar and min(seen[k]) < doc for k in keys)
+        out[doc] += bool(keys) and 2 * again >= len(keys)
+    return out
+
+
+def test_short_lines_that_share_only_their_beginning_stay(spark):
+    ends = {n: [" ".join(f"{c}{'z' * (n * i + 1)}" for c in "abcdefg"[: n - 8]) for i in range(6)] for n in range(9, 16)}
+    rows = [(i, "\n".join(f"{head} {e[i]}" for e in ends.values() for head in ("1 2 3 4 5 6 7 8", "s t u v w x y z"))) for i in range(6)]
+    assert dropped(spark, rows) == dict.fromkeys(range(6), 0)
+    rng = random.Random(4)
+    heads = ["a b c d e f g h", "a b c d e 1 2 3", "a b c 9 8 7 6 5"]
+    tails = [["p", "q", f"r{'r' * k}"] for k in range(40)]
+    made = [(i, "\n".join(f"{rng.choice(heads)} " + " ".join(rng.choice(rng.choice(tails)) for _ in range(rng.randint(0, 12))) for _ in range(4))) for i in range(60)]
+    expected = brute_dropped(made)
+    assert dropped(spark, made) == expected and 20 < sum(expected.values()) < 220
+
+
 def test_warc(spark, tmp_path):
     payloads = [b"<a>", b"<b>\r\n\r\nWARC/1.1\r\n", b"", None, b"<a>", bytes(range(256)) * 400, b"<a>", b"<b>\r\n\r\nWARC/1.1\r\n"]
     rows = [(f"r{i}", i, f"http://x/{i}\n?" if i % 3 else None, p, "clash") for i, p in enumerate(payloads)]
