@@ -17,10 +17,23 @@ MIN_DOCS, LONG_DOCS = 5, 2
 LONG_TOKENS, LONG_WORDS = 9, 6
 BLANKS = r"[ \t\r\f\x0B]+"
 VARIABLE, FIELD = r"[^ ]*[0-9][^ ]*", "<*>"
+# Whether a document is not the first: of a template's documents without id, that of the smallest number.
+LATER = "doc <> _first or anon > 0 and anon <> _first_anon"
 LETTER = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]"
 
 
-def parsed_lines(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+def ids_of() -> Column:
+    """The doc_id; the largest one for NULL."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+
+
+def anonymous(by_text: bool = True) -> Column:
+    """A positive number by text for rows without doc_id, 0 for others; 0 for all if not ``by_text``."""
+    number = F.xxhash64("text").bitwiseAND(F.lit((1 << 63) - 1)).bitwiseOR(F.lit(1))
+    return F.when(F.col("doc_id").isNull() & F.lit(by_text), number).otherwise(F.lit(0).cast("long"))
+
+
+def parsed_lines(docs: DataFrame, depth: int = DEPTH, by_text: bool = True) -> DataFrame:
     """Where each line falls in the tree, as hashes: a row per line that can be a template.
 
     Tokens with a digit are variable fields. A line of fields and marks only, or a
@@ -30,8 +43,7 @@ def parsed_lines(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     leaf are ``long``, or none is.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-    rows = docs.select(ids.alias("doc"), F.xxhash64("text").alias("content"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
+    rows = docs.select(ids_of().alias("doc"), anonymous(by_text).alias("anon"), F.xxhash64("text").alias("content"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
     plain = F.regexp_replace(F.trim(F.regexp_replace("line", BLANKS, " ")), VARIABLE, FIELD)
     rows = rows.withColumn("line", plain).where(F.col("line").rlike(LETTER)).withColumn("tokens", F.split("line", " "))
     rows = rows.withColumn("n", F.size("tokens"))
@@ -44,6 +56,7 @@ def parsed_lines(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     words = F.size(F.array_remove(F.slice("tokens", 1, depth), FIELD))
     return rows.select(
         "doc",
+        "anon",
         "content",
         "at",
         "n",
@@ -63,15 +76,16 @@ def _leaves(lines: DataFrame, min_docs: int, long_docs: int) -> tuple[DataFrame,
     p = [f"p{i}" for i in range(PIECES)]
     enough = F.col("docs") >= F.when(F.col("long"), long_docs).otherwise(min_docs)
     low, high = [F.min(c).alias(f"{c}_low") for c in p], [F.max(c).alias(f"{c}_high") for c in p]
-    leaves = lines.groupBy("n", "leaf", "long", "doc").agg(*low, *high)
+    leaves = lines.groupBy("n", "leaf", "long", "doc", "anon").agg(*low, *high)
     leaves = leaves.groupBy("n", "leaf", "long").agg(
         F.count(F.lit(1)).alias("docs"),
         F.min("doc").alias("first"),
+        F.min("anon").alias("first_anon"),
         *[F.min(f"{c}_low").alias(f"{c}_low") for c in p],
         *[F.max(f"{c}_high").alias(f"{c}_high") for c in p],
     )
     constant = sum((F.col(f"{c}_low") == F.col(f"{c}_high")).cast("int") for c in p)
-    leaves = leaves.where(enough).select("n", "leaf", "first", constant.alias("constant"))
+    leaves = leaves.where(enough).select("n", "leaf", "first", "first_anon", constant.alias("constant"))
     return stage(leaves, "line-leaves"), enough
 
 
@@ -80,9 +94,9 @@ def _in_leaves(lines: DataFrame, leaves: DataFrame) -> DataFrame:
 
     Both sides come from files, so Spark splits the partition of a frequent template.
     """
-    a = leaves.select(F.col("n").alias("_n"), F.col("leaf").alias("_leaf"), F.col("first").alias("_first"))
+    a = leaves.select(*[F.col(c).alias(f"_{c}") for c in ("n", "leaf", "first", "first_anon")])
     same = (F.col("n") == F.col("_n")) & (F.col("leaf") == F.col("_leaf"))
-    return lines.join(a, same).where("doc <> _first").select("doc", "content", "at")
+    return lines.join(a, same).where(LATER).select("doc", "anon", "content", "at")
 
 
 def constant_leaves(lines: DataFrame, min_docs: int = MIN_DOCS, long_docs: int = MIN_DOCS) -> DataFrame:
@@ -96,11 +110,11 @@ def constant_leaves(lines: DataFrame, min_docs: int = MIN_DOCS, long_docs: int =
     whole = 2 * F.col("constant") >= PIECES
     loose = leaves.where(~whole).select(F.col("n").alias("_n"), F.col("leaf").alias("_leaf"))
     own = lines.join(loose, (F.col("n") == F.col("_n")) & (F.col("leaf") == F.col("_leaf")), "left_semi")
-    own = own.groupBy("n", "leaf", "line", "long", "doc").agg(F.lit(1).alias("one")).groupBy("n", "leaf", "line", "long")
-    own = own.agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("first")).where(enough)
-    own = stage(own.select(*[F.col(c).alias(f"_{c}") for c in ("n", "leaf", "line", "first")]), "line-own")
+    own = own.groupBy("n", "leaf", "line", "long", "doc", "anon").agg(F.lit(1).alias("one")).groupBy("n", "leaf", "line", "long")
+    own = own.agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("first"), F.min("anon").alias("first_anon")).where(enough)
+    own = stage(own.select(*[F.col(c).alias(f"_{c}") for c in ("n", "leaf", "line", "first", "first_anon")]), "line-own")
     same = (F.col("n") == F.col("_n")) & (F.col("leaf") == F.col("_leaf")) & (F.col("line") == F.col("_line"))
-    gone = lines.join(own, same).where("doc <> _first").select("doc", "content", "at")
+    gone = lines.join(own, same).where(LATER).select("doc", "anon", "content", "at")
     return _in_leaves(lines, leaves.where(whole)).union(gone)
 
 
@@ -117,16 +131,16 @@ def recurring_pieces(lines: DataFrame, min_docs: int = MIN_DOCS, long_docs: int
     mixed = leaves.where(F.col("constant") < PIECES).select(F.col("n").alias("_n"), F.col("leaf").alias("_leaf"))
     parts = lines.join(mixed, (F.col("n") == F.col("_n")) & (F.col("leaf") == F.col("_leaf")), "left_semi")
     real = F.slice(F.array(*[f"p{i}" for i in range(PIECES)]), 1, F.col("pieces"))
-    parts = parts.select("doc", "content", "at", "long", "pieces", "n", "leaf", F.posexplode(real).alias("i", "p"))
-    parts = parts.select("doc", "content", "at", "long", "pieces", "i", F.xxhash64("n", "leaf", "i", "p").alias("piece"))
+    parts = parts.select("doc", "anon", "content", "at", "long", "pieces", "n", "leaf", F.posexplode(real).alias("i", "p"))
+    parts = parts.select("doc", "anon", "content", "at", "long", "pieces", "i", F.xxhash64("n", "leaf", "i", "p").alias("piece"))
     parts = stage(parts, "line-parts")
-    seen = parts.groupBy("piece", "long", "doc").agg(F.lit(1).alias("one")).groupBy("piece", "long")
-    seen = seen.agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("first")).where(enough)
-    seen = stage(seen.select(F.col("piece").alias("_piece"), F.col("first").alias("_first")), "line-pieces")
-    again = parts.join(seen, F.col("piece") == F.col("_piece")).where("doc <> _first")
+    seen = parts.groupBy("piece", "long", "doc", "anon").agg(F.lit(1).alias("one")).groupBy("piece", "long")
+    seen = seen.agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("first"), F.min("anon").alias("first_anon")).where(enough)
+    seen = stage(seen.select(*[F.col(c).alias(f"_{c}") for c in ("piece", "first", "first_anon")]), "line-pieces")
+    again = parts.join(seen, F.col("piece") == F.col("_piece")).where(LATER)
     # Bits, since repeated rows have their pieces more than once.
-    again = again.groupBy("doc", "content", "at", "pieces").agg(F.bit_or(F.expr("shiftleft(1, i)")).alias("again"))
-    gone = again.where(2 * F.bit_count("again") >= F.col("pieces")).select("doc", "content", "at")
+    again = again.groupBy("doc", "anon", "content", "at", "pieces").agg(F.bit_or(F.expr("shiftleft(1, i)")).alias("again"))
+    gone = again.where(2 * F.bit_count("again") >= F.col("pieces")).select("doc", "anon", "content", "at")
     return _in_leaves(lines, leaves.where(F.col("constant") == PIECES)).union(gone)
 
 
@@ -136,6 +150,7 @@ def drop_recurring_lines(
     depth: int = DEPTH,
     long_docs: int = LONG_DOCS,
     rule: Callable[[DataFrame, int, int], DataFrame] = recurring_pieces,
+    by_text: bool = True,
 ) -> DataFrame:
     """The documents without lines whose template recurs across documents.
 
@@ -145,13 +160,14 @@ def drop_recurring_lines(
     ``_ld_dropped`` the dropped ones; other columns pass unread, whatever their names.
 
     A NULL text has no lines and stays NULL; an empty one has one blank line. Rows
-    with one doc_id count as one document. Order among ties plays no part.
+    with one doc_id count as one document, those without it by their text. Order among ties plays no part.
     """
-    lines = stage(parsed_lines(docs, depth), "lines")
-    gone = rule(lines, min_docs, long_docs).groupBy("doc", "content").agg(F.collect_set("at").alias("_ld_gone"))
-    gone = stage(gone.select(F.col("doc").alias("_ld_doc"), F.col("content").alias("_ld_content"), "_ld_gone"), "line-drops")
-    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-    joined = docs.join(gone, (ids == F.col("_ld_doc")) & (F.xxhash64("text") == F.col("_ld_content")), "left")
+    lines = stage(parsed_lines(docs, depth, by_text), "lines")
+    key = ["doc", "anon", "content"]
+    gone = rule(lines, min_docs, long_docs).groupBy(*key).agg(F.collect_set("at").alias("_ld_gone"))
+    gone = stage(gone.select(*[F.col(c).alias(f"_ld_{c}") for c in key], "_ld_gone"), "line-drops")
+    same = (ids_of() == F.col("_ld_doc")) & (anonymous(by_text) == F.col("_ld_anon")) & (F.xxhash64("text") == F.col("_ld_content"))
+    joined = docs.join(gone, same, "left")
     every = F.split("text", "\n")
     kept = F.array_join(F.filter(every, lambda x, i: ~F.array_contains("_ld_gone", i)), "\n")
     columns = [F.when(F.col("_ld_gone").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in docs.columns]
@@ -175,8 +191,8 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def sql_report(docs: DataFrame) -> DataFrame:
-    """The report by the rule of the query's SQL: constant leaves, one bar for lines of any length."""
-    return _counted(drop_recurring_lines(docs.select("doc_id", "text"), long_docs=MIN_DOCS, rule=constant_leaves))
+    """The report by the rule of the query's SQL: constant leaves, one bar, rows without doc_id as one document."""
+    return _counted(drop_recurring_lines(docs.select("doc_id", "text"), long_docs=MIN_DOCS, rule=constant_leaves, by_text=False))
 
 
 def _counted(cleaned: DataFrame) -> DataFrame:

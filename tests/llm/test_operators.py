@@ -145,6 +145,17 @@ def test_short_lines_that_share_only_their_beginning_stay(spark):
     assert dropped(spark, made) == expected and 20 < sum(expected.values()) < 220
 
 
+def test_texts_without_id_are_documents_by_content(spark):
+    rows = [(None, f"Cookie notice\n{'own' * (i + 1)}") for i in range(6)] + [((1 << 63) - 1, "Own line")]
+    d = spark.createDataFrame(rows + rows[:1], "doc_id long, text string").repartition(3)
+    kept = [r.text for r in lines.drop_recurring_lines(d).collect()]
+    once = {t for t in kept if "Cookie" in t}
+    assert len(kept) == 8 and len(once) == 1 and len(set(kept)) == 7
+    with_id = d.union(spark.createDataFrame([((1 << 63) - 1, rows[0][1])], d.schema))
+    got = lines.drop_recurring_lines(with_id).where("_ld_dropped = 0").collect()
+    assert {(r.doc_id, r.text) for r in got} == {rows[-1], ((1 << 63) - 1, rows[0][1])}
+
+
 def test_warc(spark, tmp_path):
     payloads = [b"<a>", b"<b>\r\n\r\nWARC/1.1\r\n", b"", None, b"<a>", bytes(range(256)) * 400, b"<a>", b"<b>\r\n\r\nWARC/1.1\r\n"]
     rows = [(f"r{i}", i, f"http://x/{i}\n?" if i % 3 else None, p, "clash") for i, p in enumerate(payloads)]
