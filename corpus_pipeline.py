@@ -29,8 +29,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents left, with the number of words that the mix takes of each."""
-    return mixing.mix_sources(docs, keep=("text", "lang", "source", "n_chars"))
+    """All documents left, with the words that the mix takes of each: their number and their spans."""
+    return mixing.mix_spans(docs, keep=("text", "lang", "source", "n_chars"))
 
 
 STAGES = [

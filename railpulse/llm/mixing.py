@@ -78,7 +78,23 @@ def apportion(votes: DataFrame, group: list[str], vote: str, seats: str, order:
     )
 
 
-def mix_sources(
+def mix_sources(docs: DataFrame, *args, **settings) -> DataFrame:
+    """How many words a mix of the sources takes from each document: ``mix_spans`` without the spans."""
+    return mix_spans(docs, *args, **settings).drop("spans")
+
+
+def mixed_text(text: Column, spans: Column) -> Column:
+    """The words that a mix takes of a text, each span as often as it is taken, with one blank between words."""
+    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
+
+    def taken(s: Column) -> Column:
+        part = F.slice(words, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
+        return F.flatten(F.array_repeat(part, s["repeats"].cast("int")))
+
+    return F.array_join(F.flatten(F.transform(spans, taken)), " ")
+
+
+def mix_spans(
     docs: DataFrame,
     weights: tuple[int, ...] = (1, 2, 3),
     repeats: int = MAX_REPEATS,
@@ -87,7 +103,7 @@ def mix_sources(
     seed: str = SEED,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """How many words a mix of the sources takes from each document.
+    """Which words a mix of the sources takes from each document, and how many.
 
     The total size is cut into blocks of ``block_words`` words. Sainte-Laguë deals
     the blocks to the sources by their targets and, within a source, to its shards
@@ -95,7 +111,9 @@ def mix_sources(
     quota goes to the blocks of that line evenly, from a seeded offset on, at most
     ``repeats`` times each; a document takes the words of its part of the line.
 
-    Returns doc_id, size, source_size, target, taken, and the columns in ``keep``.
+    Returns doc_id, size, source_size, target, taken, spans, and the columns in ``keep``.
+    ``spans`` are the chosen runs of words in order: words start to end, from 0 and
+    without the end, are taken ``repeats`` times. They add up to ``taken``.
     NULL and blank texts have size 0 and take nothing. NULL is a source of its own.
     Repeated rows are documents of their own. No rows give no rows. Columns of
     other names are not read.
@@ -151,11 +169,24 @@ def mix_sources(
 
     end = F.col("_end")
     taken = F.when(F.col("size") > 0, taken_before(end) - taken_before(end - F.col("size"))).otherwise(0)
+    begin = end - F.col("size")
+
+    def span(block: Column) -> Column:
+        return F.struct(
+            F.greatest(block * block_words - begin, F.lit(0)).cast("long").alias("start"),
+            F.least((block + 1) * block_words - begin, F.col("size")).cast("long").alias("end"),
+            (takings(block + 1) - takings(block)).cast("long").alias("repeats"),
+        )
+
+    blocks = F.sequence(F.floor(begin / block_words), F.floor((end - 1) / block_words))
+    spans = F.when(F.col("size") > 0, F.filter(F.transform(blocks, span), lambda s: s["repeats"] > 0))
+    none = F.array().cast("array<struct<start:bigint,end:bigint,repeats:bigint>>")
     return r.select(
         "doc_id",
         "size",
         "source_size",
         "target",
         taken.cast("long").alias("taken"),
+        F.coalesce(spans, none).alias("spans"),
         *[F.col(f"_keep_{c}").alias(c) for c in keep],
     )

@@ -254,6 +254,22 @@ def test_mixing(spark):
     assert rows_of(again) == rows_of(mixing.mix_sources(d, shard_docs=50))
 
 
+def test_mix_spans_are_the_words_taken(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(rng.randint(0, 90))), rng.choice("abc")) for i in range(200)] + [(200, None, "a")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_spans(d, shard_docs=50, keep=("text",))
+    got = got.withColumn("mix", mixing.mixed_text(F.col("text"), F.col("spans"))).collect()
+    assert len(got) == 201 and {len(r.spans) == 0 for r in got if r.taken == 0} == {True}
+    for r in got:
+        words = (r.text or "").split()
+        assert all(0 <= s.start < s.end <= min(r.size, s.start + 16) and 1 <= s.repeats <= 3 for s in r.spans)
+        assert all(a.end <= b.start for a, b in zip(r.spans, r.spans[1:]))
+        assert sum((s.end - s.start) * s.repeats for s in r.spans) == r.taken
+        assert r.mix.split() == [w for s in r.spans for _ in range(s.repeats) for w in words[s.start : s.end]]
+    assert any(0 < len(r.spans) and sum(s.end - s.start for s in r.spans) < r.size for r in got)
+
+
 def test_apportionment_is_that_of_highest_quotients(spark):
     rng = random.Random(11)
     rows = [(g, p, float(rng.choice([0, 1, 5, rng.randint(1, 10_000)])), rng.choice([0, 1, 7]) if g == 0 else 40 * g) for g in range(6) for p in range(1 + 3 * g)]
