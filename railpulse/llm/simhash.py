@@ -199,8 +199,11 @@ def links(keys: DataFrame, bits: int = MAX_BITS) -> DataFrame:
 def fingerprint_groups(prints: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     """(fp, group): fingerprints that chains of links connect share a group.
 
-    Only fingerprints that have a link are listed.
+    Only fingerprints that have a link are listed. The keys find every link of at
+    most MAX_BITS bits, so more are refused.
     """
+    if bits > MAX_BITS:
+        raise ValueError(f"links of more than {MAX_BITS} bits are not all found: {bits}")
     found = stage(links(fuzzy_keys(prints.select("fp").distinct()), bits).distinct(), "simhash-links")
     roots = components(found)
     themselves = roots.select(F.col("root").alias("fp"), F.col("root").alias("group")).distinct()
@@ -225,6 +228,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, bits: int = MAX_BIT
 
 def _classified(docs: DataFrame, k: int, bits: int) -> DataFrame:
     """Fingerprint and chosen document, a struct of (no_id, doc_id, content), of every document."""
+    if bits > MAX_BITS:
+        raise ValueError(f"links of more than {MAX_BITS} bits are not all found: {bits}")
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("content"))
     prints = stage(fingerprints(rows, k), "simhash-prints")
     one = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "content")

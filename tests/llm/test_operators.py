@@ -313,6 +313,17 @@ def test_simhash(docs):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(first.values())
 
 
+def test_links_of_more_bits_than_the_keys_find_are_refused(spark, docs):
+    prints = spark.createDataFrame([(0,), (15,)], "fp long")
+    for refused in (
+        lambda: simhash.fingerprint_groups(prints, bits=4),
+        lambda: simhash.near_duplicates(docs, bits=4),
+        lambda: simhash.drop_near_duplicates(docs, bits=5),
+    ):
+        with pytest.raises(ValueError):
+            refused()
+
+
 def test_golay_keys_and_links(spark):
     rng = np.random.default_rng(5)
     golay = simhash.Golay()
