@@ -82,8 +82,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = FI
     """Non-zero weights (feature, weight), learnt from at most ``rows`` labelled rows.
 
     Labels of 0 or 1 only; the largest counts if a doc_id has several. The sample is
-    that of smallest hash of doc_id. One task holds its features, which the bound on
-    the rows bounds.
+    that of smallest hash of doc_id. Of a repeated doc_id one text counts, that of
+    smallest hash, once. One task holds their features, which the bound on the rows bounds.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.groupBy(F.col("doc_id").alias("_id")).agg(F.max(label).cast("long").alias("label"))
@@ -92,6 +92,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = FI
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(
         F.broadcast(sample), F.col("doc_id") == F.col("_id")
     )
+    # Partial aggregates leave one text per task of an id that many rows have.
+    one = F.min_by("text", F.struct(F.col("text").isNull(), F.xxhash64("text")))
+    texts = texts.groupBy("_id", "label", "_place").agg(one.alias("text"))
     texts = stage(texts.select("label", "_place", "text"), "toxic-texts").repartition(1).sortWithinPartitions("_place", "text")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -397,6 +397,15 @@ def test_classifiers_on_odd_rows(spark, docs):
     assert toxicity.drop_toxic(docs, labels).columns == docs.columns
 
 
+def test_repeated_rows_weigh_once_on_toxicity(spark):
+    rows = [(i, f"{'vile foul' if i % 2 else 'kind fair'} w{i}") for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    learnt = next(i for i in range(40) if zlib.crc32(str(i).encode()) % 5)
+    more = d.union(spark.createDataFrame([rows[learnt]] * 200 + [(learnt, None)], d.schema)).repartition(4)
+    assert rows_of(toxicity.fit(more, labels)) == rows_of(toxicity.fit(d, labels)) != []
+
+
 def test_nearest_vectors(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(3_000, 12)).round(2)
