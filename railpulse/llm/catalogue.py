@@ -1,4 +1,4 @@
-"""The ten operators as queries over the tables of a folder."""
+"""The operators as queries over the tables of a folder."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from railpulse.llm import decontam, lines, mixing, quality, simhash, substrings, tokens, toxicity, vectors, warc
+from railpulse.llm import codebooks, decontam, language, lines, mixing, phrases, quality, simhash, substrings, tokens, toxicity, vectors, warc
 from railpulse.llm.oracle import ORACLES
 
 QUERY_MODULUS = 100
@@ -57,6 +57,9 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": _with_labels(toxicity.toxicity),
         "op9_substring_dedup": _substrings,
         "op10_quality": _with_labels(quality.quality),
+        "op11_language": _on_documents(language.report),
+        "op12_codebooks": lambda s, d: codebooks.report(table(s, d, "embeddings")),
+        "op13_collocations": _on_documents(phrases.collocations),
         "pipeline": corpus_pipeline.run,
     }
 

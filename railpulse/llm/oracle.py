@@ -125,9 +125,83 @@ select d.doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(k.n,
 from d left join kept k on d.r = k.r
 """
 
+COLLOCATIONS = f"""
+with p as (
+    select coalesce(lang, 'und') as lang,
+        unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]')) as piece from documents
+),
+w as (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as w from p),
+words as (select lang, cast(sum(len(w)) as bigint) as n from w group by lang),
+grams as (
+    select lang, m, array_to_string(w[i : i + m - 1], ' ') as phrase
+    from (select lang, w, m, unnest(range(1, len(w) - m + 2)) as i from w, unnest(range(1, 6)) as s(m) where len(w) >= m)
+),
+f as (select lang, m, phrase, count(*) as f from grams group by lang, m, phrase having count(*) >= 100),
+cuts as (
+    select lang, m, phrase, f as a, k, array_to_string(string_split(phrase, ' ')[: k], ' ') as x,
+        array_to_string(string_split(phrase, ' ')[k + 1 :], ' ') as y
+    from (select *, unnest(range(1, m)) as k from f where m > 1)
+),
+scored as (
+    select c.*, l.f as l, r.f as r, n.n, cast((1000::hugeint * c.a * n.n) // (l.f::hugeint * r.f) as bigint) as score
+    from cuts c join f l on c.lang = l.lang and c.x = l.phrase join f r on c.lang = r.lang and c.y = r.phrase
+        join words n on c.lang = n.lang
+),
+best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+kept as (
+    select * from best b where not exists (
+        select 1 from f g where g.lang = b.lang and g.m > b.m and contains(' ' || g.phrase || ' ', ' ' || b.phrase || ' ')
+            and 100 * g.f >= 100 * b.a)
+)
+select lang, rank, phrase, a, l, r, n, score
+from (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept) where rank <= 2000
+"""
+
+_ROUND = """
+used{i} as (
+    select n.part, n.n.e as entry, i, cast(floor(cast(sum(p.x[i]) as double) / count(*)) as bigint) as c
+    from near{j} n join parts p on n.r = p.r and n.part = p.part, unnest(range(1, len(p.x) + 1)) as s(i) group by n.part, n.n.e, i
+),
+book{i} as (
+    select b.part, b.entry, coalesce(u.x, b.x) as x from book{j} b
+        left join (select part, entry, list(c order by i) as x from used{i} group by part, entry) u on b.part = u.part and b.entry = u.entry
+),
+near{i} as (
+    select r, p.part, min(struct_pack(d := list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - b.x[i]) ** 2)), e := b.entry)) as n
+    from parts p join book{i} b on p.part = b.part group by r, p.part
+),"""
+
+CODEBOOKS = """
+with v as (
+    select row_number() over () as r, vec_id, label, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as x
+    from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+parts as (select r, p as part, x[len(x) // 16 * p + 1 : len(x) // 16 * (p + 1)] as x from v, unnest(range(16)) as s(p)),
+book0 as (
+    select part, entry, x from parts join (
+        select r, row_number() over (order by vec_id) - 1 as entry from v where vec_id is not null qualify entry < 64) using (r)
+),
+near0 as (
+    select r, p.part, min(struct_pack(d := list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - b.x[i]) ** 2)), e := entry)) as n
+    from parts p join book0 b on p.part = b.part group by r, p.part
+),
+""" + _ROUND.format(i=1, j=0) + _ROUND.format(i=2, j=1) + """
+final as (
+    select r, cast(sum(n.d) as bigint) as error, string_agg(lpad(lower(hex(n.e)), 2, '0'), '' order by part) as code from near2 group by r
+),
+digest as (
+    select sha256(string_agg(array_to_string(x, ','), ',' order by part, entry)) as codebooks_sha256 from book2
+),
+sums as (select label, cast(sum(error) as bigint) as label_error from final join v using (r) group by label)
+select v.vec_id, f.code, f.error, s.label_error, d.codebooks_sha256
+from v join final f using (r) join sums s on v.label is not distinct from s.label, digest d
+"""
+
 ORACLES = {
     "op1_line_dedup": LINE_DEDUP,
     "op2_warc_revisits": WARC_ROUND_TRIP,
     "op5_decontamination": DECONTAMINATION,
     "op9_substring_dedup": SUBSTRING_DEDUP,
+    "op12_codebooks": CODEBOOKS,
+    "op13_collocations": COLLOCATIONS,
 }
