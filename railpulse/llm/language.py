@@ -119,7 +119,7 @@ def fit(docs: DataFrame, language_bytes: int = LANGUAGE_BYTES, model_bytes: int
         for text in texts:
             if text and size + len(text) <= share:
                 chosen.append(text)
-                size += len(text)
+                size += len(text) + 1
         chosen = chosen or [min(texts, key=len, default=b"")[:share]]
         data = b" ".join(chosen)
         found = suffix_automaton(data)
