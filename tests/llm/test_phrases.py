@@ -102,3 +102,11 @@ def test_segments_own_each_word_once():
     assert len(parts) > 20
     assert b" ".join(p[:own].replace(b"\n", b" ") for p, own in parts) == text.replace(b"\n", b" ")
     assert all(len(p[own:].split()) == 3 for p, own in parts[:-2])
+
+
+def test_keys_come_back():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 40, 3_000, 60_000):
+        keys = np.unique(rng.integers(0, 1 << 32, n, dtype=np.uint32))
+        data = phrases.squeezed(keys)
+        assert (phrases.unsqueezed(memoryview(data)) == keys).all() and len(data) <= 10 + 4.2 * n
