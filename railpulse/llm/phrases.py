@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -18,7 +19,9 @@ from railpulse.llm.common import WordHash, byte_class, lower_table, mixed, one_r
 # Longest phrase, least count of a candidate, and phrases reported per language.
 MAX_WORDS, MIN_COUNT, TOP = 5, 100, 2_000
 # Bytes of text in a pack, the unit that tasks read, and n-grams that one hash partition counts.
-PACK_BYTES, PART_MASS = 3 << 20, 8_000_000
+PACK_BYTES, PART_MASS = 2 << 20, 8_000_000
+# Packs of a task of the second pass.
+TASK_PACKS = 4
 # Tables into which a language's ranking is dealt before its best meet.
 RANK_BUCKETS = 64
 
@@ -83,7 +86,8 @@ def pack_texts(docs: DataFrame, longest: int) -> DataFrame:
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1)):
                 for part, own in segments(normalised(text.as_py() or b""), longest):
-                    rows.append((lang.as_py(), part, own, len(part[:own].split())))
+                    gaps = part.count(b" ", 0, own) + part.count(b"\n", 0, own)
+                    rows.append((lang.as_py(), part, own, gaps + 1))
                     size += len(part)
                     if size >= PACK_BYTES:
                         yield out()
@@ -122,8 +126,8 @@ class Pack:
         size = max(0, len(self.starts) - n + 1)
         return np.flatnonzero(self.owned[:size] & (self.piece[:size] == self.piece[n - 1 : n - 1 + size]))
 
-    def keys(self, parts: int) -> list[np.ndarray]:
-        """For 1 to ``longest`` words the key of each n-gram: its hash partition and 32 bits more."""
+    def keys(self, parts: int) -> np.ndarray:
+        """The keys of all n-grams, by number of words and place: hash partition and 32 bits more."""
         h = WordHash(13)
         seeds = np.frombuffer(b"".join(seed_of(x) for x in self.langs), dtype=np.uint64)
         words = h.words(self.data, self.starts, self.ends)
@@ -132,12 +136,12 @@ class Pack:
             at = self.grams(n)
             k = mixed(h.windows(words, n)[at] ^ seeds[self.lang[at]] ^ np.uint64(n))
             out.append(((k >> np.uint64(32)) % np.uint64(parts) << np.uint64(32)) | (k & np.uint64(0xFFFFFFFF)))
-        return out
+        return np.concatenate(out)
 
     def word_ids(self) -> np.ndarray:
         """A number per word: equal for equal words of one language."""
         ids = slices(self.data, self.starts, self.ends).dictionary_encode().indices.to_numpy().astype(np.int64)
-        return np.unique(ids * len(self.langs) + self.lang, return_inverse=True)[1]
+        return ids * len(self.langs) + self.lang
 
 
 def seed_of(name: str) -> bytes:
@@ -153,6 +157,36 @@ def slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data[at])])
 
 
+def groups_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal values: one place of each group, the group of each place, and the groups' sizes, by value."""
+    order = np.argsort(values)
+    new = np.ones(len(values), dtype=bool)
+    new[1:] = values[order[1:]] != values[order[:-1]]
+    group = np.empty(len(values), dtype=np.int64)
+    group[order] = np.cumsum(new) - 1
+    starts = np.flatnonzero(new)
+    return order[starts], group, np.diff(np.append(starts, len(values)))
+
+
+def squeezed(keys: np.ndarray) -> bytes:
+    """Ascending 32-bit keys with their high bits as gaps between set bits, whichever split is smallest."""
+    n = len(keys)
+    low = min((4, 3, 2), key=lambda b: b * n + (n + (1 << (32 - 8 * b))) / 8)
+    marks = np.zeros(n + (1 << (32 - 8 * low)), dtype=bool)
+    marks[(keys.astype(np.int64) >> (8 * low)) + np.arange(n)] = True
+    small = keys.astype("<u4").view(np.uint8).reshape(n, 4)[:, :low]
+    return bytes([low]) + n.to_bytes(4, "little") + small.tobytes() + np.packbits(marks).tobytes()
+
+
+def unsqueezed(data: memoryview) -> np.ndarray:
+    low, n = data[0], int.from_bytes(data[1:5], "little")
+    keys = np.zeros((n, 4), dtype=np.uint8)
+    keys[:, :low] = np.frombuffer(data[5 : 5 + low * n], dtype=np.uint8).reshape(n, low)
+    marks = np.unpackbits(np.frombuffer(data[5 + low * n :], dtype=np.uint8))
+    high = np.flatnonzero(marks)[:n] - np.arange(n)
+    return keys.view("<u4").ravel() + (high << (8 * low)).astype(np.uint32)
+
+
 class MisraGries:
     """Counters of at most ``capacity`` keys; none falls short by more than mass / (capacity + 1).
 
@@ -166,8 +200,7 @@ class MisraGries:
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
         every, inverse = np.unique(np.concatenate((self.keys, keys)), return_inverse=True)
-        total = np.zeros(len(every), dtype=np.int64)
-        np.add.at(total, inverse, np.concatenate((self.counts, counts)))
+        total = np.bincount(inverse, weights=np.concatenate((self.counts, counts)), minlength=len(every)).astype(np.int64)
         if len(every) > self.capacity:
             at = len(total) - self.capacity - 1
             total = total - np.partition(total, at)[at]
@@ -189,28 +222,30 @@ def pack_blocks(packs: DataFrame, parts: int, longest: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                keys, counts = np.unique(np.concatenate(Pack(row, longest).keys(parts)), return_counts=True)
+                keys, counts = np.unique(Pack(row, longest).keys(parts), return_counts=True)
                 cuts = np.searchsorted(keys, np.arange(parts + 1, dtype=np.uint64) << np.uint64(32))
                 out = []
                 for part in np.flatnonzero(np.diff(cuts)):
                     k, c = keys[cuts[part] : cuts[part + 1]].astype(np.uint32), counts[cuts[part] : cuts[part + 1]]
                     again = np.packbits(c > 1).tobytes()
                     more = (c[c > 1] - 2).astype(np.uint32).tobytes()
-                    out.append((int(part), row["pack"], k.tobytes(), again, more, int(c.sum())))
+                    out.append((int(part), row["pack"], squeezed(k), again, more, int(c.sum())))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     return packs.mapInArrow(scan, BLOCKS)
 
 
-def frequent_masks(blocks: DataFrame, min_count: int) -> DataFrame:
+def frequent_masks(blocks: DataFrame, parts: int, min_count: int) -> DataFrame:
     """(pack, part, mask): which n-grams of a pack's block may be frequent, a bit each.
 
     Every n-gram that occurs ``min_count`` times has its bit set: a partition's
-    summary has more counters than its mass divided by that count.
+    summary has more counters than its mass divided by that count, so it survives, and
+    a count of the survivors finds it often enough. Others have it set only if they
+    share the 32 bits of a frequent one.
     """
 
     def read(keys: pa.Scalar, again: pa.Scalar, counts: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
-        k = np.frombuffer(keys.as_buffer(), dtype=np.uint32)
+        k = unsqueezed(memoryview(keys.as_buffer()))
         c = np.unpackbits(np.frombuffer(again.as_buffer(), dtype=np.uint8), count=len(k)).astype(np.int64)
         c[c > 0] = np.frombuffer(counts.as_buffer(), dtype=np.uint32).astype(np.int64) + 1
         return k, c + 1
@@ -227,57 +262,92 @@ def frequent_masks(blocks: DataFrame, min_count: int) -> DataFrame:
                 held = []
         if held:
             summary.add(*map(np.concatenate, zip(*held)))
-        frequent = summary.keys
-        masks = []
-        for row in table.column("keys"):
-            k = np.frombuffer(row.as_buffer(), dtype=np.uint32)
-            at = np.minimum(np.searchsorted(frequent, k), max(0, len(frequent) - 1))
-            masks.append(np.packbits(frequent[at] == k).tobytes() if len(frequent) else b"")
+        # The blocks once more: what survived is counted, by its key.
+        frequent, places = summary.keys, []
+        total = np.zeros(len(frequent) + 1, dtype=np.int64)
+        for row in zip(*columns):
+            k, c = read(*row)
+            at = np.searchsorted(frequent, k)
+            at[at == len(frequent)] = 0
+            place = np.where(frequent[at] == k, at, -1).astype(np.int32) if len(frequent) else np.full(len(k), -1, dtype=np.int32)
+            np.add.at(total, place, c)  # the last place takes the others
+            places.append(place)
+        enough = total >= min_count
+        enough[-1] = False
+        masks = [np.packbits(enough[place]).tobytes() for place in places]
         return pa.table({"pack": table.column("pack"), "part": table.column("part"), "mask": pa.array(masks, pa.binary())})
 
-    return blocks.groupBy("part").applyInArrow(meet, "pack long, part long, mask binary")
+    return blocks.repartition(parts, "part").groupBy("part").applyInArrow(meet, "pack long, part long, mask binary")
+
+
+COUNTS = "part long, lang string, phrases binary, counts binary"
 
 
 def exact_counts(packs: DataFrame, masks: DataFrame, parts: int, longest: int, min_count: int) -> DataFrame:
     """(lang, phrase, f): exact counts of all phrases that occur ``min_count`` times in a language.
 
-    A pack counts those n-grams that its masks let through, by the words themselves.
+    A pack counts those n-grams that its masks let through, by the words themselves, and
+    sends them to their hash partition, a line each, as one row per partition and language.
     """
 
     def count(left: pa.Table, right: pa.Table) -> pa.Table:
-        langs, phrases, counts = [], [], []
+        out = []
         mask_of = dict(zip(right.column("part").to_pylist(), right.column("mask")))
         for row in (r for b in left.to_batches(max_chunksize=1) for r in b.to_pylist()):
             p = Pack(row, longest)
             keys = p.keys(parts)
-            distinct = np.unique(np.concatenate(keys))
-            cuts = np.searchsorted(distinct, np.arange(parts + 1, dtype=np.uint64) << np.uint64(32))
-            hot = np.zeros(len(distinct), dtype=bool)
+            one, group, _ = groups_of(keys)
+            cuts = np.searchsorted(keys[one], np.arange(parts + 1, dtype=np.uint64) << np.uint64(32))
+            hot = np.zeros(len(one), dtype=bool)
             for part, mask in mask_of.items():
                 bits = np.frombuffer(mask.as_buffer(), dtype=np.uint8)
                 size = int(cuts[part + 1] - cuts[part])
                 hot[cuts[part] : cuts[part + 1]] = np.unpackbits(bits, count=size).astype(bool)
-            hot = distinct[hot]
+            hot = hot[group]
+            part_of = (keys >> np.uint64(32)).astype(np.int64)
             words = p.word_ids()
-            ids, width = words, int(words.max(initial=0)) + 1
+            width = int(words.max(initial=0)) + 1
+            # Number of the phrase that begins at a word; a phrase goes on only where the one before is counted.
+            ids, done = np.zeros(len(words), dtype=np.int64), 0
+            found = []
             for n in range(1, longest + 1):
                 at = p.grams(n)
-                if not len(hot) or not len(at):
-                    break
-                found = hot[np.minimum(np.searchsorted(hot, keys[n - 1]), len(hot) - 1)] == keys[n - 1]
-                pair = ids if n == 1 else ids[: len(words) - n + 1] * width + words[n - 1 :]
-                ids = np.unique(pair, return_inverse=True)[1]
-                some = at[found]
-                _, where, times = np.unique(ids[some], return_index=True, return_counts=True)
-                first = some[where]
-                phrases.append(slices(p.data, p.starts[first], p.ends[first + n - 1]).cast(pa.large_string()).cast(pa.string()))
-                langs.append(pa.array(p.langs, pa.string()).take(pa.array(p.lang[first])))
-                counts.append(pa.array(times))
-        columns = [pa.chunked_array(x, t) for x, t in ((langs, pa.string()), (phrases, pa.string()), (counts, pa.int64()))]
-        return pa.table(columns, names=["lang", "phrase", "f"])
-
-    pieces = packs.groupBy("pack").cogroup(masks.groupBy("pack")).applyInArrow(count, "lang string, phrase string, f long")
-    return pieces.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count)
+                parts_here, some_here = part_of[done : done + len(at)], hot[done : done + len(at)]
+                done += len(at)
+                some_here &= ids[at] >= 0
+                some, to = at[some_here], parts_here[some_here]
+                one, group, times = groups_of(ids[some] * width + words[some + n - 1])
+                ids = np.full(len(words), -1, dtype=np.int64)
+                ids[some] = group
+                first = some[one]
+                found.append((to[one], p.lang[first], p.starts[first], p.ends[first + n - 1], times))
+            to, lang, start, end, times = map(np.concatenate, zip(*found))
+            order = np.lexsort((lang, to))
+            to, lang, start, end, times = (x[order] for x in (to, lang, start, end, times))
+            edges = np.flatnonzero(np.diff(to, prepend=-1) | np.diff(lang, prepend=-1))
+            offsets = pa.array(np.append(edges, len(to)), pa.int64())
+            texts = slices(p.data, start, end).cast(pa.large_string()).cast(pa.string())
+            lines = pc.binary_join(pa.LargeListArray.from_arrays(offsets, texts), "\n")
+            counts = [c.astype(np.uint32).tobytes() for c in np.split(times, edges[1:])] if len(edges) else []
+            names = [p.langs[i] for i in lang[edges]]
+            out.append(pa.table({"part": to[edges], "lang": pa.array(names, pa.string()), "phrases": lines.cast(pa.binary()), "counts": pa.array(counts, pa.binary())}))
+        return pa.concat_tables(out) if out else pa.table({"part": pa.array([], pa.int64()), "lang": pa.array([], pa.string()), "phrases": pa.array([], pa.binary()), "counts": pa.array([], pa.binary())})
+
+    def total(table: pa.Table) -> pa.Table:
+        lines = pc.split_pattern(table.column("phrases").cast(pa.large_binary()), b"\n").combine_chunks()
+        counts = b"".join(c.as_py() for c in table.column("counts"))
+        sizes = np.diff(lines.offsets.to_numpy())
+        lang = table.column("lang").combine_chunks().take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+        flat = pa.table({"lang": lang, "phrase": lines.flatten(), "f": np.frombuffer(counts, dtype=np.uint32).astype(np.int64)})
+        sums = flat.group_by(["lang", "phrase"]).aggregate([("f", "sum")])
+        sums = sums.filter(pc.greater_equal(sums.column("f_sum"), min_count))
+        phrase = sums.column("phrase").cast(pa.large_string()).cast(pa.string())
+        return pa.table({"lang": sums.column("lang"), "phrase": phrase, "f": sums.column("f_sum")})
+
+    tasks = max(1, -(-packs.count() // TASK_PACKS))
+    left, right = (df.repartition(tasks, "pack").groupBy("pack") for df in (packs, masks))
+    counted = left.cogroup(right).applyInArrow(count, COUNTS)
+    return counted.repartition(parts, "part").groupBy("part").applyInArrow(total, "lang string, phrase string, f long")
 
 
 def frequent_phrases(docs: DataFrame, longest: int = MAX_WORDS, min_count: int = MIN_COUNT) -> tuple[DataFrame, DataFrame]:
@@ -291,7 +361,7 @@ def frequent_phrases(docs: DataFrame, longest: int = MAX_WORDS, min_count: int =
     words = stage(words.agg(F.sum("s.words").alias("n")), "phrase-words")
     mass = longest * (one_row(words.agg(F.sum("n").alias("n")))["n"] or 0)
     parts = max(1, -(-mass // PART_MASS))
-    masks = stage(frequent_masks(pack_blocks(packs, parts, longest), min_count), "phrase-masks")
+    masks = stage(frequent_masks(pack_blocks(packs, parts, longest), parts, min_count), "phrase-masks")
     return stage(exact_counts(packs, masks, parts, longest, min_count), "phrase-counts"), words
 
 
