@@ -127,6 +127,13 @@ KPI_LIMITS = [
     ("technical_decline_rate", 1.0),
     ("duplicate_payment_rate", 0.01),
 ]
+# Rollback triggers of the experiment: duplicate rate in percent, and points by which
+# the treatment's drop-off exceeds the control's.
+DUPLICATE_RATE = "duplicate_payment_rate"
+ROLLBACK_LIMITS = [
+    (DUPLICATE_RATE, 0.01),
+    ("dropoff_increase", 0.5),
+]
 # --- End of fixed values -----------------------------------------------------
 
 BANK_NAMES = [name for _, name, _ in BANKS]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from railpulse.functions import flags
@@ -34,18 +34,25 @@ def duplicate_attempts(
     )
 
 
+def completed_chain(tx: DataFrame, keys: list[str] = LOCK_KEY, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The completed payments with the gap in microseconds since the previous one of the same key."""
+    rows = tx.filter(flags.succeeded()).select(*dict.fromkeys([*keys, "transaction_id", "timestamp"]))
+    chain = with_previous(rows, keys, "timestamp", "transaction_id", ["timestamp"], hot_rows)
+    return chain.withColumn("gap_micros", flags.micros_between(F.col("previous_timestamp"), F.col("timestamp")))
+
+
+def repeats_completed(window_s: float = 180) -> Column:
+    """How many rows of :func:`completed_chain` repeat an earlier payment."""
+    return flags.count_where(F.col("gap_micros") <= F.lit(int(window_s * 1_000_000)))
+
+
 def duplicate_payment_rate(
     tx: DataFrame, window_s: float = 180, keys: list[str] = LOCK_KEY, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """One row: completed payments, those that repeat an earlier completed one,
     and their share."""
-    completed = tx.filter(flags.succeeded())
-    rows = completed.select(*dict.fromkeys([*keys, "transaction_id", "timestamp"]))
-    chain = with_previous(rows, keys, "timestamp", "transaction_id", ["timestamp"], hot_rows)
-    gap = flags.micros_between(F.col("previous_timestamp"), F.col("timestamp"))
-    t = chain.agg(
-        F.count(F.lit(1)).alias("completed_payments"),
-        flags.count_where(gap <= F.lit(int(window_s * 1_000_000))).alias("duplicate_payments"),
+    t = completed_chain(tx, keys, hot_rows).agg(
+        F.count(F.lit(1)).alias("completed_payments"), repeats_completed(window_s).alias("duplicate_payments")
     )
     return t.withColumn(
         "duplicate_payment_rate", percent("duplicate_payments", "completed_payments")

@@ -8,8 +8,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from railpulse import dimensions as D
 from railpulse import schemas as S
 from railpulse.operators import (
+    abandonment,
     bankhealth,
     banks,
     cleaning,
@@ -24,6 +26,7 @@ from railpulse.operators import (
     timeprofile,
     users,
 )
+from railpulse.functions.numbers import rounded
 from railpulse.session import work_folder
 from railpulse.sources import tables
 from railpulse.sources.star import StarTables, with_repeats
@@ -73,6 +76,22 @@ def _limit_breaches(s: StarTables) -> DataFrame:
     return kpis.limit_breaches(kpis.kill_switch_metrics(kpis.core_kpis(s.transactions(), s.error_codes()), rate))
 
 
+def _return_curve(s: StarTables) -> DataFrame:
+    steps = abandonment.failure_steps(s.transactions(), "failure_code", horizon_s=7 * DAY, grid_s=3_600)
+    return abandonment.return_curve(steps, ["failure_code"], 3_600).select(
+        "failure_code", "seconds", "at_risk", "returned", "censored",
+        rounded("away", 6).alias("away"), rounded("standard_error", 6).alias("standard_error"),
+    )
+
+
+def _rollback_triggers(s: StarTables) -> DataFrame:
+    attempts = with_repeats(s.transactions())
+    metrics = abandonment.rollback_metrics(
+        duplicates.duplicate_payment_rate(attempts), abandonment.abandonment_by_variant(attempts)
+    )
+    return kpis.limit_breaches(metrics, D.ROLLBACK_LIMITS)
+
+
 def _health_stream(spark: SparkSession, s: StarTables) -> DataFrame:
     stream = bankhealth.rolling_bank_health(s.transaction_stream(), watermark=STREAM_DELAY)
     return runs.drain_to_parquet(spark, stream, "bank-health")
@@ -195,9 +214,17 @@ def all_queries() -> dict[str, Query]:
         "lock_windows_stream_repeated": with_session(_repeated_lock_window_stream),
         "lock_stream": with_session(_lock_stream),
         "lock_stream_repeated": with_session(_repeated_lock_stream),
+        # Abandonment after a failure
+        "abandonment_by_code": over(lambda s: abandonment.abandonment_by_code(s.transactions())),
+        "abandonment_by_variant": over(lambda s: abandonment.abandonment_by_variant(s.transactions(), 3 * DAY)),
+        "abandonment_curve": over(_return_curve),
+        "rollback_triggers": over(_rollback_triggers),
         # Bank health and experiment
         "bank_health": over(lambda s: bankhealth.rolling_bank_health(s.transactions())),
         "bank_health_stream": with_session(_health_stream),
         "assign_variants": over(lambda s: experiment.assign_variants(s.users())),
         "experiment_readout": over(lambda s: experiment.experiment_readout(s.transactions())),
+        "experiment_retry_day": over(lambda s: experiment.retry_readout(s.transactions(), DAY, 0.5)),
+        "experiment_duplicates_repeated": over(lambda s: experiment.duplicate_readout(with_repeats(s.transactions()))),
+        "experiment_aa": over(lambda s: experiment.aa_readouts(s.transactions())),
     }

@@ -635,25 +635,122 @@ def _health() -> dict[str, str]:
             f"""select user_id, cast({bucket} as integer) as bucket,
                    case when {bucket} < 50 then 'treatment' else 'control' end as variant from usr""",
         ),
-        "experiment_readout": _with(
+    }
+
+
+def _experiments() -> dict[str, str]:
+    def readout(per_user: str, whole: str, part: str, rate: str, salt: str = f"'{SALT}'", by: str = "") -> str:
+        bucket = f"cast(concat('0x', substr(sha256({salt} || ':' || cast(user_id as varchar)), 1, 8)) as bigint) % 100"
+        keys = f"{by}, " if by else ""
+        sums = ", ".join(
+            f"""count(*) filter (where b {test} 50) as {s}_users, coalesce(sum(w) filter (where b {test} 50), 0)::double as {s}_w,
+                coalesce(sum(p) filter (where b {test} 50), 0)::double as {s}_p, (sum(w::hugeint * w) filter (where b {test} 50))::double as {s}_ww,
+                (sum(p::hugeint * p) filter (where b {test} 50))::double as {s}_pp, (sum(w::hugeint * p) filter (where b {test} 50))::double as {s}_wp"""
+            for s, test in (("control", ">="), ("treatment", "<"))
+        )
+        rates = ", ".join(f"{s}_p / nullif({s}_w, 0) as {s}_r" for s in ("control", "treatment"))
+        spread = ", ".join(
+            f"""{s}_users::double / nullif({s}_users - 1, 0) * greatest({s}_pp - 2 * {s}_r * {s}_wp + {s}_r * {s}_r * {s}_ww, 0)
+                / nullif({s}_w * {s}_w, 0) as {s}_v, {s}_r * (1 - {s}_r) / nullif({s}_w, 0) as {s}_naive"""
+            for s in ("control", "treatment")
+        )
+        shown = ", ".join(
+            f"{s}_users, {s}_w::bigint as {s}_{whole}, {s}_p::bigint as {s}_{part}, {pct(f'{s}_p', f'{s}_w')} as {s}_{rate}"
+            for s in ("control", "treatment")
+        )
+        return f"""select {keys}{shown}, round(100.0::double * lift, 4) + 0.0::double as lift_points,
+               round(100.0::double * error, 4) as standard_error_points,
+               round(100.0::double * (lift - 1.959964::double * error), 4) + 0.0::double as low_points,
+               round(100.0::double * (lift + 1.959964::double * error), 4) + 0.0::double as high_points,
+               round(lift / error, 4) + 0.0::double as z_value,
+               round(error * error / nullif(treatment_naive + control_naive, 0), 4) as design_effect,
+               round(100.0::double * (1.959964::double + 0.841621::double) * error, 4) as detectable_points,
+               abs(round(lift / error, 4)) > 1.959964::double as significant_at_5pct
+            from (select *, treatment_r - control_r as lift, nullif(sqrt(treatment_v + control_v), 0) as error
+                  from (select *, {spread} from (select *, {rates} from (
+                      select {keys}{sums} from (select *, {bucket} as b from ({per_user})) {"group by " + by if by else ""}))))"""
+
+    attempts = f"select user_id, count(*) as w, {OK} as p from tx where user_id is not null group by 1"
+    day = 86_400_000_000
+    return {
+        "experiment_readout": _with("tx", readout(attempts, "txns", "successes", "psr")),
+        "experiment_retry_day": _with(
+            "chain",
+            readout(
+                f"""select user_id, count(*) as w, {n_if("next_ok")} as p from chain
+                    where bad and next_id is not null and gap <= {day} and abs(amount - next_amount) <= 0.5 * amount
+                      and user_id is not null group by 1""",
+                "retried", "successful_retries", "retry_success",
+            ),
+        ),
+        "experiment_duplicates_repeated": _with(
+            "again",
+            readout(
+                f"""select user_id, count(*) as w, {n_if("gap <= 180000000")} as p from (
+                      select user_id, date_diff('microsecond', lag(ts) over (partition by user_id, payee, amount order by ts, id), ts) as gap
+                      from again where ok and user_id is not null) group by 1""",
+                "completed", "duplicates", "duplicate_rate",
+            ),
+        ),
+        "experiment_aa": _with(
             "tx",
-            f"""select control_txns, control_successes, treatment_txns, treatment_successes,
-                   {pct("control_successes", "control_txns")} as control_psr,
-                   {pct("treatment_successes", "treatment_txns")} as treatment_psr,
-                   round(100.0::double * (pt - pc), 4) + 0.0::double as lift_points, round((pt - pc) / spread, 4) + 0.0::double as z_value,
-                   abs(round((pt - pc) / spread, 4)) > 1.96 as significant_at_5pct
-                from (select *, sqrt(p * (1.0::double - p) * (1.0::double / cast(control_txns as double)
-                                 + 1.0::double / cast(treatment_txns as double))) as spread
-                      from (select *, cast(control_successes as double) / control_txns as pc,
-                                   cast(treatment_successes as double) / treatment_txns as pt,
-                                   cast(control_successes + treatment_successes as double) / (control_txns + treatment_txns) as p
-                            from (select {n_if("b >= 50")} as control_txns, {n_if("b >= 50 and ok")} as control_successes,
-                                         {n_if("b < 50")} as treatment_txns, {n_if("b < 50 and ok")} as treatment_successes
-                                  from (select ok, {bucket} as b from tx))))""",
+            f"""select salt, control_users, treatment_users, lift_points, z_value, design_effect, significant_at_5pct from ({readout(
+                f"select * from ({attempts}), (select 'aa-' || i as salt from range(1, 201) r(i))",
+                "txns", "successes", "psr", "salt", "salt")})""",
         ),
     }
 
 
+def _abandonment() -> dict[str, str]:
+    bucket = f"cast(concat('0x', substr(sha256('{SALT}:' || cast(user_id as varchar)), 1, 8)) as bigint) % 100"
+    variant = f"case when {bucket} < 50 then 'treatment' else 'control' end"
+
+    def curve(key: str, name: str, horizon_s: int, grid_s: int, attempts: str = "tx") -> str:
+        grid, last = grid_s * 1_000_000, horizon_s // grid_s
+        return f"""watch as (
+                select {key} as {name}, (gap + {grid - 1}) // {grid} as back,
+                       least(date_diff('microsecond', ts, (select max(ts) from {attempts})) // {grid}, {last}) as seen
+                from (select *, date_diff('microsecond', ts, lead(ts) over (partition by user_id order by ts, id)) as gap from {attempts})
+                where bad),
+            steps as (
+                select {name}, case when back <= {last} then back else seen end as step, {n_if(f"back <= {last}")} as returned,
+                       {n_if(f"back is null or back > {last}")} as censored from watch group by 1, 2),
+            curve as (
+                select {name}, step, step * {grid_s} as seconds, at_risk, returned, censored,
+                       product(1.0::double - returned::double / at_risk) over up as away,
+                       sum(case when returned < at_risk then returned / (at_risk::double * (at_risk - returned)) else 0 end) over up as spread
+                from (select *, cast(sum(returned + censored) over (partition by {name} order by step desc) as bigint) as at_risk from steps)
+                window up as (partition by {name} order by step))"""
+
+    def rates(name: str, horizon_s: int, grid_s: int) -> str:
+        return f"""select {name}, cast(sum(returned + censored) as bigint) as failures, cast(sum(returned) as bigint) as returned,
+                cast(sum(censored) filter (where step < {horizon_s // grid_s}) as bigint) as watched_less,
+                round(100.0::double * arg_max(away, step), 4) as abandonment_pct,
+                round(100.0::double * arg_max(away * sqrt(spread), step), 4) as standard_error_points,
+                cast(min(seconds) filter (where away <= 0.5) as double) as median_return_seconds,
+                {pct("sum(censored)", "sum(returned + censored)", 4)} as unadjusted_pct
+            from curve group by 1"""
+
+    day = 86_400
+    return {
+        "abandonment_by_code": _with("tx", "").rstrip() + ",\n" + curve("code", "failure_code", day, 60) + rates("failure_code", day, 60),
+        "abandonment_by_variant": _with("tx", "").rstrip() + ",\n" + curve(variant, "variant", 3 * day, 60) + rates("variant", 3 * day, 60),
+        "abandonment_curve": _with("tx", "").rstrip() + ",\n" + curve("code", "failure_code", 7 * day, 3_600)
+        + """select failure_code, cast(seconds as bigint) as seconds, at_risk, returned, censored, round(away, 6) as away,
+                    round(away * sqrt(spread), 6) as standard_error from curve""",
+        "rollback_triggers": _with("again", "").rstrip() + ",\n" + curve(variant, "variant", day, 60, "again")
+        + f"""select metric, observed, upper_limit, round(observed - upper_limit, 2) as excess from (
+                select 'dropoff_increase' as metric, round(max(abandonment_pct) filter (where variant = 'treatment')
+                        - max(abandonment_pct) filter (where variant = 'control'), 4) as observed, 0.5::double as upper_limit
+                from ({rates("variant", day, 60)})
+                union all
+                select 'duplicate_payment_rate', {pct(n_if("gap <= 180000000"), "count(*)")}, 0.01::double
+                from (select date_diff('microsecond', lag(ts) over (partition by user_id, payee, amount order by ts, id), ts) as gap
+                      from again where ok))
+            where observed > upper_limit or observed is null""",
+    }
+
+
 def all_oracles() -> dict[str, str]:
-    parts = [_audit(), _indicators(), _banks(), _times(), _stages(), _users(), _segments(), _retries(), _duplicates(), _health()]
+    parts = [_audit(), _indicators(), _banks(), _times(), _stages(), _users(), _segments(), _retries(), _duplicates(), _health(), _experiments(), _abandonment()]
     return {name: sql for part in parts for name, sql in part.items()}
