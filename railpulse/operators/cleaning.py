@@ -67,6 +67,14 @@ def clean_transactions(
     return _first_per_id(rows, seq_col)
 
 
+def accepted_ids(raw: DataFrame) -> DataFrame:
+    """The ids that cleaning keeps: those with a valid row, each once. No row needs ranking for that."""
+    return raw.filter(valid_amount()).select("transaction_id").distinct()
+
+
 def clean_stage_events(stages: DataFrame, clean_tx: DataFrame) -> DataFrame:
-    """The stage rows whose transaction survived cleaning, repeats included."""
+    """The stage rows whose transaction survived cleaning, repeats included.
+
+    ``clean_tx`` are cleaned attempts or just their ids, as :func:`accepted_ids` gives
+    them from raw ones."""
     return stages.join(clean_tx.select("transaction_id"), "transaction_id", "left_semi")

@@ -752,5 +752,10 @@ def _abandonment() -> dict[str, str]:
 
 
 def all_oracles() -> dict[str, str]:
+    """SQL by query; cleaning in batches has the rows of cleaning at once."""
     parts = [_audit(), _indicators(), _banks(), _times(), _stages(), _users(), _segments(), _retries(), _duplicates(), _health(), _experiments(), _abandonment()]
-    return {name: sql for part in parts for name, sql in part.items()}
+    found = {name: sql for part in parts for name, sql in part.items()}
+    return found | {
+        "clean_incremental": found["clean_transactions"],
+        "clean_incremental_audit": found["dq_audit_summary"],
+    }
