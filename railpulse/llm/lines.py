@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from railpulse.llm.common import stage
+from railpulse.llm.common import Texts, WordHash, byte_class, mixed, stage, texts_of
 
 # Leading tokens that lead to a leaf, and pieces into which the tokens after them are cut.
 DEPTH, PIECES = 8, 8
@@ -15,167 +17,179 @@ DEPTH, PIECES = 8, 8
 MIN_DOCS, LONG_DOCS = 5, 2
 # A long template has so many tokens, and so many of the leading ones are no fields.
 LONG_TOKENS, LONG_WORDS = 9, 6
-BLANKS = r"[ \t\r\f\x0B]+"
-VARIABLE, FIELD = r"[^ ]*[0-9][^ ]*", "<*>"
-# Whether a document is not the first: of a template's documents without id, that of the smallest number.
-LATER = "doc <> _first or anon > 0 and anon <> _first_anon"
-LETTER = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]"
 
+BREAK = 0x0A
+TOKEN = ~byte_class((0x20, 0x20), (0x09, 0x0D))
+DIGIT = byte_class((0x30, 0x39))
+LETTER = byte_class((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
+FIELD = np.uint64(0x5851F42D4C957F2D)  # stands for every token with a digit
+LAST = (1 << 63) - 1
 
-def ids_of() -> Column:
-    """The doc_id; the largest one for NULL."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
 
+def _counts(flags: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(flags)))
 
-def anonymous(by_text: bool = True) -> Column:
-    """A positive number by text for rows without doc_id, 0 for others; 0 for all if not ``by_text``."""
-    number = F.xxhash64("text").bitwiseAND(F.lit((1 << 63) - 1)).bitwiseOR(F.lit(1))
-    return F.when(F.col("doc_id").isNull() & F.lit(by_text), number).otherwise(F.lit(0).cast("long"))
 
+def parsed(t: Texts, h: WordHash, depth: int = DEPTH) -> dict[str, np.ndarray]:
+    """The lines of some texts that can be templates, as arrays.
 
-def parsed_lines(docs: DataFrame, depth: int = DEPTH, by_text: bool = True) -> DataFrame:
-    """Where each line falls in the tree, as hashes: a row per line that can be a template.
+    ``text`` and ``at`` say where a line is, ``leaf`` stands for its number of tokens and
+    the first ``depth`` of them, ``line`` for all, ``pieces`` (of which the line has
+    ``parts``) for consecutive runs of the rest, each with its leaf and place.
+    """
+    starts, ends, doc = t.words(TOKEN)
+    breaks = _counts(t.data == BREAK)
+    line = breaks[starts] + doc  # texts end a line, too
+    digits, letters = _counts(DIGIT[t.data]), _counts(LETTER[t.data])
+    field = digits[ends] > digits[starts]
+    tokens = h.words(t.data, starts, ends)
+    tokens[field] = FIELD
+    worded = ~field & (letters[ends] > letters[starts])
+    first = np.flatnonzero(np.diff(line, prepend=-1))
+    n = np.diff(np.append(first, len(line)))
+    kept = np.add.reduceat(worded, first) > 0 if len(first) else np.zeros(0, dtype=bool)
+    first, n = first[kept], n[kept]
+
+    def run(begin: np.ndarray, end: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        return mixed(mixed(h.sequence.slices(tokens, begin, end) + (end - begin).astype(np.uint64)) + salt.astype(np.uint64))
+
+    head = first + np.minimum(n, depth)
+    leaf = run(first, head, n)
+    plain = _counts(~field)
+    width = -(-(n - depth) // PIECES)
+    parts = np.where(n > depth, -(-(n - depth) // np.maximum(width, 1)), 0)
+    owner = np.repeat(np.arange(len(n)), parts)
+    i = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+    begin = first[owner] + depth + i * width[owner]
+    end = np.minimum(begin + width[owner], first[owner] + n[owner])
+    return {
+        "text": doc[first],
+        "at": line[first] - breaks[t.offsets[doc[first]]] - doc[first],
+        "leaf": leaf,
+        "line": run(first, first + n, leaf),
+        "long": (n >= LONG_TOKENS) & (plain[head] - plain[first] >= LONG_WORDS),
+        "parts": parts,
+        "pieces": run(begin, end, mixed(leaf[owner] + (i + 1).astype(np.uint64))),
+    }
+
+
+def document() -> tuple[Column, Column]:
+    """What tells documents apart: the doc_id, the largest one for NULL, and for NULL a number by text, else 0."""
+    number = F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("long") + 1
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), F.when(F.col("doc_id").isNull(), number).otherwise(0)
+
+
+LINES = "doc long, anon long, content long, at int, leaf long, line long, `long` boolean, pieces array<long>"
+
+
+def parsed_lines(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """A row per line that can be a template; see :func:`parsed`.
 
     Tokens with a digit are variable fields. A line of fields and marks only, or a
-    blank one, is no template. ``leaf`` stands for the first ``depth`` tokens, ``line``
-    for all of them, ``p0`` to ``p7`` for consecutive pieces of the rest, of which the
-    first ``pieces`` are not empty. All lines of a
-    leaf are ``long``, or none is.
+    blank one, is no template. All lines of a leaf are ``long``, or none is.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(ids_of().alias("doc"), anonymous(by_text).alias("anon"), F.xxhash64("text").alias("content"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
-    plain = F.regexp_replace(F.trim(F.regexp_replace("line", BLANKS, " ")), VARIABLE, FIELD)
-    rows = rows.withColumn("line", plain).where(F.col("line").rlike(LETTER)).withColumn("tokens", F.split("line", " "))
-    rows = rows.withColumn("n", F.size("tokens"))
-    width = F.ceil((F.col("n") - depth) / PIECES).cast("int")
-
-    def piece(i: int):
-        part = F.array_join(F.slice("tokens", depth + 1 + i * width, width), " ")
-        return F.when(F.col("n") > depth, F.hash(part)).otherwise(0).alias(f"p{i}")
-
-    words = F.size(F.array_remove(F.slice("tokens", 1, depth), FIELD))
-    return rows.select(
-        "doc",
-        "anon",
-        "content",
-        "at",
-        "n",
-        F.xxhash64(F.array_join(F.slice("tokens", 1, depth), " ")).alias("leaf"),
-        F.xxhash64("line").alias("line"),
-        F.when(F.col("n") > depth, F.ceil((F.col("n") - depth) / width)).otherwise(0).cast("int").alias("pieces"),
-        ((F.col("n") >= LONG_TOKENS) & (words >= LONG_WORDS)).alias("long"),
-        *[piece(i) for i in range(PIECES)],
-    )
-
+    names = [c.split()[0].strip("`") for c in LINES.split(", ")]
 
-def _leaves(lines: DataFrame, min_docs: int, long_docs: int) -> tuple[DataFrame, Column]:
-    """Leaves of enough documents, with ``constant``, the pieces that all their lines share; and what is enough.
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = WordHash(7)
+        for batch in batches:
+            for t in texts_of(batch.column(3)):
+                p = parsed(t, h, depth)
+                rows = pa.array(p["text"] + t.first)
+                pieces = pa.ListArray.from_arrays(pa.array(_counts(p["parts"]), pa.int32()), pa.array(p["pieces"].view(np.int64)))
+                columns = [batch.column(i).take(rows) for i in range(3)]
+                columns += [pa.array(p["at"], pa.int32()), *(pa.array(p[c].view(np.int64)) for c in ("leaf", "line")), pa.array(p["long"]), pieces]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    Documents are counted by partial sums, so no task sees all lines of a frequent template.
-    """
-    p = [f"p{i}" for i in range(PIECES)]
-    enough = F.col("docs") >= F.when(F.col("long"), long_docs).otherwise(min_docs)
-    low, high = [F.min(c).alias(f"{c}_low") for c in p], [F.max(c).alias(f"{c}_high") for c in p]
-    leaves = lines.groupBy("n", "leaf", "long", "doc", "anon").agg(*low, *high)
-    leaves = leaves.groupBy("n", "leaf", "long").agg(
-        F.count(F.lit(1)).alias("docs"),
-        F.min("doc").alias("first"),
-        F.min("anon").alias("first_anon"),
-        *[F.min(f"{c}_low").alias(f"{c}_low") for c in p],
-        *[F.max(f"{c}_high").alias(f"{c}_high") for c in p],
-    )
-    constant = sum((F.col(f"{c}_low") == F.col(f"{c}_high")).cast("int") for c in p)
-    leaves = leaves.where(enough).select("n", "leaf", "first", "first_anon", constant.alias("constant"))
-    return stage(leaves, "line-leaves"), enough
+    doc, anon = document()
+    rows = docs.select(doc.alias("doc"), anon.alias("anon"), F.xxhash64("text").alias("content"), F.col("text").cast("binary").alias("text"))
+    return rows.where("text is not null").mapInArrow(scan, LINES)
 
 
-def _in_leaves(lines: DataFrame, leaves: DataFrame) -> DataFrame:
-    """The lines of the given leaves but those of a leaf's first document.
+def _frequent(rows: DataFrame, key: str, whole: str, min_docs: int, long_docs: int) -> DataFrame:
+    """Keys in enough documents: (_key, _doc, _anon, _differ), with the first document that
+    has it, and whether its rows differ in ``whole``.
 
-    Both sides come from files, so Spark splits the partition of a frequent template.
+    Documents are counted by partial sums, so no task sees all lines of a frequent template.
     """
-    a = leaves.select(*[F.col(c).alias(f"_{c}") for c in ("n", "leaf", "first", "first_anon")])
-    same = (F.col("n") == F.col("_n")) & (F.col("leaf") == F.col("_leaf"))
-    return lines.join(a, same).where(LATER).select("doc", "anon", "content", "at")
-
+    docs = rows.groupBy(key, "long", "doc", "anon").agg(F.min(whole).alias("_low"), F.max(whole).alias("_high"))
+    found = docs.groupBy(key, "long").agg(
+        F.count(F.lit(1)).alias("docs"), F.min(F.struct("doc", "anon")).alias("first"), F.min("_low").alias("_low"), F.max("_high").alias("_high")
+    )
+    enough = F.col("docs") >= F.when(F.col("long"), long_docs).otherwise(min_docs)
+    differ = (F.col("_low") != F.col("_high")).alias("_differ")
+    return found.where(enough).select(F.col(key).alias("_key"), F.col("first.doc").alias("_doc"), F.col("first.anon").alias("_anon"), differ)
 
-def constant_leaves(lines: DataFrame, min_docs: int = MIN_DOCS, long_docs: int = MIN_DOCS) -> DataFrame:
-    """Lines to drop, (doc, content, at), by the rule of the query's SQL.
 
-    A leaf is a template if at least half of its pieces are the same in all its
-    lines; the others are variable fields. Lines of other leaves are templates by
-    themselves.
-    """
-    leaves, enough = _leaves(lines, min_docs, long_docs)
-    whole = 2 * F.col("constant") >= PIECES
-    loose = leaves.where(~whole).select(F.col("n").alias("_n"), F.col("leaf").alias("_leaf"))
-    own = lines.join(loose, (F.col("n") == F.col("_n")) & (F.col("leaf") == F.col("_leaf")), "left_semi")
-    own = own.groupBy("n", "leaf", "line", "long", "doc", "anon").agg(F.lit(1).alias("one")).groupBy("n", "leaf", "line", "long")
-    own = own.agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("first"), F.min("anon").alias("first_anon")).where(enough)
-    own = stage(own.select(*[F.col(c).alias(f"_{c}") for c in ("n", "leaf", "line", "first", "first_anon")]), "line-own")
-    same = (F.col("n") == F.col("_n")) & (F.col("leaf") == F.col("_leaf")) & (F.col("line") == F.col("_line"))
-    gone = lines.join(own, same).where(LATER).select("doc", "anon", "content", "at")
-    return _in_leaves(lines, leaves.where(whole)).union(gone)
+LATER = "doc <> _doc or anon <> _anon"
 
 
-def recurring_pieces(lines: DataFrame, min_docs: int = MIN_DOCS, long_docs: int = LONG_DOCS) -> DataFrame:
-    """Lines to drop, (doc, content, at): those of which at least half of the pieces recur.
+def recurring_lines(lines: DataFrame, min_docs: int = MIN_DOCS, long_docs: int = LONG_DOCS) -> DataFrame:
+    """Lines to drop, (doc, anon, content, at): those of which at least half of the pieces recur.
 
     A piece recurs if enough documents have it at its place in a line of the leaf,
     and one of them is earlier. Whatever else a leaf holds plays no part, so an odd
-    line keeps only itself out, and several templates may share a leaf. Most leaves
-    have one line in all documents; only the others are cut into their pieces. Empty
-    pieces after the end of a line do not count.
+    line keeps only itself out, and several templates may share a leaf. A line without
+    tokens after the leading ones is a piece by itself. Most leaves have one line in all
+    documents, which then recurs whole; only the others' pieces are counted. Frequent
+    keys are spread by the adaptive skew join. The joins are merge joins at every size, so
+    that the plan does not change as the table grows.
     """
-    leaves, enough = _leaves(lines, min_docs, long_docs)
-    mixed = leaves.where(F.col("constant") < PIECES).select(F.col("n").alias("_n"), F.col("leaf").alias("_leaf"))
-    parts = lines.join(mixed, (F.col("n") == F.col("_n")) & (F.col("leaf") == F.col("_leaf")), "left_semi")
-    real = F.slice(F.array(*[f"p{i}" for i in range(PIECES)]), 1, F.col("pieces"))
-    parts = parts.select("doc", "anon", "content", "at", "long", "pieces", "n", "leaf", F.posexplode(real).alias("i", "p"))
-    parts = parts.select("doc", "anon", "content", "at", "long", "pieces", "i", F.xxhash64("n", "leaf", "i", "p").alias("piece"))
-    parts = stage(parts, "line-parts")
-    seen = parts.groupBy("piece", "long", "doc", "anon").agg(F.lit(1).alias("one")).groupBy("piece", "long")
-    seen = seen.agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("first"), F.min("anon").alias("first_anon")).where(enough)
-    seen = stage(seen.select(*[F.col(c).alias(f"_{c}") for c in ("piece", "first", "first_anon")]), "line-pieces")
-    again = parts.join(seen, F.col("piece") == F.col("_piece")).where(LATER)
+    where = ["doc", "anon", "content", "at"]
+    leaves = stage(_frequent(lines, "leaf", "line", min_docs, long_docs), "line-leaves")
+    found = lines.hint("merge").join(leaves, F.col("leaf") == F.col("_key"))
+    found = found.select(*where, "long", "pieces", (~F.col("_differ") & F.expr(LATER)).alias("gone"), "_differ").where("gone or _differ")
+    found = stage(found, "line-found")
+    parts = found.where("_differ").select(*where, "long", F.size("pieces").alias("parts"), F.posexplode("pieces").alias("i", "piece"))
+    seen = stage(_frequent(parts, "piece", "i", min_docs, long_docs), "line-pieces")
+    again = parts.hint("merge").join(seen, F.col("piece") == F.col("_key")).where(LATER)
     # Bits, since repeated rows have their pieces more than once.
-    again = again.groupBy("doc", "anon", "content", "at", "pieces").agg(F.bit_or(F.expr("shiftleft(1, i)")).alias("again"))
-    gone = again.where(2 * F.bit_count("again") >= F.col("pieces")).select("doc", "anon", "content", "at")
-    return _in_leaves(lines, leaves.where(F.col("constant") == PIECES)).union(gone)
-
-
-def drop_recurring_lines(
-    docs: DataFrame,
-    min_docs: int = MIN_DOCS,
-    depth: int = DEPTH,
-    long_docs: int = LONG_DOCS,
-    rule: Callable[[DataFrame, int, int], DataFrame] = recurring_pieces,
-    by_text: bool = True,
-) -> DataFrame:
+    again = again.groupBy(*where, "parts").agg(F.bit_or(F.expr("shiftleft(1, i)")).alias("again"))
+    gone = again.where(2 * F.bit_count("again") >= F.col("parts")).select(*where)
+    return found.where("gone").select(*where).union(gone)
+
+
+def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, long_docs: int = LONG_DOCS) -> DataFrame:
     """The documents without lines whose template recurs across documents.
 
     The document with the smallest doc_id (NULL last) that has a piece of a template
-    keeps it, unless half of its line recurs from earlier ones. The text loses the dropped lines;
-    blank lines and lines without letters stay. ``_ld_lines`` counts all lines and
-    ``_ld_dropped`` the dropped ones; other columns pass unread, whatever their names.
+    keeps it, unless half of its line recurs from earlier ones. The text loses the
+    dropped lines; blank lines and lines without letters stay. ``_ld_lines`` counts all
+    lines and ``_ld_dropped`` the dropped ones; other columns pass unread, whatever
+    their names.
 
     A NULL text has no lines and stays NULL; an empty one has one blank line. Rows
-    with one doc_id count as one document, those without it by their text. Order among ties plays no part.
+    with one doc_id count as one document, those without it by 60 bits of their text's
+    MD5, in that order. Order among ties plays no part. Templates and pieces are 64-bit
+    hashes: of a million different pieces at one place of a leaf two are taken for
+    equal with a probability of 3e-8.
     """
-    lines = stage(parsed_lines(docs, depth, by_text), "lines")
+    lines = stage(parsed_lines(docs, depth), "lines")
     key = ["doc", "anon", "content"]
-    gone = rule(lines, min_docs, long_docs).groupBy(*key).agg(F.collect_set("at").alias("_ld_gone"))
+    gone = recurring_lines(lines, min_docs, long_docs).groupBy(*key).agg(F.collect_set("at").alias("_ld_gone"))
     gone = stage(gone.select(*[F.col(c).alias(f"_ld_{c}") for c in key], "_ld_gone"), "line-drops")
-    same = (ids_of() == F.col("_ld_doc")) & (anonymous(by_text) == F.col("_ld_anon")) & (F.xxhash64("text") == F.col("_ld_content"))
-    joined = docs.join(gone, same, "left")
-    every = F.split("text", "\n")
-    kept = F.array_join(F.filter(every, lambda x, i: ~F.array_contains("_ld_gone", i)), "\n")
-    columns = [F.when(F.col("_ld_gone").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return joined.select(
-        *columns,
-        F.coalesce(F.size(every), F.lit(0)).cast("long").alias("_ld_lines"),
-        F.coalesce(F.size("_ld_gone"), F.lit(0)).cast("long").alias("_ld_dropped"),
-    )
+    doc, anon = document()
+    same = (doc == F.col("_ld_doc")) & (anon == F.col("_ld_anon")) & (F.xxhash64("text") == F.col("_ld_content"))
+    joined = docs.hint("merge").join(gone, same, "left").select(*docs.columns, "_ld_gone")
+    columns, at = docs.columns, docs.columns.index("text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, total, dropped = [], [], []
+            for text, gone in zip(batch.column(at), batch.column(len(columns))):
+                text, gone = text.as_py(), gone.as_py() or []
+                total.append(0 if text is None else 1 + text.count(b"\n"))
+                dropped.append(len(gone))
+                if gone:
+                    out = set(gone)
+                    text = b"\n".join(x for i, x in enumerate(text.split(b"\n")) if i not in out)
+                texts.append(text)
+            rest = [pa.array(texts, c.type) if i == at else c for i, c in enumerate(batch.columns[: len(columns)])]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(total, pa.int64()), pa.array(dropped, pa.int64())], [*columns, "_ld_lines", "_ld_dropped"])
+
+    binary = joined.withColumn("text", F.col("text").cast("binary"))
+    types = ", ".join(f"`{c}` {t}" for c, t in binary.dtypes[: len(columns)])
+    return binary.mapInArrow(cut, f"{types}, _ld_lines long, _ld_dropped long").withColumn("text", F.col("text").cast("string"))
 
 
 def without_recurring_lines(docs: DataFrame) -> DataFrame:
@@ -187,16 +201,7 @@ def without_recurring_lines(docs: DataFrame) -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     """Per document: number of lines, of dropped lines, and a digest of the kept text."""
-    return _counted(drop_recurring_lines(docs.select("doc_id", "text")))
-
-
-def sql_report(docs: DataFrame) -> DataFrame:
-    """The report by the rule of the query's SQL: constant leaves, one bar, rows without doc_id as one document."""
-    return _counted(drop_recurring_lines(docs.select("doc_id", "text"), long_docs=MIN_DOCS, rule=constant_leaves, by_text=False))
-
-
-def _counted(cleaned: DataFrame) -> DataFrame:
-    return cleaned.select(
+    return drop_recurring_lines(docs.select("doc_id", "text")).select(
         "doc_id",
         F.col("_ld_lines").alias("n_lines"),
         F.col("_ld_dropped").alias("n_dropped"),

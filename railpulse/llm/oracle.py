@@ -8,14 +8,15 @@ SPACED = r"[^\x20\x09-\x0D]+"
 
 LINE_DEDUP = r"""
 with raw as (
-    select row_number() over () as r, doc_id, text, coalesce(doc_id, 9223372036854775807) as doc from documents
+    select row_number() over () as r, doc_id, text, coalesce(doc_id, 9223372036854775807) as doc,
+        case when doc_id is null then cast('0x' || substr(md5(text), 1, 15) as bigint) + 1 else 0 end as anon from documents
 ),
 lines as (
-    select r, doc, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos
+    select r, doc, anon, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos
     from raw where text is not null
 ),
 plain as (
-    select r, doc, line, pos,
+    select r, doc, anon, line, pos,
         regexp_replace(trim(regexp_replace(line, '[ \t\r\f\v]+', ' ', 'g'), ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g') as masked
     from lines
 ),
@@ -24,24 +25,20 @@ tokens as (
     from plain where regexp_matches(masked, '[^\x00-\x40\x5B-\x60\x7B-\x7F]')
 ),
 placed as (
-    select r, doc, pos, n, masked, array_to_string(t[1:8], ' ') as leaf,
-        case when n > 8 then list_transform(range(0, 8), lambda i: array_to_string(
-            t[9 + i * cast(ceil((n - 8) / 8.0) as bigint) : 8 + (i + 1) * cast(ceil((n - 8) / 8.0) as bigint)], ' '))
-        else list_transform(range(0, 8), lambda i: '') end as p
+    select r, doc, anon, pos, n, array_to_string(t[1:8], ' ') as leaf, t, cast(ceil((n - 8) / 8.0) as bigint) as w,
+        case when n >= 9 and len(list_filter(t[1:8], lambda x: x <> '<*>')) >= 6 then 2 else 5 end as bar
     from tokens
 ),
-leaves as (
-    select n, leaf, count(distinct doc) as docs, min(doc) as first,
-        (min(p[1]) = max(p[1]))::int + (min(p[2]) = max(p[2]))::int + (min(p[3]) = max(p[3]))::int
-        + (min(p[4]) = max(p[4]))::int + (min(p[5]) = max(p[5]))::int + (min(p[6]) = max(p[6]))::int
-        + (min(p[7]) = max(p[7]))::int + (min(p[8]) = max(p[8]))::int as constant
-    from placed group by n, leaf
+pieces as (
+    select r, doc, anon, pos, n, leaf, bar, i, case when n > 8 then array_to_string(t[9 + i * w : 8 + (i + 1) * w], ' ') else '' end as piece
+    from placed, unnest(range(0, case when n > 8 then cast(ceil((n - 8) / w) as bigint) else 1 end)) as s(i)
+),
+seen as (
+    select n, leaf, i, piece, count(distinct (doc, anon)) as docs, min((doc, anon)) as first from pieces group by n, leaf, i, piece
 ),
-own as (select n, masked, count(distinct doc) as docs, min(doc) as first from placed group by n, masked),
 gone as (
-    select x.r, x.pos from placed x join leaves l on x.n = l.n and x.leaf = l.leaf join own o on x.n = o.n and x.masked = o.masked
-    where l.docs >= 5 and ((2 * l.constant >= 8 and x.doc <> l.first)
-        or (2 * l.constant < 8 and o.docs >= 5 and x.doc <> o.first))
+    select p.r, p.pos from pieces p join seen s on p.n = s.n and p.leaf = s.leaf and p.i = s.i and p.piece = s.piece
+    group by p.r, p.pos having 2 * count(*) filter (where s.docs >= p.bar and s.first <> (p.doc, p.anon)) >= count(*)
 ),
 kept as (
     select l.r, string_agg(l.line, chr(10) order by l.pos) as text

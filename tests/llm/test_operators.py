@@ -156,6 +156,25 @@ def test_texts_without_id_are_documents_by_content(spark):
     assert {(r.doc_id, r.text) for r in got} == {rows[-1], ((1 << 63) - 1, rows[0][1])}
 
 
+def test_lines_of_very_long_texts(spark):
+    same = "All of these lines are the same notice of nothing at all"
+    rows = [(0, "\n".join([same] * 200_000)), (1, "\n".join(f"{same}\n{i}" for i in range(100_000))), (2, "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in lines.drop_recurring_lines(d).collect()}
+    assert (got[0]._ld_dropped, got[1]._ld_dropped, got[2]._ld_dropped) == (0, 100_000, 0)
+    assert got[1].text == "\n".join(map(str, range(100_000))) and got[0].text == rows[0][1]
+
+
+def test_templates_in_few_documents(spark):
+    words = [f"w{c}{d}" for c in "abcdef" for d in "stuvwxyz"]
+    assert dropped(spark, [(i, f"{' '.join(words)}\nown{'n' * i}") for i in range(4)]) == {0: 0, 1: 1, 2: 1, 3: 1}
+    head = " ".join(words[:8])
+    assert dropped(spark, [(i, f"{head} {'a' * (i + 1)} {'b' * (i + 1)} {'c' * (i + 1)}") for i in range(6)]) == dict.fromkeys(range(6), 0)
+    variants = [(i, " ".join("odd" if k == 9 + i else w for k, w in enumerate(words[:40]))) for i in range(8)]
+    outlier = [(8, f"{head} " + " ".join(f"z{w}" for w in words[8:40]))]
+    assert dropped(spark, variants + outlier) == {0: 0} | dict.fromkeys(range(1, 8), 1) | {8: 0}
+
+
 def test_warc(spark, tmp_path):
     payloads = [b"<a>", b"<b>\r\n\r\nWARC/1.1\r\n", b"", None, b"<a>", bytes(range(256)) * 400, b"<a>", b"<b>\r\n\r\nWARC/1.1\r\n"]
     rows = [(f"r{i}", i, f"http://x/{i}\n?" if i % 3 else None, p, "clash") for i, p in enumerate(payloads)]
