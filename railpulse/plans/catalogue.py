@@ -31,7 +31,7 @@ from railpulse.session import work_folder
 from railpulse.sources import tables
 from railpulse.sources.star import StarTables, with_repeats
 from railpulse.streaming import cleaning as store_cleaning
-from railpulse.streaming import locks, runs
+from railpulse.streaming import followups, locks, runs
 
 DAY = 86_400
 # Keys with repeats in the test tables; the lock key proper hardly repeats there.
@@ -111,6 +111,16 @@ def _health_stream(spark: SparkSession, s: StarTables) -> DataFrame:
     return runs.drain_to_parquet(spark, stream, "bank-health")
 
 
+def _incident_stream(spark: SparkSession, s: StarTables) -> DataFrame:
+    stream = bankhealth.bank_incidents(s.transaction_stream(), watermark=STREAM_DELAY)
+    return runs.drain_to_parquet(spark, stream, "bank-incidents")
+
+
+def _follow_up_stream(spark: SparkSession, s: StarTables) -> DataFrame:
+    stream = followups.timeout_follow_ups(with_repeats(s.transaction_stream()), watermark=STREAM_DELAY)
+    return runs.drain_to_parquet(spark, stream, "follow-ups")
+
+
 def _lock_window_stream(spark: SparkSession, s: StarTables) -> DataFrame:
     stream = duplicates.lock_windows(s.transaction_stream(), "1 day", COARSE_KEY, STREAM_DELAY)
     return runs.drain_to_parquet(spark, stream, "lock-windows")
@@ -209,6 +219,10 @@ def all_queries() -> dict[str, Query]:
         "retry_frequency": over(lambda s: retries.retry_frequency(s.transactions())),
         "attempts_after_timeout": over(lambda s: retries.attempts_after_timeout(s.transactions())),
         "attempts_after_timeout_day": over(lambda s: retries.attempts_after_timeout(s.transactions(), DAY)),
+        "timeout_follow_ups_repeated": over(
+            lambda s: followups.timeout_follow_ups(with_repeats(s.transactions()))
+        ),
+        "timeout_follow_ups_stream_repeated": with_session(_follow_up_stream),
         "duplicate_attempts": over(lambda s: _plain_amount(duplicates.duplicate_attempts(s.transactions()))),
         "duplicate_attempts_day": over(
             lambda s: duplicates.duplicate_attempts(s.transactions(), DAY, COARSE_KEY)
@@ -236,6 +250,8 @@ def all_queries() -> dict[str, Query]:
         # Bank health and experiment
         "bank_health": over(lambda s: bankhealth.rolling_bank_health(s.transactions())),
         "bank_health_stream": with_session(_health_stream),
+        "bank_incidents": over(lambda s: bankhealth.bank_incidents(s.transactions())),
+        "bank_incidents_stream": with_session(_incident_stream),
         "assign_variants": over(lambda s: experiment.assign_variants(s.users())),
         "experiment_readout": over(lambda s: experiment.experiment_readout(s.transactions())),
         "experiment_retry_day": over(lambda s: experiment.retry_readout(s.transactions(), DAY, 0.5)),

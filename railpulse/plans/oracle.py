@@ -38,6 +38,10 @@ SOURCES = {
         select id * 2 as id, user_id, payee, amount, ts, ok, bad from tx
         union all
         select id * 2 + 1, user_id, payee, amount, ts + to_seconds(1 + id % 400), ok, bad from tx where id % 7 = 0""",
+    "again_coded": """
+        select id * 2 as id, user_id, ts, bad, code from tx
+        union all
+        select id * 2 + 1, user_id, ts + to_seconds(1 + id % 400), bad, code from tx where id % 7 = 0""",
     "coded": """
         select tx.*, ec.category, ec.description, ec.decline, ec.code as known
         from tx left join ec on ec.code = tx.code""",
@@ -82,7 +86,7 @@ SOURCES = {
     "reach": """
         select id, stage_id, min(ts) as ts from step where stage_id between 1 and 7 group by all""",
 }
-NEEDS = {"again": ["tx"], "coded": ["tx", "ec"], "parsed": ["raw"], "chain": ["tx"], "reach": ["step"]}
+NEEDS = {"again": ["tx"], "again_coded": ["tx"], "coded": ["tx", "ec"], "parsed": ["raw"], "chain": ["tx"], "reach": ["step"]}
 
 
 def _with(names: str, body: str) -> str:
@@ -587,6 +591,11 @@ def _duplicates() -> dict[str, str]:
                             from {attempts})""",
         ).removeprefix("with ").replace("\nnumbered as", ",\nnumbered as")
 
+    follow_ups = """select f.id as transaction_id, f.user_id, f.ts as failed_at, count(a.id) as following_attempts,
+            min(date_diff('microsecond', f.ts, a.ts)) / 1e6::double as first_gap_seconds
+        from (select * from again_coded where bad and code = 'ERR_NET_01') f left join again a
+            on a.user_id = f.user_id and a.ts between f.ts and f.ts + interval 180 seconds and (a.ts > f.ts or a.id > f.id)
+        group by 1, 2, 3"""
     day = 86_400_000_000
     locked = """select user_id, payee as payee_bank_id, cast(date_trunc('day', ts) as timestamp) as lock_start, min(ts) as accepted_at,
         count(*) as attempts, count(*) - 1 as locked_attempts from tx group by 1, 2, 3 having count(*) > 1"""
@@ -599,6 +608,12 @@ def _duplicates() -> dict[str, str]:
         "duplicate_payment_rate": rate(lock_key, 180_000_000),
         "duplicate_payment_rate_day": rate("user_id, payee", day),
         "duplicate_payment_rate_repeated": rate(lock_key, 180_000_000, "again"),
+        "timeout_follow_ups_repeated": _with("again again_coded", follow_ups),
+        "timeout_follow_ups_stream_repeated": _with(
+            "again again_coded",
+            f"""select * from ({follow_ups}) where date_trunc('hour', failed_at) + interval 1 hour
+                    <= (select date_trunc('milliseconds', max(ts)) - interval 10 minutes - interval 180 seconds from again)""",
+        ),
         "lock_windows": _with("tx", locked),
         "lock_windows_stream": _with(
             "tx",
@@ -622,6 +637,13 @@ def _health() -> dict[str, str]:
         count(*) as txns, {OK} as successes, {pct(OK, "count(*)")} as rolling_psr, 100.0 * {OK} / count(*) < 88 as alert
         from (select payer, ok, ts, unnest([date_trunc('minute', ts) - to_minutes(i) for i in [0, 1, 2, 3, 4]]) as window_start from tx)
         group by 1, 2, 3"""
+    incidents = f"""select payer_bank_id, min(window_start) as started, max(window_end) as ended, count(*) as windows,
+            {n_if("psr < 88")} as alert_windows, max(txns) as txns, round(min(psr), 2) as worst_psr
+        from (select *, sum(fresh) over (partition by payer_bank_id order by window_end) as run
+              from (select *, case when window_end - lag(window_end) over (partition by payer_bank_id order by window_end) <= interval 2 minutes
+                                   then 0 else 1 end as fresh
+                    from (select *, 100.0::double * successes / txns as psr from ({rolling})) where psr < 90))
+        group by payer_bank_id, run having {n_if("psr < 88")} > 0"""
     bucket = f"cast(concat('0x', substr(sha256('{SALT}:' || cast(user_id as varchar)), 1, 8)) as bigint) % 100"
     return {
         "bank_health": _with("tx", rolling),
@@ -630,6 +652,12 @@ def _health() -> dict[str, str]:
             f"""select * from ({rolling})
                 where window_end <= (select date_trunc('milliseconds', max(ts)) - interval 10 minutes from tx)""",
         ),
+        "bank_incidents": _with("tx", incidents),
+        "bank_incidents_stream": _with(
+            "tx",
+            f"""select * from ({incidents}) where ended + interval 2 minutes
+                    <= (select date_trunc('milliseconds', max(ts)) - interval 10 minutes from tx)""",
+        ),
         "assign_variants": _with(
             "usr",
             f"""select user_id, cast({bucket} as integer) as bucket,

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from railpulse.operators import bankhealth, duplicates
-from railpulse.streaming import locks, runs
+from railpulse.streaming import followups, locks, runs
 
 START = datetime(2024, 1, 1)
 SCHEMA = (
@@ -128,3 +128,65 @@ def test_lock_stream_with_null_keys_and_times(spark, tmp_path):
     stream = spark.readStream.schema(SCHEMA).parquet(folder)
     got = runs.drain_to_parquet(spark, locks.lock_stream(stream), "test-nulls").collect()
     assert {r.transaction_id: r.accepted for r in got} == {"A": True, "B": False}
+
+
+def brute_follow_ups(rows, window_s):
+    found = {}
+    for tid, user, *_, ts, status in rows:
+        if status == "FAILED" and user is not None and ts is not None:
+            later = [r[5] for r in rows if r[1] == user and r[5] is not None and (r[5], r[0]) > (ts, tid) and r[5] - ts <= timedelta(seconds=window_s)]
+            found[tid] = (ts, len(later), (min(later) - ts).total_seconds() if later else None)
+    return found
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_follow_ups_do_not_depend_on_micro_batches(spark, tmp_path, parts):
+    rng = random.Random(parts)
+    rows = sorted(make_rows(300, seed=3), key=lambda r: r[5] + timedelta(seconds=rng.randrange(590)))
+    rows += [("N1", None, "BNK001", "P", "1.00", START, "FAILED"), ("N2", "hot", "BNK001", "P", "1.00", None, "FAILED")]
+    folder = str(tmp_path / "in")
+    for part in range(parts):
+        mine = rows[part * len(rows) // parts : (part + 1) * len(rows) // parts]
+        as_frame(spark, mine).coalesce(1).write.mode("append").parquet(folder)
+    code = F.when(F.col("final_status") == "FAILED", "ERR_NET_01").otherwise("ERR_SUCCESS")
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder).withColumn("failure_code", code)
+    made = followups.timeout_follow_ups(stream, 180, watermark="10 minutes", period="5 minutes")
+    got = runs.drain_to_parquet(spark, made, "test-follow-ups").collect()
+    want = brute_follow_ups(rows, 180)
+    assert all((r.failed_at, r.following_attempts, r.first_gap_seconds) == want[r.transaction_id] for r in got)
+    closed = max(r[5] for r in rows if r[5]) - timedelta(seconds=600 + 180 + 300 + 1)
+    assert {t for t, (ts, *_) in want.items() if ts < closed} <= {r.transaction_id for r in got} and len(got) == len({r.transaction_id for r in got}) > 50
+    batch = as_frame(spark, rows).withColumn("failure_code", code)
+    every = followups.timeout_follow_ups(batch, 180).collect()
+    assert {r.transaction_id: (r.failed_at, r.following_attempts, r.first_gap_seconds) for r in every} == want
+
+
+def test_incident_stream_equals_batch_on_closed_time(spark, attempts):
+    rows, batch, stream = attempts
+    got = runs.drain_to_parquet(spark, bankhealth.bank_incidents(stream, alert_below=40, release_at=50, watermark="10 minutes"), "test-incidents")
+    horizon = max(r[5] for r in rows) - timedelta(minutes=12)
+    horizon = horizon.replace(microsecond=horizon.microsecond // 1000 * 1000)
+    want = bankhealth.bank_incidents(batch, alert_below=40, release_at=50).filter(F.col("ended") <= F.lit(horizon).cast("timestamp_ntz"))
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0 and got.count() >= 3
+
+
+def test_an_incident_lasts_until_the_rate_is_back(spark):
+    """Per minute 100 attempts; one-minute windows with the given numbers of successes."""
+    def minutes(good):
+        return [
+            (f"T{m}-{k}", "u", "BNK001", "P", "1.00", START + timedelta(minutes=m, milliseconds=k), "SUCCESS" if k < ok else "FAILED")
+            for m, ok in enumerate(good) if ok is not None
+            for k in range(100)
+        ]
+
+    def incidents(good):
+        d = bankhealth.bank_incidents(as_frame(spark, minutes(good)), window="1 minute", slide="1 minute")
+        at = lambda ts: int((ts - START).total_seconds() // 60)
+        return sorted((at(r.started), at(r.ended), r.windows, r.alert_windows, r.worst_psr) for r in d.collect())
+
+    # 89 is under the release bound only: it prolongs an incident and makes none.
+    assert incidents([95, 87, 89, 86, 91, 95, 95, 89, 95]) == [(1, 4, 3, 2, 86.0)]
+    assert incidents([87, 95, 95, 95, 80]) == [(0, 1, 1, 1, 87.0), (4, 5, 1, 1, 80.0)]
+    # A minute without attempts does not end it, two do.
+    assert incidents([87, None, 88, None, None, 50]) == [(0, 3, 2, 1, 87.0), (5, 6, 1, 1, 50.0)]
+    assert incidents([88, 89, 90]) == []
