@@ -118,11 +118,12 @@ def mix_spans(
     Repeated rows are documents of their own. No rows give no rows. Columns of
     other names are not read.
     """
+    # The draw of a row: seeded, the same in every run and order of rows. Texts without
+    # doc_id differ in it; rows equal in all columns share it and are interchangeable.
+    draw = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), "text", *[F.col(c).cast("string") for c in keep if c != "text"])
     rows = docs.select(
-        F.col("doc_id"), F.col("source"), words_of(F.col("text")).alias("size"), *[F.col(c).alias(f"_keep_{c}") for c in keep]
+        F.col("doc_id"), F.col("source"), words_of(F.col("text")).alias("size"), draw.alias("_draw"), *[F.col(c).alias(f"_keep_{c}") for c in keep]
     )
-    # The draw of a row: seeded, the same in every run; equal rows share it and are interchangeable.
-    rows = rows.withColumn("_draw", F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), "size"))
     small = stage(rows.select("doc_id", "source", "size", "_draw"), "mix-sizes")
     by_source = small.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_docs"))
     by_source = stage(by_source, "mix-sources")

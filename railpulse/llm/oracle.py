@@ -63,11 +63,14 @@ named as (
         'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + 16 * b[5 * j + 1]::int + 8 * b[5 * j + 2]::int + 4 * b[5 * j + 3]::int
             + 2 * b[5 * j + 4]::int + b[5 * j + 5]::int]), '') as payload_digest from bits
 ),
-best as (select *, max(page_id) over (partition by payload_digest) as original from named)
+best as (
+    select *, first_value(page_id) over by_digest as original, row_number() over by_digest = 1 as is_response
+    from named window by_digest as (partition by payload_digest order by page_id desc nulls last)
+)
 select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest,
-    case when page_id = original then 'response' else 'revisit' end as record_type,
-    case when page_id <> original then original end as refers_to,
-    case when page_id = original then true end as payload_ok
+    case when is_response then 'response' else 'revisit' end as record_type,
+    case when not is_response then original end as refers_to,
+    case when is_response then true end as payload_ok
 from best
 """
 

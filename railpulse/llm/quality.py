@@ -107,18 +107,19 @@ def statistics(t: Texts, h: WordHash) -> np.ndarray:
 
 
 def document_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and ``x``, the statistics; a NULL text counts as empty."""
+    """doc_id, a hash of the text, and ``x``, the statistics; a NULL text counts as empty."""
     ids = dict(docs.dtypes)["doc_id"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = WordHash()
         for batch in batches:
-            for t in texts_of(batch.column(1)):
+            for t in texts_of(batch.column(2)):
                 x = statistics(t, h)
                 rows = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(t.first, len(t)), rows], ["doc_id", "x"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(t.first, len(t)) for i in (0, 1)), rows], ["doc_id", "content", "x"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(scan, f"doc_id {ids}, x array<double>")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("content"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(scan, f"doc_id {ids}, content long, x array<double>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -189,7 +190,7 @@ def quality(
     """Score of every document: (doc_id, held_out, score, predicted).
 
     Learns from all labels of 0 or 1 whose document is not held out (the largest, if
-    a doc_id has several): tasks sum moments, the driver gets one row of moments per
+    a doc_id has several), of a repeated doc_id from one text, that of smallest hash: tasks sum moments, the driver gets one row of moments per
     class. Ids, language and source are no features. NULL and empty texts have the
     statistics of no words and are scored like others. Repeated rows come out as
     often as they come in; NULL ids are not held out. If a class has fewer than two
@@ -199,7 +200,8 @@ def quality(
     known = known.groupBy(F.col("doc_id").alias("_id")).agg(F.max(label).cast("long").alias("label"))
     known = known.where(fold("_id", FOLDS) != HELD)
     x = stage(document_statistics(docs), "quality-statistics")
-    sums = moments(x.join(known, F.col("doc_id") == F.col("_id"))).collect()  # a row per class
+    learnt = x.join(known, F.col("doc_id") == F.col("_id")).groupBy("_id", "label").agg(F.min_by("x", "content").alias("x"))
+    sums = moments(learnt).collect()  # a row per class
     classes = {r["label"]: (r["n"], np.array(r["v"])) for r in sums}
     held = (fold("doc_id", FOLDS) == HELD).alias("held_out")
     if min([classes.get(k, (0, None))[0] for k in (0, 1)]) < 2:
@@ -212,5 +214,5 @@ def quality(
             p = model.score(_matrix(batch.column(1))) if len(batch) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], ["doc_id", "score"])
 
-    scored = x.mapInArrow(scan, f"doc_id {ids}, score double")
+    scored = x.select("doc_id", "x").mapInArrow(scan, f"doc_id {ids}, score double")
     return scored.select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

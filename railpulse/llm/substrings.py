@@ -19,17 +19,18 @@ WINDOW = 20
 PACK_BYTES = 4 << 20
 PART_BYTES = 8 << 20
 LAST = np.iinfo(np.int64).max
-PACKS = "pack long, bytes long, ids array<long>, digests array<long>, sizes array<long>, texts binary"
+PACKS = "pack long, bytes long, ids array<long>, digests array<long>, checks array<long>, sizes array<long>, texts binary"
 
 
 def _pack(docs: DataFrame) -> DataFrame:
-    """Rows of some megabytes of compressed text, with id and word digest of each."""
+    """Rows of some megabytes of compressed text, with id and word digest (128 bits in two halves) of each."""
     schema = pa.schema(
         [
             ("pack", pa.int64()),
             ("bytes", pa.int64()),
             ("ids", pa.list_(pa.int64())),
             ("digests", pa.list_(pa.int64())),
+            ("checks", pa.list_(pa.int64())),
             ("sizes", pa.list_(pa.int64())),
             ("texts", pa.binary()),
         ]
@@ -38,7 +39,7 @@ def _pack(docs: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = TaskContext.get().partitionId() << 32
         squeeze = zstandard.ZstdCompressor(level=3)
-        ids, digests, texts, size = [], [], [], 0
+        ids, digests, checks, texts, size = [], [], [], [], 0
 
         def out() -> pa.RecordBatch:
             raw = b"".join(texts)
@@ -47,6 +48,7 @@ def _pack(docs: DataFrame) -> DataFrame:
                 "bytes": len(raw),
                 "ids": ids,
                 "digests": digests,
+                "checks": checks,
                 "sizes": [len(t) for t in texts],
                 "texts": squeeze.compress(raw),
             }
@@ -56,12 +58,14 @@ def _pack(docs: DataFrame) -> DataFrame:
             for doc_id, text in zip(batch.column(0), batch.column(1)):
                 words = b" ".join((text.as_py() or b"").split())
                 ids.append(doc_id.as_py())
-                digests.append(int.from_bytes(hashlib.blake2b(words, digest_size=8).digest(), "big", signed=True))
+                digest = hashlib.blake2b(words, digest_size=16).digest()
+                digests.append(int.from_bytes(digest[:8], "big", signed=True))
+                checks.append(int.from_bytes(digest[8:], "big", signed=True))
                 texts.append(words)
                 size += len(words)
                 if size >= PACK_BYTES:
                     yield out()
-                    ids, digests, texts, size = [], [], [], 0
+                    ids, digests, checks, texts, size = [], [], [], [], 0
                     pack += 1
         if ids:
             yield out()
@@ -122,13 +126,13 @@ def _anchor_keys(h: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _copies(packs: DataFrame) -> DataFrame:
-    """(pack, data): numbers of the texts that equal an earlier one, word by word."""
-    docs = packs.select("pack", F.posexplode(F.arrays_zip("ids", "digests")).alias("at", "d"))
+    """(pack, data): numbers of the texts that equal an earlier one, by 128 bits of a cryptographic hash of their words."""
+    docs = packs.select("pack", F.posexplode(F.arrays_zip("ids", "digests", "checks")).alias("at", "d"))
     place = F.struct(F.col("d.ids").isNull().alias("no_id"), F.col("d.ids").alias("id"), "pack", "at")
-    docs = stage(docs.select("pack", "at", F.col("d.digests").alias("digest"), place.alias("place")), "substring-docs")
-    first = docs.groupBy("digest").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    first = stage(first.select(F.col("digest").alias("of"), "first"), "substring-first")
-    copies = docs.join(first, F.col("digest") == F.col("of")).where("place <> first")
+    docs = stage(docs.select("pack", "at", F.col("d.digests").alias("digest"), F.col("d.checks").alias("check"), place.alias("place")), "substring-docs")
+    first = docs.groupBy("digest", "check").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = stage(first.select(F.col("digest").alias("of"), F.col("check").alias("of_check"), "first"), "substring-first")
+    copies = docs.join(first, (F.col("digest") == F.col("of")) & (F.col("check") == F.col("of_check"))).where("place <> first")
     return stage(copies.groupBy("pack").agg(F.collect_list("at").alias("copies")), "substring-copies")
 
 

@@ -289,6 +289,80 @@ def test_mix_spans_are_the_words_taken(spark):
     assert any(0 < len(r.spans) and sum(s.end - s.start for s in r.spans) < r.size for r in got)
 
 
+def test_mix_reruns_agree_without_ids(spark):
+    rng = random.Random(8)
+    rows = [(None, " ".join(rng.choices("abcdefgh", k=30)), "s") for _ in range(3_000)] + [(7, "x y z", "s")] * 5
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    first, second = (mixing.mix_spans(x, shard_docs=50, keep=("text",)) for x in (d.repartition(3), d.orderBy(F.desc("text")).repartition(7)))
+    assert rows_of(first.withColumn("spans", F.to_json("spans"))) == rows_of(second.withColumn("spans", F.to_json("spans")))
+
+
+def test_repeated_rows_weigh_once_on_quality(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices(["Good", "words."] if i % 2 else ["bad", "!!", "###"], k=rng.randint(5, 60)))) for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    learnt = next(i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1)
+    more = d.union(spark.createDataFrame([rows[learnt]] * 200, d.schema)).repartition(4)
+    scores = lambda x: {r.doc_id: round(r.score, 9) for r in quality.quality(x, labels).collect()}
+    assert scores(more) == scores(d)
+
+
+def brute_train(rows, epochs):
+    """FTRL-proximal in a loop of dictionaries."""
+    z, n, bias = {}, {}, "bias"
+
+    def weight(k):
+        total = z.get(k, 0.0)
+        if abs(total) <= (0.0 if k == bias else toxicity.L1):
+            return 0.0
+        sign = 1 if total > 0 else -1
+        rate = (toxicity.BETA + n.get(k, 0.0) ** 0.5) / toxicity.ALPHA + toxicity.L2
+        return (sign * (0.0 if k == bias else toxicity.L1) - total) / rate
+
+    for _ in range(epochs):
+        for features, label in rows:
+            w = {k: weight(k) for k in [*features, bias]}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - label
+            for k, v in w.items():
+                old = n.get(k, 0.0)
+                z[k] = z.get(k, 0.0) + g - ((old + g * g) ** 0.5 - old**0.5) / toxicity.ALPHA * v
+                n[k] = old + g * g
+    return {k: weight(k) for k in z if weight(k) != 0}
+
+
+def test_training_equals_a_loop_of_dictionaries():
+    rng = random.Random(10)
+    rows = []
+    for _ in range(300):
+        label = rng.randint(0, 1)
+        rows.append((np.array(sorted({rng.randrange(40 * label, 60 + 40 * label) for _ in range(12)}), dtype=np.int32), label))
+    w = toxicity.train(rows, 3)
+    expected = brute_train([(f.tolist(), y) for f, y in rows], 3)
+    got = {("bias" if i == 1 << toxicity.BITS else int(i)): w[i] for i in np.flatnonzero(w)}
+    assert got.keys() == expected.keys() and len(got) > 10 and all(abs(got[k] - v) < 1e-9 for k, v in expected.items())
+
+
+def test_discriminant_equals_densities_by_determinant_and_inverse():
+    rng = np.random.default_rng(3)
+    d = len(quality.STATISTICS)
+    data = {k: rng.normal(loc=k, size=(200 + 100 * k, d)) @ rng.normal(size=(d, d)) for k in (0, 1)}
+    model = quality.Discriminant({k: (float(len(x)), np.concatenate((x.sum(axis=0), (x.T @ x).ravel()))) for k, x in data.items()}, 0.1, 0.02)
+    n = {k: len(x) for k, x in data.items()}
+    cov = {k: np.cov(x.T, bias=True) for k, x in data.items()}
+    both = sum(n[k] * cov[k] for k in n) / sum(n.values())
+    scale = np.diag(1 / np.sqrt(np.diag(both)))
+    probe = rng.normal(size=(50, d))
+    log = {}
+    for k in n:
+        c = scale @ (0.9 * cov[k] + 0.1 * both) @ scale
+        c = 0.98 * c + 0.02 * np.trace(c) / d * np.eye(d)
+        z = (probe - data[k].mean(axis=0)) @ scale
+        log[k] = np.log(n[k] / sum(n.values())) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * np.einsum("ij,jk,ik->i", z, np.linalg.inv(c), z)
+    expected = 1 / (1 + np.exp(-np.clip(log[1] - log[0], -35, 35)))
+    assert np.allclose(model.score(probe), expected, atol=1e-8)
+
+
 def test_apportionment_is_that_of_highest_quotients(spark):
     rng = random.Random(11)
     rows = [(g, p, float(rng.choice([0, 1, 5, rng.randint(1, 10_000)])), rng.choice([0, 1, 7]) if g == 0 else 40 * g) for g in range(6) for p in range(1 + 3 * g)]
