@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from railpulse.session import work_folder
 
 # Bytes of text that a task turns into arrays at once.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def stage(df: DataFrame, purpose: str) -> DataFrame:

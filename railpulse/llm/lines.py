@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,9 @@ LAST = (1 << 63) - 1
 
 
 def _counts(flags: np.ndarray) -> np.ndarray:
-    return np.concatenate(([0], np.cumsum(flags)))
+    counts = np.zeros(len(flags) + 1, dtype=np.int32)
+    np.cumsum(flags, out=counts[1:])
+    return counts
 
 
 def parsed(t: Texts, h: WordHash, depth: int = DEPTH) -> dict[str, np.ndarray]:
@@ -175,17 +178,17 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int =
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, total, dropped = [], [], []
-            for text, gone in zip(batch.column(at), batch.column(len(columns))):
-                text, gone = text.as_py(), gone.as_py() or []
-                total.append(0 if text is None else 1 + text.count(b"\n"))
-                dropped.append(len(gone))
-                if gone:
-                    out = set(gone)
-                    text = b"\n".join(x for i, x in enumerate(text.split(b"\n")) if i not in out)
-                texts.append(text)
-            rest = [pa.array(texts, c.type) if i == at else c for i, c in enumerate(batch.columns[: len(columns)])]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(total, pa.int64()), pa.array(dropped, pa.int64())], [*columns, "_ld_lines", "_ld_dropped"])
+            text, gone = batch.column(at), batch.column(len(columns))
+            total = pc.fill_null(pc.add(pc.count_substring(text, "\n"), 1), 0).cast(pa.int64())
+            some = gone.is_valid()
+            texts = []
+            for old, numbers in zip(text.filter(some), gone.filter(some)):
+                out = set(numbers.as_py())
+                texts.append(b"\n".join(x for i, x in enumerate(old.as_py().split(b"\n")) if i not in out))
+            text = pc.replace_with_mask(text, some, pa.array(texts, text.type))
+            dropped = pc.fill_null(pc.list_value_length(gone), 0).cast(pa.int64())
+            rest = [text if i == at else c for i, c in enumerate(batch.columns[: len(columns)])]
+            yield pa.RecordBatch.from_arrays([*rest, total, dropped], [*columns, "_ld_lines", "_ld_dropped"])
 
     binary = joined.withColumn("text", F.col("text").cast("binary"))
     types = ", ".join(f"`{c}` {t}" for c, t in binary.dtypes[: len(columns)])
