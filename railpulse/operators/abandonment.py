@@ -23,17 +23,23 @@ MICROS = 1_000_000
 
 
 def failure_steps(
-    tx: DataFrame, *keys: Column | str, horizon_s: int = HORIZON_S, grid_s: int = GRID_S, hot_rows: int = HOT_ROWS
+    tx: DataFrame,
+    *keys: Column | str,
+    horizon_s: int = HORIZON_S,
+    grid_s: int = GRID_S,
+    hot_rows: int = HOT_ROWS,
+    watched: DataFrame | None = None,
 ) -> DataFrame:
     """Failures per group and step of ``grid_s`` seconds: (keys, step, returned, censored).
 
     A failure is counted at the step in which the user's next attempt falls, or, if none
     came within ``horizon_s``, at the last whole step for which it was watched. The data
-    end with the latest attempt. At most a row per step and group, from partial sums.
+    end with the latest attempt of ``watched``, by default ``tx``; a chain of failures alone
+    needs it. At most a row per step and group, from partial sums.
     ``tx`` are attempts or their chain; those without a user or a time are left out.
     """
     grid, last = grid_s * MICROS, -(-horizon_s // grid_s)
-    end = tx.agg(F.max("timestamp").alias("end")).scalar()
+    end = (tx if watched is None else watched).agg(F.max("timestamp").alias("end")).scalar()
     failures = attempt_chain(tx, hot_rows).filter(flags.failed() & F.col("user_id").isNotNull() & F.col("timestamp").isNotNull())
     watched = flags.micros_between(F.col("timestamp"), end)
     back = F.expr(f"(gap_micros + {grid - 1}) div {grid}")
@@ -79,13 +85,15 @@ def abandonment(
     horizon_s: int = HORIZON_S,
     grid_s: int = GRID_S,
     hot_rows: int = HOT_ROWS,
+    watched: DataFrame | None = None,
 ) -> DataFrame:
     """Per group: failures, those followed by another attempt of the user within
     ``horizon_s``, those not watched that long, the estimated share that never comes back
     within it, its standard error, the median time to the next attempt (NULL if fewer than
     half come back), and the plain share that counts the unwatched as lost."""
     names = list(keys)
-    steps = failure_steps(tx, *[c.alias(n) for n, c in keys.items()], horizon_s=horizon_s, grid_s=grid_s, hot_rows=hot_rows)
+    by = [c.alias(n) for n, c in keys.items()]
+    steps = failure_steps(tx, *by, horizon_s=horizon_s, grid_s=grid_s, hot_rows=hot_rows, watched=watched)
     curve = return_curve(steps, names, grid_s)
     last = -(-horizon_s // grid_s)
     rows = curve.groupBy(*names).agg(
@@ -108,16 +116,25 @@ def abandonment(
     )
 
 
-def abandonment_by_code(tx: DataFrame, horizon_s: int = HORIZON_S, grid_s: int = GRID_S, hot_rows: int = HOT_ROWS) -> DataFrame:
+def abandonment_by_code(
+    tx: DataFrame, horizon_s: int = HORIZON_S, grid_s: int = GRID_S, hot_rows: int = HOT_ROWS, watched: DataFrame | None = None
+) -> DataFrame:
     """Abandonment after each failure code."""
-    return abandonment(tx, {"failure_code": F.col("failure_code")}, horizon_s, grid_s, hot_rows)
+    return abandonment(tx, {"failure_code": F.col("failure_code")}, horizon_s, grid_s, hot_rows, watched)
 
 
 def abandonment_by_variant(
-    tx: DataFrame, horizon_s: int = HORIZON_S, grid_s: int = GRID_S, salt: str = SALT, treated_pct: int = 50, hot_rows: int = HOT_ROWS
+    tx: DataFrame,
+    horizon_s: int = HORIZON_S,
+    grid_s: int = GRID_S,
+    salt: str = SALT,
+    treated_pct: int = 50,
+    hot_rows: int = HOT_ROWS,
+    watched: DataFrame | None = None,
 ) -> DataFrame:
     """Abandonment in both variants of the experiment."""
-    return abandonment(tx, {"variant": variant_of(F.col("user_id"), salt, treated_pct)}, horizon_s, grid_s, hot_rows)
+    variant = variant_of(F.col("user_id"), salt, treated_pct)
+    return abandonment(tx, {"variant": variant}, horizon_s, grid_s, hot_rows, watched)
 
 
 def dropoff_increase(by_variant: DataFrame) -> DataFrame:

@@ -10,12 +10,16 @@ from railpulse.functions import flags
 from railpulse.functions.numbers import percent, rounded
 from railpulse.operators.percentiles import exact_percentiles
 
-STAGE_IDS = [stage_id for stage_id, _ in D.STAGES]
+# Stages that fit the bits of one number.
+MOST_STAGES = 63
 
 
 def _ids(stage_names: DataFrame) -> list[int]:
     """Ids of the named stages, in order: a small table, at most one bit each below."""
-    return sorted(r[0] for r in stage_names.select("stage_id").distinct().collect() if r[0] is not None)
+    ids = sorted(r[0] for r in stage_names.select("stage_id").distinct().collect() if r[0] is not None)
+    if len(ids) > MOST_STAGES:
+        raise ValueError(f"at most {MOST_STAGES} named stages, not {len(ids)}")
+    return ids
 
 
 def _per_stage(stages: DataFrame, ids: list[int], failures: bool = False) -> DataFrame:
@@ -125,9 +129,11 @@ def stage_latency(stages: DataFrame, stage_names: DataFrame) -> DataFrame:
     )
 
 
-def completion_time(stages: DataFrame, stage_ids: list[int] = STAGE_IDS) -> DataFrame:
+def completion_time(stages: DataFrame, stage_names: DataFrame) -> DataFrame:
     """One row: transactions with a successful last stage, and their mean, shortest
-    and longest time from the first recorded stage to its first success, in seconds."""
+    and longest time from the first recorded stage to its first success, in seconds.
+    The last stage is that of the named ones; without any nothing is completed."""
+    stage_ids = _ids(stage_names) or [-1]
     at_end = (F.col("stage_id") == max(stage_ids)) & (F.col("stage_status") == D.SUCCESS)
     times = stages.filter(F.col("stage_id").isin(stage_ids)).groupBy("transaction_id").agg(
         F.min("event_timestamp").alias("start"), F.min(F.when(at_end, F.col("event_timestamp"))).alias("done")

@@ -199,7 +199,7 @@ def all_queries() -> dict[str, Query]:
         "funnel": over(_funnel),
         "funnel_volume": over(lambda s: funnel.funnel_volume(s.stage_events(), s.stage_names())),
         "stage_latency": over(lambda s: funnel.stage_latency(s.stage_events(), s.stage_names())),
-        "completion_time": over(lambda s: funnel.completion_time(s.stage_events())),
+        "completion_time": over(lambda s: funnel.completion_time(s.stage_events(), s.stage_names())),
         # Users
         "segment_friction": over(lambda s: users.segment_friction(s.users(), s.transactions())),
         "severe_impact": over(lambda s: users.severe_impact(s.users(), s.transactions())),

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from railpulse import dimensions as D
 from railpulse.functions import flags
 from railpulse.operators import (
+    abandonment,
     bankhealth,
     banks,
     cleaning,
@@ -79,6 +80,7 @@ def reports(
     """
     codes, bank, people = dims["error_codes"], dims["banks"], dims["users"]
     core, repeats = kpis.core_kpis(cells, codes), duplicates.duplicate_payment_rate(attempts)
+    by_variant = abandonment.abandonment_by_variant(chain, watched=attempts)
     return {
         "core_kpis": core,
         "failure_breakdown": failures.failure_breakdown(cells, codes),
@@ -111,7 +113,7 @@ def reports(
         "decline_by_bank_role": banks.decline_by_bank_role(cells, bank, codes),
         "peak_multiplier": timeprofile.peak_multiplier(cells),
         "stage_latency": funnel.stage_latency(stage_events, stage_names),
-        "completion_time": funnel.completion_time(stage_events),
+        "completion_time": funnel.completion_time(stage_events, stage_names),
         "age_group_friction": users.age_group_friction(people, totals),
         "tenure_friction": users.tenure_friction(people, totals),
         "type_amount_contiguous": segments.type_amount_matrix(attempts, contiguous=True),
@@ -120,7 +122,13 @@ def reports(
         "lock_windows": duplicates.lock_windows(attempts),
         "bank_health": bankhealth.rolling_bank_health(attempts),
         "limit_breaches": kpis.limit_breaches(kpis.kill_switch_metrics(core, repeats)),
+        "bank_incidents": bankhealth.bank_incidents(attempts),
+        "abandonment_by_code": abandonment.abandonment_by_code(chain, watched=attempts),
+        "abandonment_by_variant": by_variant,
+        "rollback_triggers": kpis.limit_breaches(abandonment.rollback_metrics(repeats, by_variant), D.ROLLBACK_LIMITS),
         "experiment_readout": experiment.experiment_readout(attempts),
+        "experiment_retry_readout": experiment.retry_readout(chain),
+        "experiment_duplicate_readout": experiment.duplicate_readout(attempts),
     }
 
 

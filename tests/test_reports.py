@@ -191,7 +191,7 @@ def test_stage_latency_and_completion(spark):
     got = {r.stage_id: r for r in funnel.stage_latency(stages, D.stage_names(spark)).collect()}
     assert (got[2].steps, got[2].mean_seconds, got[2].p50_seconds, got[2].p95_seconds) == (2, 2.375, 0.75, 4.0)
     assert got[7].mean_seconds == 3.25 and got[7].slowness_rank == 1
-    done = funnel.completion_time(stages).first()
+    done = funnel.completion_time(stages, D.stage_names(spark)).first()
     assert (done.completed_transactions, done.mean_seconds, done.max_seconds) == (1, 12.0, 12.0)
 
 
@@ -332,10 +332,24 @@ def test_completion_needs_a_success_and_sums_beyond_bigint(spark):
         "transaction_id", "stage_id", "case when bad then 'FAILED' else 'SUCCESS' end as stage_status",
         "timestamp_ntz'1600-01-01' + case when stage_id = 7 then interval '400' year else interval '0' year end as event_timestamp",
     )
-    done = funnel.completion_time(stages).first()
+    done = funnel.completion_time(stages, D.stage_names(spark)).first()
     assert done.completed_transactions == 30_000 and done.mean_seconds == done.max_seconds > 1.2e10
 
 
+def test_the_last_named_stage_completes(spark):
+    rows = [("A", s, after(s), "SUCCESS") for s in (1, 7, 8)] + [("B", 1, NOON, "SUCCESS"), ("B", 7, after(9), "SUCCESS")]
+    stages = spark.createDataFrame(rows, "transaction_id string, stage_id int, event_timestamp timestamp_ntz, stage_status string")
+    names = D.stage_names(spark)
+    assert funnel.completion_time(stages, names).first().completed_transactions == 2
+    more = names.union(spark.createDataFrame([(8, "8. SETTLED")], names.schema))
+    done = funnel.completion_time(stages, more).first()
+    assert (done.completed_transactions, done.mean_seconds) == (1, 7.0)
+    assert funnel.completion_time(stages, names.limit(0)).first().completed_transactions == 0
+    many = spark.range(64).selectExpr("cast(id as int) as stage_id", "'s' as stage_name")
+    with pytest.raises(ValueError):
+        funnel.funnel_volume(stages, many)
+
+
 def test_a_further_stage_and_bank_are_shown(spark):
     stages = spark.createDataFrame([(1, 8, "SUCCESS"), (2, 8, "FAILED")], "transaction_id long, stage_id int, stage_status string")
     names = spark.createDataFrame([(8, "8. REFUND")], "stage_id int, stage_name string")

@@ -5,7 +5,7 @@ import os
 import pytest
 
 from railpulse import dimensions as D
-from railpulse.operators import banks, failures, kpis, retries, segments, timeprofile, users
+from railpulse.operators import abandonment, banks, failures, kpis, retries, segments, timeprofile, users
 from railpulse.operators.tallies import hourly_cells
 from railpulse.plans import reports
 from railpulse.plans.catalogue import all_queries
@@ -80,7 +80,13 @@ def test_raw_files_to_reports(spark, star, tmp_path):
     # Every registered report; the rest is audit, cleaning, other windows, streams and set-up.
     others = {"clean_view", "clean_transactions", "clean_stage_events", "publish_dims", "assign_variants"}
     registered = {n for n in all_queries() if not n.startswith("dq_") and not n.endswith(("_day", "_stream", "_repeated"))}
-    assert set(names) == registered - others
+    others |= {"clean_incremental", "clean_incremental_audit", "abandonment_curve", "experiment_aa"}
+    # Registered over wider windows or repeated attempts only.
+    further = {"experiment_retry_readout", "experiment_duplicate_readout"}
+    assert set(names) == registered - others | further
+    lost = spark.read.parquet(os.path.join(out, "abandonment_by_code.parquet"))
+    want = abandonment.abandonment_by_code(tx)
+    assert sorted(map(str, lost.collect())) == sorted(map(str, want.collect())) and lost.count() > 0
     k = spark.read.parquet(os.path.join(out, "core_kpis.parquet")).first()
     assert k == kpis.core_kpis(tx, D.error_codes(spark)).first()
     retried = spark.read.parquet(os.path.join(out, "retry_by_category.parquet"))
