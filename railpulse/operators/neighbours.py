@@ -19,7 +19,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS = 5_000_000
@@ -57,7 +57,54 @@ def with_previous(
     return _with_neighbour(df, keys, time_col, tie_break, columns, hot_rows, forward=False)
 
 
+def with_island(
+    df: DataFrame,
+    keys: list[str],
+    time_col: str,
+    tie_break: str,
+    columns: list[str],
+    starts: Column,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Add ``previous_<c>`` for each of ``columns``, and ``island``: time and tie-break of
+    the row that begins the row's island, the last one up to it for which ``starts`` holds.
+
+    ``starts`` speaks of the row and its ``previous_<c>``. Rows ahead of a key's first start
+    have no island. Rows without one of the keys are left out. A slice of a hot key takes
+    the island it opens with from the slices before it, of which one row each is looked at.
+    """
+    found = _sliced_neighbours(df.dropna(subset=keys), keys, time_col, tie_break, columns, hot_rows, forward=False)
+    start = F.struct(F.col(time_col).alias("at"), F.col(tie_break).alias("id"))
+    upto = (
+        Window.partitionBy(*keys, "_slice")
+        .orderBy(time_col, tie_break)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    local = found.withColumn("_start", F.when(starts, start)).withColumn(
+        "_island", F.last("_start", ignorenulls=True).over(upto)
+    )
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        local.filter(F.col("_slice").isNotNull())
+        .groupBy(*keys, "_slice")
+        .agg(F.max("_start").alias("_end"))
+        .select(
+            *[F.col(c).alias(f"_carried_{c}") for c in [*keys, "_slice"]],
+            F.last("_end", ignorenulls=True).over(before).alias("_carried"),
+        )
+    )
+    # Plain equality keeps the partitioning of the window; ordinary keys have no slice.
+    same = reduce(and_, [F.col(c) == F.col(f"_carried_{c}") for c in [*keys, "_slice"]])
+    return local.join(carried, same, "left").select(
+        *[F.col(c) for c in found.columns if c != "_slice"], F.coalesce("_island", "_carried").alias("island")
+    )
+
+
 def _with_neighbour(df, keys, time_col, tie_break, columns, hot_rows, forward):
+    return _sliced_neighbours(df, keys, time_col, tie_break, columns, hot_rows, forward).drop("_slice")
+
+
+def _sliced_neighbours(df, keys, time_col, tie_break, columns, hot_rows, forward):
     prefix, shift = ("next_", F.lead) if forward else ("previous_", F.lag)
     sliced = _cut_hot_groups(df, keys, time_col, tie_break, hot_rows)
     edges = _edges(sliced, keys, time_col, tie_break, columns, forward)
@@ -66,7 +113,7 @@ def _with_neighbour(df, keys, time_col, tie_break, columns, hot_rows, forward):
     return (
         rows.withColumns({f"{prefix}{c}": shift(c).over(group) for c in columns})
         .filter(~F.col("_edge"))
-        .drop("_edge", "_slice")
+        .drop("_edge")
     )
 
 

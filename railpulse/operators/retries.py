@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from railpulse import dimensions as D
 from railpulse.functions import flags
 from railpulse.functions.numbers import exact_percent, percent, rounded
-from railpulse.operators.neighbours import HOT_ROWS, with_next
+from railpulse.operators.neighbours import HOT_ROWS, with_island, with_next
 
 MICROS = 1_000_000
 
@@ -147,3 +147,74 @@ def attempts_after_timeout(
     return t.withColumn(
         "followed_pct", percent("followed_by_attempt", "timeout_failures")
     )
+
+
+def retry_episodes(
+    tx: DataFrame, window_s: float = 900, hot_rows: int = HOT_ROWS, watched: DataFrame | None = None
+) -> DataFrame:
+    """One row per episode: a failure and the attempts the user makes after it, each within
+    ``window_s`` seconds of the one before, up to the first that does not fail.
+
+    ``outcome`` is RECOVERED if the last attempt succeeds, ABANDONED if it fails and no
+    other follows within the window, OPEN if it fails less than a window before the end
+    of the data (the latest attempt of ``watched``, by default ``tx``), and UNKNOWN for
+    any other status. ``failure_code`` is that of the first failure. Attempts without a
+    user or a time belong to no episode.
+    """
+    end = (tx if watched is None else watched).agg(F.max("timestamp")).scalar()
+    known = tx.select("user_id", "transaction_id", "timestamp", "final_status", "failure_code").filter(
+        F.col("user_id").isNotNull() & F.col("timestamp").isNotNull()
+    )
+    window = F.lit(int(window_s * MICROS))
+    gap = flags.micros_between(F.col("previous_timestamp"), F.col("timestamp"))
+    goes_on = F.coalesce((F.col("previous_final_status") == D.FAILED) & (gap <= window), F.lit(False))
+    rows = with_island(
+        known, ["user_id"], "timestamp", "transaction_id", ["timestamp", "final_status"], ~goes_on, hot_rows
+    )
+    seen = F.struct("timestamp", "transaction_id", "final_status", "failure_code")
+    episodes = rows.groupBy("user_id", "island").agg(
+        F.count(F.lit(1)).alias("attempts"), F.min(seen).alias("first"), F.max(seen).alias("last")
+    )
+    status = F.col("last.final_status")
+    is_over = flags.micros_between(F.col("last.timestamp"), end) >= window
+    outcome = (
+        F.when(status == D.SUCCESS, "RECOVERED")
+        .when((status == D.FAILED) & is_over, "ABANDONED")
+        .when(status == D.FAILED, "OPEN")
+        .otherwise("UNKNOWN")
+    )
+    return episodes.filter(F.col("first.final_status") == D.FAILED).select(
+        "user_id",
+        F.col("first.transaction_id").alias("first_transaction_id"),
+        F.col("last.transaction_id").alias("last_transaction_id"),
+        F.col("first.failure_code").alias("failure_code"),
+        F.col("first.timestamp").alias("started_at"),
+        "attempts",
+        flags.micros_between(F.col("first.timestamp"), F.col("last.timestamp")).alias("micros"),
+        outcome.alias("outcome"),
+    )
+
+
+def retry_episodes_by_code(
+    tx: DataFrame, window_s: float = 900, hot_rows: int = HOT_ROWS, watched: DataFrame | None = None
+) -> DataFrame:
+    """Per code of the first failure: how episodes end, at which attempt they succeed, and
+    how many attempts and seconds that takes on average. Rates are over ended episodes."""
+    recovered = F.col("outcome") == "RECOVERED"
+    t = retry_episodes(tx, window_s, hot_rows, watched).groupBy("failure_code").agg(
+        F.count(F.lit(1)).alias("episodes"),
+        flags.count_where(recovered).alias("recovered"),
+        flags.count_where(recovered & (F.col("attempts") == 2)).alias("recovered_at_second"),
+        flags.count_where(recovered & (F.col("attempts") > 2)).alias("recovered_later"),
+        flags.count_where(F.col("outcome") == "ABANDONED").alias("abandoned"),
+        flags.count_where(F.col("outcome") == "OPEN").alias("still_open"),
+        F.max("attempts").alias("most_attempts"),
+        F.sum(F.when(recovered, F.col("attempts"))).alias("tries"),
+        F.sum(F.when(recovered, F.col("micros").cast("decimal(28,0)"))).alias("spent"),
+    )
+    return t.select(
+        *[c for c in t.columns if c not in ("tries", "spent")],
+        percent("recovered", "(recovered + abandoned)").alias("recovery_pct"),
+        rounded("cast(tries as double) / nullif(recovered, 0)", 2).alias("attempts_to_success"),
+        rounded(f"cast(spent as double) / nullif(recovered, 0) / {MICROS}D", 1).alias("seconds_to_success"),
+    )

@@ -12,6 +12,7 @@ from railpulse import dimensions as D
 from railpulse import schemas as S
 from railpulse.operators import (
     abandonment,
+    bankeffects,
     bankhealth,
     banks,
     cleaning,
@@ -106,6 +107,19 @@ def _rollback_triggers(s: StarTables) -> DataFrame:
     return kpis.limit_breaches(metrics, D.ROLLBACK_LIMITS)
 
 
+def _sketched_latency(spark: SparkSession, s: StarTables) -> DataFrame:
+    """Two years from stored daily sketches, and whether the percentiles hold their bound
+    against all steps of that time."""
+    period = ("1996-01-01", "1997-12-31")
+    path = tables.write_table(funnel.latency_sketches(s.stage_events(), s.stage_names()), work_folder(spark, "sketches"), "latency")
+    report = funnel.latency_from_sketches(spark.read.parquet(path), s.stage_names(), *period)
+    steps = funnel.stage_steps(s.stage_events(), s.stage_names()).filter(F.col("day").between(*period))
+    bounds = funnel.sketch_errors(steps, report).groupBy("stage_id").agg(
+        (F.max("rank_error") <= funnel.SKETCH_ERROR).alias("within_bound")
+    )
+    return report.join(bounds, "stage_id").select("stage_id", "stage_name", "days", "steps", "mean_seconds", "within_bound")
+
+
 def _health_stream(spark: SparkSession, s: StarTables) -> DataFrame:
     stream = bankhealth.rolling_bank_health(s.transaction_stream(), watermark=STREAM_DELAY)
     return runs.drain_to_parquet(spark, stream, "bank-health")
@@ -188,6 +202,7 @@ def all_queries() -> dict[str, Query]:
         "decline_by_bank_role": over(
             lambda s: banks.decline_by_bank_role(s.transactions(), s.banks(), s.error_codes())
         ),
+        "bank_effects": over(lambda s: bankeffects.bank_effects(s.transactions(), s.banks(), s.error_codes())),
         # Time
         "hourly_profile": over(lambda s: timeprofile.hourly_profile(s.transactions())),
         "hourly_chart": over(lambda s: timeprofile.hourly_chart(s.transactions())),
@@ -200,6 +215,7 @@ def all_queries() -> dict[str, Query]:
         "funnel_volume": over(lambda s: funnel.funnel_volume(s.stage_events(), s.stage_names())),
         "stage_latency": over(lambda s: funnel.stage_latency(s.stage_events(), s.stage_names())),
         "completion_time": over(lambda s: funnel.completion_time(s.stage_events(), s.stage_names())),
+        "stage_latency_sketched": with_session(_sketched_latency),
         # Users
         "segment_friction": over(lambda s: users.segment_friction(s.users(), s.transactions())),
         "severe_impact": over(lambda s: users.severe_impact(s.users(), s.transactions())),
@@ -217,6 +233,13 @@ def all_queries() -> dict[str, Query]:
         ),
         "retry_by_category": over(lambda s: retries.retry_by_category(s.transactions(), s.error_codes())),
         "retry_frequency": over(lambda s: retries.retry_frequency(s.transactions())),
+        "retry_episodes_day": over(
+            lambda s: retries.retry_episodes(s.transactions(), DAY).select(
+                "*", (F.col("micros").cast("double") / F.lit(1e6)).alias("seconds")
+            ).drop("micros")
+        ),
+        "retry_episodes_by_code_day": over(lambda s: retries.retry_episodes_by_code(s.transactions(), DAY)),
+        "retry_episodes_by_code_repeated": over(lambda s: retries.retry_episodes_by_code(with_repeats(s.transactions()))),
         "attempts_after_timeout": over(lambda s: retries.attempts_after_timeout(s.transactions())),
         "attempts_after_timeout_day": over(lambda s: retries.attempts_after_timeout(s.transactions(), DAY)),
         "timeout_follow_ups_repeated": over(

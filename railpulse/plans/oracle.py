@@ -39,9 +39,9 @@ SOURCES = {
         union all
         select id * 2 + 1, user_id, payee, amount, ts + to_seconds(1 + id % 400), ok, bad from tx where id % 7 = 0""",
     "again_coded": """
-        select id * 2 as id, user_id, ts, bad, code from tx
+        select id * 2 as id, user_id, ts, ok, bad, code from tx
         union all
-        select id * 2 + 1, user_id, ts + to_seconds(1 + id % 400), bad, code from tx where id % 7 = 0""",
+        select id * 2 + 1, user_id, ts + to_seconds(1 + id % 400), ok, bad, code from tx where id % 7 = 0""",
     "coded": """
         select tx.*, ec.category, ec.description, ec.decline, ec.code as known
         from tx left join ec on ec.code = tx.code""",
@@ -305,6 +305,31 @@ def _indicators() -> dict[str, str]:
     }
 
 
+def _fitted_effects(rounds: int) -> str:
+    """Payer and payee effects by alternating weighted means, each round two relations."""
+    steps = [
+        """fit0 as (select payer, payee, count(*) as n, count(*) filter (where decline = 'Technical Decline') as d,
+                  sum(d) over () / sum(n) over () as mu, 0::double as a, 0::double as b from coded group by all)"""
+    ]
+    for i in range(2 * rounds):
+        mine, other, side = ("a", "b", "payer") if i % 2 == 0 else ("b", "a", "payee")
+        mean = f"sum(d - n * (mu + {other})) over (partition by {side}) / sum(n) over (partition by {side})"
+        steps.append(f"fit{i + 1} as (select * replace ({mean} as {mine}) from fit{i})")
+    sides = " union all ".join(
+        f"""select '{role}' as bank_role, {role} as bank_id, sum(n) as total_volume, sum(d) as technical_declines, max({e}) as e, max(mu) as mu
+            from fit{2 * rounds} group by {role}"""
+        for role, e in (("payer", "a"), ("payee", "b"))
+    )
+    spread = "sum(e * e * total_volume)"
+    return f""", {", ".join(steps)}
+        select bank_role, bank_id, name as bank_name, cast(total_volume as bigint) as total_volume,
+               cast(technical_declines as bigint) as technical_declines,
+               round(100 * (technical_declines / total_volume - mu), 4) + 0 as raw_points, round(100 * e, 4) + 0 as effect_points,
+               round(cast(e * total_volume as double), 2) + 0 as declines_from_effect,
+               {pct(f"{spread} over (partition by bank_role)", f"{spread} over ()")} as role_spread_pct
+        from ({sides}) left join bank on id = bank_id"""
+
+
 def _banks() -> dict[str, str]:
     pivot = ", ".join(
         f"""{pct(n_if(f"bad and r.name = '{n}'"), n_if(f"r.name = '{n}'"), 1)} as "{n}" """ for n in D.BANK_NAMES
@@ -348,6 +373,7 @@ def _banks() -> dict[str, str]:
                    {pct(OK, "count(*)")} as psr_percentage, {pct(TD_WIDE, "count(*)")} as technical_decline_rate
                 from coded join bank on bank.id = payer group by 1, 2""",
         ),
+        "bank_effects": _with("coded bank", _fitted_effects(8)),
         "decline_by_bank_role": _with(
             "coded bank",
             f"""select *, {pct("technical_declines", "total_volume")} as technical_decline_rate,
@@ -435,6 +461,15 @@ def _stages() -> dict[str, str]:
                            where us is not null) group by 1)
                join stage using (stage_id)""",
         ),
+        "stage_latency_sketched": _with(
+            "reach stage",
+            """select stage_id, stage_name, count(distinct day) as days, count(*) as steps,
+                      round(cast(sum(us) as double) / count(*) / 1e6, 3) as mean_seconds, true as within_bound
+               from (select stage_id, cast(min(ts) over (partition by id) as date) as day,
+                            date_diff('microsecond', lag(ts) over (partition by id order by stage_id), ts) as us from reach)
+               join stage using (stage_id)
+               where us is not null and day between date '1996-01-01' and date '1997-12-31' group by all""",
+        ),
         "completion_time": _with(
             "step",
             """select count(*) as completed_transactions,
@@ -531,8 +566,37 @@ def _retries() -> dict[str, str]:
                    {pct(followed, "count(*)")} as followed_pct from chain where bad and code = 'ERR_NET_01'""",
         )
 
+    def episodes(attempts: str, window_us: int) -> str:
+        return f"""
+            select user_id, first(id order by ts, id) as first_transaction_id, last(id order by ts, id) as last_transaction_id,
+                   first(code order by ts, id) as failure_code, min(ts) as started_at, count(*) as attempts,
+                   date_diff('microsecond', min(ts), max(ts)) as us,
+                   case when last(ok order by ts, id) then 'RECOVERED'
+                        when date_diff('microsecond', max(ts), (select max(ts) from {attempts})) >= {window_us} then 'ABANDONED'
+                        else 'OPEN' end as outcome
+            from (select *, sum(fresh) over (partition by user_id order by ts, id rows unbounded preceding) as island
+                  from (select *, case when lag(bad) over w and date_diff('microsecond', lag(ts) over w, ts) <= {window_us}
+                                       then 0 else 1 end as fresh
+                        from {attempts} window w as (partition by user_id order by ts, id)))
+            group by user_id, island having first(bad order by ts, id)"""
+
+    def episodes_by_code(attempts: str, window_us: int) -> str:
+        ok, lost = n_if("outcome = 'RECOVERED'"), n_if("outcome = 'ABANDONED'")
+        return _with(
+            attempts,
+            f"""select failure_code, count(*) as episodes, {ok} as recovered, {n_if("outcome = 'RECOVERED' and attempts = 2")} as recovered_at_second,
+                   {n_if("outcome = 'RECOVERED' and attempts > 2")} as recovered_later, {lost} as abandoned,
+                   {n_if("outcome = 'OPEN'")} as still_open, max(attempts) as most_attempts, {pct(ok, f"({ok} + {lost})")} as recovery_pct,
+                   round(cast(sum(attempts) filter (where outcome = 'RECOVERED') as double) / nullif({ok}, 0), 2) as attempts_to_success,
+                   round(cast(sum(us) filter (where outcome = 'RECOVERED') as double) / nullif({ok}, 0) / 1e6, 1) as seconds_to_success
+                from ({episodes(attempts, window_us)}) group by 1""",
+        )
+
     day = 86_400_000_000
     return {
+        "retry_episodes_day": _with("tx", f"select * exclude (us), us / 1e6::double as seconds from ({episodes('tx', day)})"),
+        "retry_episodes_by_code_day": episodes_by_code("tx", day),
+        "retry_episodes_by_code_repeated": episodes_by_code("again_coded", 900_000_000),
         "retry_policy": policy(900_000_000, "0.1"),
         "retry_policy_day": policy(day, "0.5"),
         "retry_by_category": _with(
