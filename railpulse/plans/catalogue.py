@@ -32,7 +32,7 @@ from railpulse.session import work_folder
 from railpulse.sources import tables
 from railpulse.sources.star import StarTables, with_repeats
 from railpulse.streaming import cleaning as store_cleaning
-from railpulse.streaming import followups, locks, runs
+from railpulse.streaming import followups, keyed_locks, locks, runs
 
 DAY = 86_400
 # Keys with repeats in the test tables; the lock key proper hardly repeats there.
@@ -160,6 +160,20 @@ def _repeated_lock_stream(spark: SparkSession, s: StarTables) -> DataFrame:
     return _plain_amount(rows).withColumn("event_time", F.col("event_time").cast("timestamp_ntz"))
 
 
+def _keyed_lock_stream(spark: SparkSession, s: StarTables) -> DataFrame:
+    attempts = s.transaction_stream(max_bytes_per_trigger=1 << 30)
+    stream = keyed_locks.keyed_lock_stream(attempts, DAY, COARSE_KEY, STREAM_DELAY)
+    rows = runs.drain_to_parquet(spark, stream, "keyed-locks", keyed_locks.STATE_SETTINGS)
+    return rows.withColumn("event_time", F.col("event_time").cast("timestamp_ntz"))
+
+
+def _repeated_keyed_lock_stream(spark: SparkSession, s: StarTables) -> DataFrame:
+    attempts = with_repeats(s.transaction_stream(max_bytes_per_trigger=1 << 30))
+    stream = keyed_locks.keyed_lock_stream(attempts, watermark=STREAM_DELAY)
+    rows = runs.drain_to_parquet(spark, stream, "keyed-locks", keyed_locks.STATE_SETTINGS)
+    return _plain_amount(rows).withColumn("event_time", F.col("event_time").cast("timestamp_ntz"))
+
+
 def all_queries() -> dict[str, Query]:
     def over(build: Callable[[StarTables], DataFrame]) -> Query:
         return lambda spark, folder: build(StarTables(spark, folder))
@@ -265,6 +279,8 @@ def all_queries() -> dict[str, Query]:
         "lock_windows_stream_repeated": with_session(_repeated_lock_window_stream),
         "lock_stream": with_session(_lock_stream),
         "lock_stream_repeated": with_session(_repeated_lock_stream),
+        "keyed_lock_stream": with_session(_keyed_lock_stream),
+        "keyed_lock_stream_repeated": with_session(_repeated_keyed_lock_stream),
         # Abandonment after a failure
         "abandonment_by_code": over(lambda s: abandonment.abandonment_by_code(s.transactions())),
         "abandonment_by_variant": over(lambda s: abandonment.abandonment_by_variant(s.transactions(), 3 * DAY)),

@@ -844,10 +844,13 @@ def _abandonment() -> dict[str, str]:
 
 
 def all_oracles() -> dict[str, str]:
-    """SQL by query; cleaning in batches has the rows of cleaning at once."""
+    """SQL by query. Cleaning in batches has the rows of cleaning at once, and both lock
+    streams make the same marks."""
     parts = [_audit(), _indicators(), _banks(), _times(), _stages(), _users(), _segments(), _retries(), _duplicates(), _health(), _experiments(), _abandonment()]
     found = {name: sql for part in parts for name, sql in part.items()}
     return found | {
+        "keyed_lock_stream": found["lock_stream"],
+        "keyed_lock_stream_repeated": found["lock_stream_repeated"],
         "clean_incremental": found["clean_transactions"],
         "clean_incremental_audit": found["dq_audit_summary"],
     }

@@ -1,5 +1,6 @@
 """Streams against their batch forms and against brute force."""
 
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from railpulse.operators import bankhealth, duplicates
-from railpulse.streaming import followups, locks, runs
+from railpulse.streaming import followups, keyed_locks, locks, runs
 
 START = datetime(2024, 1, 1)
 SCHEMA = (
@@ -130,6 +131,80 @@ def test_lock_stream_with_null_keys_and_times(spark, tmp_path):
     assert {r.transaction_id: r.accepted for r in got} == {"A": True, "B": False}
 
 
+def drain_keyed(spark, stream, **options):
+    options.setdefault("watermark", "10 minutes")
+    marked = keyed_locks.keyed_lock_stream(stream, buckets=16, **options)
+    return runs.drain_to_parquet(spark, marked, "test-keyed", keyed_locks.STATE_SETTINGS)
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_keyed_lock_stream_does_not_depend_on_micro_batches(spark, tmp_path, parts):
+    """One row order per ``parts``, out of order within the delay; marks as by brute force."""
+    rng = random.Random(parts)
+    rows = sorted(make_rows(200, seed=9), key=lambda r: r[5] + timedelta(seconds=rng.randrange(590)))
+    folder = str(tmp_path / "in")
+    for part in range(parts):
+        mine = rows[part * 200 // parts : (part + 1) * 200 // parts]
+        as_frame(spark, mine).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder)
+    assert_final_marks(drain_keyed(spark, stream).collect(), rows, timedelta(minutes=10))
+
+
+def test_keyed_lock_stream_edges(spark, tmp_path):
+    """NULL keys are a key, attempts without a time are left out, an earlier attempt in a later
+    batch takes the lock, and the end of the window is within it."""
+    folder = str(tmp_path / "in")
+    batches = [
+        [("A", None, 0), ("B", None, 0), ("C", "u", None), ("L", "v", 300), ("W", "w", 0), ("X", "w", 180)],
+        [("E", "v", 150), ("Y", "w", 180.000001)],
+        [("Z", "z", 7200)],
+    ]
+    for batch in batches:
+        rows = [
+            (tid, user, "B", "P", None if user is None else "1.00", None if at is None else START + timedelta(seconds=at), "SUCCESS")
+            for tid, user, at in batch
+        ]
+        as_frame(spark, rows).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder)
+    got = {r.transaction_id: r.accepted for r in drain_keyed(spark, stream).collect()}
+    assert got == {"A": True, "B": False, "E": True, "L": False, "W": True, "X": False, "Y": True}
+
+
+def test_keyed_lock_stream_of_nothing(spark, tmp_path):
+    as_frame(spark, []).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+    assert drain_keyed(spark, stream).collect() == []
+
+
+def test_keyed_lock_stream_writes_what_a_batch_touches(spark, tmp_path):
+    """Long locks of 20,000 keys are held; the small batches after them write little."""
+    folder = str(tmp_path / "in")
+    big = spark.range(20_000).selectExpr(
+        "concat('T', id) as transaction_id", "concat('u', id) as user_id", "'B' as payer_bank_id", "'P' as payee_bank_id",
+        "cast(1 as decimal(10,2)) as amount", "timestamp_ntz'2024-01-01 00:00:00' as timestamp", "'SUCCESS' as final_status",
+    )
+    big.coalesce(1).write.parquet(folder)
+    for i in range(1, 5):
+        rows = [(f"S{i}{j}", f"u{j}", "B", "P", "1.00", START + timedelta(minutes=20 * i, seconds=j), "SUCCESS") for j in range(10)]
+        as_frame(spark, rows).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    marked = keyed_locks.keyed_lock_stream(stream, window_s=86_400, buckets=16)
+    got = runs.drain_to_parquet(spark, marked, "test-bytes", keyed_locks.STATE_SETTINGS)
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+    counts = {r.accepted: r["count"] for r in got.groupBy("accepted").count().collect()}
+    assert counts[True] == 20_000 and counts[False] >= 20
+    root = os.path.join(os.path.dirname(got.inputFiles()[0].removeprefix("file:").replace("///", "/")), "..", "checkpoint", "state")
+    written = {}
+    for folder, _, names in os.walk(root):
+        for name in names:
+            if name.endswith(".changelog") and not name.startswith("."):
+                version = int(name.split(".")[0].split("_")[0])
+                written[version] = written.get(version, 0) + os.path.getsize(os.path.join(folder, name))
+    assert len(written) >= 4
+    assert sum(written[v] for v in sorted(written)[-2:]) / 2 < 0.05 * max(written.values())
+
+
 def brute_follow_ups(rows, window_s):
     found = {}
     for tid, user, *_, ts, status in rows:
