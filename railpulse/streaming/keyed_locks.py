@@ -79,8 +79,9 @@ class _Locks(StatefulProcessor):
             left = attempts[~is_final]
             if len(left):
                 self._wait(left["key"].tolist(), left["time"].tolist(), left["id"].tolist(), timerValues)
-            yield self._decided(attempts[is_final].sort_values(["key", "time", "id"], ignore_index=True))
-        self._sweep(passed)
+            done = attempts[is_final].sort_values(["key", "time", "id"], ignore_index=True)
+            yield self._decided(done, (passed - 1) * 1000)
+        self._sweep((passed - 1) * 1000)
 
     def _wait(self, names: list, times: list, ids: list, timerValues) -> None:
         serial, sweep = self._course()
@@ -92,21 +93,25 @@ class _Locks(StatefulProcessor):
     def _course(self) -> tuple[int, int | None]:
         return tuple(self.course.get()) if self.course.exists() else (0, None)
 
-    def _decided(self, done: pd.DataFrame) -> pd.DataFrame:
-        """Marks in order of key, time and id; each key's lock is read and written once."""
+    def _decided(self, done: pd.DataFrame, now: int) -> pd.DataFrame:
+        """Marks in order of key, time and id. A key's lock is read once, if any is held, and
+        written only if it outlasts ``now``: no attempt still to be decided is that early."""
+        serial, sweep = self._course()
         names, times = done["key"].tolist(), done["time"].tolist()
         accepted = np.zeros(len(done), dtype=bool)
         ends, last, held = [], None, None
         for i, (name, time) in enumerate(zip(names, times)):
             if i == 0 or name != names[i - 1]:
-                found = self.locks.getValue((name,))
+                found = None if sweep is None else self.locks.getValue((name,))
                 held = last = None if found is None else found[0]
             if last is None or time > last + self.window:
                 accepted[i], last = True, time
             if (i + 1 == len(names) or names[i + 1] != name) and last != held:
-                self.locks.updateValue((name,), (last,))
-                ends.append(last + self.window)
-        serial, sweep = self._course()
+                if last + self.window > now:
+                    self.locks.updateValue((name,), (last,))
+                    ends.append(last + self.window)
+                elif held is not None:
+                    self.locks.removeKey((name,))
         if ends and sweep is None:
             self._plan(serial, max(ends))
         marks = {"transaction_id": done["id"].tolist(), "event_time": np.array(times, "int64").astype("datetime64[us]")}
@@ -116,10 +121,10 @@ class _Locks(StatefulProcessor):
         self.course.update((serial, sweep))
         self.handle.registerTimer(sweep // 1000 + 2)
 
-    def _sweep(self, passed: int) -> None:
-        """Drop ended locks, at most once in the length of a lock."""
+    def _sweep(self, now: int) -> None:
+        """Drop ended locks, at most once in the length of a lock. Without a sweep to come
+        no lock is held."""
         serial, sweep = self._course()
-        now = (passed - 1) * 1000
         if sweep is None or now < sweep:
             return
         held = list(self.locks.iterator())
@@ -148,8 +153,8 @@ def keyed_lock_stream(
 
     Keys are grouped by hash into ``buckets``, since a Python call per key costs about a
     millisecond. A timer wakes a bucket when the watermark has passed its earliest waiting
-    attempt. Then the locks of the keys that have final attempts are read and written, one
-    entry each. Ended locks are looked for once in the length of a lock.
+    attempt. Then the locks of the keys that have final attempts are read, and written if they
+    are not over, one entry each. Ended locks are looked for once in the length of a lock.
 
     Start the query with :data:`STATE_SETTINGS`. With changelog checkpoints a micro-batch
     writes the entries it changed; the whole state is written now and then, aside from the
