@@ -236,6 +236,43 @@ def test_decontamination(spark, docs, texts, block_bytes):
     assert set(cut.split()) <= set(texts[0].split()) and len(cut.split()) == len(texts[0].split()) - 25
 
 
+def test_decontamination_set_is_small_and_whole():
+    """Windows against sets of words, with items that share passages, and few bytes for each."""
+    import pickle
+    import tracemalloc
+
+    rng = random.Random(8)
+    words = [f"w{i}é" if i % 9 == 0 else f"word{i}" for i in range(3_000)]
+    shared = [rng.choice(words) for _ in range(200)]
+    items = [(f"i{k}", " ".join(rng.choices(words, k=rng.choice([3, 12, 13, 14, 2_000])) + (shared if k % 10 == 0 else []))) for k in range(400)]
+    items += [("i0 again", items[0][1].upper().replace("É", "é")), (None, items[1][1]), ("none", "..."), ("void", "")]
+    size = sum(len(t.encode()) for _, t in items)
+    tracemalloc.start()
+    grams = decontam.Grams(((i, t.encode()) for i, t in items), 13)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25 * size and len(pickle.dumps(grams)) < 9 * size
+    want = {}
+    for item_id, text in items:
+        found = decontam.WORD.findall(lower(text).encode())
+        n = min(13, len(found))
+        for i in range(len(found) - n + 1 if n else 0):
+            want.setdefault(b" ".join(found[i : i + n]), set()).update([] if item_id is None else [item_id])
+    got = {}
+    for length, (hashes, which) in grams.lengths.items():
+        assert (hashes[:-1] <= hashes[1:]).all()
+        for w in which:
+            got[grams.text(w, length)] = grams.items(w)
+    assert got == want and len(grams.at) == len(want)
+
+
+def test_decontamination_keeps_windows_of_equal_hash_apart(monkeypatch):
+    monkeypatch.setattr(decontam.WordHash, "windows", lambda self, words, length: np.zeros(max(0, len(words) - length + 1), dtype=np.uint64))
+    grams = decontam.Grams([("a", b"x y z x y"), ("b", b"x y q"), ("c", b"q")], 2)
+    got = {grams.text(w, n): grams.items(w) for n, (_, which) in grams.lengths.items() for w in which}
+    assert got == {b"x y": {"a", "b"}, b"y z": {"a"}, b"z x": {"a"}, b"y q": {"b"}, b"q": {"c"}}
+
+
 def brute_targets(sizes, weights=(1, 2, 3), repeats=3):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: weights[i % len(weights)] for i, s in enumerate(order)}
