@@ -557,3 +557,42 @@ def test_nearest_vectors(spark):
         assert all(abs(s - dist[i]) < 1e-9 for _, s, i in mine)
         hits, found = hits + len({i for _, _, i in mine} & set(best)), found + 10
     assert hits / found >= 0.9
+
+
+def test_nearest_vectors_over_many_shards(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(12_000, 32))
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    classes = vectors.classes_of(vectors.valid_vectors(d), 11)
+    assert vectors.sharded(classes, 1_000)[1] == 12
+    got = vectors.nearest(d, d.where("vec_id % 100 = 0"), shard_rows=1_000, query_rows=16, share=0.03, least=0).collect()
+    hits, by = 0, {}
+    for r in got:
+        by.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    assert set(by) == set(range(0, 12_000, 100))
+    for q, mine in by.items():
+        dist = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        best = [i for i in np.argsort(dist) if i != q][:10]
+        assert all(abs(s - dist[i]) < 1e-9 for i, s in mine.values())
+        hits += len({i for i, _ in mine.values()} & set(best))
+    assert hits / (10 * len(by)) >= 0.9
+
+
+def test_candidates_have_the_smallest_footrule(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(400, 8))
+    pivots, prefix = x[:40], 12
+    rows = spark.createDataFrame([(8 << 32, i, v.tolist(), [i]) for i, v in enumerate(x)], "shard long, id long, v array<double>, ids array<long>")
+    held = vectors.ShardSearch(8 << 32, pivots, prefix)
+    for m in vectors.build_index(rows, {8: pivots}, prefix).orderBy("kind").collect():
+        held.hold(m.ids, m.counts, m.data) if m.kind == vectors.VECTORS else held.post(m.part, m.ids, m.counts)
+    near = vectors._nearest_pivots(x, pivots, prefix).tolist()
+
+    def footrule(a, b):
+        place = [{p: i for i, p in enumerate(v)} for v in (a, b)]
+        return sum(abs(place[0].get(p, prefix) - place[1].get(p, prefix)) for p in range(len(pivots)))
+
+    for q in range(0, 400, 50):
+        plain = sorted(footrule(near[q], n) for n in near)[:30]
+        chosen = held.candidates(np.array(near[q]), 30)
+        assert sorted(footrule(near[q], near[c]) for c in chosen) == plain
