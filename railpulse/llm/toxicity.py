@@ -118,18 +118,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = FI
 def score(docs: DataFrame, weights: DataFrame, out: str = "score") -> DataFrame:
     """The documents' columns and the probability that a text is toxic.
 
-    The weights, at most 2 ** BITS + 1 numbers, are broadcast. NULL and empty texts
-    have no features and get the score of the bias.
+    Only weights that are not 0 are broadcast, a few hundred as a rule and never more
+    than 2 ** BITS + 1. NULL and empty texts have no features and get the score of the bias.
     """
     columns = docs.columns
     at = columns.index("text")
-    dense = np.zeros((1 << BITS) + 1, dtype=np.float32)
-    for row in weights.toLocalIterator():
-        dense[row["feature"]] = row["weight"]
-    shared = Shared(docs.sparkSession, dense)
+    kept = [(row["feature"], row["weight"]) for row in weights.toLocalIterator()]
+    shared = Shared(docs.sparkSession, np.array(kept, dtype=[("feature", np.int32), ("weight", np.float32)]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, w = Features(), shared.get()
+        features, sparse = Features(), shared.get()
+        w = np.zeros((1 << BITS) + 1, dtype=np.float32)
+        w[sparse["feature"]] = sparse["weight"]
         for batch in batches:
             total = np.full(len(batch), float(w[-1]))
             for t in texts_of(batch.column(at)):
