@@ -6,16 +6,20 @@ import hashlib
 import zlib
 from base64 import b32encode
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from railpulse.llm.common import stage
+from railpulse.llm.common import one_row, stage
 from railpulse.session import work_folder
 
 CRLF = "\r\n"
-RECORDS_PER_ARCHIVE = 2_000
+# Payload and url bytes that an archive holds, unless one record alone has more.
+ARCHIVE_BYTES = 64 << 20
+# Records are written by size: those of at most this share of an archive, then the larger ones.
+RECORD_SHARES = (2_000, 64, 1)
 SALTS = 32
 # Fixed values of the WARC 1.1 format.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -75,8 +79,24 @@ def _lines(*pairs: tuple[str, Column]) -> Column:
     return F.concat_ws("", *[F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(CRLF)) for name, value in pairs])
 
 
-def write_archives(records: DataFrame, revisits: DataFrame, date: str, path: str) -> None:
-    """Write one response or revisit record per row, with fresh headers.
+def size_classes(archive_bytes: int) -> list[tuple[Column, int]]:
+    """Which records are written together, by ``record_bytes``, and how many to an archive.
+
+    As many of a class as fill an archive at their largest; records of more than an
+    archive have one each.
+    """
+    size, classes, above = F.col("record_bytes"), [], -1
+    for share in RECORD_SHARES:
+        most = archive_bytes // share
+        classes.append(((size > above) & (size <= most), share))
+        above = most
+    return [*classes, (size > above, 1)]
+
+
+def write_archives(
+    records: DataFrame, revisits: DataFrame, date: str, path: str, per_archive: int, mode: str = "errorifexists"
+) -> None:
+    """Write one response or revisit record per row, with fresh headers, ``per_archive`` to a file.
 
     A revisit carries the HTTP header of its capture and no payload. Spark's text
     writer commits the archives to any file system: a record is a line, and the line
@@ -113,9 +133,10 @@ def write_archives(records: DataFrame, revisits: DataFrame, date: str, path: str
     )
     lines = r.select(F.concat(head.cast("binary"), http.cast("binary"), block).cast("string").alias("value"))
     (
-        lines.write.option("lineSep", CRLF + CRLF)
+        lines.write.mode(mode)
+        .option("lineSep", CRLF + CRLF)
         .option("compression", "gzip")
-        .option("maxRecordsPerFile", RECORDS_PER_ARCHIVE)
+        .option("maxRecordsPerFile", per_archive)
         .text(path)
     )
 
@@ -168,9 +189,9 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                rows = list(records(content.as_py()))
-                for i in range(0, len(rows), 5_000):
-                    yield pa.RecordBatch.from_pylist(rows[i : i + 5_000], schema=schema)
+                rows = records(content.as_py())
+                while some := list(islice(rows, 1_000)):
+                    yield pa.RecordBatch.from_pylist(some, schema=schema)
 
     ddl = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload_ok boolean"
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
@@ -178,31 +199,42 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
 
 
 def deduplicated_archives(
-    records: DataFrame, path: str, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z"
+    records: DataFrame,
+    path: str,
+    min_bytes: int = 0,
+    date: str = "2024-01-01T00:00:00Z",
+    archive_bytes: int = ARCHIVE_BYTES,
 ) -> None:
     """Archives at ``path`` holding every capture, equal payloads once.
 
     Takes (record_id, page_id, url, payload binary); record_id is unique and not
     NULL. A NULL payload counts as empty; a NULL page_id or url leaves its header
     out. Repeated captures are records of their own: one is the response. No rows
-    give no records. Payloads of any bytes and length survive. Other columns are not
-    read. Headers alone are shuffled by digest; payloads move once, to meet what was
-    decided for their record.
+    give no records. Payloads of any bytes survive, up to the 2 GB that Spark holds in one
+    value. Other columns are not read. Headers alone are shuffled by digest; payloads
+    move once, to meet what was decided for their record. Records of one class of
+    sizes are written together, so that an archive has at most ``archive_bytes`` of
+    payloads and urls or a single record. A failed call may leave some of the classes.
     """
     payload = F.coalesce(F.col("payload"), F.lit(b""))
     r = records.select("record_id", F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
     r = r.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn(
         "payload_digest", sha1_base32(F.col("payload"))
     )
+    r = r.withColumn("record_bytes", F.col("payload_bytes") + F.coalesce(F.octet_length("url"), F.lit(0)))
     headers = stage(r.drop("payload"), "warc-headers")
-    revisits = stage(resolve_revisits(headers, min_bytes), "warc-revisits")
-    write_archives(r, revisits, date, path)
+    revisits = stage(resolve_revisits(headers.drop("record_bytes"), min_bytes), "warc-revisits")
+    classes = size_classes(archive_bytes)
+    counts = one_row(headers.agg(*[F.count_if(which).alias(str(i)) for i, (which, _) in enumerate(classes)]))
+    used = [c for i, c in enumerate(classes) if counts[str(i)]] or classes[:1]
+    for i, (which, per_archive) in enumerate(used):
+        write_archives(r.where(which), revisits, date, path, per_archive, "append" if i else "errorifexists")
 
 
 def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages table as captures, named by their place in its files."""
+    """The pages table as captures, named by the path of their file and their place in it."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    place = F.concat_ws("#", F.col("_metadata.file_name"), F.col("_metadata.row_index").cast("string"))
+    place = F.concat_ws("#", F.md5(F.col("_metadata.file_path")), F.col("_metadata.row_index").cast("string"))
     return pages.select(
         place.alias("record_id"), "page_id", "url", F.col("html").cast("binary").alias("payload")
     )

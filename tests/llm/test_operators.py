@@ -1,5 +1,6 @@
 """The training-data operators against brute force, on small texts with every odd case."""
 
+import gzip
 import hashlib
 import random
 import zlib
@@ -596,3 +597,30 @@ def test_candidates_have_the_smallest_footrule(spark):
         plain = sorted(footrule(near[q], n) for n in near)[:30]
         chosen = held.candidates(np.array(near[q]), 30)
         assert sorted(footrule(near[q], near[c]) for c in chosen) == plain
+
+
+def test_warc_archives_hold_a_bounded_number_of_bytes(spark, tmp_path):
+    sizes = [0, 10, 10, 40] * 60 + [3_000] * 5 + [90_000] * 3 + [400_000, 150_000]
+    rows = [(f"r{i}", i, f"u{i}", bytes([i % 7]) * n) for i, n in enumerate(sizes)]
+    records = spark.createDataFrame(rows, "record_id string, page_id long, url string, payload binary").repartition(2)
+    path = tmp_path / "mixed"
+    warc.deduplicated_archives(records, str(path), archive_bytes=100_000)
+    whole = [gzip.decompress(f.read_bytes()) for f in path.glob("part-*")]
+    for archive in whole:
+        n = archive.count(b"WARC/1.1\r\n")
+        payload = len(archive) - 900 * n  # headers take less
+        assert n <= 1 or payload <= 100_000
+    assert sum(a.count(b"WARC/1.1\r\n") for a in whole) == len(rows)
+    got = {r.page_id: r for r in warc.read_archives(spark, str(path), payloads=True).collect()}
+    first = {}
+    for i, (_, page, _, payload) in reversed(list(enumerate(rows))):
+        first.setdefault(payload, page)  # the largest page_id responds
+        assert got[page].payload_bytes == len(payload)
+        assert got[page].refers_to == (first[payload] if first[payload] != page else None)
+        assert got[page].payload == (payload if first[payload] == page else None)
+
+
+def test_warc_of_no_records(spark, tmp_path):
+    none = spark.createDataFrame([], "record_id string, page_id long, url string, payload binary")
+    warc.deduplicated_archives(none, str(tmp_path / "none"))
+    assert warc.read_archives(spark, str(tmp_path / "none")).count() == 0
