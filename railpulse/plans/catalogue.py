@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from railpulse import dimensions as D
 from railpulse import schemas as S
@@ -38,6 +39,8 @@ DAY = 86_400
 # Keys with repeats in the test tables; the lock key proper hardly repeats there.
 COARSE_KEY = ["user_id", "payee_bank_id"]
 STREAM_DELAY = "10 minutes"
+# Most attempts in a file of a batch.
+FILE_ROWS = 1 << 19
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,11 +71,16 @@ def _published(spark: SparkSession, s: StarTables) -> DataFrame:
 
 def _cleaned_by_batches(spark: SparkSession, s: StarTables) -> tuple[DataFrame, DataFrame]:
     """The raw attempts, cleaned in five batches of consecutive ingest order; the third is
-    replayed when the fifth is done. Cleaned attempts and audit."""
+    replayed when the fifth is done. Cleaned attempts and audit. The attempts are written
+    by batch, as days of files are, so that each batch reads its own."""
     raw = s.raw_transactions()
     store = store_cleaning.CleanStore(spark, work_folder(spark, "clean-store"), "bigint", buckets=8, words=1 << 16).create(raw)
     share = F.col("ingest_seq").cast("double") / raw.agg(F.max("ingest_seq")).scalar()
-    batches = raw.withColumn("_batch", F.least(F.floor(share * 5), F.lit(4)))
+    days = work_folder(spark, "clean-days")
+    numbered = raw.withColumn("_batch", F.least(F.floor(share * 5), F.lit(4)).cast("int"))
+    # Where the input is in ingest order, a few tasks write a batch: no file is too much for one reader.
+    numbered.write.option("maxRecordsPerFile", FILE_ROWS).partitionBy("_batch").parquet(days)
+    batches = spark.read.schema(StructType([*raw.schema, StructField("_batch", IntegerType())])).parquet(days)
     for batch in (0, 1, 2, 3, 4, 2):
         store.add(batches.filter(F.col("_batch") == batch).drop("_batch"), batch)
     schema = ", ".join(f"{c} {t}" for c, t in cleaning.clean_transactions(raw).dtypes)

@@ -4,7 +4,8 @@ The store is a folder of Parquet tables, each with a partition per batch:
 
 * ``transactions``: cleaned attempts, and ``audit``: the six counters of the batch;
 * ``ids``: accepted ids, in hash buckets;
-* ``filters``: for each 64-bit word of a Bloom filter over a batch's ids, its bits.
+* ``filters``: for each 64-bit word of a Bloom filter over a batch's ids, its bits. Partitions
+  are by level, too: large batches double the number of words as often as they need.
 
 A batch reads only partitions of earlier batches and replaces its own, so replaying one,
 or the whole series, leaves the store as it was. The audit is written last; a batch
@@ -13,10 +14,11 @@ without one is not finished and is left out by the readers.
 
 from __future__ import annotations
 
+import math
 import os
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -24,9 +26,9 @@ from railpulse.operators.cleaning import clean_transactions
 from railpulse.operators.quality import dq_audit_summary
 from railpulse.session import work_folder
 
-# Buckets of accepted ids, words of a batch's filter, and bits that an id sets in its
+# Buckets of accepted ids, least words of a batch's filter, and bits that an id sets in its
 # word. About six ids a word let through one strange id in twenty.
-BUCKETS, WORDS, BITS = 64, 1 << 22, 4
+BUCKETS, WORDS, BITS, FULL = 64, 1 << 22, 4, 6
 COUNTERS = [
     "raw_transaction_count",
     "duplicate_transactions_removed",
@@ -38,15 +40,15 @@ COUNTERS = [
 AUDIT_SCHEMA = ", ".join(f"{c} bigint" for c in COUNTERS) + ", batch bigint"
 
 
-def _placed(ids: DataFrame, buckets: int, words: int) -> DataFrame:
-    """Bucket, filter word and filter bits of transaction ids; NULL is an id like others."""
+def _placed(ids: DataFrame, buckets: int) -> DataFrame:
+    """Bucket, hash of the filter word and filter bits of transaction ids; NULL is an id like others."""
     key = F.col("transaction_id").cast("string")
     rows = ids.withColumns({name: F.xxhash64(F.lit(name), key) for name in ("_bucket", "_word", "_bits")})
     bits = [F.expr(f"shiftleft(1L, cast(pmod(shiftright(_bits, {6 * i}), 64) as int))") for i in range(BITS)]
     return rows.select(
         "transaction_id",
         F.pmod("_bucket", F.lit(buckets)).cast("int").alias("bucket"),
-        F.pmod("_word", F.lit(words)).cast("long").alias("word"),
+        "_word",
         reduce(lambda a, b: a.bitwiseOR(b), bits).alias("mask"),
     )
 
@@ -67,13 +69,15 @@ class CleanStore:
     """A store of cleaned attempts that grows by batches.
 
     ``id_type`` is the type of transaction ids. ``buckets`` and ``words`` hold for the
-    life of a store; take about a sixth of a batch's ids as ``words``.
+    life of a store; take about a sixth of a small batch's ids as ``words``. The filter of a
+    larger batch has this number doubled until no word has more than six ids on average.
     """
 
     def __init__(self, spark: SparkSession, folder: str, id_type: str = "string", buckets: int = BUCKETS, words: int = WORDS):
         self.spark, self.folder, self.buckets, self.words = spark, folder, buckets, words
+        self._seen = f"_accepted {id_type}"
         self._ids = f"transaction_id {id_type}, batch bigint, bucket int"
-        self._filters = "word bigint, bits bigint, batch bigint"
+        self._filters = "word bigint, bits bigint, batch bigint, level int"
 
     def create(self, raw: DataFrame, seq_col: str = "ingest_seq") -> CleanStore:
         """Empty tables, for attempts such as ``raw``."""
@@ -81,20 +85,28 @@ class CleanStore:
         ids = none.select("transaction_id")
         _replace(clean_transactions(none, seq_col), self.folder, "transactions", -1)
         _replace(ids.withColumn("bucket", F.lit(0)), self.folder, "ids", -1, "bucket")
-        _replace(ids.select(F.lit(0).cast("long").alias("word"), F.lit(0).cast("long").alias("bits")), self.folder, "filters", -1)
+        empty = ids.select(*[F.lit(0).cast("long").alias(c) for c in ("word", "bits")], F.lit(0).alias("level"))
+        _replace(empty, self.folder, "filters", -1, "level")
         _replace(dq_audit_summary(none, seq_col), self.folder, "audit", -1)
         return self
 
+    def _word(self, level: str) -> Column:
+        """The filter word of a placed id at a level."""
+        return F.expr(f"pmod(_word, shiftleft({self.words}L, {level}))")
+
     def accepted_before(self, ids: DataFrame, batch: int) -> DataFrame:
         """Those of the distinct ``ids`` that a batch before ``batch`` accepted.
 
         The filters, a few bits per id, tell which bucket of which batch may hold an id;
         only those partitions of the ids are read.
         """
-        probe = _placed(ids, self.buckets, self.words)
         filters = _read(self.spark, self.folder, "filters", self._filters, batch)
-        filters = filters.select(F.col("word").alias("_word"), "bits", F.col("batch").alias("_batch"))
-        maybe = probe.join(filters, (F.col("word") == F.col("_word")) & (F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask")))
+        # At most one per doubling of the words; they are names of partitions.
+        levels = F.broadcast(filters.select(F.col("level").alias("_level")).distinct())
+        probe = _placed(ids, self.buckets).crossJoin(levels).withColumn("_at", self._word("_level"))
+        filters = filters.select("word", "bits", "level", F.col("batch").alias("_batch"))
+        held_bits = F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask")
+        maybe = probe.join(filters, (F.col("_at") == F.col("word")) & (F.col("_level") == F.col("level")) & held_bits)
         maybe = maybe.select(F.col("transaction_id").alias("_id"), F.col("bucket").alias("_bucket"), "_batch")
         held = _read(self.spark, self.folder, "ids", self._ids, batch)
         same = (F.col("batch") == F.col("_batch")) & (F.col("bucket") == F.col("_bucket")) & F.col("transaction_id").eqNullSafe(F.col("_id"))
@@ -104,19 +116,25 @@ class CleanStore:
         """Clean one batch. Batches come in ingest order, numbered from 0.
 
         Rows of an id that an earlier batch accepted are duplicates, whatever their
-        amount; the others are cleaned and counted as by themselves.
+        amount; the others are cleaned and counted as by themselves. The batch is read
+        several times, so give written rows.
         """
         spark, work = self.spark, work_folder(self.spark, "clean-batch")
-        seen = self.accepted_before(raw.select("transaction_id").distinct(), batch)
+        self.accepted_before(raw.select("transaction_id").distinct(), batch).write.parquet(work)
+        seen = spark.read.schema(self._seen).parquet(work)
+        # Cleaning deals rows by id, and plain equality lets the join use that; one row at most has no id.
+        nulls = seen.agg(F.count_if(F.col("_accepted").isNull())).scalar()
+        clean = clean_transactions(raw, seq_col)
+        new = clean.join(seen, F.col("transaction_id") == F.col("_accepted"), "left_anti")
+        _replace(new.filter(F.col("transaction_id").isNotNull() | (nulls == 0)), self.folder, "transactions", batch)
+        done = spark.read.schema(clean.schema).parquet(os.path.join(self.folder, "transactions", f"batch={batch}"))
+        ids = _placed(done.select("transaction_id"), self.buckets)
+        # A file per bucket, or several where it is large.
+        _replace(ids.select("transaction_id", "bucket").hint("rebalance", "bucket"), self.folder, "ids", batch, "bucket")
+        level = max(0, math.ceil(math.log2(max(1, done.count()) / (FULL * self.words))))
+        words = ids.withColumn("level", F.lit(level)).groupBy(self._word("level").alias("word"), "level").agg(F.bit_or("mask").alias("bits"))
+        _replace(words, self.folder, "filters", batch, "level")
         fresh = raw.join(seen, F.col("transaction_id").eqNullSafe(F.col("_accepted")), "left_anti")
-        fresh.write.parquet(work)
-        fresh = spark.read.schema(raw.schema).parquet(work)
-        _replace(clean_transactions(fresh, seq_col), self.folder, "transactions", batch)
-        done = spark.read.schema(clean_transactions(fresh, seq_col).schema).parquet(os.path.join(self.folder, "transactions", f"batch={batch}"))
-        ids = _placed(done.select("transaction_id"), self.buckets, self.words)
-        _replace(ids.select("transaction_id", "bucket").repartition("bucket").sortWithinPartitions("bucket"), self.folder, "ids", batch, "bucket")
-        words = ids.groupBy("word").agg(F.bit_or("mask").alias("bits"))
-        _replace(words, self.folder, "filters", batch)
         again = raw.agg(F.count(F.lit(1)).alias("rows")).scalar() - F.col(COUNTERS[0])
         counts = dq_audit_summary(fresh, seq_col).withColumn("_again", again)
         counts = counts.withColumns({c: F.col(c) + F.col("_again") for c in COUNTERS[:2]}).select(COUNTERS)
@@ -137,11 +155,14 @@ class CleanStore:
 def clean_stream(raw: DataFrame, store: CleanStore, checkpoint: str, seq_col: str = "ingest_seq") -> StreamingQuery:
     """Clean everything a stream of raw attempts has, a micro-batch at a time.
 
-    A micro-batch that is run again after a failure replaces what it had written.
+    A micro-batch that is run again after a failure replaces what it had written. Its rows
+    are taken from the source once.
     """
 
     def add(rows: DataFrame, batch: int) -> None:
-        store.add(rows, batch, seq_col)
+        work = work_folder(store.spark, "clean-batch")
+        rows.write.parquet(work)
+        store.add(store.spark.read.schema(rows.schema).parquet(work), batch, seq_col)
 
     writer = raw.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from railpulse.operators.cleaning import accepted_ids, clean_stage_events, clean_transactions
 from railpulse.operators.quality import dq_audit_summary
+from railpulse.plans.catalogue import all_queries
 from railpulse.schemas import RAW_TRANSACTIONS
+from railpulse.sources.star import SCHEMAS, StarTables
 from railpulse.streaming.cleaning import CleanStore, clean_stream
 
 RAW = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in RAW_TRANSACTIONS) + ", ingest_seq long"
@@ -94,6 +96,30 @@ def test_filters_keep_strange_ids_from_the_store(spark, raw, tmp_path):
     assert "dynamicpruning" in plan.lower()
 
 
+def test_filters_grow_with_their_batches(spark, raw, tmp_path):
+    store = CleanStore(spark, str(tmp_path / "store"), buckets=4, words=4).create(raw)
+    for k in range(2):
+        store.add(day(raw, k, 2), k)
+    filters = spark.read.parquet(str(tmp_path / "store" / "filters"))
+    # At most six ids a word on average, each of four bits; words that are full let all ids through.
+    words = filters.groupBy("batch", "level").agg(F.sum(F.bit_count("bits")).alias("n")).collect()
+    assert {r.batch for r in words} == {0, 1} and all(r.level > 0 and r.n <= 24 * 4 * 2**r.level for r in words)
+    strange = spark.range(400).select(F.concat(F.lit("X"), "id").alias("transaction_id"))
+    assert store.accepted_before(strange, 2).count() == 0
+    assert_same(store, raw)
+
+
+def test_batches_read_their_own_files(spark, tmp_path, monkeypatch):
+    rows = [(k, k * 7 % 50, k % 9, 1, float(k % 50), 5.0 + k, 0.01 * (k % 4), 0.01 * (k % 3), "A", "O", datetime(2024, 1, 1)) for k in range(200)]
+    spark.createDataFrame(rows, SCHEMAS["lineitem"]).write.parquet(str(tmp_path / "lineitem.parquet"))
+    read, add = [], CleanStore.add
+    monkeypatch.setattr(CleanStore, "add", lambda self, raw, batch: (read.append((batch, raw.inputFiles())), add(self, raw, batch)))
+    audit = all_queries()["clean_incremental_audit"](spark, str(tmp_path)).first()
+    assert [batch for batch, _ in read] == [0, 1, 2, 3, 4, 2]
+    assert all(files and not any("lineitem" in f for f in files) for _, files in read)
+    assert audit == dq_audit_summary(StarTables(spark, str(tmp_path)).raw_transactions()).first() and audit[0] == 200
+
+
 def test_stages_by_ids_alone(spark, raw):
     stages = spark.createDataFrame([(t, 1) for t in ("hot", "T1", "T2", "none", None)], "transaction_id string, stage_id int")
     by_rows = clean_stage_events(stages, clean_transactions(raw))
