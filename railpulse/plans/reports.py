@@ -3,7 +3,7 @@
     python -m railpulse.plans.reports RAW_FOLDER CLEAN_FOLDER REPORT_FOLDER
 
 Most reports share three intermediates: hourly cells, user totals and the attempt
-chain. Each is written to the report folder and read back, so that it is computed
+chain; the sketched latency has daily sketches. Each is written to the report folder and read back, so that it is computed
 once and survives the loss of executors. Reports on what these do not hold
 (devices, contiguous buckets, duplicates, bank health, the experiment, the number
 of payments) read the attempts themselves.
@@ -20,6 +20,7 @@ from railpulse import dimensions as D
 from railpulse.functions import flags
 from railpulse.operators import (
     abandonment,
+    bankeffects,
     bankhealth,
     banks,
     cleaning,
@@ -72,11 +73,13 @@ def reports(
     dims: dict[str, DataFrame],
     stage_events: DataFrame,
     stage_names: DataFrame,
+    sketches: DataFrame,
 ) -> dict[str, DataFrame]:
     """Every report over cleaned tables, by name.
 
     ``cells``, ``totals`` and ``chain`` are the shared intermediates of
-    ``attempts``, which itself serves only what they cannot.
+    ``attempts``, which itself serves only what they cannot; ``sketches`` are the daily
+    ones of ``stage_events``.
     """
     codes, bank, people = dims["error_codes"], dims["banks"], dims["users"]
     core, repeats = kpis.core_kpis(cells, codes), duplicates.duplicate_payment_rate(attempts)
@@ -111,8 +114,10 @@ def reports(
         "failure_rollup": failures.failure_rollup(cells, codes),
         "bank_type_peak": banks.bank_type_peak(cells, bank, codes),
         "decline_by_bank_role": banks.decline_by_bank_role(cells, bank, codes),
+        "bank_effects": bankeffects.bank_effects(cells, bank, codes),
         "peak_multiplier": timeprofile.peak_multiplier(cells),
         "stage_latency": funnel.stage_latency(stage_events, stage_names),
+        "stage_latency_sketched": funnel.latency_from_sketches(sketches, stage_names),
         "completion_time": funnel.completion_time(stage_events, stage_names),
         "age_group_friction": users.age_group_friction(people, totals),
         "tenure_friction": users.tenure_friction(people, totals),
@@ -146,6 +151,7 @@ def write_reports(spark: SparkSession, clean: str, out: str) -> list[str]:
         {name: t[name] for name in ("error_codes", "banks", "users", "devices")},
         t["stage_events"],
         D.stage_names(spark),
+        _stored(spark, funnel.latency_sketches(t["stage_events"], D.stage_names(spark)), shared, "latency_sketches"),
     )
     for name, report in ready.items():
         tables.write_table(report, out, name)
