@@ -10,6 +10,9 @@ from railpulse.functions import flags
 from railpulse.functions.text import stripped
 from railpulse.schemas import MONEY
 
+# What an id has besides valid rows: rows of invalid amount, a row accepted before the input.
+INVALID, EARLIER = 1, 2
+
 
 def parsed_amount(column: str = "amount") -> Column:
     """The amount as money; NULL for text that is no finite number."""
@@ -81,18 +84,22 @@ def dq_missing(raw: DataFrame) -> DataFrame:
 
 
 def dq_audit_summary(
-    raw: DataFrame, seq_col: str = "ingest_seq", alias_map: dict[str, str] = D.BANK_ALIASES
+    raw: DataFrame,
+    seq_col: str = "ingest_seq",
+    alias_map: dict[str, str] = D.BANK_ALIASES,
+    earlier: DataFrame | None = None,
 ) -> DataFrame:
     """The six counters of the cleaning job, as one row.
 
     The first valid row of an id, by ``seq_col``, is accepted. Every later row of
     that id is a duplicate, whatever its amount; rows of invalid amount that
     come before it (or that have no valid row) are invalid. So:
-    raw = duplicates + invalid + processed.
+    raw = duplicates + invalid + processed. All rows of the ids in ``earlier``
+    (transaction_id), accepted before this input, are duplicates.
 
-    Valid rows shrink to one row per id with map-side partial results. Only the
-    rows of invalid amount are joined back; a hot id among them is split by the
-    adaptive skew join.
+    Rows shrink to one row per id with map-side partial results. Only the rows of
+    invalid amount are joined back, with the ids that have such; a hot id among
+    them is split by the adaptive skew join.
     """
     spelled = F.upper(stripped(F.col("payer_bank_id"))).isin(list(alias_map))
     rows = raw.select(
@@ -105,21 +112,32 @@ def dq_audit_summary(
             F.when(spelled, 1).otherwise(0) + F.when(flags.blank("network_type"), 2).otherwise(0)
         ).alias("marks"),
     )
-    accepted = (
-        rows.filter("is_valid")
-        .groupBy("transaction_id")
+    kinds = F.when(F.col("is_valid"), 0).otherwise(INVALID).alias("kinds")
+    seen = rows.select("transaction_id", F.when(F.col("is_valid"), F.col("seq")).alias("seq"), "marks", kinds)
+    if earlier is not None:  # met in the aggregate, so that no row of the input is joined with them
+        none = F.lit(None).cast(rows.schema["seq"].dataType).alias("seq")
+        seen = seen.unionByName(earlier.select("transaction_id", none, F.lit(0).alias("marks"), F.lit(EARLIER).alias("kinds")))
+    by_id = (
+        seen.groupBy("transaction_id")
         .agg(
             F.min("seq").alias("accepted_seq"),
             F.min_by("marks", "seq").alias("marks"),
-            F.count(F.lit(1)).alias("valid_rows"),
+            F.count_if(F.col("kinds") == 0).alias("valid_rows"),
+            F.bit_or("kinds").alias("kinds"),
         )
-        # Always true. Both uses below thereby need all three columns, and the
-        # planner shuffles the valid rows once and reuses the exchange.
-        .filter((F.col("valid_rows") > 0) | (F.col("marks") > 0) | F.col("accepted_seq").isNotNull())
+        # Always true. Both uses below thereby need all four columns, and the
+        # planner shuffles the ids once and reuses the exchange.
+        .filter((F.col("valid_rows") > 0) | (F.col("marks") > 0) | F.col("accepted_seq").isNotNull() | (F.col("kinds") > 0))
+    )
+    is_earlier = F.col("kinds").bitwiseAND(EARLIER) > 0
+    accepted = by_id.withColumn("is_new", F.when(is_earlier | (F.col("valid_rows") == 0), 0).otherwise(1))
+    # Ids without invalid rows, mostly nearly all, need not meet these.
+    first = by_id.filter(F.col("kinds").bitwiseAND(INVALID) > 0).select(
+        F.col("transaction_id").alias("accepted_id"), "accepted_seq", is_earlier.alias("is_earlier")
     )
-    first = accepted.select(F.col("transaction_id").alias("accepted_id"), "accepted_seq")
     invalid = rows.filter(~F.col("is_valid")).select("transaction_id", "seq")
     before = F.col("accepted_seq").isNull() | (F.col("seq") < F.col("accepted_seq"))
+    before = before & ~F.col("is_earlier")
     invalid_counts = invalid.join(
         first, F.col("transaction_id").eqNullSafe(F.col("accepted_id")), "left"
     ).select(
@@ -131,9 +149,9 @@ def dq_audit_summary(
     )
     accepted_counts = accepted.select(
         F.col("valid_rows").alias("raw_rows"),
-        F.lit(1).alias("processed"),
-        F.col("marks").bitwiseAND(1).alias("aliases"),
-        F.shiftright(F.col("marks"), 1).alias("imputed"),
+        F.col("is_new").alias("processed"),
+        (F.col("marks").bitwiseAND(1) * F.col("is_new")).alias("aliases"),
+        (F.shiftright(F.col("marks"), 1) * F.col("is_new")).alias("imputed"),
         F.lit(0).alias("invalid"),
     )
 

@@ -16,12 +16,15 @@ from __future__ import annotations
 
 import math
 import os
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from railpulse import dimensions as D
 from railpulse.operators.cleaning import clean_transactions
 from railpulse.operators.quality import dq_audit_summary
 from railpulse.session import work_folder
@@ -40,17 +43,18 @@ COUNTERS = [
 AUDIT_SCHEMA = ", ".join(f"{c} bigint" for c in COUNTERS) + ", batch bigint"
 
 
-def _placed(ids: DataFrame, buckets: int) -> DataFrame:
-    """Bucket, hash of the filter word and filter bits of transaction ids; NULL is an id like others."""
-    key = F.col("transaction_id").cast("string")
-    rows = ids.withColumns({name: F.xxhash64(F.lit(name), key) for name in ("_bucket", "_word", "_bits")})
-    bits = [F.expr(f"shiftleft(1L, cast(pmod(shiftright(_bits, {6 * i}), 64) as int))") for i in range(BITS)]
-    return rows.select(
-        "transaction_id",
-        F.pmod("_bucket", F.lit(buckets)).cast("int").alias("bucket"),
-        "_word",
-        reduce(lambda a, b: a.bitwiseOR(b), bits).alias("mask"),
-    )
+def _hashed(ids: DataFrame) -> DataFrame:
+    """Transaction ids and a hash, from which their places follow; NULL is an id like others."""
+    return ids.select("transaction_id", F.xxhash64("transaction_id").alias("_hash"))
+
+
+def _bucket(buckets: int) -> Column:
+    return F.expr(f"cast(pmod(_hash, {buckets}) as int)").alias("bucket")
+
+
+def _mask() -> Column:
+    """The bits that an id sets in its filter word, six bits of the hash for each."""
+    return reduce(lambda a, b: a.bitwiseOR(b), [F.expr(f"shiftleft(1L, cast(shiftright(_hash, {6 * i}) & 63 as int))") for i in range(BITS)])
 
 
 def _read(spark: SparkSession, folder: str, table: str, schema: str, before: int | None = None) -> DataFrame:
@@ -91,25 +95,28 @@ class CleanStore:
         return self
 
     def _word(self, level: str) -> Column:
-        """The filter word of a placed id at a level."""
-        return F.expr(f"pmod(_word, shiftleft({self.words}L, {level}))")
+        """The filter word of a hashed id at a level, from bits of the hash that the mask leaves."""
+        return F.expr(f"pmod(shiftright(_hash, {6 * BITS}), shiftleft({self.words}L, {level}))")
 
     def accepted_before(self, ids: DataFrame, batch: int) -> DataFrame:
-        """Those of the distinct ``ids`` that a batch before ``batch`` accepted.
+        """Those of the ``ids`` that a batch before ``batch`` accepted, each once.
 
         The filters, a few bits per id, tell which bucket of which batch may hold an id;
-        only those partitions of the ids are read.
+        only those partitions of the ids are read. Repeated ids meet the filters as they
+        are; those that pass, which are fewer, are reduced to one each.
         """
         filters = _read(self.spark, self.folder, "filters", self._filters, batch)
         # At most one per doubling of the words; they are names of partitions.
         levels = F.broadcast(filters.select(F.col("level").alias("_level")).distinct())
-        probe = _placed(ids, self.buckets).crossJoin(levels).withColumn("_at", self._word("_level"))
         filters = filters.select("word", "bits", "level", F.col("batch").alias("_batch"))
-        held_bits = F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask")
-        maybe = probe.join(filters, (F.col("_at") == F.col("word")) & (F.col("_level") == F.col("level")) & held_bits)
-        maybe = maybe.select(F.col("transaction_id").alias("_id"), F.col("bucket").alias("_bucket"), "_batch")
+        # Only ids and their hashes are shuffled; word and mask follow from them on either side.
+        held_bits = F.col("bits").bitwiseAND(_mask()) == _mask()
+        at = (self._word("_level") == F.col("word")) & (F.col("_level") == F.col("level"))
+        maybe = _hashed(ids).crossJoin(levels).join(filters, at & held_bits)
+        maybe = maybe.select(F.col("transaction_id").alias("_id"), _bucket(self.buckets).alias("_bucket"), "_batch").distinct()
         held = _read(self.spark, self.folder, "ids", self._ids, batch)
-        same = (F.col("batch") == F.col("_batch")) & (F.col("bucket") == F.col("_bucket")) & F.col("transaction_id").eqNullSafe(F.col("_id"))
+        # The id first: rows are sorted by it, and few have the same one.
+        same = F.col("transaction_id").eqNullSafe(F.col("_id")) & (F.col("batch") == F.col("_batch")) & (F.col("bucket") == F.col("_bucket"))
         return held.join(maybe, same, "left_semi").select(F.col("transaction_id").alias("_accepted"))
 
     def add(self, raw: DataFrame, batch: int, seq_col: str = "ingest_seq") -> None:
@@ -117,28 +124,34 @@ class CleanStore:
 
         Rows of an id that an earlier batch accepted are duplicates, whatever their
         amount; the others are cleaned and counted as by themselves. The batch is read
-        several times, so give written rows.
+        several times, so give written rows. It is counted while it is cleaned.
         """
         spark, work = self.spark, work_folder(self.spark, "clean-batch")
-        self.accepted_before(raw.select("transaction_id").distinct(), batch).write.parquet(work)
+        self.accepted_before(raw.select("transaction_id"), batch).write.parquet(work)
         seen = spark.read.schema(self._seen).parquet(work)
         # Cleaning deals rows by id, and plain equality lets the join use that; one row at most has no id.
         nulls = seen.agg(F.count_if(F.col("_accepted").isNull())).scalar()
         clean = clean_transactions(raw, seq_col)
         new = clean.join(seen, F.col("transaction_id") == F.col("_accepted"), "left_anti")
-        _replace(new.filter(F.col("transaction_id").isNotNull() | (nulls == 0)), self.folder, "transactions", batch)
-        done = spark.read.schema(clean.schema).parquet(os.path.join(self.folder, "transactions", f"batch={batch}"))
-        ids = _placed(done.select("transaction_id"), self.buckets)
-        # A file per bucket, or several where it is large.
-        _replace(ids.select("transaction_id", "bucket").hint("rebalance", "bucket"), self.folder, "ids", batch, "bucket")
-        level = max(0, math.ceil(math.log2(max(1, done.count()) / (FULL * self.words))))
-        words = ids.withColumn("level", F.lit(level)).groupBy(self._word("level").alias("word"), "level").agg(F.bit_or("mask").alias("bits"))
-        _replace(words, self.folder, "filters", batch, "level")
-        fresh = raw.join(seen, F.col("transaction_id").eqNullSafe(F.col("_accepted")), "left_anti")
-        again = raw.agg(F.count(F.lit(1)).alias("rows")).scalar() - F.col(COUNTERS[0])
-        counts = dq_audit_summary(fresh, seq_col).withColumn("_again", again)
-        counts = counts.withColumns({c: F.col(c) + F.col("_again") for c in COUNTERS[:2]}).select(COUNTERS)
-        _replace(counts.coalesce(1), self.folder, "audit", batch)
+
+        @inheritable_thread_target(spark)
+        def counted() -> DataFrame:
+            rows = dq_audit_summary(raw, seq_col, D.BANK_ALIASES, seen.withColumnRenamed("_accepted", "transaction_id"))
+            return spark.createDataFrame(rows.collect(), rows.schema)
+
+        with ThreadPoolExecutor() as beside:
+            counts = beside.submit(counted)
+            _replace(new.filter(F.col("transaction_id").isNotNull() | (nulls == 0)), self.folder, "transactions", batch)
+            done = spark.read.schema(clean.schema).parquet(os.path.join(self.folder, "transactions", f"batch={batch}"))
+            ids = _hashed(done)
+            # A file per bucket, or several where it is large.
+            dealt = ids.select("transaction_id", _bucket(self.buckets)).hint("rebalance", "bucket")
+            written = beside.submit(inheritable_thread_target(spark)(_replace), dealt, self.folder, "ids", batch, "bucket")
+            level = max(0, math.ceil(math.log2(max(1, done.count()) / (FULL * self.words))))
+            words = ids.withColumn("level", F.lit(level)).groupBy(self._word("level").alias("word"), "level").agg(F.bit_or(_mask()).alias("bits"))
+            _replace(words, self.folder, "filters", batch, "level")
+            written.result()
+            _replace(counts.result().coalesce(1), self.folder, "audit", batch)
 
     def audit(self) -> DataFrame:
         """The six counters over all finished batches, as one row."""

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from railpulse import dimensions as D
 from railpulse.operators.cleaning import accepted_ids, clean_stage_events, clean_transactions
 from railpulse.operators.quality import dq_audit_summary
 from railpulse.plans.catalogue import all_queries
@@ -120,6 +121,30 @@ def test_batches_read_their_own_files(spark, tmp_path, monkeypatch):
     assert audit == dq_audit_summary(StarTables(spark, str(tmp_path)).raw_transactions()).first() and audit[0] == 200
 
 
+@pytest.mark.parametrize("known", [[], ["hot", "T1", "T2", "T300"], [None, "T3", "none"]])
+def test_audit_beside_ids_accepted_earlier(spark, raw, known):
+    """As the audit of the other rows, those of the known ids being duplicates; no row of the input is joined with them."""
+    earlier = spark.createDataFrame([(t,) for t in known], "transaction_id string")
+    again = F.coalesce("transaction_id", F.lit("NULL")).isin([t or "NULL" for t in known])
+    rest, n = dq_audit_summary(raw.filter(~again)).first().asDict(), raw.filter(again).count()
+    want = rest | {c: rest[c] + n for c in ("raw_transaction_count", "duplicate_transactions_removed")}
+    got = dq_audit_summary(raw, "ingest_seq", D.BANK_ALIASES, earlier)
+    assert got.first().asDict() == want and want["invalid_amounts_dropped"] > 20
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1  # of the invalid rows with the ids that have such
+
+
+def test_repeated_ids_meet_the_filters_ungrouped_and_are_found_once(spark, raw, tmp_path, monkeypatch):
+    store = CleanStore(spark, str(tmp_path / "store"), buckets=4, words=16).create(raw)
+    given, find = [], CleanStore.accepted_before
+    monkeypatch.setattr(CleanStore, "accepted_before", lambda self, ids, batch: (given.append(ids), find(self, ids, batch))[1])
+    store.add(day(raw, 0, 2), 0)
+    held = {r.transaction_id for r in clean_transactions(day(raw, 0, 2)).select("transaction_id").collect()}
+    got = [r[0] for r in store.accepted_before(raw.union(raw).select("transaction_id"), 1).collect()]
+    assert set(got) == held and len(got) == len(held) and None in held
+    assert "Aggregate" not in given[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_stages_by_ids_alone(spark, raw):
     stages = spark.createDataFrame([(t, 1) for t in ("hot", "T1", "T2", "none", None)], "transaction_id string, stage_id int")
     by_rows = clean_stage_events(stages, clean_transactions(raw))
